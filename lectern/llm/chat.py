@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import bound_batches
 from lectern.llm.textcore import buffers
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -93,6 +94,7 @@ def _turns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 def format_chat(conversations: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """Formatted conversations (columns of SCHEMA), parts of a conversation in order and in one partition."""
+    bound_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import slices
+from lectern.llm.common import bound_batches, slices
 
 SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 16 << 20
@@ -186,6 +186,7 @@ def _search_segment(row: dict, grams, lengths, owners, slop) -> pa.RecordBatch:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact and near matches of benchmark windows in each document (columns of MATCH)."""
+    bound_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     n_blocks = max(1, -(-int(total) // block_bytes))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import materialize, slices
+from lectern.llm.common import bound_batches, materialize, slices
 from lectern.llm.graph import components
 
 SLICE = 2 << 20
@@ -54,6 +54,7 @@ def fold_vector(df: DataFrame, add, size: int, dtype: str, join: str) -> np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([pa.compress(total.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["chunk", "data"])
 
     schema = "chunk int, data binary"
+    bound_batches(df.sparkSession)
     rows = df.mapInArrow(partial, schema).repartition(_CHUNKS, "chunk").mapInArrow(merge, schema).collect()
     out = np.zeros(size, dtype)
     for row in rows:
@@ -182,74 +183,91 @@ def contents(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, max_bit
 
     def unite(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 own = sorted(row["m"], key=lambda x: (x["rep"], x["tokens"]))
-                sets = [np.frombuffer(x["tokens"], np.uint64) for x in own]
-                union = np.unique(np.concatenate(sets))
-                values = [[row["gid"]], [[x["rep"] for x in own]], [[x["mult"] for x in own]], [np.cumsum([len(s) for s in sets]).tolist()], [np.concatenate(sets).tobytes()], [union.tobytes()]]
-                kinds = [pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["gid", "reps", "mults", "ends", "tokens", "tokens_union"])
-
-    return listed.mapInArrow(unite, "gid bigint, reps array<bigint>, mults array<bigint>, ends array<bigint>, tokens binary, tokens_union binary")
-
-
-def overlaps(a: list[np.ndarray], b: list[np.ndarray], union: np.ndarray, num: int, den: int) -> np.ndarray:
-    """True where a[i] and b[j] link. A set whose overlap with b's union is too small opens no comparison."""
-    links = np.zeros((len(a), len(b)), bool)
-    size_b = np.array([len(s) for s in b])
-    inside = [np.searchsorted(union, s) for s in a]
-    inside = [p[union[np.minimum(p, len(union) - 1)] == s] for p, s in zip(inside, a, strict=True)]
-    open_ = [i for i, (p, s) in enumerate(zip(inside, a, strict=True)) if len(p) >= need(len(s), num, den)]
-    if not open_:
-        return links
-    places = [np.searchsorted(union, s) for s in b]
-    marked = np.zeros(len(union), bool)
-    for i in open_:
-        marked[inside[i]] = True
-        common = np.array([np.count_nonzero(marked[p]) for p in places])
-        marked[inside[i]] = False
-        links[i] = den * common >= num * (len(a[i]) + size_b - common)
+                union, matrix = token_matrix([np.frombuffer(x["tokens"], np.uint64) for x in own])
+                values = [[row["gid"]], [[x["rep"] for x in own]], [[x["mult"] for x in own]], [union.tobytes()], [matrix]]
+                kinds = [pa.int64(), *[pa.list_(pa.int64())] * 2, pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["gid", "reps", "mults", "tokens", "matrix"])
+
+    return listed.mapInArrow(unite, "gid bigint, reps array<bigint>, mults array<bigint>, tokens binary, matrix binary")
+
+
+def token_matrix(sets: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
+    """The union of a group's tokens and, for more than one member, a compressed bit matrix of members by tokens."""
+    if len(sets) == 1:
+        return sets[0], b""
+    union = np.unique(np.concatenate(sets))
+    bits = np.zeros((len(sets), len(union)), np.uint8)
+    for i, s in enumerate(sets):
+        bits[i, np.searchsorted(union, s)] = 1
+    return union, pa.compress(np.packbits(bits, axis=1).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(members: int, tokens: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
+    union = np.frombuffer(tokens, np.uint64)
+    if members == 1:
+        return union, np.ones((1, len(union)), np.uint8)
+    width = -(-len(union) // 8)
+    packed = np.frombuffer(pa.decompress(matrix, members * width, "zstd", asbytes=True), np.uint8).reshape(members, width)
+    return union, np.unpackbits(packed, axis=1, count=len(union))
+
+
+def overlaps(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
+    """True where members a[i] and b[j] link. A set whose overlap with b's union is too small opens no comparison."""
+    (union_a, bits_a), (union_b, bits_b) = a, b
+    links = np.zeros((len(bits_a), len(bits_b)), bool)
+    at = np.minimum(np.searchsorted(union_b, union_a), len(union_b) - 1)
+    shared = union_b[at] == union_a
+    inside = bits_a[:, shared]
+    size_a, size_b = bits_a.sum(axis=1, dtype=np.int64), bits_b.sum(axis=1, dtype=np.int64)
+    open_ = np.flatnonzero(inside.sum(axis=1, dtype=np.int64) * den >= size_a * num)
+    if len(open_):
+        common = (inside[open_].astype(np.float32) @ bits_b[:, at[shared]].astype(np.float32).T).astype(np.int64)
+        links[open_] = den * common >= num * (size_a[open_, None] + size_b[None] - common)
     return links
 
 
-def forest(nodes: list[int], links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A spanning forest of links."""
-    parent = list(range(len(nodes)))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in links:
-        a, b = top(i), top(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((nodes[i], nodes[j]))
-    return out
+def stars(links: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Edges from each node to the smallest of its component in a matrix of links: as many as nodes at most.
+
+    Rows and columns are the same nodes, or columns are further nodes numbered after the rows.
+    """
+    if not links.any():
+        return []
+    n, m = links.shape
+    left, right = np.arange(n), np.arange(m) if same else n + np.arange(m)
+    none = n + m
+    while True:
+        new = np.minimum(left, np.where(links, right[None], none).min(axis=1))
+        far = np.minimum(right, np.where(links, new[:, None], none).min(axis=0))
+        if same:
+            new = far = np.minimum(new, far)
+        if (new == left).all() and (far == right).all():
+            break
+        left, right = new, far
+    label = left if same else np.r_[left, right]
+    return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(len(label)))]
 
 
 def _open(row: dict, num: int, den: int) -> tuple[list, list]:
-    """Spanning edges and link counts of two groups that meet (or of one group)."""
-    cut = lambda t, e: np.split(np.frombuffer(t, np.uint64), e[:-1])
-    a = cut(row["tokens1"], row["ends1"])
-    same = row["tokens2"] is None
-    b = a if same else cut(row["tokens2"], row["ends2"])
-    links = overlaps(a, b, np.frombuffer(row["union1" if same else "union2"], np.uint64), num, den)
+    """Connecting edges and link counts of two groups that meet (or of one group)."""
+    same = row["reps2"] is None
+    a = _unpack(len(row["reps1"]), row["tokens1"], row["matrix1"])
+    b = a if same else _unpack(len(row["reps2"]), row["tokens2"], row["matrix2"])
+    links = overlaps(a, b, num, den)
     nodes = row["reps1"] + ([] if same else row["reps2"])
     mult_a, mult_b = np.array(row["mults1"]), np.array(row["mults1" if same else "mults2"])
     if same:
         np.fill_diagonal(links, False)
-    shift = 0 if same else len(a)
-    i, j = np.nonzero(np.triu(links) if same else links)
     counts = np.r_[links @ mult_b, [] if same else mult_a @ links].astype(np.int64)
-    return forest(nodes, list(zip(i.tolist(), (j + shift).tolist(), strict=True))), [(n, c) for n, c in zip(nodes, counts.tolist(), strict=True) if c]
+    return [(nodes[i], nodes[j]) for i, j in stars(links, same)], [(n, c) for n, c in zip(nodes, counts.tolist(), strict=True) if c]
 
 
 def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, members: int = 48, group_tokens: int = 1 << 16, max_bits: int = 1 << 27) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for each row: documents link when den * intersection >= num * union."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(profiles(docs, sketch(docs, k), k, num, den), "profiles")
     real = rows.filter("n > 0 and doc_id is not null")
@@ -258,11 +276,10 @@ def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     sets = materialize(_groups(sets, members, group_tokens), "sets")
     pairs = materialize(meetings(sets, num, den), "meetings")
     groups = materialize(contents(docs, sets, pairs, k, max_bits), "groups")
-    side = lambda i: groups.select(F.col("gid").alias(f"g{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("reps", "mults", "ends", "tokens")), F.col("tokens_union").alias(f"union{i}"))
-    two = pairs.filter("g1 <> g2").join(side(1).drop("union1"), "g1").join(side(2), "g2").withColumn("union1", F.lit(None).cast("binary"))
-    one = pairs.filter("g1 = g2").select("g1").join(side(1), "g1")
-    empty = {c: t for c, t in side(2).dtypes if c != "g2"}
-    one = one.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()}).select(*(c for c in two.columns if c not in ("g1", "g2")))
+    side = lambda i: groups.select(F.col("gid").alias(f"g{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("reps", "mults", "tokens", "matrix")))
+    two = pairs.filter("g1 <> g2").join(side(1), "g1").join(side(2), "g2").drop("g1", "g2")
+    one = pairs.filter("g1 = g2").select("g1").join(side(1), "g1").drop("g1")
+    one = one.withColumns({c: F.lit(None).cast(t) for c, t in side(2).dtypes if c != "g2"})
 
     def opened(batches):
         for batch in batches:
@@ -271,7 +288,7 @@ def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
                 cols = ([a for a, _ in edges] + [n for n, _ in counts], [b for _, b in edges] + [None] * len(counts), [0] * len(edges) + [c for _, c in counts])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "links"])
 
-    found = materialize(two.select(*one.columns).union(one).mapInArrow(opened, "a bigint, b bigint, links bigint"), "links")
+    found = materialize(two.unionByName(one).mapInArrow(opened, "a bigint, b bigint, links bigint"), "links")
     classes = components(found.filter("b is not null").select("a", "b"))
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     reps = sets.select("n", "s0", "s1", "rep", "mult").join(classes, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import fold, materialize, size_of, slices
+from lectern.llm.common import bound_batches, fold, materialize, size_of, slices
 
 BLOCK_BYTES = 6 << 20
 RANGE_TOKENS = 3_000_000
@@ -184,6 +184,7 @@ def learn(histogram: list[tuple[int, int]], types: int, rounds: int = 60) -> np.
 
 def score(docs: DataFrame, modulus: int = 5, held: int = 1, tune: int = 2, block_bytes: int = BLOCK_BYTES, range_tokens: int = RANGE_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
+    bound_batches(docs.sparkSession)
     _, total_bytes = size_of(docs)
     bits = max(0, int(np.ceil(np.log2(max(1, total_bytes / 6 / range_tokens)))))
     packed = materialize(pack(docs, modulus, tune, block_bytes), "blocks")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import fold, labelled_sample, slices
+from lectern.llm.common import bound_batches, fold, labelled_sample, slices
 
 SLICE = 2 << 20
 CLASSES = ("upper", "lower", "digit", "space", "newline", "stop", "mark", "symbol", "high")
@@ -203,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
 
 def score(docs: DataFrame, model: AdditiveModel, modulus: int = 5, held: int = 0, threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted for each row (and the columns named in keep)."""
+    bound_batches(docs.sparkSession)
     kept = [F.col(c).alias(f"kept_{c}") for c in keep]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), modulus) == held).alias("held_out"), F.col("text").cast("string").alias("text"), *kept)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import fold, labelled_sample, materialize, slices
+from lectern.llm.common import bound_batches, fold, labelled_sample, materialize, slices
 
 SLICE = 4 << 20
 PREFIXES = (5, 7)
@@ -211,6 +211,7 @@ def _alone(texts: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, model: NearestModel, modulus: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (nearest examples) for each row."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), modulus) == held).alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 

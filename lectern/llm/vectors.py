@@ -10,8 +10,8 @@ cells are large by default. `reach` below 1 narrows it in proportion, for data t
 way keeps all links but a few in a thousand among 64 evenly filled dimensions.
 
 Scale: centres are fitted on a bounded sample (`fit_rows`); every vector is assigned. Cells are cut into blocks by a hash,
-and blocks are compared pair by pair, so a hot cell becomes many tasks of bounded memory. Only link counts and spanning
-forests leave a block pair, never all its pairs. Equal vectors are joined into one with a multiplicity beforehand.
+and blocks are compared pair by pair, so a hot cell becomes many tasks of bounded memory. Only link counts and component
+edges leave a block pair, never all its pairs. Equal vectors are joined into one with a multiplicity beforehand.
 Defined results: null, zero or non-finite vectors and those without label link with nothing; vectors of different length
 do not compare; a null id has no component; rows that share an id are one node; other columns are ignored.
 """
@@ -19,14 +19,13 @@ do not compare; a null id has no component; rows that share an id are one node;
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import materialize
 from lectern.llm.graph import components
-from lectern.llm.jaccard import forest
+from lectern.llm.jaccard import stars
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -69,34 +68,44 @@ def _cells(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray
     return home, row, cell
 
 
-def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Link counts and a spanning forest of one pair of blocks of one cell."""
-    diagonal = pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
-    pdf = pdf.sort_values(["rep", "visits"], kind="stable")
-    left = pdf if diagonal else pdf[pdf["block"] == pdf["bi"]]
-    right = pdf if diagonal else pdf[pdf["block"] == pdf["bj"]]
-    empty = pd.DataFrame({"a": [], "b": [], "links": []}).astype("Int64")
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of equal length as unit rows in double precision."""
+    flat = column.combine_chunks()
+    return unit(flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1))
+
+
+def _compare(table: pa.Table, threshold: float) -> pa.Table:
+    """Link counts and component edges of one pair of blocks of one cell."""
+    table = table.sort_by([("rep", "ascending"), ("visits", "ascending")])
+    bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+    same = bi == bj
+    block = table.column("block").to_numpy()
+    left = table if same else table.filter(pa.array(block == bi))
+    right = table if same else table.filter(pa.array(block == bj))
     if not len(left) or not len(right):
-        return empty
-    a, b = (unit(np.stack(p["x"].to_list()).astype(np.float64)) for p in (left, right))
-    links = a @ b.T >= threshold
-    links &= ~(left["visits"].to_numpy()[:, None] & right["visits"].to_numpy()[None])
-    nodes = left["rep"].to_list()
-    if diagonal:
+        return _FOUND.empty_table()
+    links = _matrix(left.column("x")) @ _matrix(right.column("x")).T >= threshold
+    visits = [t.column("visits").to_numpy() for t in (left, right)]
+    links &= ~(visits[0][:, None] & visits[1][None])
+    mult = [t.column("mult").to_numpy() for t in (left, right)]
+    nodes = left.column("rep").to_numpy()
+    if same:
         np.fill_diagonal(links, False)
-        counts = links @ right["mult"].to_numpy()
-        i, j = np.nonzero(np.triu(links))
+        counts = links @ mult[1]
     else:
-        counts = np.r_[links @ right["mult"].to_numpy(), left["mult"].to_numpy() @ links]
-        i, j = np.nonzero(links)
-        j = j + len(nodes)
-        nodes = nodes + right["rep"].to_list()
-    edges = forest(nodes, list(zip(i.tolist(), j.tolist(), strict=True)))
-    some = [(n, int(c)) for n, c in zip(nodes, counts.tolist(), strict=True) if c]
-    return pd.DataFrame({"a": [x for x, _ in edges] + [n for n, _ in some], "b": [y for _, y in edges] + [None] * len(some), "links": [None] * len(edges) + [c for _, c in some]}).astype("Int64")
+        counts = np.r_[links @ mult[1], mult[0] @ links]
+        nodes = np.r_[nodes, right.column("rep").to_numpy()]
+    edges = stars(links, same)
+    some = np.flatnonzero(counts)
+    a = [int(nodes[i]) for i, _ in edges] + nodes[some].tolist()
+    b = [int(nodes[j]) for _, j in edges] + [None] * len(some)
+    return pa.table([pa.array(c, pa.int64()) for c in (a, b, [None] * len(edges) + counts[some].tolist())], schema=_FOUND)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 2048, max_cells: int = 4096, fit_rows: int = 20_000, block: int = 384, reach: float = 1.0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 16_384, max_cells: int = 4096, fit_rows: int = 20_000, block: int = 1024, reach: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("x"))
     kind = "float" if "float" in dict(rows.dtypes)["x"] else "double"
@@ -128,7 +137,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 204
     dealt = placed.join(wide, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", "x"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("other", "blocks")
-    found = dealt.groupBy("label", "dim", "cell", "bi", "bj").applyInPandas(lambda pdf: _compare(pdf, threshold), "a bigint, b bigint, links bigint")
+    found = dealt.groupBy("label", "dim", "cell", "bi", "bj").applyInArrow(lambda table: _compare(table, threshold), "a bigint, b bigint, links bigint")
     found = materialize(found, "vector-links")
     classes = components(found.filter("b is not null").select("a", "b"))
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
