@@ -30,6 +30,10 @@ from lectern.llm.graph import components
 SLICE = 2 << 20
 SKETCH = 1 << 20
 _CHUNKS = 16
+#: Rows of a few numbers that are broadcast at most (about 40 bytes each).
+SMALL_ROWS = 1_000_000
+#: Groups of at most so many members are compared by their members' parity bits before any token moves.
+FEW = 8
 _SALT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -117,11 +121,16 @@ def profiles(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
     return docs.mapInArrow(run, "doc_id bigint, n bigint, s0 bigint, s1 bigint, m0 bigint, m1 bigint, prefix array<bigint>, bits array<bigint>")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df for a broadcast join if it has at most SMALL_ROWS rows, else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def _groups(sets: DataFrame, members: int, tokens: int) -> DataFrame:
     """Adds gid: sets with equal minhashes, in slots of about `members` sets and `tokens` tokens."""
     slots = F.greatest(F.ceil(F.count(F.lit(1)) / members), F.ceil(F.sum("n") / tokens)).cast("long")
     wide = sets.groupBy("m0", "m1").agg(slots.alias("slots")).filter("slots > 1").select(F.col("m0").alias("w0"), F.col("m1").alias("w1"), "slots")
-    joined = sets.join(wide, (F.col("m0") == F.col("w0")) & (F.col("m1") == F.col("w1")), "left")
+    joined = sets.join(_small(wide), (F.col("m0") == F.col("w0")) & (F.col("m1") == F.col("w1")), "left")
     slot = F.pmod(F.xxhash64("rep"), F.coalesce("slots", F.lit(1).cast("long")))
     return joined.withColumn("gid", F.xxhash64("m0", "m1", slot)).drop("w0", "w1", "slots", "m0", "m1")
 
@@ -135,14 +144,18 @@ def meetings(sets: DataFrame, num: int, den: int) -> DataFrame:
     fits = (F.col("gid1") < F.col("gid2")) & (F.col("hi1") * den >= F.col("lo2") * num) & (F.col("hi2") * den >= F.col("lo1") * num)
     # overlap >= num / den * (n1 + n2 - overlap)
     fits &= F.least("rest1", "rest2") * (den + num) >= (F.col("lo1") + F.col("lo2")) * num
-    pairs = a.join(b, "token").filter(fits).select(F.col("gid1").alias("g1"), F.col("gid2").alias("g2")).distinct()
-    single = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    # two lone sets: their parity bits differ in at most as many places as the sets differ in tokens
-    one = lambda i: single.filter("c = 1").select(F.col("gid").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"bits{i}"))
-    apart = sum((F.bit_count(F.get("bits1", i).bitwiseXOR(F.get("bits2", i))) for i in range(8)), F.lit(0))
-    pairs = pairs.join(one(1), "g1", "left").join(one(2), "g2", "left")
-    pairs = pairs.filter(F.col("n1").isNull() | F.col("n2").isNull() | (apart * (den + num) <= (F.col("n1") + F.col("n2")) * (den - num))).select("g1", "g2")
-    own = single.filter("c > 1").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
+    pairs = materialize(a.join(b, "token").filter(fits).select(F.col("gid1").alias("g1"), F.col("gid2").alias("g2")).distinct(), "pairs")
+    used = pairs.select(F.col("g1").alias("gid")).union(pairs.select(F.col("g2").alias("gid"))).distinct()
+    size = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c"))
+    few = sets.join(used, "gid", "left_semi").join(size.filter(F.col("c") <= FEW).select("gid"), "gid", "left_semi")
+    few = few.groupBy("gid").agg(F.collect_list(F.struct("n", "bits")).alias("m"))
+    # parity bits of two sets differ in at most as many places as the sets differ in tokens
+    apart = lambda x, y: sum((F.bit_count(F.get(x["bits"], i).bitwiseXOR(F.get(y["bits"], i))) for i in range(8)), F.lit(0))
+    near = lambda x, y: apart(x, y) * (den + num) <= (x["n"] + y["n"]) * (den - num)
+    may = F.exists("m1", lambda x: F.exists("m2", lambda y: near(x, y)))
+    one = lambda i: few.select(F.col("gid").alias(f"g{i}"), F.col("m").alias(f"m{i}"))
+    pairs = pairs.join(one(1), "g1", "left").join(one(2), "g2", "left").filter(F.col("m1").isNull() | F.col("m2").isNull() | may).select("g1", "g2")
+    own = size.filter("c > 1").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
     return pairs.union(own)
 
 
@@ -178,14 +191,15 @@ def contents(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, max_bit
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums, pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "h0", "tokens"])
 
     sets_ = docs.mapInArrow(tokens, "doc_id bigint, h0 bigint, tokens binary")
-    full = sets_.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("h0") == F.col("s0"))).dropDuplicates(["rep", "s0"])
+    few = F.broadcast(wanted) if count <= SMALL_ROWS else wanted
+    full = sets_.join(few, (F.col("doc_id") == F.col("rep")) & (F.col("h0") == F.col("s0")))
     listed = full.groupBy("gid").agg(F.collect_list(F.struct("rep", "mult", "tokens")).alias("m"))
 
     def unite(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                own = sorted(row["m"], key=lambda x: (x["rep"], x["tokens"]))
+                own = sorted({(x["rep"], x["tokens"]): x for x in row["m"]}.values(), key=lambda x: (x["rep"], x["tokens"]))
                 union, matrix = token_matrix([np.frombuffer(x["tokens"], np.uint64) for x in own])
                 values = [[row["gid"]], [[x["rep"] for x in own]], [[x["mult"] for x in own]], [union.tobytes()], [matrix]]
                 kinds = [pa.int64(), *[pa.list_(pa.int64())] * 2, pa.binary(), pa.binary()]
@@ -277,7 +291,12 @@ def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     pairs = materialize(meetings(sets, num, den), "meetings")
     groups = materialize(contents(docs, sets, pairs, k, max_bits), "groups")
     side = lambda i: groups.select(F.col("gid").alias(f"g{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("reps", "mults", "tokens", "matrix")))
-    two = pairs.filter("g1 <> g2").join(side(1), "g1").join(side(2), "g2").drop("g1", "g2")
+    # of two groups the one that takes less room goes to the other
+    weight = groups.select(F.col("gid").alias("w"), (F.octet_length("tokens") + F.octet_length("matrix")).alias("room"))
+    both = pairs.filter("g1 <> g2").join(weight.select(F.col("w").alias("g1"), F.col("room").alias("r1")), "g1").join(weight.select(F.col("w").alias("g2"), F.col("room").alias("r2")), "g2")
+    light = F.col("r1") <= F.col("r2")
+    both = both.select(F.when(light, F.col("g1")).otherwise(F.col("g2")).alias("g1"), F.when(light, F.col("g2")).otherwise(F.col("g1")).alias("g2"))
+    two = both.join(side(1), "g1").join(side(2), "g2").drop("g1", "g2")
     one = pairs.filter("g1 = g2").select("g1").join(side(1), "g1").drop("g1")
     one = one.withColumns({c: F.lit(None).cast(t) for c, t in side(2).dtypes if c != "g2"})
 
