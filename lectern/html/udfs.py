@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = (
     "kind string, text string, url string, uri string, alt string, language string, depth int, display boolean, space_after boolean, link_start int, "
@@ -17,7 +18,7 @@ _FIELDS = ["kind", "text", "url", "uri", "alt", "language", "depth", "display",
 PROFILE = ("text_chars", "images", "figures", "captions", "definitions", "tables", "table_cells", "spanning_cells", "lists", "links", "code_blocks", "math_nodes")
 
 
-@F.pandas_udf("title string, content string, base_href string, scope string")
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("title", "content", "base_href", "scope")]))
 def snapshot(pages: pd.Series) -> pd.DataFrame:
     from lectern.html.snapshot import prepare
 
@@ -25,7 +26,7 @@ def snapshot(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(s.title, s.content, s.base_href, s.scope) if s else (None,) * 4 for s in found], columns=["title", "content", "base_href", "scope"])
 
 
-@F.pandas_udf(", ".join(f"{c} long" for c in PROFILE))
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in PROFILE]))
 def profile(pages: pd.Series) -> pd.DataFrame:
     from lectern.html.snapshot import profile as count
 
@@ -36,14 +37,14 @@ def decode(text: Column) -> Column:
     return _decode(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _decode(values: pd.Series) -> pd.Series:
     from lectern.html.dom import decode_entities
 
     return values.map(lambda v: None if v is None else decode_entities(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def text_without_surroundings(pages: pd.Series) -> pd.Series:
     from lectern.html.dom import one_line, parse_fragment
     from lectern.html.snapshot import strip_ignored

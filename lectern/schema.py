@@ -79,7 +79,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 def violations(df: DataFrame, table: str) -> DataFrame:
     """Rows with a value outside its vocabulary, and which column it is."""
-    wrong = [F.when(~F.col(c).isin(words), F.lit(c)) for (t, c), words in VOCABULARY.items() if t == table]
+    wrong = [F.when(~F.col(c).isin(words), F.lit(c)) for (t, c), words in VOCABULARY.items() if t == table and c in df.columns]
     if not wrong:
         return df.withColumn("column", F.lit(None).cast("string")).limit(0)
     return df.withColumn("column", F.coalesce(*wrong)).filter("column is not null")

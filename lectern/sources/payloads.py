@@ -142,7 +142,8 @@ def parse_feeds(payloads: DataFrame) -> DataFrame:
                     rows += [{"feed_id": feed, "feed_title": title, "seq": i, **e} for i, e in enumerate(entries)] or [{"feed_id": feed, "feed_title": title}]
                 except Exception as e:  # one bad feed never fails the round
                     rows.append({"feed_id": feed, "error": str(e) or type(e).__name__})
-            yield pd.DataFrame(rows, columns=_ENTRY_NAMES).astype({c: "Int64" for c in ("feed_id", "seq", "updated", "published")})
+            out = pd.DataFrame(rows, columns=_ENTRY_NAMES).astype(object)
+            yield out.where(out.map(lambda v: isinstance(v, list) or not pd.isna(v)), None)
 
     rows = payloads if "error" in payloads.columns else payloads.withColumn("error", F.lit(None).cast("string"))
     return rows.select("feed_id", "payload", "error").mapInPandas(run, ENTRY)
