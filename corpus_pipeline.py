@@ -15,6 +15,8 @@ from lectern.llm.common import materialize, read_table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Near duplicates: words a shingle, and the least similarity num / den.
+NEAR = {"k": 5, "num": 80, "den": 100}
 
 
 def _without(docs: DataFrame, rows: DataFrame, on) -> DataFrame:
@@ -30,8 +32,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, that of the smallest id; documents without id stay."""
-    classes = materialize(jaccard.similarity_join(docs).select("doc_id", "component_id").filter("doc_id is not null"), "classes")
+    """One document of each group of linked documents stays, that of the smallest id; documents without id stay.
+
+    Documents link at NEAR: five words a shingle and a similarity of 0.8 (op10's contract is stricter)."""
+    classes = materialize(jaccard.similarity_join(docs, **NEAR).select("doc_id", "component_id").filter("doc_id is not null"), "classes")
     gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
     kept = _without(docs, gone, F.col("doc_id") == F.col("gone"))
     again = classes.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice"))

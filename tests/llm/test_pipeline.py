@@ -1,6 +1,6 @@
 """The corpus pipeline stage by stage, and the registered queries of the subpackage."""
 
-from helpers import documents
+from helpers import SPACE, classes, documents, low
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -46,6 +46,21 @@ def test_stages_survive_odd_rows(spark):
             assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "2", "3", "5", "None", "None"]
 
 
+def test_near_duplicates_at_five_words_and_four_fifths(spark):
+    word = lambda i, j: f"w{i}x{j}"
+    rows = [(i, " ".join(word(i, j) for j in range(52))) for i in range(4)]
+    # one word of 52 changed in the middle: 43 of 53 shingles of five words are shared, 47 of 53 of three
+    rows += [(10 + i, t.replace(word(i, 25), "other")) for i, t in rows[:2]] + [(20, rows[2][1].replace(word(2, 20), "x").replace(word(2, 40), "y")), (21, rows[3][1])]
+    sets = {}
+    for i, t in rows:
+        w = SPACE.findall(low(t))
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = set(classes(list(sets), links).values())
+    assert want == {0, 1, 2, 3, 20}
+    assert {r["doc_id"] for r in pipeline.near_duplicate_stage(spark, documents(spark, rows, extra=False), DATA).collect()} == want
+
+
 def test_registered_queries():
     names = list(entry.queries())
     assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
