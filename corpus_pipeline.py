@@ -47,9 +47,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window word for word go."""
-    found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"), slop=0)
-    hit = materialize(found.filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key")), "contaminated").distinct()
+    """Documents that hold a benchmark window word for word go, and those that hold a window of ten words with at least
+    eight in their places (shorter items match word for word only)."""
+    found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    hit = materialize(found.filter("n_hit > 0 or size(near_items) > 0").select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key")), "contaminated").distinct()
     return _without(docs, hit, (F.xxhash64("text") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))).select(*COLUMNS)
 
 

@@ -1,6 +1,6 @@
 """The corpus pipeline stage by stage, and the registered queries of the subpackage."""
 
-from helpers import SPACE, classes, documents, low
+from helpers import ALNUM, SPACE, classes, documents, low
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -61,6 +61,15 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark):
     assert {r["doc_id"] for r in pipeline.near_duplicate_stage(spark, documents(spark, rows, extra=False), DATA).collect()} == want
 
 
+def test_decontamination_takes_near_matches(spark):
+    item = next(r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").collect() if len(ALNUM.findall(low(r["text"]))) >= 15)
+    words = ALNUM.findall(low(item))[:15]
+    # every window of ten words holds the eighth
+    near, far = [*words[:7], "qqq", *words[8:]], [w if j % 3 else "qqq" for j, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "nothing of it")]
+    assert {r["doc_id"] for r in pipeline.decontamination_stage(spark, documents(spark, rows, extra=False), DATA).collect()} == {3, 4}
+
+
 def test_registered_queries():
     names = list(entry.queries())
     assert "pipeline" in names and [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
