@@ -154,6 +154,20 @@ def test_tagger_gradients():
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-5
 
 
+def test_tagger_reads_whole_addresses():
+    found = ["jane.doe [at] universitydept [dot] edu", "bob [at] somewords [dot] example [dot] com", "firstname.secondname.lastname [at] mail [dot] org"]
+    for address in found:
+        text = f"please write to {address} now"
+        assert pii.find([text], pii.trained())[1] == [[("email", 16, 16 + len(address))]], address
+    others = ["name at example dot com", f"{'long.' * 20}name (at) {'department' * 9} (dot) edu", f"4111{' ' * 50}1111{' ' * 50}1111{' ' * 50}1111", f"10{' ' * 50}.{' ' * 50}0.0.1"]
+    for span, kind in zip([*found, *others], ["email"] * 5 + ["card", "ip"], strict=True):
+        text = f"{'word ' * 30}{span}{' word' * 30}"
+        start = text.index(span)
+        assert pii.plausible(kind, span), span
+        assert any(lo <= start and start + len(span) <= hi for _, lo, hi in pii.regions(text, 0)), span
+    assert pii.regions("no span here " * 50, 0) == []
+
+
 def test_tagger_on_unseen_spellings():
     model = pii.trained()
     examples = pii.labelled_examples(300, seed=77)
