@@ -1,20 +1,24 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
-
-Terms are words and their prefixes of PREFIXES bytes, which catch the forms of one stem. The vocabulary is chosen from labelled texts by a chi-square test; an example or a document is its TF-IDF vector over
-that vocabulary and one background term for all words, of length 1. The index keeps examples in blocks with each term's largest weight in each block, so that a
-query opens blocks by falling bounds and stops when no unopened block can reach its k-th best: the neighbours are exact.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all terms of the examples, distance-weighted votes.
+
+Terms are words and their prefixes of PREFIXES bytes, which catch the forms of one stem. Every term of every example counts,
+with its frequency over all documents and a weight that grows with its class evidence (a chi-square test) from FLOOR to 1;
+an example or a document is its vector over these terms and one background term for all words, of length 1. The heaviest
+and the rare terms give each example's share of the cosine at once, the lengths of the other parts bound what these can
+add: examples are opened by falling bounds until no unopened one can reach the k-th best, so the neighbours are exact (examples' weights are kept
+in single precision).
 Votes weighted by similarity are calibrated by isotonic regression on leave-one-out votes of the examples.
 
-Of near copies among the examples one is kept, so that a copied text does not pass for many witnesses.
+Of near copies among the examples (eight tenths of their word triples, compared exactly) one is kept, so that a copied text does not pass for many witnesses.
 The fit uses at most `max_rows` labelled rows (a documented bound, chosen by a hash of the id), which bounds the index.
-Scoring is narrow: one pass over whole texts, no shuffle.
-Defined results: texts without a term of the vocabulary (null and empty texts too) get the calibrated rate of such
+Scoring is narrow: whole texts, no shuffle; document frequencies take one pass more.
+Defined results: texts without a term of any example (null and empty texts too) get the calibrated rate of such
 examples and no evidence; ties go to the example with the smallest id; without labels of both kinds every score is the
 base rate (0 without any label); repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,9 +28,12 @@ from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
 from lectern.llm.common import bound_batches, fold, labelled_sample, materialize, slices
+from lectern.llm.jaccard import fold_vector, similarity_join
 
 SLICE = 4 << 20
 PREFIXES = (5, 7)
+#: Weight of a term without class evidence, beside 1 for one of clear evidence.
+FLOOR = 0.01
 EVIDENCE = "evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 
 
@@ -54,7 +61,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class NearestModel:
-    """Examples as an inverted index in blocks, and the calibration of their votes."""
+    """Examples by heavy and other terms, and the calibration of their votes."""
 
     terms: np.ndarray
     idf: np.ndarray
@@ -67,8 +74,22 @@ class NearestModel:
     background: float = 1.0
     knots: np.ndarray = field(default_factory=lambda: np.zeros(0))
     values: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    largest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = field(default_factory=list)
+    heavy: int = 256
+    #: Row of a heavy term (or the background) in `dense`, -1 for others.
+    row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    #: Examples that hold a term of few (at most n / `spread`) examples, where each term's begin, and their weights.
+    spread: int = 50
+    posted: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    begin: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    posted_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Numbers of the other terms, these in all examples, where each example's begin, their weights, and the length of these parts.
+    common: int = 0
+    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    rest: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    length: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def vectors(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(terms, weights) of each text."""
@@ -93,41 +114,70 @@ class NearestModel:
         return [(term[a:b], weight[a:b]) for a, b in zip(border[:-1], border[1:], strict=True)]
 
     def build(self, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        # alike examples side by side: bounds of blocks are then close to their members
-        order = sorted(range(len(ids)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1][:-1])]), float(vectors[i][1][:-1].max()), int(ids[i])))
+        order = np.argsort(ids, kind="stable")
         self.ids, self.toxic = ids[order], toxic[order]
-        n_blocks = -(-len(order) // self.block)
-        self.largest = np.zeros((len(self.terms) + 1, n_blocks))
-        self.postings = [{} for _ in range(n_blocks)]
-        for b in range(n_blocks):
-            lists: dict[int, list[tuple[int, float]]] = {}
-            for slot, i in enumerate(order[b * self.block : (b + 1) * self.block]):
-                for t, w in zip(*(x.tolist() for x in vectors[i]), strict=True):
-                    lists.setdefault(t, []).append((slot, w))
-            for t, rows in lists.items():
-                self.postings[b][t] = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-                self.largest[t, b] = max(r[1] for r in rows)
+        top = np.r_[np.argsort(-self.idf, kind="stable")[: self.heavy], len(self.terms)]
+        self.row = np.full(len(self.terms) + 1, -1, np.int32)
+        self.row[top] = np.arange(len(top))
+        self.dense = np.zeros((len(top), len(ids)), np.float32)
+        for slot, i in enumerate(order):
+            at = self.row[vectors[i][0]]
+            self.dense[at[at >= 0], slot] = vectors[i][1][at >= 0]
+        term = np.concatenate([vectors[i][0] for i in order]).astype(np.int32)
+        weight = np.concatenate([vectors[i][1] for i in order]).astype(np.float32, copy=False)
+        slot = np.repeat(np.arange(len(ids), dtype=np.int32), [len(vectors[i][0]) for i in order])
+        count = np.bincount(term, minlength=len(self.terms) + 1)
+        few, other = self.row[term] < 0, count[term] * self.spread > len(ids)
+        by = np.flatnonzero(few & ~other)
+        by = by[np.argsort(term[by], kind="stable")]
+        self.posted, self.posted_weight = slot[by].astype(np.min_scalar_type(len(ids))), weight[by]
+        self.begin = np.searchsorted(term[by], np.arange(len(self.terms) + 2))
+        by = np.flatnonzero(few & other)
+        common = np.unique(term[by])
+        self.place = np.full(len(self.terms) + 1, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self.common = len(common)
+        self.rest, self.weight = self.place[term[by]].astype(np.min_scalar_type(len(common))), weight[by]
+        self.first = np.searchsorted(slot[by], np.arange(len(ids) + 1))
+        self.length = np.sqrt(np.bincount(slot[by], self.weight.astype(float) ** 2, len(ids)))
+
+    @staticmethod
+    def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Places first[i] to first[i] + size[i] - 1 of all i, one run after the other."""
+        return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Examples of the k largest cosines, and these; skip: an example left out."""
-        bound = weights @ self.largest[terms]
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best_s) == self.k and bound[b] < best_s[-1] - 1e-12):
-                break
-            total = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if t in self.postings[b]:
-                    slots, own = self.postings[b][t]
-                    total[slots] += w * own
-            slots = np.flatnonzero(total > 0)
-            i = slots + b * self.block
-            if skip is not None:
-                keep = i != skip
-                slots, i = slots[keep], i[keep]
-            i, s = np.r_[best_i, i], np.r_[best_s, total[slots]]
+        at = self.row[terms]
+        share = weights[at >= 0] @ self.dense[at[at >= 0]]
+        terms, weights = terms[at < 0], weights[at < 0]
+        size = self.begin[terms + 1] - self.begin[terms]
+        spot = self._runs(self.begin[terms], size)
+        share = share + np.bincount(self.posted[spot], np.repeat(weights, size) * self.posted_weight[spot], len(self.ids))
+        place = self.place[terms]
+        query = np.zeros(self.common)
+        query[place[place >= 0]] = own = weights[place >= 0]
+        bound = share + float(np.sqrt(own @ own)) * self.length
+        if skip is not None:
+            bound[skip] = 0
+        left, step = np.flatnonzero(bound > 0), self.block
+        while len(left):
+            if len(left) > step:
+                cut = np.argpartition(-bound[left], step)
+                i, left = left[cut[:step]], left[cut[step:]]
+            else:
+                i, left = left, left[:0]
+            size = self.first[i + 1] - self.first[i]
+            spot = self._runs(self.first[i], size)
+            s = share[i] + np.bincount(np.repeat(np.arange(len(i)), size), query[self.rest[spot]] * self.weight[spot], len(i))
+            i, s = np.r_[best_i, i[s > 0]], np.r_[best_s, s[s > 0]]
             pick = np.lexsort((self.ids[i], -s))[: self.k]
             best_i, best_s = i[pick], s[pick]
+            if len(best_s) == self.k:
+                # rounding may set a bound just under what it bounds
+                left = left[bound[left] >= best_s[-1] - 1e-6]
+            step *= 2
         return best_i, best_s
 
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
@@ -141,9 +191,9 @@ class NearestModel:
         return np.interp(votes, self.knots, self.values)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, max_rows: int = 12_000, max_terms: int = 2048, significance: float = 3.5) -> NearestModel:
-    """Fit on at most max_rows labelled documents outside the held-out fold; terms need a chi-square of
-    significance * log2(rows), which allows for the number of terms tried."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, max_rows: int = 12_000, significance: float = 3.5) -> NearestModel:
+    """Fit on at most max_rows labelled documents outside the held-out fold; a term's evidence is clear from a chi-square
+    of significance * log2(rows) on, which allows for the number of terms tried, and falls off steeply below."""
     sample = labelled_sample(labels, label, modulus, held, max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
     texts = _alone(texts)
@@ -165,48 +215,68 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     model.bare = model.rate
     if not pos or not neg:
         return model
-    df = texts.mapInArrow(counts, "term bigint, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    n = pos + neg
-    both = F.col("n1") + F.col("n0")
-    chi = n * F.pow(F.col("n1") * neg - F.col("n0") * pos, 2) / (both * (n - both) * pos * neg)
-    rows = df.filter((both >= 3) & (both < n)).withColumn("chi", chi).filter(F.col("chi") >= significance * float(np.log2(n))).orderBy(F.desc("chi"), "term").limit(max_terms).collect()
-    table = sorted((np.int64(r["term"]).astype(np.uint64), r["n1"] + r["n0"]) for r in rows)
-    model.terms = np.array([t for t, _ in table], np.uint64)
-    model.idf = np.log1p(n / np.array([d for _, d in table], float))
+    df = texts.mapInArrow(counts, "term bigint, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toArrow()
+    if not df.num_rows:
+        model.bare = model.rate
+        return model
+    terms = df.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    n1, n0 = (df.column(c).to_numpy()[order].astype(float) for c in ("n1", "n0"))
+    n, both = pos + neg, n1 + n0
+    chi = n * (n1 * neg - n0 * pos) ** 2 / (both * np.maximum(n - both, 1) * pos * neg)
+    evidence = np.minimum(1.0, chi / (significance * float(np.log2(n)))) ** 4
+    evidence[both < 3] = 0
+    total, seen = _frequencies(docs, terms[order])
+    model.terms = terms[order]
+    model.idf = np.log1p(total / np.maximum(seen, both)) * (FLOOR + (1 - FLOOR) * evidence)
+
+    del df, terms, order, n1, n0, both, chi, evidence, seen
 
     def examples(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 own = model.vectors(*_terms(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([t.tolist() for t, _ in own], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in own], pa.list_(pa.float64()))], names=["doc_id", "y", "terms", "weights"])
-
-    found = sorted(tuple(r) for r in texts.mapInArrow(examples, "doc_id bigint, y int, terms array<bigint>, weights array<double>").collect())
-    bare = [y for _, y, t, _ in found if not t]
-    model.bare = (sum(bare) + model.rate) / (len(bare) + 1)
-    full = [(i, y, np.array(t, np.int64), np.array(w)) for i, y, t, w in found if t]
-    if full:
-        model.build(np.array([x[0] for x in full]), np.array([float(x[1]) for x in full]), [(x[2], x[3]) for x in full])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array([x[k].astype(t).tobytes() for x in own], pa.binary()) for k, t in ((0, np.int32), (1, np.float32)))], names=["doc_id", "y", "terms", "weights"])
+
+    found = texts.mapInArrow(examples, "doc_id bigint, y int, terms binary, weights binary").toArrow()
+    ids, y = found.column("doc_id").to_numpy(), found.column("y").to_numpy().astype(float)
+    own = [tuple(np.frombuffer(v.as_buffer(), t) for v, t in ((a, np.int32), (b, np.float32))) for a, b in zip(found.column("terms"), found.column("weights"), strict=True)]
+    some = np.array([len(t) > 0 for t, _ in own], bool)
+    model.bare = (float(y[~some].sum()) + model.rate) / (int((~some).sum()) + 1)
+    if some.any():
+        twice = Counter(ids.tolist())
+        order = sorted(np.flatnonzero(some).tolist(), key=lambda i: (ids[i], y[i], own[i][0].tobytes() if twice[ids[i]] > 1 else b""))
+        ids, y, own = ids[order], y[order], [own[i] for i in order]
+        model.build(ids, y, own)
         slot = {int(i): k for k, i in enumerate(model.ids)}
-        votes = np.array([model.vote(*model.nearest(t, w, slot[i])) for i, _, t, w in full])
-        knots, values = isotonic(votes, np.array([float(x[1]) for x in full]))
+        votes = np.array([model.vote(*model.nearest(t, w.astype(float), slot[int(i)])) for i, (t, w) in zip(ids, own, strict=True)])
+        knots, values = isotonic(votes, y)
         model.knots, model.values = np.r_[knots, 1.0], np.r_[values, values[-1]]
     return model
 
 
-def _alone(texts: DataFrame) -> DataFrame:
-    """Labelled texts without near copies: of those that share a minhash of word triples, the smallest id stays."""
+def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """Documents, and how many of them hold each of the sorted terms."""
+    size = -(-(len(terms) + 1) // 16) * 16
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                hashes, first = tc.tokenize(part.column("text"), tc.ALNUM)
-                sets = [tc.shingle_set(hashes[a:b], 3) for a, b in zip(first[:-1], first[1:], strict=True)]
-                low = [[int(tc.mix(x ^ salt).min().astype(np.int64)) if len(x) else 0 for x in sets] for salt in (np.uint64(1), np.uint64(2))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in low)], names=["doc_id", "m0", "m1"])
-
-    keys = texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, m0 bigint, m1 bigint")
-    keys = keys.groupBy("m0").agg(F.min(F.struct("doc_id", "m1")).alias("k")).groupBy("k.m1").agg(F.min("k.doc_id").alias("doc_id"))
-    return materialize(texts.join(keys.select("doc_id"), "doc_id", "left_semi"), "examples")
+    def add(total: np.ndarray, batch) -> None:
+        for part in slices(batch, "text", SLICE):
+            hashes, first = _terms(part.column("text"))
+            at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+            hit = np.flatnonzero(terms[at] == hashes)
+            key = np.unique((np.searchsorted(first, hit, "right") - 1) * len(terms) + at[hit])
+            total[: len(terms)] += np.bincount(key % len(terms), minlength=len(terms))
+            total[len(terms)] += part.num_rows
+
+    found = fold_vector(docs.select(F.col("text").cast("string").alias("text")), add, size, "int64", "add")
+    return int(found[len(terms)]), found[: len(terms)].astype(float)
+
+
+def _alone(texts: DataFrame) -> DataFrame:
+    """Labelled texts without near copies: of those that share eight tenths of their word triples, the smallest id stays."""
+    texts = materialize(texts, "labelled")
+    gone = similarity_join(texts, k=3, num=80, den=100).filter("doc_id <> component_id").select("doc_id").distinct()
+    return materialize(texts.join(gone, "doc_id", "left_anti"), "examples")
 
 
 def score(docs: DataFrame, model: NearestModel, modulus: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:

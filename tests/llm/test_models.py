@@ -88,6 +88,46 @@ def test_nearest_examples_are_exact():
         assert np.allclose(s, [-w for w, _ in want]) and [int(model.ids[j]) for j in i] == [k for _, k in want]
 
 
+@pytest.mark.parametrize(("heavy", "spread"), [(4, 1), (4, 5), (0, 1000), (40, 50)])
+def test_nearest_examples_are_exact_by_bounds(heavy, spread):
+    rng = np.random.default_rng(8)
+    terms = np.sort(rng.integers(1, 1 << 60, 60).astype(np.uint64))
+    model = toxicity.NearestModel(terms, rng.uniform(0.5, 3, 60), block=4, k=5, rate=0.3, heavy=heavy, spread=spread)
+    def vector():
+        t = np.sort(np.unique(np.minimum(rng.geometric(0.06, 12) - 1, 59)))
+        w = np.r_[rng.uniform(0.1, 2, len(t)), 0.7]
+        return np.r_[t, 60], w / np.linalg.norm(w)
+
+    examples = [vector() for _ in range(200)]
+    ids = rng.permutation(200)
+    model.build(ids, (ids % 3 == 0).astype(float), examples)
+    dense = lambda v: np.bincount(v[0], v[1], 61)
+    matrix = {int(i): dense(v) for i, v in zip(ids, examples, strict=True)}
+    for n in range(60):
+        q, skip = vector(), n if n % 2 else None
+        i, s = model.nearest(*q, skip)
+        want = sorted((-float(m @ dense(q)), k) for k, m in matrix.items() if skip is None or k != int(model.ids[skip]))[:5]
+        assert np.allclose(s, [-w for w, _ in want]) and [int(model.ids[j]) for j in i] == [k for _, k in want]
+
+
+def test_toxicity_searches_all_terms(spark):
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 30))
+    docs = [(i, text() + (" bad awful" if i % 4 == 0 else "")) for i in range(120)]
+    # neither holds a term of clear evidence: the first is a copy of a toxic example of words of its own, the second of another
+    given = [i for i in range(120) if fold(i, 3) != 1][:2]
+    docs = [(i, f"quite unseen words number {i} stand only here {text()}" if i in given else t) for i, t in docs] + [(900 + k, None) for k in range(2)]
+    docs += [(1000 + k, docs[i][1]) for k, i in enumerate(given)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0 or i in given)) for i in range(120)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(documents(spark, docs), labels)
+    assert set(model.ids.tolist()) == {i for i in range(120) if fold(i, 3) != 1}
+    got = {r["doc_id"]: r for r in toxicity.score(documents(spark, docs), model).collect()}
+    for k, i in enumerate(given):
+        best = got[1000 + k]["evidence"][0]
+        assert best["doc_id"] == i and best["toxic"] == 1 and best["similarity"] == pytest.approx(1)
+    assert all(r["evidence"] for r in got.values() if r["doc_id"] < 900 or r["doc_id"] >= 1000) and not got[900]["evidence"]
+
+
 def test_toxicity_corner_cases(spark):
     docs = documents(spark, [(i, ("bad awful" if i % 2 else "fine nice") + f" word{i % 5}") for i in range(80)] + [(900, None), (901, ""), (3, "bad awful word3"), (None, "bad")])
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(80)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
