@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bound_batches
+from lectern.llm.common import bound_batches, lean
 from lectern.llm.textcore import buffers
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -105,7 +105,7 @@ def format_chat(conversations: DataFrame, part_bytes: int = PART_BYTES) -> DataF
                 yield from state.add(batch.slice(lo, 1024))
         yield from state.close()
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)
 
 
 class _Writer:
@@ -199,7 +199,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         if live:
             yield _digest_batch([(conv, state)])
 
-    return formatted.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return formatted.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(lean(run), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def _digest_batch(done: list[tuple]) -> pa.RecordBatch:

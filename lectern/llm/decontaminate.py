@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import bound_batches, slices
+from lectern.llm.common import bound_batches, lean, slices
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 BLOCK_BYTES = 16 << 20
 SEGMENT = "doc_id array<bigint>, row_key array<bigint>, doc_end binary, terms binary, term_end binary, positions binary"
 MATCH = "doc_id bigint, row_key bigint, n_words bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, items array<bigint>, near_items array<bigint>"
@@ -50,7 +50,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray | None = None, segment_b
                 yield _segment(part, vocabulary)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(segments, SEGMENT)
+    return rows.mapInArrow(lean(segments), SEGMENT)
 
 
 def _segment(part: pa.RecordBatch, vocabulary: np.ndarray | None) -> pa.RecordBatch:
@@ -135,7 +135,7 @@ def search(index: DataFrame, items: list[tuple[int, str]], window: int = 10, slo
             for row in batch.to_pylist():
                 yield _search_segment(row, grams, lengths, owners, slop)
 
-    return index.mapInArrow(run, MATCH)
+    return index.mapInArrow(lean(run), MATCH)
 
 
 def _search_segment(row: dict, grams, lengths, owners, slop) -> pa.RecordBatch:

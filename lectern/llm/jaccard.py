@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import bound_batches, materialize, slices
+from lectern.llm.common import bound_batches, lean, materialize, slices
 from lectern.llm.graph import components
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 SKETCH = 1 << 20
 _CHUNKS = 16
 #: Rows of a few numbers that are broadcast at most (about 40 bytes each).
@@ -59,7 +59,7 @@ def fold_vector(df: DataFrame, add, size: int, dtype: str, join: str) -> np.ndar
 
     schema = "chunk int, data binary"
     bound_batches(df.sparkSession)
-    rows = df.mapInArrow(partial, schema).repartition(_CHUNKS, "chunk").mapInArrow(merge, schema).collect()
+    rows = df.mapInArrow(lean(partial), schema).repartition(_CHUNKS, "chunk").mapInArrow(lean(merge), schema).collect()
     out = np.zeros(size, dtype)
     for row in rows:
         part = np.frombuffer(pa.decompress(bytes(row["data"]), step * np.dtype(dtype).itemsize, "zstd", asbytes=True), dtype)
@@ -118,7 +118,7 @@ def profiles(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())] * 2
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["doc_id", "n", "s0", "s1", "m0", "m1", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, s0 bigint, s1 bigint, m0 bigint, m1 bigint, prefix array<bigint>, bits array<bigint>")
+    return docs.mapInArrow(lean(run), "doc_id bigint, n bigint, s0 bigint, s1 bigint, m0 bigint, m1 bigint, prefix array<bigint>, bits array<bigint>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def contents(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, max_bit
                         sums.append(int(tc.mix(s ^ _SALT[0]).sum().astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sums, pa.int64()), pa.array(own, pa.binary())], names=["doc_id", "h0", "tokens"])
 
-    sets_ = docs.mapInArrow(tokens, "doc_id bigint, h0 bigint, tokens binary")
+    sets_ = docs.mapInArrow(lean(tokens), "doc_id bigint, h0 bigint, tokens binary")
     few = F.broadcast(wanted) if count <= SMALL_ROWS else wanted
     full = sets_.join(few, (F.col("doc_id") == F.col("rep")) & (F.col("h0") == F.col("s0")))
     listed = full.groupBy("gid").agg(F.collect_list(F.struct("rep", "mult", "tokens")).alias("m"))
@@ -205,7 +205,7 @@ def contents(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, max_bit
                 kinds = [pa.int64(), *[pa.list_(pa.int64())] * 2, pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["gid", "reps", "mults", "tokens", "matrix"])
 
-    return listed.mapInArrow(unite, "gid bigint, reps array<bigint>, mults array<bigint>, tokens binary, matrix binary")
+    return listed.mapInArrow(lean(unite), "gid bigint, reps array<bigint>, mults array<bigint>, tokens binary, matrix binary")
 
 
 def token_matrix(sets: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
@@ -307,7 +307,7 @@ def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
                 cols = ([a for a, _ in edges] + [n for n, _ in counts], [b for _, b in edges] + [None] * len(counts), [0] * len(edges) + [c for _, c in counts])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "links"])
 
-    found = materialize(two.unionByName(one).mapInArrow(opened, "a bigint, b bigint, links bigint"), "links")
+    found = materialize(two.unionByName(one).mapInArrow(lean(opened), "a bigint, b bigint, links bigint"), "links")
     classes = components(found.filter("b is not null").select("a", "b"))
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     reps = sets.select("n", "s0", "s1", "rep", "mult").join(classes, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")

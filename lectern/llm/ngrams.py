@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import bound_batches, fold, materialize, size_of, slices
+from lectern.llm.common import bound_batches, fold, lean, materialize, size_of, slices
 
 BLOCK_BYTES = 6 << 20
 RANGE_TOKENS = 3_000_000
@@ -65,7 +65,7 @@ def pack(docs: DataFrame, modulus: int, tune: int, block_bytes: int) -> DataFram
                         number += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold(F.col("doc_id"), modulus).cast("int").alias("fold"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "block bigint, tune boolean, data binary")
+    return rows.mapInArrow(lean(run), "block bigint, tune boolean, data binary")
 
 
 class _Block:
@@ -112,7 +112,7 @@ def requests(packed: DataFrame, held: int, bits: int) -> DataFrame:
                 cols = zip(*rows, strict=True) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "part", "block", "n", "keys", "counts"])
 
-    return packed.mapInArrow(run, "kind int, part int, block bigint, n int, keys binary, counts binary")
+    return packed.mapInArrow(lean(run), "kind int, part int, block bigint, n int, keys binary, counts binary")
 
 
 def answer(table: pa.Table) -> pa.Table:
@@ -203,7 +203,7 @@ def score(docs: DataFrame, modulus: int = 5, held: int = 1, tune: int = 2, block
                 keys, times = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["key", "times"])
 
-    tuned = _counted(packed.filter("tune"), answers).mapInArrow(histogram, "key bigint, times bigint")
+    tuned = _counted(packed.filter("tune"), answers).mapInArrow(lean(histogram), "key bigint, times bigint")
     weights = learn([(r["key"], r["times"]) for r in tuned.groupBy("key").agg(F.sum("times").alias("times")).collect()], v)
 
     def run(batches):
@@ -219,4 +219,4 @@ def score(docs: DataFrame, modulus: int = 5, held: int = 1, tune: int = 2, block
                 cols = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return _counted(packed, answers).mapInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return _counted(packed, answers).mapInArrow(lean(run), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import bound_batches, fold, labelled_sample, slices
+from lectern.llm.common import bound_batches, fold, labelled_sample, lean, slices
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 CLASSES = ("upper", "lower", "digit", "space", "newline", "stop", "mark", "symbol", "high")
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digit", "newline", "stop", "mark", "symbol", "high",
@@ -40,6 +40,15 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 
 
+def _per_text(values: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """Sums of values between neighbouring borders."""
+    some = np.flatnonzero(border[1:] > border[:-1])
+    out = np.zeros(len(border) - 1, np.int64)
+    if len(some):
+        out[some] = np.add.reduceat(values, border[some], dtype=np.int32)
+    return out
+
+
 def features(column: pa.Array) -> np.ndarray:
     """One row of FEATURES for each text."""
     hashes, first, starts, ends, data, offsets = tc.tokenize(column, tc.SPACE, places=True)
@@ -49,13 +58,13 @@ def features(column: pa.Array) -> np.ndarray:
     code = _CLASS[data]
     counts = np.zeros((n, len(CLASSES)))
     for c in range(len(CLASSES)):
-        total = np.r_[0, np.cumsum(code == c, dtype=np.int64)]
-        counts[:, c] = total[offsets[1:]] - total[offsets[:-1]]
+        counts[:, c] = _per_text(code == c, offsets)
     size = np.maximum(np.diff(offsets), 1)
     words = np.diff(first)
     share = counts / size[:, None]
     length = ends - starts
-    upper = np.r_[0, np.cumsum(code == CLASSES.index("upper"), dtype=np.int64)]
+    upper = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(code == CLASSES.index("upper"), dtype=np.int32, out=upper[1:])
     flags = [length >= 12, length <= 2, (upper[ends] - upper[starts]) >= 2]
     per_word = np.maximum(words, 1)
     out[:, 0], out[:, 1], out[:, 2] = np.log1p(np.diff(offsets)), np.log1p(words), (np.add.reduce(counts, axis=1) - counts[:, 3] - counts[:, 4]) / per_word
@@ -63,8 +72,7 @@ def features(column: pa.Array) -> np.ndarray:
         out[:, 3 + i] = share[:, CLASSES.index(name)]
     out[:, 14] = words / np.maximum(np.diff(line_first), 1)
     for i, flag in enumerate(flags):
-        total = np.r_[0, np.cumsum(flag, dtype=np.int64)]
-        out[:, 15 + i] = (total[first[1:]] - total[first[:-1]]) / per_word
+        out[:, 15 + i] = _per_text(flag, first) / per_word
     for d in range(n):
         own = hashes[first[d] : first[d + 1]]
         if not len(own):
@@ -193,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
-    table = texts.select("doc_id", "y", "text").mapInArrow(rows, "doc_id bigint, y int, x array<double>").toPandas()
+    table = texts.select("doc_id", "y", "text").mapInArrow(lean(rows), "doc_id bigint, y int, x array<double>").toPandas()
     if not len(table):
         return AdditiveModel(0.0)
     x = np.stack(table["x"].to_list())
@@ -215,5 +223,5 @@ def score(docs: DataFrame, model: AdditiveModel, modulus: int = 5, held: int = 0
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(s), *others], names=["doc_id", "held_out", "score", *(f"kept_{c}" for c in keep)])
 
     types = dict(rows.dtypes)
-    scored = rows.mapInArrow(run, ", ".join(["doc_id bigint, held_out boolean, score double", *(f"`kept_{c}` {types[f'kept_{c}']}" for c in keep)]))
+    scored = rows.mapInArrow(lean(run), ", ".join(["doc_id bigint, held_out boolean, score double", *(f"`kept_{c}` {types[f'kept_{c}']}" for c in keep)]))
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"kept_{c}").alias(c) for c in keep))

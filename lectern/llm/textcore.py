@@ -12,7 +12,7 @@ import pyarrow as pa
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _VALUES = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-CHUNK = 1 << 19
+CHUNK = 1 << 16
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:

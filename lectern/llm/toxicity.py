@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import bound_batches, fold, labelled_sample, materialize, slices
+from lectern.llm.common import bound_batches, fold, labelled_sample, lean, materialize, slices
 from lectern.llm.jaccard import fold_vector, similarity_join
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 PREFIXES = (5, 7)
 #: Weight of a term without class evidence, beside 1 for one of clear evidence.
 FLOOR = 0.01
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     model.bare = model.rate
     if not pos or not neg:
         return model
-    df = texts.mapInArrow(counts, "term bigint, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toArrow()
+    df = texts.mapInArrow(lean(counts), "term bigint, n1 bigint, n0 bigint").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).toArrow()
     if not df.num_rows:
         model.bare = model.rate
         return model
@@ -238,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
                 own = model.vectors(*_terms(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array([x[k].astype(t).tobytes() for x in own], pa.binary()) for k, t in ((0, np.int32), (1, np.float32)))], names=["doc_id", "y", "terms", "weights"])
 
-    found = texts.mapInArrow(examples, "doc_id bigint, y int, terms binary, weights binary").toArrow()
+    found = texts.mapInArrow(lean(examples), "doc_id bigint, y int, terms binary, weights binary").toArrow()
     ids, y = found.column("doc_id").to_numpy(), found.column("y").to_numpy().astype(float)
     own = [tuple(np.frombuffer(v.as_buffer(), t) for v, t in ((a, np.int32), (b, np.float32))) for a, b in zip(found.column("terms"), found.column("weights"), strict=True)]
     some = np.array([len(t) > 0 for t, _ in own], bool)
@@ -296,5 +296,5 @@ def score(docs: DataFrame, model: NearestModel, modulus: int = 3, held: int = 1,
                         evidence[n] = [{"doc_id": int(model.ids[j]), "similarity": float(x), "toxic": int(model.toxic[j])} for j, x in zip(i[:5], s[:5], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "evidence"])
 
-    scored = rows.mapInArrow(run, f"doc_id bigint, held_out boolean, score double, {EVIDENCE}")
+    scored = rows.mapInArrow(lean(run), f"doc_id bigint, held_out boolean, score double, {EVIDENCE}")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")

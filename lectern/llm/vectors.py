@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize
+from lectern.llm.common import lean, materialize
 from lectern.llm.graph import components
 from lectern.llm.jaccard import stars
 
@@ -131,7 +131,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 16_
                     out = own.iloc[row].assign(dim=int(dim), cell=np.r_[home, visited], visits=np.arange(len(row)) >= len(own))
                     yield out[["label", "dim", "cell", "rep", "mult", "visits", "x"]]
 
-    placed = materialize(alone.mapInPandas(assign, f"label string, dim int, cell long, rep long, mult long, visits boolean, x array<{kind}>"), "cells")
+    placed = materialize(alone.mapInPandas(lean(assign), f"label string, dim int, cell long, rep long, mult long, visits boolean, x array<{kind}>"), "cells")
     # a cell of more rows than a block takes is dealt out by a hash; every two of its blocks meet once
     wide = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = placed.join(wide, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", "x"), F.col("blocks")).cast("int"))
