@@ -24,14 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import bound_batches, lean, materialize, slices
+from lectern.llm.common import SMALL_ROWS, bound_batches, lean, materialize, slices, small
 from lectern.llm.graph import components
 
 SLICE = 1 << 20
 SKETCH = 1 << 20
 _CHUNKS = 16
-#: Rows of a few numbers that are broadcast at most (about 40 bytes each).
-SMALL_ROWS = 1_000_000
 #: Groups of at most so many members are compared by their members' parity bits before any token moves.
 FEW = 8
 _SALT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
@@ -121,16 +119,11 @@ def profiles(docs: DataFrame, counts: np.ndarray, k: int, num: int, den: int) ->
     return docs.mapInArrow(lean(run), "doc_id bigint, n bigint, s0 bigint, s1 bigint, m0 bigint, m1 bigint, prefix array<bigint>, bits array<bigint>")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df for a broadcast join if it has at most SMALL_ROWS rows, else as it is, for a join by shuffle."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
-
-
 def _groups(sets: DataFrame, members: int, tokens: int) -> DataFrame:
     """Adds gid: sets with equal minhashes, in slots of about `members` sets and `tokens` tokens."""
     slots = F.greatest(F.ceil(F.count(F.lit(1)) / members), F.ceil(F.sum("n") / tokens)).cast("long")
     wide = sets.groupBy("m0", "m1").agg(slots.alias("slots")).filter("slots > 1").select(F.col("m0").alias("w0"), F.col("m1").alias("w1"), "slots")
-    joined = sets.join(_small(wide), (F.col("m0") == F.col("w0")) & (F.col("m1") == F.col("w1")), "left")
+    joined = sets.join(small(wide), (F.col("m0") == F.col("w0")) & (F.col("m1") == F.col("w1")), "left")
     slot = F.pmod(F.xxhash64("rep"), F.coalesce("slots", F.lit(1).cast("long")))
     return joined.withColumn("gid", F.xxhash64("m0", "m1", slot)).drop("w0", "w1", "slots", "m0", "m1")
 
@@ -289,7 +282,7 @@ def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     sets = real.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("mult"), *map(first, ("m0", "m1", "prefix", "bits")))
     sets = materialize(_groups(sets, members, group_tokens), "sets")
     pairs = materialize(meetings(sets, num, den), "meetings")
-    groups = materialize(contents(docs, sets, pairs, k, max_bits), "groups")
+    groups = materialize(contents(docs, sets, pairs, k, max_bits), "groups", blobs=True)
     side = lambda i: groups.select(F.col("gid").alias(f"g{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("reps", "mults", "tokens", "matrix")))
     # of two groups the one that takes less room goes to the other
     weight = groups.select(F.col("gid").alias("w"), (F.octet_length("tokens") + F.octet_length("matrix")).alias("room"))
