@@ -1,17 +1,20 @@
-"""Language-model scoring by deleted interpolation of bigram, unigram and uniform estimates.
+"""Language-model scoring by deleted interpolation of trigram, bigram, unigram and uniform estimates.
 
-P(w | u) = l2(b) c(uw) / c(u) + l1(b) c(w) / N + l0(b) / (V + 1), where b is the bucket of the context's frequency
-(powers of two). The weights of each bucket are learned by expectation-maximisation on held-out counts: a fold of the
-training texts in which each token's own occurrence is deleted from all counts.
+P(w | u v) = l3 c(uvw) / c(uv) + l2 c(vw) / c(v) + l1 c(w) / N + l0 / (V + 1). The weights stand by bucket: powers of two of
+c(uv) where the context was seen, of c(v) elsewhere. They are learned by expectation-maximisation on held-out counts: the
+tokens of one training fold (`tune`) against estimates from the other training folds alone. Scores then use the counts of
+all training folds.
 
 Counting is exact, over all training texts, and grows with them; nothing corpus-sized is broadcast or sent to the driver:
-1. `pack` writes texts as compressed blocks of a few megabytes.
+1. `pack` writes texts as compressed blocks of a few megabytes, those of the tuning fold apart.
 2. Each block sends its distinct n-grams (sorted hashes, delta-coded) and their training counts, cut by hash range.
-3. One task for each range sums counts of equal n-grams and answers every block in the order it asked.
+3. One task for each range sums counts of equal n-grams, with and without the tuning fold, and answers every block in the
+   order it asked.
 4. A block joined with its answers has all counts its texts need; it is scored without further exchange.
-The driver gets N, V and a histogram of quantised estimates of fixed size, on which the weights are learned.
-Unigrams keep 64 bits of hash; bigrams 56, so a bigram shares its count with another with a probability of about
-distinct bigrams / 2^56.
+The driver gets N, V and a histogram of estimates quantised to half octaves, on which the weights are learned; its size
+is bounded by the levels, not by the corpus.
+Unigrams keep 64 bits of hash; longer n-grams keep 16 bits more than the corpus's size in words takes, 44 at least, so that
+one in some ten thousand shares its count with another at any size.
 Defined results: null and empty texts have one token, the end; without training texts all counts are 0; repeated rows
 give repeated results; other columns are ignored; a text longer than a block is a block of its own.
 """
@@ -25,12 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import bound_batches, fold, lean, materialize, size_of, slices
+from lectern.llm.common import bound_batches, fold, give_back, lean, materialize, size_of, slices
 
-BLOCK_BYTES = 6 << 20
-RANGE_TOKENS = 3_000_000
+BLOCK_BYTES = 4 << 20
+RANGE_TOKENS = 2_000_000
 END = np.uint64(0x5DEECE66D1234567)
+#: Buckets of a context's frequency: of the last word's, then of the last two words'.
 BUCKETS = 40
+#: Half octaves of an estimate, from 1 down; 0 stands for an estimate of 0.
+LEVELS = 64
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("fold", pa.int32()), ("text", pa.string())])
 
 
@@ -69,115 +75,152 @@ def pack(docs: DataFrame, modulus: int, tune: int, block_bytes: int) -> DataFram
 
 
 class _Block:
-    """Token sequence of a block: every text's words and its end; each text's first context is an end."""
+    """Token sequence of a block: every text's words and its end; before a text stand ends.
 
-    def __init__(self, data: bytes) -> None:
+    grams: sorted distinct hashes of n-grams of 1, 2 and 3 tokens and, for each token, the place of the one that ends there.
+    """
+
+    def __init__(self, data: bytes, bits: int) -> None:
         table = pa.ipc.open_stream(data).read_all().combine_chunks()
         self.ids, self.fold = table.column("doc_id"), np.asarray(table.column("fold"))
         hashes, first = tc.tokenize(table.column("text"), tc.SPACE)
-        self.token = np.insert(hashes, first[1:], END)
+        token = np.insert(hashes, first[1:], END)
         self.border = first + np.arange(len(first))
-        context = np.r_[END, self.token[:-1]] if len(self.token) else self.token
+        self.starts = self.border[:-1]
+        before = np.r_[END, token[:-1]] if len(token) else token
         with np.errstate(over="ignore"):
-            pair = tc.mix(tc.mix(context) * np.uint64(0x9E3779B97F4A7C15) + self.token) >> np.uint64(8)
-        self.uni, self.uni_at = np.unique(self.token, return_inverse=True)
-        self.context_at = np.r_[np.searchsorted(self.uni, END), self.uni_at[:-1]] if len(self.token) else self.uni_at
-        self.pair, self.pair_at = np.unique(pair, return_inverse=True)
+            pair = tc.mix(tc.mix(before) * np.uint64(0x9E3779B97F4A7C15) + token)
+            # the pair before a text's first token is two ends
+            last = np.r_[np.uint64(0), pair[:-1]] if len(pair) else pair
+            last[self.starts] = END
+            triple = tc.mix(last * np.uint64(0xD1342543DE82EF95) + token)
+        self.grams = [np.unique(x, return_inverse=True) for x in (token, pair >> np.uint64(64 - bits), triple >> np.uint64(64 - bits))]
+        self.grams = [(keys, at.astype(np.int32)) for keys, at in self.grams]
+        self.end = int(np.searchsorted(self.grams[0][0], END))
 
     def per_text(self, values: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values, self.border[:-1]) if len(values) else np.zeros(0, values.dtype)
+        return np.add.reduceat(values, self.starts) if len(values) else np.zeros(0, values.dtype)
+
+    def estimates(self, counts: list[np.ndarray], n: int):
+        """c(w), the bucket of each token, and the maximum-likelihood estimates of 3, 2 and 1 tokens."""
+        c = [x[at] for x, (_, at) in zip(counts, self.grams, strict=True)]
+        if not len(c[0]):
+            return c[0], c[0], [c[0].astype(float)] * 3
+        ends = counts[0][self.end]
+        context1, context2 = np.r_[ends, c[0][:-1]], np.r_[ends, c[1][:-1]]
+        context2[self.starts] = ends
+        level = lambda x: np.minimum(np.floor(np.log2(np.maximum(x, 1))).astype(np.int64) + 1, BUCKETS - 1)
+        bucket = np.where(context2 > 0, BUCKETS + level(context2), np.where(context1 > 0, level(context1), 0))
+        return c[0], bucket, [c[2] / np.maximum(context2, 1), c[1] / np.maximum(context1, 1), c[0] / max(n, 1)]
+
 
+def _range_of(keys: np.ndarray, width: int, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
-def _range_of(keys: np.ndarray, kind: int, bits: int) -> np.ndarray:
-    return (keys >> np.uint64((56 if kind else 64) - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
+def requests(packed: DataFrame, held: int, cut: int, bits: int) -> DataFrame:
+    """(kind, part, block, tune, n, keys, counts): distinct n-grams of each block and their counts in training texts.
 
-def requests(packed: DataFrame, held: int, bits: int) -> DataFrame:
-    """(kind, part, block, n, keys, counts): distinct n-grams of each block and their counts in training texts."""
+    cut: bits of hash that make a range; bits: those that n-grams of two words and more keep."""
 
     def run(batches):
         for batch in batches:
-            for number, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
-                b = _Block(data.as_py())
+            for number, tuned, data in zip(batch.column("block").to_pylist(), batch.column("tune").to_pylist(), batch.column("data"), strict=True):
+                b = _Block(data.as_py(), bits)
                 trained = np.repeat(b.fold != held, np.diff(b.border))
                 rows = []
-                for kind, keys, at in ((0, b.uni, b.uni_at), (1, b.pair, b.pair_at)):
+                for kind, (keys, at) in enumerate(b.grams):
                     counts = np.bincount(at[trained], minlength=len(keys))
-                    cut = np.searchsorted(_range_of(keys, kind, bits), np.arange((1 << bits) + 1))
-                    for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                    edge = np.searchsorted(_range_of(keys, bits if kind else 64, cut), np.arange((1 << cut) + 1))
+                    for p, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
                         if hi > lo:
-                            delta = np.r_[keys[lo], np.diff(keys[lo:hi])]
-                            rows.append((kind, p, number, hi - lo, _planes(delta), _planes(counts[lo:hi])))
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                cols = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "part", "block", "n", "keys", "counts"])
+                            rows.append((kind, p, number, tuned, hi - lo, _planes(np.r_[keys[lo], np.diff(keys[lo:hi])]), _planes(counts[lo:hi])))
+                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
+                cols = zip(*rows, strict=True) if rows else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kind", "part", "block", "tune", "n", "keys", "counts"])
 
-    return packed.mapInArrow(lean(run), "kind int, part int, block bigint, n int, keys binary, counts binary")
+    return packed.mapInArrow(lean(run), "kind int, part int, block bigint, tune boolean, n int, keys binary, counts binary")
 
 
 def answer(table: pa.Table) -> pa.Table:
-    """Counts over all blocks for each block's n-grams of one range; one more row has the totals of unigrams."""
+    """Counts over all blocks for each block's n-grams of one range; blocks of the tuning fold also get the counts without
+    that fold. One more row has the totals of unigrams, with and without it."""
     n = table.column("n").to_pylist()
-    keys = [np.cumsum(_unplanes(k.as_py(), m), dtype=np.uint64) for k, m in zip(table.column("keys"), n, strict=True)]
+    tune = np.repeat(np.asarray(table.column("tune").combine_chunks()), n)
+    flat = np.concatenate([np.cumsum(_unplanes(k.as_py(), m), dtype=np.uint64) for k, m in zip(table.column("keys"), n, strict=True)])
     counts = np.concatenate([_unplanes(c.as_py(), m) for c, m in zip(table.column("counts"), n, strict=True)]).astype(np.int64)
-    flat = np.concatenate(keys)
     order = np.argsort(flat, kind="stable")
-    sorted_ = flat[order]
-    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    total = np.add.reduceat(counts[order], first)
-    out = np.empty(len(flat), np.int64)
-    out[order] = np.repeat(total, np.diff(np.r_[first, len(flat)]))
+    flat = flat[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    size = np.diff(np.r_[first, len(flat)])
+    del flat
+    totals, out = [], []
+    for given in (counts, np.where(tune, 0, counts)):
+        totals.append(np.add.reduceat(given[order], first))
+        found = np.empty(len(order), np.int64)
+        found[order] = np.repeat(totals[-1], size)
+        out.append(found)
     cut = np.cumsum([0, *n])
     kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
-    rows = [(b, kind, part, m, _planes(out[lo:hi]), 0, 0) for b, m, lo, hi in zip(table.column("block").to_pylist(), n, cut[:-1], cut[1:], strict=True)]
+    rows = [(b, kind, part, m, _planes(out[0][lo:hi]), _planes(out[1][lo:hi]) if t else b"", 0, 0, 0, 0) for b, t, m, lo, hi in zip(table.column("block").to_pylist(), table.column("tune").to_pylist(), n, cut[:-1], cut[1:], strict=True)]
     if kind == 0:
-        rows.append((-1, kind, part, 0, b"", int(total.sum()), int((total > 0).sum())))
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "kind", "part", "n", "counts", "tokens", "types"])
+        rows.append((-1, kind, part, 0, b"", b"", int(totals[0].sum()), int((totals[0] > 0).sum()), int(totals[1].sum()), int((totals[1] > 0).sum())))
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
+    names = ["block", "kind", "part", "n", "counts", "apart", "tokens", "types", "tokens_apart", "types_apart"]
+    made = pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    del out, order, counts, found, rows
+    give_back()
+    return made
 
 
-def _counted(packed: DataFrame, answers: DataFrame) -> DataFrame:
+ANSWER = "block bigint, kind int, part int, n int, counts binary, apart binary, tokens bigint, types bigint, tokens_apart bigint, types_apart bigint"
+
+
+def _counted(packed: DataFrame, answers: DataFrame, column: str) -> DataFrame:
     """Blocks with their answers."""
-    got = answers.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "part", "n", "counts")).alias("answers"))
+    got = answers.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "part", "n", F.col(column).alias("counts"))).alias("answers"))
     return packed.join(got, "block").select("data", "answers")
 
 
-def _counts(block: _Block, answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """c(w), c(u), c(uw) of each token of a block."""
-    by = {k: [_unplanes(a["counts"], a["n"]) for a in sorted((x for x in answers if x["kind"] == k), key=lambda x: x["part"])] for k in (0, 1)}
-    uni, pair = (np.concatenate(by[k]).astype(np.int64) for k in (0, 1))
-    context = uni[block.context_at]
-    return uni[block.uni_at], context, pair[block.pair_at]
+def _counts(answers: list[dict]) -> list[np.ndarray]:
+    """Counts of a block's distinct n-grams of 1, 2 and 3 tokens, in their order."""
+    by = [[_unplanes(a["counts"], a["n"]) for a in sorted((x for x in answers if x["kind"] == k), key=lambda x: x["part"])] for k in range(3)]
+    return [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in by]
+
 
+def _levels(p: np.ndarray) -> np.ndarray:
+    return np.where(p > 0, 1 + np.clip(np.round(-2 * np.log2(np.where(p > 0, p, 1))), 0, LEVELS - 2), 0).astype(np.int64)
 
-def _bucket(context: np.ndarray) -> np.ndarray:
-    return np.where(context > 0, np.minimum(np.floor(np.log2(np.maximum(context, 1))).astype(np.int64) + 1, BUCKETS - 1), 0)
 
+def histogram_keys(bucket: np.ndarray, estimates: list[np.ndarray]) -> np.ndarray:
+    """Bucket and levels of the three estimates as one number."""
+    key = bucket
+    for p in estimates:
+        key = key * LEVELS + _levels(p)
+    return key
 
-def _levels(p: np.ndarray, most: int) -> np.ndarray:
-    return np.where(p > 0, 1 + np.clip(np.round(-4 * np.log2(np.where(p > 0, p, 1))), 0, most), 0).astype(np.int64)
 
+def learn(key: np.ndarray, times: np.ndarray, types: int, rounds: int = 60) -> np.ndarray:
+    """Weights (l3, l2, l1, l0) of each bucket by EM on the histogram of held-out estimates.
 
-def learn(histogram: list[tuple[int, int]], types: int, rounds: int = 60) -> np.ndarray:
-    """Weights (l0, l1, l2) of each bucket by EM on the histogram of quantised held-out estimates."""
-    out = np.zeros((BUCKETS, 3))
-    key = np.array([k for k, _ in histogram], np.int64)
-    times = np.array([n for _, n in histogram], float)
-    bucket, rest = np.divmod(key, 1 << 16)
-    l2, l1 = np.divmod(rest, 1 << 8)
-    value = lambda level: np.where(level > 0, 2.0 ** (-(level - 1) / 4), 0.0)
-    p = np.stack([np.full(len(key), 1 / (types + 1)), value(l1), value(l2)], axis=1)
-    last = np.array([0.1, 0.9, 0.0])
-    for b in range(BUCKETS):
-        own = bucket == b
+    A bucket without held-out tokens takes the weights of the one before. A millionth part stays with the uniform estimate,
+    so that a word never seen keeps a probability above 0."""
+    out = np.zeros((2 * BUCKETS, 4))
+    levels, rest = [], key
+    for _ in range(3):
+        rest, level = np.divmod(rest, LEVELS)
+        levels.append(np.where(level > 0, 2.0 ** (-(level - 1) / 2), 0.0))
+    p = np.stack([*levels[::-1], np.full(len(key), 1 / (types + 1))], axis=1)
+    last = np.array([0.0, 0.0, 0.9, 0.1])
+    for b in range(2 * BUCKETS):
+        own = rest == b
         if own.any():
-            w = np.full(3, 1 / 3)
+            w = np.full(4, 1 / 4)
             for _ in range(rounds):
                 r = p[own] * w
-                r = (r / r.sum(axis=1, keepdims=True)) * times[own, None]
-                w = r.sum(axis=0) + np.array([1e-3, 1e-3, 0])
+                w = ((r / r.sum(axis=1, keepdims=True)) * times[own, None]).sum(axis=0)
                 w /= w.sum()
-            last = w
+            last = w * (1 - 1e-6) + np.array([0, 0, 0, 1e-6])
         out[b] = last
     return out
 
@@ -186,37 +229,43 @@ def score(docs: DataFrame, modulus: int = 5, held: int = 1, tune: int = 2, block
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     bound_batches(docs.sparkSession)
     _, total_bytes = size_of(docs)
-    bits = max(0, int(np.ceil(np.log2(max(1, total_bytes / 6 / range_tokens)))))
-    packed = materialize(pack(docs, modulus, tune, block_bytes), "blocks")
-    asked = requests(packed, held, bits)
-    answers = materialize(asked.groupBy("kind", "part").applyInArrow(answer, "block bigint, kind int, part int, n int, counts binary, tokens bigint, types bigint"), "counts")
-    totals = answers.filter("block < 0").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
-    n, v = int(totals["n"]), int(totals["v"])
+    # a word takes six bytes or so
+    words = max(1, total_bytes / 6)
+    cut = max(0, int(np.ceil(np.log2(max(1, words / range_tokens)))))
+    bits = int(np.clip(np.ceil(np.log2(words)) + 16, 44, 62))
+    packed = materialize(pack(docs, modulus, tune, block_bytes), "blocks", blobs=True)
+    asked = requests(packed, held, cut, bits)
+    answers = materialize(asked.groupBy("kind", "part").applyInArrow(answer, ANSWER), "counts", blobs=True)
+    names = ("tokens", "types", "tokens_apart", "types_apart")
+    totals = answers.filter("block < 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+    n, v, n_apart, v_apart = (int(totals[c]) for c in names)
 
     def histogram(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 own = batch.slice(row, 1).to_pylist()[0]
-                block = _Block(own["data"])
-                c, u, cu = (np.maximum(x - 1, 0) for x in _counts(block, own["answers"]))
-                key = (_bucket(u) << 16) + (_levels(cu / np.maximum(u, 1), 250) << 8) + _levels(c / max(n - 1, 1), 250)
-                keys, times = np.unique(key, return_counts=True)
+                _, bucket, estimates = _Block(own["data"], bits).estimates(_counts(own["answers"]), n_apart)
+                keys, times = np.unique(histogram_keys(bucket, estimates), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], names=["key", "times"])
 
-    tuned = _counted(packed.filter("tune"), answers).mapInArrow(lean(histogram), "key bigint, times bigint")
-    weights = learn([(r["key"], r["times"]) for r in tuned.groupBy("key").agg(F.sum("times").alias("times")).collect()], v)
+    tuned = _counted(packed.filter("tune"), answers, "apart").mapInArrow(lean(histogram), "key bigint, times bigint")
+    found = tuned.groupBy("key").agg(F.sum("times").alias("times")).toArrow().sort_by("key")
+    weights = learn(found.column("key").to_numpy(), found.column("times").to_numpy().astype(float), v_apart)
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 own = batch.slice(row, 1).to_pylist()[0]
-                block = _Block(own["data"])
-                c, u, cu = _counts(block, own["answers"])
+                block = _Block(own["data"], bits)
+                c, bucket, estimates = block.estimates(_counts(own["answers"]), n)
                 base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
-                w = weights[_bucket(u)]
-                full = np.log10(w[:, 2] * cu / np.maximum(u, 1) + w[:, 1] * c / max(n, 1) + w[:, 0] / (v + 1))
+                w = weights[bucket]
+                full = w[:, 3] / (v + 1)
+                for k, p in enumerate(estimates):
+                    full += w[:, k] * p
+                full = np.log10(full)
                 cols = [block.ids, pa.array(block.fold == held), pa.array(np.diff(block.border)), pa.array(block.per_text((c > 0).astype(np.int64))), pa.array(np.full(len(block.fold), n, np.int64)), pa.array(block.per_text(base)), pa.array(block.per_text(full))]
                 cols = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in cols]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return _counted(packed, answers).mapInArrow(lean(run), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return _counted(packed, answers, "counts").mapInArrow(lean(run), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
