@@ -1,19 +1,22 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells, one vector kept per group.
 
-Vectors are compared only within a label. Each has a home cell, that of its nearest centre. Two linked vectors of unit
-length lie at most d = sqrt(2 - 2 * threshold) apart, so if their homes differ, each lies within d of the plane that
-halves the way between both centres: it visits every cell of smaller number whose plane is that near. Each pair is thus
-compared in exactly one cell, and no link is lost, whatever the centres are.
-
-That reach is exact and wide where vectors fill the sphere evenly: visits, not homes, then make most of the work, so
-cells are large by default. `reach` below 1 narrows it in proportion, for data that outgrow an exact search; half the
-way keeps all links but a few in a thousand among 64 evenly filled dimensions.
-
-Scale: centres are fitted on a bounded sample (`fit_rows`); every vector is assigned. Cells are cut into blocks by a hash,
-and blocks are compared pair by pair, so a hot cell becomes many tasks of bounded memory. Only link counts and component
-edges leave a block pair, never all its pairs. Equal vectors are joined into one with a multiplicity beforehand.
+Vectors are compared only within a label. A label of more than `cell` vectors is cut into cells, 2, 4, 8, ... by its size.
+Each vector has a home cell, that of its nearest centre. Two linked vectors of unit length lie at most
+d = sqrt(2 - 2 * threshold) apart, so if their homes differ, each lies within d of the plane that halves the way between
+both centres: it visits every cell of smaller number whose plane is that near. Each pair is thus compared in exactly one
+cell, home with home or home with visitor, and no link is lost, whatever the centres are.
+
+That reach is exact and wide where vectors fill the sphere evenly: visits, not homes, then make most of the work. `reach`
+below 1 narrows it in proportion, for data that outgrow an exact search; half the way keeps all links but a few in a
+thousand among 64 evenly filled dimensions.
+
+Scale: centres are fitted on a bounded sample (`fit_rows`) for each number of cells that some label needs, `max_cells` at
+most; every vector is assigned. Cells are cut into blocks by a hash, and blocks are compared pair by pair, so a hot cell
+becomes many tasks of bounded memory. Only link counts and component edges leave a block pair, never all its pairs. Equal
+vectors are joined into one with a multiplicity beforehand.
 Defined results: null, zero or non-finite vectors and those without label link with nothing; vectors of different length
-do not compare; a null id has no component; rows that share an id are one node; other columns are ignored.
+do not compare; a vector is scaled by its largest component before its norm is taken, so no finite one overflows; a null
+id has no component; rows that share an id are one node; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import lean, materialize
+from lectern.llm.common import lean, materialize, small
 from lectern.llm.graph import components
 from lectern.llm.jaccard import stars
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Rows of length 1; scaled by their largest component first, as squares may leave the range of doubles."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 9) -> np.ndarray:
@@ -46,14 +51,14 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 9) -> n
     return centres
 
 
-def _fit(valid: DataFrame, rows: int, cell: int, max_cells: int, fit_rows: int) -> dict[int, np.ndarray]:
-    """Centres for each vector length, from at most fit_rows vectors."""
-    sample = valid.orderBy("h", "vec_id").limit(fit_rows).select("vec_id", "x").toPandas()
-    out: dict[int, np.ndarray] = {}
-    for dim, part in sample.groupby(sample["x"].map(len)):
+def _fit(valid: DataFrame, levels: list[int], fit_rows: int) -> dict[tuple[int, int], np.ndarray]:
+    """2 ** level centres for each vector length of the sample, which has at most fit_rows vectors, and each level."""
+    sample = valid.orderBy("h", "vec_id").limit(fit_rows).select("vec_id", "x").toPandas() if levels else None
+    out: dict[tuple[int, int], np.ndarray] = {}
+    for dim, part in sample.groupby(sample["x"].map(len)) if levels else ():
         x = unit(np.stack(part.sort_values("vec_id")["x"].to_list()).astype(np.float64))
-        share = rows * len(part) / len(sample)
-        out[int(dim)] = spherical_kmeans(x, int(np.clip(share / cell, 1, max_cells)))
+        for level in levels:
+            out[int(dim), level] = spherical_kmeans(x, 1 << level)
     return out
 
 
@@ -87,9 +92,12 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
     right = table if same else table.filter(pa.array(block == bj))
     if not len(left) or not len(right):
         return _FOUND.empty_table()
-    links = _matrix(left.column("x")) @ _matrix(right.column("x")).T >= threshold
-    visits = [t.column("visits").to_numpy() for t in (left, right)]
-    links &= ~(visits[0][:, None] & visits[1][None])
+    x, y = _matrix(left.column("x")), _matrix(right.column("x"))
+    at_home = [~t.column("visits").to_numpy() for t in (left, right)]
+    # visitors are not compared with each other: their pairs meet elsewhere
+    links = np.zeros((len(x), len(y)), bool)
+    links[at_home[0]] = x[at_home[0]] @ y.T >= threshold
+    links[np.ix_(~at_home[0], at_home[1])] = x[~at_home[0]] @ y[at_home[1]].T >= threshold
     mult = [t.column("mult").to_numpy() for t in (left, right)]
     nodes = left.column("rep").to_numpy()
     if same:
@@ -105,7 +113,7 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in (a, b, [None] * len(edges) + counts[some].tolist())], schema=_FOUND)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 16_384, max_cells: int = 4096, fit_rows: int = 20_000, block: int = 1024, reach: float = 1.0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 512, max_cells: int = 4096, fit_rows: int = 20_000, block: int = 1024, reach: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("x"))
     kind = "float" if "float" in dict(rows.dtypes)["x"] else "double"
@@ -115,23 +123,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 16_
     rows = rows.withColumn("valid", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))).withColumn("h", F.xxhash64("label", "x"))
     rows = materialize(rows, "vectors")
     valid = rows.filter("valid")
-    count = valid.count()
-    centres = _fit(valid, count, cell, max_cells, fit_rows) if count else {}
+    per_label = valid.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > cell)
+    level = F.least(F.ceil(F.log2(F.col("rows") / cell)), F.lit(int(np.log2(max_cells)))).cast("int")
+    wide_labels = materialize(per_label.select("label", level.alias("level")), "labels")
+    # at most log2(max_cells) numbers
+    centres = _fit(valid, sorted(r["level"] for r in wide_labels.select("level").distinct().collect()), fit_rows)
     reach = reach * float(np.sqrt(2 - 2 * threshold))
     alone = valid.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("mult"))
     alone = materialize(alone, "distinct-vectors")
+    none = np.zeros(0, np.int64)
 
     def assign(batches):
         for pdf in batches:
-            for dim, part in pdf.groupby(pdf["x"].map(len)):
+            for (dim, level), part in pdf.groupby([pdf["x"].map(len), pdf["level"]]):
                 for lo in range(0, len(part), 2048):
                     own = part.iloc[lo : lo + 2048]
-                    home, row, visited = _cells(unit(np.stack(own["x"].to_list()).astype(np.float64)), centres[int(dim)], reach)
+                    # a small label, or a length that the sample lacks, is one cell
+                    given = centres.get((int(dim), int(level)))
+                    home, row, visited = (np.zeros(len(own), np.int64), none, none) if given is None else _cells(unit(np.stack(own["x"].to_list()).astype(np.float64)), given, reach)
                     row = np.r_[np.arange(len(own)), row]
                     out = own.iloc[row].assign(dim=int(dim), cell=np.r_[home, visited], visits=np.arange(len(row)) >= len(own))
                     yield out[["label", "dim", "cell", "rep", "mult", "visits", "x"]]
 
-    placed = materialize(alone.mapInPandas(lean(assign), f"label string, dim int, cell long, rep long, mult long, visits boolean, x array<{kind}>"), "cells")
+    sized = alone.join(small(wide_labels), "label", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    placed = materialize(sized.mapInPandas(lean(assign), f"label string, dim int, cell long, rep long, mult long, visits boolean, x array<{kind}>"), "cells")
     # a cell of more rows than a block takes is dealt out by a hash; every two of its blocks meet once
     wide = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = placed.join(wide, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", "x"), F.col("blocks")).cast("int"))
