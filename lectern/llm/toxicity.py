@@ -18,16 +18,17 @@ base rate (0 without any label); repeated rows give repeated results; other colu
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import bound_batches, fold, labelled_sample, lean, materialize, slices
+from lectern.llm.common import bound_batches, fold, give_back, labelled_sample, lean, materialize, slices
 from lectern.llm.jaccard import fold_vector, similarity_join
 
 SLICE = 1 << 20
@@ -90,6 +91,7 @@ class NearestModel:
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     length: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    sent: Broadcast | None = None
 
     def vectors(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(terms, weights) of each text."""
@@ -113,33 +115,42 @@ class NearestModel:
         border = np.searchsorted(text, np.arange(n + 1))
         return [(term[a:b], weight[a:b]) for a, b in zip(border[:-1], border[1:], strict=True)]
 
-    def build(self, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.toxic = ids[order], toxic[order]
+    def build(self, ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Index of examples, sorted by id: sizes[i] terms with weights belong to example i, one example after the other."""
+        self.ids, self.toxic = ids, toxic
         top = np.r_[np.argsort(-self.idf, kind="stable")[: self.heavy], len(self.terms)]
         self.row = np.full(len(self.terms) + 1, -1, np.int32)
         self.row[top] = np.arange(len(top))
+        slot = np.repeat(np.arange(len(ids), dtype=np.min_scalar_type(len(ids))), sizes)
         self.dense = np.zeros((len(top), len(ids)), np.float32)
-        for slot, i in enumerate(order):
-            at = self.row[vectors[i][0]]
-            self.dense[at[at >= 0], slot] = vectors[i][1][at >= 0]
-        term = np.concatenate([vectors[i][0] for i in order]).astype(np.int32)
-        weight = np.concatenate([vectors[i][1] for i in order]).astype(np.float32, copy=False)
-        slot = np.repeat(np.arange(len(ids), dtype=np.int32), [len(vectors[i][0]) for i in order])
-        count = np.bincount(term, minlength=len(self.terms) + 1)
-        few, other = self.row[term] < 0, count[term] * self.spread > len(ids)
-        by = np.flatnonzero(few & ~other)
-        by = by[np.argsort(term[by], kind="stable")]
-        self.posted, self.posted_weight = slot[by].astype(np.min_scalar_type(len(ids))), weight[by]
-        self.begin = np.searchsorted(term[by], np.arange(len(self.terms) + 2))
-        by = np.flatnonzero(few & other)
-        common = np.unique(term[by])
+        at = np.flatnonzero(self.row[term] >= 0)
+        self.dense[self.row[term[at]], slot[at]] = weight[at]
+        light = self.row < 0
+        frequent = np.bincount(term, minlength=len(self.terms) + 1) * self.spread > len(ids)
+        part = (light & ~frequent)[term]
+        own = term[part]
+        order = np.argsort(own, kind="stable")
+        self.begin = np.searchsorted(own[order], np.arange(len(self.terms) + 2))
+        self.posted, self.posted_weight = slot[part][order], weight[part][order]
+        del own, order
+        part = (light & frequent)[term]
+        own, slot = term[part], slot[part]
+        common = np.unique(own)
         self.place = np.full(len(self.terms) + 1, -1, np.int32)
         self.place[common] = np.arange(len(common))
         self.common = len(common)
-        self.rest, self.weight = self.place[term[by]].astype(np.min_scalar_type(len(common))), weight[by]
-        self.first = np.searchsorted(slot[by], np.arange(len(ids) + 1))
-        self.length = np.sqrt(np.bincount(slot[by], self.weight.astype(float) ** 2, len(ids)))
+        self.rest, self.weight = self.place[own].astype(np.min_scalar_type(len(common))), weight[part]
+        self.first = np.searchsorted(slot, np.arange(len(ids) + 1))
+        self.length = np.sqrt(np.bincount(slot, self.weight.astype(float) ** 2, len(ids)))
+
+    def shared(self, spark) -> Broadcast:
+        """This model as one broadcast; its size is bounded by the number of examples."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"sent": None}
 
     @staticmethod
     def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -147,7 +158,7 @@ class NearestModel:
         return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the k largest cosines, and these; skip: an example left out."""
+        """Examples of the k largest cosines, and these; skip: an id whose examples are left out."""
         best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
         at = self.row[terms]
         share = weights[at >= 0] @ self.dense[at[at >= 0]]
@@ -160,7 +171,7 @@ class NearestModel:
         query[place[place >= 0]] = own = weights[place >= 0]
         bound = share + float(np.sqrt(own @ own)) * self.length
         if skip is not None:
-            bound[skip] = 0
+            bound[slice(*np.searchsorted(self.ids, [skip, skip + 1]))] = 0
         left, step = np.flatnonzero(bound > 0), self.block
         while len(left):
             if len(left) > step:
@@ -185,10 +196,9 @@ class NearestModel:
         weight = s / (1 + np.sqrt(np.maximum(2 - 2 * s, 0))) ** 2
         return float((weight @ self.toxic[i] + 0.5 * self.rate) / (weight.sum() + 0.5))
 
-    def calibrated(self, votes: np.ndarray) -> np.ndarray:
-        if not len(self.knots):
-            return np.full(len(votes), self.rate)
-        return np.interp(votes, self.knots, self.values)
+
+def calibrated(model: NearestModel, votes: np.ndarray) -> np.ndarray:
+    return np.interp(votes, model.knots, model.values) if len(model.knots) else np.full(len(votes), model.rate)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, max_rows: int = 12_000, significance: float = 3.5) -> NearestModel:
@@ -239,19 +249,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array([x[k].astype(t).tobytes() for x in own], pa.binary()) for k, t in ((0, np.int32), (1, np.float32)))], names=["doc_id", "y", "terms", "weights"])
 
     found = texts.mapInArrow(lean(examples), "doc_id bigint, y int, terms binary, weights binary").toArrow()
-    ids, y = found.column("doc_id").to_numpy(), found.column("y").to_numpy().astype(float)
-    own = [tuple(np.frombuffer(v.as_buffer(), t) for v, t in ((a, np.int32), (b, np.float32))) for a, b in zip(found.column("terms"), found.column("weights"), strict=True)]
-    some = np.array([len(t) > 0 for t, _ in own], bool)
-    model.bare = (float(y[~some].sum()) + model.rate) / (int((~some).sum()) + 1)
-    if some.any():
-        twice = Counter(ids.tolist())
-        order = sorted(np.flatnonzero(some).tolist(), key=lambda i: (ids[i], y[i], own[i][0].tobytes() if twice[ids[i]] > 1 else b""))
-        ids, y, own = ids[order], y[order], [own[i] for i in order]
-        model.build(ids, y, own)
-        slot = {int(i): k for k, i in enumerate(model.ids)}
-        votes = np.array([model.vote(*model.nearest(t, w.astype(float), slot[int(i)])) for i, (t, w) in zip(ids, own, strict=True)])
-        knots, values = isotonic(votes, y)
+    found = found.filter(pa.compute.greater(pa.compute.binary_length(found.column("terms")), 0)) if found.num_rows else found
+    some = found.num_rows
+    toxic = int(pa.compute.sum(pa.compute.greater(found.column("y"), 0)).as_py() or 0)
+    model.bare = (pos - toxic + model.rate) / (n - some + 1)
+    if some:
+        order = pa.compute.sort_indices(found, [("doc_id", "ascending"), ("y", "ascending"), ("terms", "ascending")])
+        take = lambda c: found.column(c).take(order)
+        flat = lambda c, t: np.concatenate([np.frombuffer(v.as_buffer(), t) for v in take(c)])
+        term, weight, sizes = flat("terms", np.int32), flat("weights", np.float32), pa.compute.binary_length(take("terms")).to_numpy() // 4
+        ids, y = take("doc_id").to_numpy(), (take("y").to_numpy() > 0).astype(float)
+        del found
+        model.build(ids, y, sizes, term, weight)
+        del term, weight, sizes
+        give_back()
+        sent = model.shared(docs.sparkSession)
+
+        def left_out(batches):
+            own = sent.value
+            for batch in batches:
+                for part in slices(batch, "text", SLICE):
+                    rows = [(i, y, own.vote(*own.nearest(t, w, i))) for i, y, (t, w) in zip(part.column("doc_id").to_pylist(), part.column("y").to_pylist(), own.vectors(*_terms(part.column("text"))), strict=True) if len(t)]
+                    cols = zip(*rows, strict=True) if rows else [[]] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "y", "vote"])
+
+        # one number for each example, whose own text takes no part in its vote
+        votes = texts.mapInArrow(lean(left_out), "doc_id bigint, y int, vote double").toArrow().sort_by([("vote", "ascending"), ("y", "ascending")])
+        knots, values = isotonic(votes.column("vote").to_numpy(), (votes.column("y").to_numpy() > 0).astype(float))
         model.knots, model.values = np.r_[knots, 1.0], np.r_[values, values[-1]]
+    give_back()
     return model
 
 
@@ -284,16 +310,20 @@ def score(docs: DataFrame, model: NearestModel, modulus: int = 3, held: int = 1,
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), modulus) == held).alias("held_out"), F.col("text").cast("string").alias("text"))
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
+    sent = model.shared(docs.sparkSession)
+    # the broadcast may be older than the calibration
+    scale = NearestModel(model.terms[:0], model.idf[:0], rate=model.rate, bare=model.bare, knots=model.knots, values=model.values)
 
     def run(batches):
+        own = sent.value
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                scores, evidence = np.full(part.num_rows, model.bare), [[]] * part.num_rows
-                for n, (terms, weights) in enumerate(model.vectors(*_terms(part.column("text")))):
+                scores, evidence = np.full(part.num_rows, scale.bare), [[]] * part.num_rows
+                for n, (terms, weights) in enumerate(own.vectors(*_terms(part.column("text")))):
                     if len(terms):
-                        i, s = model.nearest(terms, weights)
-                        scores[n] = model.calibrated(np.array([model.vote(i, s)]))[0]
-                        evidence[n] = [{"doc_id": int(model.ids[j]), "similarity": float(x), "toxic": int(model.toxic[j])} for j, x in zip(i[:5], s[:5], strict=True)]
+                        i, s = own.nearest(terms, weights)
+                        scores[n] = calibrated(scale, np.array([own.vote(i, s)]))[0]
+                        evidence[n] = [{"doc_id": int(own.ids[j]), "similarity": float(x), "toxic": int(own.toxic[j])} for j, x in zip(i[:5], s[:5], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "evidence"])
 
     scored = rows.mapInArrow(lean(run), f"doc_id bigint, held_out boolean, score double, {EVIDENCE}")
