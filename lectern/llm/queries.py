@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from lectern.llm import chat, decontaminate, jaccard, licenses, mixing, ngrams, pii, quality, toxicity, vectors
 from lectern.llm.common import read_table
 
-KIND_ORDER = {k: i for i, k in enumerate(pii.KINDS)}
-
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
@@ -37,9 +35,11 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), slop=0)
-    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    """n_near, near_sha256: items of which a window stands with one or two of its ten words changed, and none unchanged."""
+    found = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    digest = lambda c: F.sha2(F.array_join(F.array_sort(F.transform(c, lambda i: i.cast("string"))), ",").cast("binary"), 256)
+    size = lambda c: F.size(c).cast("long")
+    return found.select("doc_id", "n_words", "n_hit", size("items").alias("n_items"), digest("items").alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), size("near_items").alias("n_near"), digest("near_items").alias("near_sha256"))
 
 
 def _joined(spans: Column) -> Column:
@@ -47,12 +47,13 @@ def _joined(spans: Column) -> Column:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_* count base spans; n_added counts those that the tagger adds."""
+    """n_email to n_phone count base spans, n_added those that the tagger adds (its kind `secret` comes last), n_spans all."""
     found = pii.detect(read_table(spark, sf_dir, "documents"))
     of = lambda spans, kind: F.filter(spans, lambda s: s["kind"] == kind)
     listed = F.concat(*(F.array_sort(of(F.concat("base", "added"), k)) for k in pii.KINDS))
-    counts = [F.size(of(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(listed).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    counts = [F.size(of(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    added, every = F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(listed).alias("spans"), added, every)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +73,84 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_join(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_chat_format, op3_source_mix, op4_toxicity, op5_lm_score, op6_decontaminate, op7_pii, op8_license_scan, op9_quality, op10_jaccard_join)}
+# The columns of op5 and op7 that SQL can express, held against it.
+
+
+def lm_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_lm_score(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def pii_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
+QUERIES = {f.__name__: f for f in (lm_base_columns, pii_base_columns, op1_embedding_near_dedup, op2_chat_format, op3_source_mix, op4_toxicity, op5_lm_score, op6_decontaminate, op7_pii, op8_license_scan, op9_quality, op10_jaccard_join)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+
+def _seeded(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+#: crc32 of an id as text, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::BIGINT)"""
+
+_PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS INT), 999) > 255)) = 0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", """length(n) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda i:
+  CASE WHEN i % 2 = 1 THEN substr(reverse(n), i, 1)::INT WHEN substr(reverse(n), i, 1)::INT > 4 THEN 2 * substr(reverse(n), i, 1)::INT - 9 ELSE 2 * substr(reverse(n), i, 1)::INT END)) % 10 = 0"""),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(n) BETWEEN 9 AND 15"),
+}
+
+
+def _pii_sql() -> str:
+    """Matches are marked, texts are cut at the marks, and the pieces' lengths give the places."""
+    cut = lambda k, kind, pattern: f"SELECT doc_id, {k} AS k, '{kind}' AS kind, string_split(regexp_replace(text, '{pattern}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM documents"
+    every = " UNION ALL ".join(cut(k, kind, pattern) for k, (kind, (pattern, _)) in enumerate(_PII.items()))
+    good = " OR ".join(f"(kind = '{kind}' AND {rule})" for kind, (_, rule) in _PII.items())
+    return f"""
+WITH cut AS ({every}),
+found AS (
+  SELECT doc_id, k, kind, split_part(parts[i], chr(2), 1) AS m, list_sum(list_transform(parts[1:i - 1], lambda p: length(p))) - (i - 2) AS a
+  FROM cut, unnest(range(2, len(parts) + 1)) AS t(i)),
+spans AS (SELECT doc_id, k, kind, a::BIGINT AS a, (a + length(m))::BIGINT AS z FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS n FROM found) WHERE {good}),
+rows AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _PII)}, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) AS base FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in _PII)}, sha256(coalesce(base, '')) AS base_sha256 FROM documents d LEFT JOIN rows USING (doc_id)"""
+
+
+def _license_sql(gap: int = 3, coverage: float = 0.8, longer: float = 1.25) -> str:
+    table = ",\n".join(f"('{name}', '{label}', {str(is_base).lower()}, {words})" for name, label, is_base, words in licenses.templates())
+    return f"""
+WITH t(template, label, is_base, words) AS (VALUES {table}),
+g AS (
+  SELECT template, label, is_base, len(words) AS size, least(3, len(words)) AS k, p - 1 AS t_pos, array_to_string(words[p:p + least(3, len(words)) - 1], ' ') AS gram
+  FROM t, unnest(range(1, len(words) - least(3, len(words)) + 2)) AS u(p)),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+dg AS (SELECT doc_id, k, p - 1 AS pos, array_to_string(w[p:p + k - 1], ' ') AS gram FROM d, (VALUES (2), (3)) AS s(k), unnest(range(1, len(w) - k + 2)) AS u(p)),
+votes AS (SELECT doc_id, template, label, is_base, size, g.k, pos, t_pos, pos - t_pos AS diagonal FROM dg JOIN g ON g.k = dg.k AND g.gram = dg.gram),
+lines AS (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS before FROM (SELECT DISTINCT doc_id, template, is_base, diagonal FROM votes)),
+groups AS (SELECT doc_id, template, diagonal, sum(CASE WHEN is_base OR before IS NULL OR diagonal - before > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS grp FROM lines),
+hits AS (SELECT v.*, grp FROM votes v JOIN groups USING (doc_id, template, diagonal)),
+merged AS (
+  SELECT doc_id, template, label, is_base, size, grp, min(pos) AS a, max(pos + k) AS z,
+    len(list_distinct(flatten(list(range(t_pos, t_pos + k))))) / size AS coverage FROM hits GROUP BY doc_id, template, label, is_base, size, grp),
+named AS (SELECT *, NOT is_base AND coverage >= CASE WHEN size < {licenses.SHORT} THEN 1.0 ELSE {coverage} END AND z - a <= {longer} * size AS own FROM merged),
+rows AS (
+  SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(a) FILTER (is_base) AS first_word, max(a) FILTER (is_base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base OR own) AS labels, max(coverage) AS score
+  FROM named GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN rows USING (doc_id)"""
+
+
 _COMPONENTS = """
 reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b AS other FROM reach r JOIN links l ON l.a = r.other)"""
 
@@ -110,6 +183,36 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length('<|im_start|>') + length(role) + 1 + length(text) + escapes + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id""",
+    "op3_source_mix": f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_SPACED}')), 0)::BIGINT AS size FROM documents),
+h AS (SELECT *, {_seeded("'11:' || coalesce(doc_id::VARCHAR, '') || ':' || size")} AS h FROM d),
+r AS (SELECT h.*, h.h % n.shards AS shard, CASE WHEN h.source IS NULL THEN '' ELSE '=' || h.source END AS key FROM h JOIN (SELECT source, ceil(count(*) / 16384)::BIGINT AS shards FROM h GROUP BY source) n ON h.source IS NOT DISTINCT FROM n.source),
+s AS (SELECT key, source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w FROM r GROUP BY key, source),
+-- sources that stop come first, by the words for a unit of weight at which they stop
+o AS (
+  SELECT *, row_number() OVER up AS i, (SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(3 * source_size) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    (SELECT sum(w) FROM s) - coalesce(sum(w) OVER (up ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open
+  FROM s WINDOW up AS (ORDER BY source_size / w, key)),
+f AS (SELECT rest AS f_rest, open AS f_open FROM o WHERE rest * w / open <= 3 * source_size ORDER BY i LIMIT 1),
+goals AS (SELECT key, source_size, CASE WHEN f_open IS NULL OR f_rest * w / f_open > 3 * source_size THEN 3.0 * source_size ELSE f_rest * w / f_open END::DOUBLE AS target FROM s LEFT JOIN f ON true),
+b AS (SELECT greatest(1, least(4096, sum(size) // 65536)) AS block FROM d),
+p AS (
+  SELECT *, least(floor(CASE WHEN source_size > 0 THEN target * upto / source_size ELSE 0 END + 0.5) - floor(CASE WHEN source_size > 0 THEN target * (upto - words) / source_size ELSE 0 END + 0.5), 3 * words)::BIGINT AS given
+  FROM (SELECT *, sum(words) OVER (PARTITION BY key ORDER BY shard) AS upto FROM (SELECT key, shard, sum(size)::BIGINT AS words FROM r GROUP BY key, shard) JOIN goals USING (key))),
+plan AS (
+  SELECT key, shard, words, source_size, target, CASE WHEN words > 0 THEN given // words ELSE 0 END AS passes, given - CASE WHEN words > 0 THEN given // words ELSE 0 END * words AS rest,
+    ({_seeded("'11:' || shard || ':' || key")} % greatest(ceil(words / block)::BIGINT, 1)) * block AS a FROM p, b),
+line AS (SELECT *, sum(size) OVER (PARTITION BY key, shard ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS z FROM r)
+SELECT doc_id, source, size, source_size, target, (passes * size + greatest(0, least(z, a + rest, words) - greatest(z - size, a)) + greatest(0, least(z, a + rest - words) - greatest(z - size, 0)))::BIGINT AS taken
+FROM line JOIN plan USING (key, shard)""",
+    "lm_base_columns": f"""
+WITH d AS (SELECT doc_id, {_CRC} % 5 AS fold, list_append(regexp_extract_all({_LOWER}, '{_SPACED}'), chr(10)) AS w FROM documents),
+t AS (SELECT unnest(w) AS token FROM d WHERE fold <> 1), c AS (SELECT token, count(*) AS c FROM t GROUP BY token), n AS (SELECT count(*) AS n, count(DISTINCT token) AS v FROM t),
+k AS (SELECT doc_id, unnest(w) AS token FROM d),
+s AS (SELECT doc_id, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))) AS base_score FROM k LEFT JOIN c USING (token), n GROUP BY doc_id)
+SELECT doc_id, fold = 1 AS held_out, n_tokens::BIGINT AS n_tokens, n_known::BIGINT AS n_known, n::BIGINT AS train_tokens, round(base_score, 4) AS base_score FROM d JOIN s USING (doc_id), n""",
+    "pii_base_columns": _pii_sql(),
+    "op8_license_scan": _license_sql(),
     "op6_decontaminate": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark),
@@ -121,12 +224,23 @@ h AS (
   SELECT doc_id, item_id, k, p
   FROM (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g FROM d, sizes, unnest(range(1, len(w) - k + 2)) AS t(p)) JOIN i USING (k, g)),
 hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM h) GROUP BY doc_id),
+-- of ten words of which eight stand in their places, three in a row do
+wins AS (SELECT DISTINCT w[p:p + 9] AS g FROM (SELECT * FROM b WHERE len(w) >= 10), unnest(range(1, len(w) - 8)) AS t(p)),
+subs AS (SELECT g, j, array_to_string(g[j:j + 2], ' ') AS part FROM wins, unnest(range(1, 9)) AS t(j)),
+meet AS (
+  SELECT DISTINCT doc_id, p - j + 1 AS p, g FROM (SELECT doc_id, p, len(w) AS n, array_to_string(w[p:p + 2], ' ') AS part FROM d, unnest(range(1, len(w) - 1)) AS t(p)) JOIN subs USING (part) WHERE p - j + 1 >= 1 AND p - j + 10 <= n),
+close AS (
+  SELECT DISTINCT doc_id, g FROM meet JOIN d USING (doc_id) WHERE list_sum(list_transform(range(1, 11), lambda i: (w[p + i - 1] = g[i])::INT)) BETWEEN 8 AND 9),
+near AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM close JOIN (SELECT DISTINCT item_id, w[p:p + 9] AS g FROM (SELECT * FROM b WHERE len(w) >= 10), unnest(range(1, len(w) - 8)) AS t(p)) USING (g)
+    EXCEPT SELECT DISTINCT doc_id, item_id::VARCHAR FROM h) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
-SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)""",
+SELECT d.doc_id, coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(near.items, '')) AS near_sha256, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(named.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op10_jaccard_join": f"""
 WITH RECURSIVE d AS (
   SELECT doc_id AS id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

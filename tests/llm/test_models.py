@@ -67,6 +67,12 @@ def test_toxicity_held_out(spark):
     assert ((rows["predicted"] == 1) & (y == 1)).sum() >= 0.85 * y.sum() and ((rows["predicted"] == 1) & (y == 0)).sum() <= 0.01 * (y == 0).sum()
 
 
+def build(model, ids, examples):
+    order = np.argsort(ids)
+    own = [examples[i] for i in order]
+    model.build(ids[order], (ids[order] % 3 == 0).astype(float), np.array([len(t) for t, _ in own]), np.concatenate([t for t, _ in own]), np.concatenate([w for _, w in own]))
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(4)
     terms = np.sort(rng.integers(1, 1 << 60, 30).astype(np.uint64))
@@ -78,7 +84,7 @@ def test_nearest_examples_are_exact():
 
     examples = [vector() for _ in range(150)]
     ids = rng.permutation(150)
-    model.build(ids, (ids % 3 == 0).astype(float), examples)
+    build(model, ids, examples)
     dense = lambda v: np.bincount(v[0], v[1], 31)
     matrix = {int(i): dense(v) for i, v in zip(ids, examples, strict=True)}
     for _ in range(60):
@@ -100,13 +106,13 @@ def test_nearest_examples_are_exact_by_bounds(heavy, spread):
 
     examples = [vector() for _ in range(200)]
     ids = rng.permutation(200)
-    model.build(ids, (ids % 3 == 0).astype(float), examples)
+    build(model, ids, examples)
     dense = lambda v: np.bincount(v[0], v[1], 61)
     matrix = {int(i): dense(v) for i, v in zip(ids, examples, strict=True)}
     for n in range(60):
-        q, skip = vector(), n if n % 2 else None
+        q, skip = vector(), int(ids[n]) if n % 2 else None
         i, s = model.nearest(*q, skip)
-        want = sorted((-float(m @ dense(q)), k) for k, m in matrix.items() if skip is None or k != int(model.ids[skip]))[:5]
+        want = sorted((-float(m @ dense(q)), k) for k, m in matrix.items() if k != skip)[:5]
         assert np.allclose(s, [-w for w, _ in want]) and [int(model.ids[j]) for j in i] == [k for _, k in want]
 
 
@@ -151,35 +157,44 @@ def test_lm_scores(spark, block, tokens):
     rows = list(enumerate(found)) + [(3, found[3]), (None, found[30])]
     got = ngrams.score(documents(spark, rows), block_bytes=block, range_tokens=tokens).collect()
     assert len(got) == len(rows)
-    held = lambda i: fold(i, 5) == 1
+    held, tuned = (lambda i: fold(i, 5) == 1), (lambda i: fold(i, 5) == 2)
     split = lambda t: [*SPACE.findall(low(t)), None]
-    uni, pair = Counter(), Counter()
-    for i, t in rows:
-        if not held(i):
-            w = split(t)
-            uni.update(w)
-            pair.update(zip([None, *w[:-1]], w, strict=True))
-    n, v = sum(uni.values()), len(uni)
-    tune = Counter()
+    before = lambda w: list(zip([None, None, *w], [None, *w], w, strict=False))
+
+    class Counts:
+        def __init__(self, own):
+            self.one, self.two, self.three, self.texts = Counter(), Counter(), Counter(), 0
+            for t in own:
+                w = split(t)
+                self.texts += 1
+                self.one.update(w)
+                self.two.update(x[1:] for x in before(w))
+                self.three.update(before(w))
+            self.n, self.v = sum(self.one.values()), len(self.one)
+
+        def estimates(self, w):
+            for k, (u, v, x) in enumerate(before(w)):
+                c1 = self.one[v] if k else self.texts
+                c2 = self.two[u, v] if k else self.texts
+                bucket = ngrams.BUCKETS + int(math.log2(c2)) + 1 if c2 else int(math.log2(c1)) + 1 if c1 else 0
+                yield x, bucket, (self.three[u, v, x] / max(c2, 1), self.two[v, x] / max(c1, 1), self.one[x] / max(self.n, 1))
+
+    every, apart = Counts([t for i, t in rows if not held(i)]), Counts([t for i, t in rows if not held(i) and not tuned(i)])
+    seen = Counter()
     for i, t in rows:
-        if fold(i, 5) == 2:
-            w = split(t)
-            for u, x in zip([None, *w[:-1]], w, strict=True):
-                c, cu, b = uni[x] - 1, pair[u, x] - 1, uni[u] - 1
-                arr = lambda z: np.array([z], float)
-                tune[int((ngrams._bucket(np.array([b])) << 16)[0] + (ngrams._levels(arr(cu / max(b, 1)), 250) << 8)[0] + ngrams._levels(arr(c / max(n - 1, 1)), 250)[0])] += 1
-    weights = ngrams.learn(sorted(tune.items()), v)
+        if tuned(i):
+            for _, bucket, p in apart.estimates(split(t)):
+                seen[int(ngrams.histogram_keys(np.array([bucket]), [np.array([x]) for x in p])[0])] += 1
+    keys = sorted(seen)
+    weights = ngrams.learn(np.array(keys), np.array([float(seen[k]) for k in keys]), apart.v)
     by = {}
     for r in got:
         by.setdefault(r["doc_id"], r)
     for i, t in rows:
         w, r = split(t), by[i]
-        base = sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
-        full = 0.0
-        for u, x in zip([None, *w[:-1]], w, strict=True):
-            lam = weights[ngrams._bucket(np.array([uni[u]]))[0]]
-            full += math.log10(lam[2] * pair[u, x] / max(uni[u], 1) + lam[1] * uni[x] / n + lam[0] / (v + 1))
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(w), sum(uni[x] > 0 for x in w), n)
+        base = sum(math.log10((every.one[x] + 0.5) / (every.n + 0.5 * (every.v + 1))) for x in w)
+        full = sum(math.log10(float(weights[b] @ np.array([*p, 1 / (every.v + 1)]))) for _, b, p in every.estimates(w))
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(w), sum(every.one[x] > 0 for x in w), every.n)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], full, rel_tol=1e-6), i
 
 
@@ -192,13 +207,13 @@ def test_lm_beats_its_base_on_held_out_texts(spark):
 
 def test_em_finds_the_mixture():
     rng = np.random.default_rng(0)
-    w = np.array([0.1, 0.3, 0.6])
-    keys = Counter()
-    for _ in range(4000):
-        # three disjoint outcomes, each possible under one component only
-        k = rng.choice(3, p=w)
-        keys[(3 << 16) + (0 if k < 2 else 1 << 8) + (1 if k == 1 else 0)] += 1
-    got = ngrams.learn(sorted(keys.items()), 9)[3]
-    assert abs(got[2] - 0.6) < 0.07 and got.sum() == pytest.approx(1)
-
-
+    w = np.array([0.1, 0.2, 0.3, 0.4])
+    rows = np.zeros((4000, 3))
+    for k in range(4000):
+        # outcomes that are possible under one component only (and, as always, under the uniform one, which is tiny here)
+        c = rng.choice(4, p=w)
+        if c < 3:
+            rows[k, c] = 1.0
+    keys, times = np.unique(ngrams.histogram_keys(np.full(4000, 43), list(rows.T)), return_counts=True)
+    got = ngrams.learn(keys, times.astype(float), 10**9)[43]
+    assert np.abs(got - w).max() < 0.05 and got.sum() == pytest.approx(1)

@@ -20,6 +20,21 @@ def test_components_of_long_and_dense_graphs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_extreme_components(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.0001e200], 1), (3, [1e-200, 1e-200], 1), (4, [5e-324, 5e-324], 1), (5, [1e308, 0.0], 1), (6, [1e-308, 1e300], 1), (7, [2.0, 2.0], 2)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6), 7: (0, 7)}
+
+
+def test_cells_prune_what_is_far(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(24, 6))
+    x = vectors.unit(base[rng.integers(0, 24, 4000)] + rng.normal(scale=0.05, size=(4000, 6)))
+    home, row, _ = vectors._cells(x, vectors.spherical_kmeans(x, 16), math.sqrt(2 - 2 * 0.98))
+    sizes = np.bincount(home, minlength=16)
+    assert len(row) < 2 * len(x) and (sizes**2).sum() < 0.3 * len(x) ** 2
+
+
 def brute_vectors(rows, threshold):
     good = [(i, np.array(e, float), lab) for i, e, lab in rows if i is not None and lab is not None and e and all(x is not None and math.isfinite(x) for x in e) and any(e)]
     links = set()

@@ -1,6 +1,7 @@
 """Mixing, decontamination, personal data, licences, chat formatting and tokenising against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -31,44 +32,77 @@ def test_tokens(monkeypatch, table, pattern):
 # ---- mixing
 
 
-def test_apportionment():
-    def brute(votes, seats, caps):
-        won = [0] * len(votes)
-        for _ in range(seats):
-            best = max((i for i in range(len(votes)) if won[i] < caps[i] and votes[i] > 0), key=lambda i: (votes[i] / (2 * won[i] + 1), -i), default=None)
-            if best is None:
-                break
-            won[best] += 1
-        return won
-
-    rng = random.Random(1)
-    for _ in range(150):
-        n = rng.randint(1, 7)
-        votes, caps, seats = [float(rng.choice([0, rng.randint(1, 900)])) for _ in range(n)], [rng.randint(0, 60) for _ in range(n)], rng.randint(0, 120)
-        assert mixing.sainte_lague(votes, seats, caps) == brute(votes, min(seats, sum(c for v, c in zip(votes, caps, strict=True) if v > 0)), caps)
-
-
-def test_targets_stop_at_the_cap():
-    assert mixing.targets([100, 100, 100], [1, 2, 3], 300, 3) == [50.0, 100.0, 150.0]
-    assert mixing.targets([10, 1000, 10], [1, 2, 3], 1020, 3) == [30.0, 960.0, 30.0]
-    assert mixing.targets([0, 0], [1, 2], 0, 3) == [0.0, 0.0] and mixing.targets([], [], 0, 3) == []
+def brute_targets(sizes, weights, total, most):
+    out, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(total)
+    while open_:
+        weight = sum(weights[i] for i in open_)
+        above = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
+        if not above:
+            for i in open_:
+                out[i] = left * weights[i] / weight
+            break
+        for i in above:
+            out[i] = float(most * sizes[i])
+            left -= out[i]
+        open_ = [i for i in open_ if i not in above]
+    return out
+
+
+@pytest.mark.parametrize(("sizes", "share"), [([100, 100, 100], 1.0), ([10, 1000, 10], 1.0), ([0, 0], 1.0), ([], 1.0), ([1, 2, 3, 500, 4, 0, 7000], 1.0), ([5, 5, 5], 3.0), ([5, 50, 5], 2.5)])
+def test_targets_stop_at_the_cap(spark, sizes, share):
+    rows = spark.createDataFrame([(f"s{i:02}", f"s{i:02}", n) for i, n in enumerate(sizes)], "key string, source string, source_size long")
+    got = [r["target"] for r in mixing.targets(rows, (1, 2, 3), share, 3).orderBy("n").collect()]
+    assert got == brute_targets(sizes, [1.0 + i % 3 for i in range(len(sizes))], sum(sizes) * share, 3)
+
+
+def brute_highest_quotients(votes, least):
+    """Seats by all quotients v / 1, v / 3, v / 5, ... of at least `least`."""
+    return [sum(v / (2 * k + 1) >= least for k in range(int(v / least) + 2)) for v in votes]
+
+
+def test_quotas_are_the_highest_quotients(spark):
+    words = [1000, 1700, 64, 3333, 0, 905]
+    shards = spark.createDataFrame([("=a", i, w) for i, w in enumerate(words)] + [("=b", 0, 7)], "key string, shard long, words long")
+    goals = spark.createDataFrame([("=a", sum(words), 4321.0), ("=b", 7, 21.0)], "key string, source_size long, target double")
+    got = {(r["key"], r["shard"]): r for r in mixing.plan(shards, goals, 3, 100, 1).collect()}
+    votes = [4321.0 * w / sum(words) for w in words]
+    assert [got["=a", i]["quota"] for i in range(len(words))] == brute_highest_quotients(votes, 50.0)
+    given = [r["passes"] * r["words"] + r["rest"] for r in got.values() if r["key"] == "=a"]
+    assert sum(given) == 4321 and all(r["from"] % 100 == 0 and 0 <= r["rest"] <= r["words"] for r in got.values())
+    assert (got["=b", 0]["passes"], got["=b", 0]["rest"]) == (3, 0)
+
+
+def mixed_right(rows, got, most=3):
+    names = sorted({r[2] for r in rows if r[2] is not None}) + [None] * any(r[2] is None for r in rows)
+    size, taken = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+    for _, t, s in rows:
+        size[s] += len(SPACE.findall(t or ""))
+    want = dict(zip(names, brute_targets([size[n] for n in names], [1.0 + i % 3 for i in range(len(names))], sum(size.values()), most), strict=True))
+    for r in got:
+        assert r["source_size"] == size[r["source"]] and r["target"] == want[r["source"]] and 0 <= r["taken"] <= most * r["size"], r
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[n] - want[n]) <= 0.5 for n in names)
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("shard_rows", [16_384, 100, 3])
+def test_mix(spark, shard_rows):
     rng = random.Random(2)
-    rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "a", "a", "b", "c", "ä", "Z", None])) for i in range(900)] + [(5, "w w", "a"), (None, "w w w", "b"), (7, None, "b"), (8, "x", "tiny")]
+    rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "a", "a", "b", "c", "ä", "Z", "", None])) for i in range(900)] + [(5, "w w", "a"), (5, "w w", "a"), (None, "w w w", "b"), (7, None, "b"), (8, "x", "tiny")]
     docs = documents(spark, rows)
-    got = mixing.mix(docs, shard_rows=100).collect()
-    assert len(got) == len(rows) and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7), shard_rows=100).collect()), key=str)
-    names = sorted({r[2] for r in rows if r[2] is not None}) + [None]
-    size = {n: sum(len(SPACE.findall(t or "")) for _, t, s in rows if s == n) for n in names}
-    want = dict(zip(names, mixing.targets([size[n] for n in names], [float(1 + i % 3) for i in range(len(names))], sum(size.values()), 3), strict=True))
-    for n in names:
-        own = [r for r in got if r["source"] == n]
-        assert all(r["source_size"] == size[n] and r["target"] == want[n] and 0 <= r["taken"] <= 3 * r["size"] for r in own)
-        assert abs(sum(r["taken"] for r in own) - want[n]) <= max(10, 0.02 * want[n]), n
+    got = mixing.mix(docs, shard_rows=shard_rows, max_block=64, blocks=400).collect()
+    assert len(got) == len(rows) and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7), shard_rows=shard_rows, max_block=64, blocks=400).collect()), key=str)
+    mixed_right(rows, got)
+
+
+def test_mix_of_nothing(spark):
+    docs = documents(spark, [(1, "", "a"), (2, None, None)])
+    assert {(r["taken"], r["target"]) for r in mixing.mix(docs).collect()} == {(0, 0.0)}
     assert mixing.mix(docs.limit(0)).count() == 0
-    assert {r["taken"] for r in mixing.mix(documents(spark, [(1, "", "a"), (2, None, None)])).collect()} == {0}
+
+
+def test_mix_of_many_small_sources(spark):
+    rows = [(3 * i + j, "w", f"s{i:05}") for i in range(5000) for j in range(3)]
+    mixed_right(rows, mixing.mix(documents(spark, rows, extra=False)).collect())
 
 
 # ---- decontamination
@@ -91,8 +125,8 @@ def brute_hits(text, items, size=10):
     return len(words), len(hit), ids, near - ids
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 400])
-def test_benchmark_matches(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "segment_bytes"), [(1 << 24, 2 << 20), (400, 900)])
+def test_benchmark_matches(spark, block_bytes, segment_bytes):
     rng = random.Random(6)
     found = texts(60, seed=5)
     long_ones = [t for t in found if t and len(t.split()) > 30]
@@ -102,7 +136,7 @@ def test_benchmark_matches(spark, block_bytes):
     docs = list(enumerate(found)) + [(900, " ".join(changed)), (901, "!!" + long_ones[1].upper()), (3, found[3]), (None, "one two")]
     rng.shuffle(docs)
     bench = spark.createDataFrame([(*x, 0) for x in items], "item_id long, text string, doc_id long")
-    got = decontaminate.decontaminate(documents(spark, docs), bench, block_bytes=block_bytes).collect()
+    got = decontaminate.decontaminate(documents(spark, docs), bench, block_bytes=block_bytes, segment_bytes=segment_bytes).collect()
     assert len(got) == len(docs)
     by = {}
     for r in got:
@@ -118,6 +152,35 @@ def test_benchmark_matches(spark, block_bytes):
     assert {r["n_hit"] for r in decontaminate.decontaminate(documents(spark, docs), bench.limit(0)).collect()} == {0}
 
 
+def test_an_index_holds_every_token(monkeypatch):
+    found = texts(50, seed=9)
+    part = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([7] * 50, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "row_key", "text"])
+    row = decontaminate._segment(part).to_pylist()[0]
+    terms, ends = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["doc_end"], np.int64)
+    positions, first, last = decontaminate._postings(row, terms)
+    begin = np.r_[0, ends[:-1] + 1]
+    got = {}
+    for t, a, z in zip(terms.tolist(), first.tolist(), last.tolist(), strict=True):
+        for p in positions[a:z].tolist():
+            d = int(np.searchsorted(ends, p, "left"))
+            got[d, p - int(begin[d])] = t
+    want = {(d, i): textcore.word_hash(w, textcore.ALNUM)[0] for d, t in enumerate(found) for i, w in enumerate(ALNUM.findall(low(t)))}
+    assert got == want
+    query = decontaminate.windows([(i, found[i]) for i in range(20, 40)], 10)
+    whole = decontaminate._search_segment(row, query, 2)
+    monkeypatch.setattr(decontaminate, "CANDIDATES", 3)
+    assert decontaminate._search_segment(row, query, 2) == whole
+
+
+def test_cost_follows_the_hits():
+    """A block of many windows that a segment does not hold opens no posting list."""
+    rng = random.Random(1)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(300)]
+    query = decontaminate.windows(items, 10)
+    terms = np.sort(np.unique(textcore.tokenize(pa.array(["quite other words " * 50]), textcore.ALNUM)[0]))
+    assert len(query.grams) == 300 * 191 and list(decontaminate._locate(terms, lambda: pytest.fail("opened"), 500, query, 2)) == []
+
+
 # ---- personal data
 
 
@@ -141,7 +204,7 @@ def test_base_patterns():
 
 
 def test_tagger_gradients():
-    model, rng = tagger.Tagger(4, 3), np.random.default_rng(0)
+    model, rng = tagger.Tagger(4, 3, dtype=np.float64), np.random.default_rng(0)
     codes, tags = rng.integers(0, tagger.N_CODES, (3, 7)), rng.integers(0, tagger.N_TAGS, (3, 7))
     _, g = model.loss(codes, tags)
     for k, p in model.p.items():
@@ -154,30 +217,54 @@ def test_tagger_gradients():
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-5
 
 
+def test_viterbi_and_marginals_by_enumeration():
+    model, rng = tagger.Tagger(4, 3, dtype=np.float64), np.random.default_rng(1)
+    model.p["trans"][:] = rng.normal(size=model.p["trans"].shape)
+    codes = rng.integers(0, tagger.N_CODES, (1, 3))
+    e, trans, first = model._emissions(codes)[0][:, 0], model.p["trans"], model.p["first"]
+    score = {s: first[s[0]] + sum(e[t, k] for t, k in enumerate(s)) + sum(trans[a, b] for a, b in zip(s, s[1:], strict=False)) for s in itertools.product(range(tagger.N_TAGS), repeat=3)}
+    best, total = max(score, key=score.get), sum(np.exp(v) for v in score.values())
+    tags, sure = model.decode(codes)
+    assert tuple(tags[0]) == best
+    assert np.allclose(sure[0], [sum(np.exp(v) for s, v in score.items() if s[t] == best[t]) / total for t in range(3)])
+
+
 def test_tagger_reads_whole_addresses():
-    found = ["jane.doe [at] universitydept [dot] edu", "bob [at] somewords [dot] example [dot] com", "firstname.secondname.lastname [at] mail [dot] org"]
+    found = ["jane.doe [at] universitydept [dot] edu", "firstname.secondname.lastname [at] mail [dot] org"]
     for address in found:
         text = f"please write to {address} now"
         assert pii.find([text], pii.trained())[1] == [[("email", 16, 16 + len(address))]], address
-    others = ["name at example dot com", f"{'long.' * 20}name (at) {'department' * 9} (dot) edu", f"4111{' ' * 50}1111{' ' * 50}1111{' ' * 50}1111", f"10{' ' * 50}.{' ' * 50}0.0.1"]
-    for span, kind in zip([*found, *others], ["email"] * 5 + ["card", "ip"], strict=True):
+    others = ["name at example dot com", f"{'long.' * 20}name (at) {'department' * 9} (dot) edu", f"4111{' ' * 50}1111{' ' * 50}1111{' ' * 50}1111", f"10{' ' * 50}.{' ' * 50}0.0.1", 'key = "abcdefgh"']
+    for span in [*found, *others]:
         text = f"{'word ' * 30}{span}{' word' * 30}"
         start = text.index(span)
-        assert pii.plausible(kind, span), span
         assert any(lo <= start and start + len(span) <= hi for _, lo, hi in pii.regions(text, 0)), span
     assert pii.regions("no span here " * 50, 0) == []
 
 
 def test_tagger_on_unseen_spellings():
+    """Spans that no base pattern finds: of each kind at least so many are found whole, and few others are added."""
     model = pii.trained()
-    examples = pii.labelled_examples(300, seed=77)
+    examples = pii.labelled_examples(500, seed=77)
     base, added = pii.find([t for t, _ in examples], model)
-    missed = [(gold - set(b), set(a)) for (_, spans), b, a in zip(examples, base, added, strict=True) for gold in [set(spans)]]
-    hit, total, wrong = sum(len(m & a) for m, a in missed), sum(len(m) for m, _ in missed), sum(len(a - m) for m, a in missed)
-    assert hit >= 0.75 * total and wrong <= 0.1 * hit, (hit, total, wrong)
+    missed = [(set(spans) - set(b), set(a)) for (_, spans), b, a in zip(examples, base, added, strict=True)]
+    for kind, share in {"email": 0.75, "ip": 0.9, "card": 0.9, "phone": 0.65, "secret": 0.9}.items():
+        total = sum(s[0] == kind for m, _ in missed for s in m)
+        assert total > 30 and sum(s[0] == kind for m, a in missed for s in m & a) >= share * total, kind
+    hit, wrong = sum(len(m & a) for m, a in missed), sum(len(a - m) for m, a in missed)
+    assert wrong <= 0.06 * hit, (hit, wrong)
     clean, extra = pii.find(["nothing here", "version 2.0 of 2024-01-15, 12 of 40 at 10:30", "", "see you at 5 dot"], model)
     assert not any(clean) and not any(extra)
-    assert pii.find(["mail ann.lee [at] host [dot] org now"], model)[1] == [[("email", 5, 32)]]
+
+
+def test_added_spans_on_documents(spark):
+    """On whole documents: every planted token is found, and nothing else is added."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    found = [r["text"] or "" for r in rows]
+    _, added = pii.find(found, pii.trained())
+    want = sorted((i, *m.span(1)) for i, t in enumerate(found) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t))
+    assert len(want) > 5 and sorted((i, a, z) for i, x in enumerate(added) for kind, a, z in x if kind == "secret") == want
+    assert sum(kind != "secret" for x in added for kind, _, _ in x) <= 2
 
 
 def test_long_texts_are_read_to_the_end(spark):
@@ -209,6 +296,11 @@ def test_licence_places(spark):
         assert (r["n_words"], [(b["label"], b["start"]) for b in r["base"]]) in want[r["doc_id"]], r
     by = {r["doc_id"]: r for r in got}
     assert {o["label"] for o in by[902]["own"]} == {"mit-notice", "bsd-notice"} and not by[903]["own"] and 0 < by[903]["score"] < 0.8
+    whole = licenses.TEXTS["mit-text"]
+    some = documents(spark, [(1, f"x y z {whole} tail"), (2, whole.replace("furnished", "given").replace("SOFTWARE IS", "PROGRAM IS")), (3, " ".join(w + " so" for w in whole.split())), (4, " ".join(sorted(whole.split())))])
+    found = {r["doc_id"]: {o["label"]: (o["start"], o["end"]) for o in r["own"]} for r in licenses.scan(some).collect()}
+    size = len(re.findall("[a-z0-9]+", whole.lower()))
+    assert found[1]["mit-text"] == (3, 3 + size) and "mit-text" in found[2] and not found[3] and not found[4]
     assert all(0 <= r["score"] <= 1 for r in got) and licenses.scan(documents(spark, rows).limit(0)).count() == 0
     plan = licenses.scan(documents(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
