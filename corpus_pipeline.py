@@ -10,19 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, jaccard, mixing, pii, quality
-from lectern.llm.common import materialize, read_table
+from lectern.llm.common import materialize, read_table, small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Ids that are broadcast at most; more of them are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 #: Near duplicates: words a shingle, and the least similarity num / den.
 NEAR = {"k": 5, "num": 80, "den": 100}
 
 
 def _without(docs: DataFrame, rows: DataFrame, on) -> DataFrame:
-    """docs without those that match rows, which are broadcast only up to BROADCAST_ROWS."""
-    few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(rows) if few else rows, on, "left_anti")
+    """docs without those that match rows, which are broadcast only if they are few."""
+    return docs.join(small(rows), on, "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +28,36 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model, keep=COLUMNS[1:]).filter("predicted = 1").select(*COLUMNS)
 
 
+def _nodes(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with `node`, which tells all different (id, text) apart: the id itself, or for rows of a repeated or null id a
+    number beyond all ids, equal rows being one; and whether there are such rows."""
+    ids = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").select(F.col("doc_id").alias("odd_id"))
+    ids = materialize(ids, "odd-ids")
+    if ids.isEmpty():
+        return docs.select(*COLUMNS, F.col("doc_id").alias("node")), False
+    few, on = small(ids), F.col("doc_id").eqNullSafe(F.col("odd_id"))
+    odd = docs.join(few, on, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    odd = materialize(odd.select("doc_id", "text", "rest.*", F.monotonically_increasing_id().alias("k")), "odd-rows")
+    ends = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).alias("top"), F.coalesce(F.min("doc_id"), F.lit(0)).alias("low")).first()
+    node = F.col("k") + F.lit(ends["top"] + 1) if ends["top"] < 1 << 62 else F.lit(ends["low"] - 1) - F.col("k")
+    single = docs.join(few, on, "left_anti").select(*COLUMNS, F.col("doc_id").alias("node"))
+    return materialize(single.unionByName(odd.select(*COLUMNS, node.alias("node"))), "nodes"), True
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, that of the smallest id; documents without id stay.
-
-    Documents link at NEAR: five words a shingle and a similarity of 0.8 (op10's contract is stricter)."""
-    classes = materialize(jaccard.similarity_join(docs, **NEAR).select("doc_id", "component_id").filter("doc_id is not null"), "classes")
-    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = _without(docs, gone, F.col("doc_id") == F.col("gone"))
-    again = classes.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("twice"))
-    if again.isEmpty():
-        return kept.select(*COLUMNS)
-    # rows that share an id are one document: of each such id one row stays
-    first = kept.join(again, F.col("doc_id") == F.col("twice"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
-    return _without(kept, again, F.col("doc_id") == F.col("twice")).select(*COLUMNS).unionByName(first.select(*COLUMNS))
+    """One document of each group of linked documents stays, that of the smallest id (null last).
+
+    Documents link at NEAR: five words a shingle and a similarity of 0.8 (op10's contract is stricter). Rows of one id
+    with different texts are different documents, equal rows are one."""
+    rows, odd = _nodes(docs)
+    classes = materialize(jaccard.similarity_join(rows.select(F.col("node").alias("doc_id"), "text"), **NEAR).select("doc_id", "component_id"), "classes")
+    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    if odd:
+        # numbers beyond the ids say nothing of the ids' order
+        named = classes.join(rows.select(F.col("node").alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+        first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))["doc_id"].alias("first"))
+        gone = classes.join(first, "component_id").filter("doc_id <> first").select(F.col("doc_id").alias("gone"))
+    return _without(rows, gone, F.col("node") == F.col("gone")).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
