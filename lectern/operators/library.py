@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.schema import CLIPPINGS_TITLE, CLIPPINGS_URL, conform
+from lectern.shared import numbered
 
 
 def _listed() -> Column:
@@ -124,9 +125,11 @@ def tags_for_article(article_tags: DataFrame, tags: DataFrame, article_id: int |
 # ---- state changes: each returns the table's next version
 
 
-def set_flag(articles: DataFrame, ids: DataFrame, flag: str, value: bool | None) -> DataFrame:
-    """Sets a flag of the articles in ids (column id); None toggles it."""
+def set_flag(articles: DataFrame, ids: DataFrame, flag: str, value: bool | None, strict: bool = False) -> DataFrame:
+    """Sets a flag of the articles in ids (column id); None toggles it. With strict an id that is not there is an error."""
     mark = ids.select(F.col("id").alias("marked")).distinct()
+    if strict and not mark.join(articles, F.col("id") == F.col("marked"), "left_anti").isEmpty():
+        raise KeyError("no such article")
     new = ~F.col(flag) if value is None else F.lit(value)
     return articles.join(mark, F.col("id") == F.col("marked"), "left").withColumn(flag, F.when(F.col("marked").isNotNull(), new).otherwise(F.col(flag))).drop("marked")
 
@@ -145,25 +148,20 @@ def add_feed(feeds: DataFrame, urls: DataFrame, now: int) -> DataFrame:
 
 
 def number(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with n = 1, 2, ... in the given order, without gathering them in one task: partition offsets are added."""
-    from pyspark.sql.window import Window
+    """rows with n = 1, 2, ... in the given order; the sorted rows are written once (see shared.numbered)."""
+    return numbered(rows, [F.col(c) for c in order]).withColumn("n", F.col("n") + 1)
 
-    sorted_ = rows.orderBy(*order).withColumn("p", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id())
-    sizes = sorted_.groupBy("p").count()
-    before = sizes.withColumn("before", F.sum("count").over(Window.orderBy("p")) - F.col("count")).select("p", "before")
-    within = F.row_number().over(Window.partitionBy("p").orderBy("k"))
-    return sorted_.withColumn("w", within).join(before, "p").withColumn("n", (F.col("w") + F.col("before")).cast("long")).drop("p", "k", "w", "before")
 
-
-def remove_feed(target: str | int, feeds: DataFrame, articles: DataFrame, selections: DataFrame, article_tags: DataFrame) -> dict[str, DataFrame]:
-    """Removes a feed by id or address, never the hidden one, and all that hangs on it."""
+def remove_feed(target: str | int, feeds: DataFrame, articles: DataFrame, selections: DataFrame, article_tags: DataFrame, article_ai: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Removes a feed by id or address, never the hidden one, and all that hangs on it (article_ai too, if given)."""
     by_id = str(target).lstrip("-").isdigit()
     gone = feeds.filter((F.col("id") == int(target) if by_id else F.col("url") == target) & _listed()).select(F.col("id").alias("gone"))
     feeds2 = feeds.join(gone, F.col("id") == F.col("gone"), "left_anti")
     articles2 = articles.join(gone, F.col("feed_id") == F.col("gone"), "left_anti")
     dead = articles.join(gone, F.col("feed_id") == F.col("gone"), "left_semi").select(F.col("id").alias("dead"))
     on = F.col("article_id") == F.col("dead")
-    return {"feeds": feeds2, "articles": articles2, "article_selections": selections.join(dead, on, "left_anti"), "article_tags": article_tags.join(dead, on, "left_anti")}
+    out = {"feeds": feeds2, "articles": articles2, "article_selections": selections.join(dead, on, "left_anti"), "article_tags": article_tags.join(dead, on, "left_anti")}
+    return out if article_ai is None else out | {"article_ai": article_ai.join(dead, on, "left_anti")}
 
 
 def set_interval(feeds: DataFrame, feed_id: int, seconds: int) -> DataFrame:
@@ -240,6 +238,21 @@ def split_tag_draft(draft: Column) -> Column:
     return F.filter(F.transform(F.split(draft, "[,，\n]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) > 0)
 
 
+def article(articles: DataFrame, article_id: int) -> DataFrame:
+    """The article of an id, or nothing."""
+    return articles.filter(F.col("id") == article_id)
+
+
+def feed(feeds: DataFrame, target: str | int) -> DataFrame:
+    """The feed of an id or address, or nothing."""
+    return feeds.filter(F.col("id") == int(target) if str(target).lstrip("-").isdigit() else F.col("url") == target)
+
+
+def article_ai(stored: DataFrame, article_id: int) -> DataFrame:
+    """Summary and translation of an article, or nothing."""
+    return stored.filter(F.col("article_id") == article_id)
+
+
 def check_selections(rows: DataFrame) -> DataFrame:
     """New selections trimmed and validated: `error` is null where a row may be stored.
 

@@ -168,7 +168,7 @@ def index_bodies(resources: DataFrame, categories: DataFrame, tags: DataFrame, s
     s = snapshots.select(F.col("id").alias("latest_snapshot_id"), "cleaned_content")
     rows = resources.join(c, F.col("id") == c["resource_id"], "left").drop("resource_id").join(t, F.col("id") == t["resource_id"], "left").join(s, "latest_snapshot_id", "left")
     text = lambda x: F.coalesce(x, F.lit(""))
-    parts = [text(F.col(x)) for x in ("title", "url", "purpose_zh", "use_when_zh")] + [F.to_json(x) for x in ("capabilities", "limitations", "languages")] + [text(F.col(x)) for x in ("private_note", "c", "t", "cleaned_content")]
+    parts = [text(F.col(x)) for x in ("title", "url", "purpose_zh", "use_when_zh")] + [F.coalesce(F.to_json(x), F.lit("[]")) for x in ("capabilities", "limitations", "languages")] + [text(F.col(x)) for x in ("private_note", "c", "t", "cleaned_content")]
     body = parts[0]
     for p in parts[1:]:
         body = F.concat(body, F.lit("\n"), p)
@@ -185,7 +185,7 @@ def evidence_snippet(text: Column, query: str) -> Column:
 
 def _haystack(snapshot: Column) -> Column:
     e = lambda c: F.coalesce(F.col(c), F.lit(""))
-    parts = [e("title"), e("url"), e("purpose_zh"), e("use_when_zh"), *(F.array_join(c, " ") for c in ("capabilities", "limitations", "languages")), F.coalesce(snapshot, F.lit(""))]
+    parts = [e("title"), e("url"), e("purpose_zh"), e("use_when_zh"), *(F.coalesce(F.array_join(c, " "), F.lit("")) for c in ("capabilities", "limitations", "languages")), F.coalesce(snapshot, F.lit(""))]
     out = parts[0]
     for p in parts[1:]:
         out = F.concat(out, F.lit(" "), p)
@@ -229,20 +229,122 @@ def search_articles(articles: DataFrame, feeds: DataFrame, query: str, limit: in
     return hits.select("id", "url", "title", F.when(F.col("clip"), "web_clipping").otherwise("article").alias("kind"), F.lit(1.0).alias("score"), evidence_snippet(F.concat_ws(" ", "title", "content"), query).alias("snippet"), "at")
 
 
-def search(resources: DataFrame, snapshots: DataFrame | None, articles: DataFrame, feeds: DataFrame, query: str, limit: int, every: bool = False, strict: bool = False) -> DataFrame:
-    """Resources, then articles, cut to limit together: result_type, id, url, title, score, snippet."""
+def _ranked(resources: DataFrame, snapshots: DataFrame | None, articles: DataFrame, feeds: DataFrame, query: str, limit: int, every: bool, strict: bool) -> DataFrame:
+    """Resources, then articles, cut to limit together, with the columns o1 and o2 of their order."""
     r = search_resources(resources, snapshots, query, limit, strict).select(F.lit(0).alias("part"), F.lit("resource").alias("result_type"), "id", "url", "title", "score", "snippet", F.coalesce("manual_rating", F.lit(0)).alias("o1"), F.col("updated_at").alias("o2"))
     a = search_articles(articles, feeds, query, limit, every).select(F.lit(1).alias("part"), F.lit("article").alias("result_type"), "id", "url", "title", "score", "snippet", F.lit(0).cast("long").alias("o1"), F.col("at").alias("o2"))
-    return r.unionByName(a).orderBy("part", F.desc("o1"), F.desc("o2"), F.desc("id")).limit(limit).drop("part", "o1", "o2")
+    return r.unionByName(a).orderBy("part", F.desc("o1"), F.desc("o2"), F.desc("id")).limit(limit)
+
+
+def search(resources: DataFrame, snapshots: DataFrame | None, articles: DataFrame, feeds: DataFrame, query: str, limit: int, every: bool = False, strict: bool = False) -> DataFrame:
+    """Resources, then articles, cut to limit together: result_type, id, url, title, score, snippet."""
+    return _ranked(resources, snapshots, articles, feeds, query, limit, every, strict).drop("part", "o1", "o2")
+
 
+_STRINGS = "array<string>"
+_TAGS = "array<struct<name:string,language:string,source:string>>"
+#: Fields of a result, in the order in which they are printed.
+RESULT = (
+    "id", "result_type", "url", "title", "kind", "categories", "tags", "purpose_zh", "use_when_zh", "capabilities", "limitations", "pricing", "requires_login", "private_note", "matched_fields", "evidence_snippets",
+    "updated_at", "last_checked_at", "status", "score", "score_factors",
+)
 
-def to_json_rows(resources: DataFrame, categories: DataFrame, tags: DataFrame) -> DataFrame:
-    """(id, json): a resource as the command line prints it, with its categories and tags nested."""
+
+def _text_id(c: str) -> Column:
+    return F.col(c).cast("string")
+
+
+def score_factors(rating: Column) -> Column:
+    """What a resource's score is made of."""
+    return F.array(F.lit("text_match"), F.when(rating.isNotNull(), "manual_rating_boost").otherwise("no_rating_boost"))
+
+
+def resource_results(resources: DataFrame, categories: DataFrame, tags: DataFrame, field: Column, snippet: Column, score: Column) -> DataFrame:
+    """Resources as results: the columns RESULT, with categories and tags nested, ids as texts and times in RFC 3339."""
     c = categories.groupBy("resource_id").agg(F.array_sort(F.collect_list("category")).alias("categories"))
     t = tags.groupBy("resource_id").agg(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), "name", "language", "source"))).alias("tags"))
-    rows = resources.join(c, F.col("id") == c["resource_id"], "left").drop("resource_id").join(t, F.col("id") == t["resource_id"], "left").drop("resource_id")
-    nested = F.transform(F.coalesce("tags", F.array().cast("array<struct<k:string,name:string,language:string,source:string>>")), lambda x: F.struct(x["name"].alias("name"), x["language"].alias("language"), x["source"].alias("source")))
-    return rows.select("id", F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.lit("resource").alias("result_type"), "url", "title", "kind", F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), nested.alias("tags"), "purpose_zh", "use_when_zh", "capabilities", "limitations", "pricing", "requires_login", "languages", "status", rfc3339(F.col("updated_at")).alias("updated_at")), {"ignoreNullFields": "false"}).alias("json"))
+    rows = resources.join(c.withColumnRenamed("resource_id", "c_id"), F.col("id") == F.col("c_id"), "left").join(t.withColumnRenamed("resource_id", "t_id"), F.col("id") == F.col("t_id"), "left")
+    nested = F.transform("tags", lambda x: F.struct(x["name"].alias("name"), x["language"].alias("language"), x["source"].alias("source")))
+    note = F.when(F.col("private_note").isNotNull(), F.struct(F.col("private_note").alias("value"), F.lit("local_private_note").alias("source")))
+    evidence = F.array(F.struct(field.alias("source_type"), _text_id("latest_snapshot_id").alias("snapshot_id"), _text_id("linked_article_id").alias("article_id"), snippet.alias("text")))
+    sets = {
+        "result_type": F.lit("resource"), "categories": F.coalesce("categories", F.array().cast(_STRINGS)), "tags": F.coalesce(nested, F.array().cast(_TAGS)), "private_note": note, "matched_fields": F.array(field), "evidence_snippets": evidence,
+        "score": score.cast("double"), "score_factors": score_factors(F.col("manual_rating")), "id": _text_id("id"), **{c: F.coalesce(c, F.array().cast(_STRINGS)) for c in ("capabilities", "limitations")}, "updated_at": rfc3339(F.col("updated_at")), "last_checked_at": rfc3339(F.col("last_checked_at")),
+    }
+    return rows.select(*(sets[f].alias(f) if f in sets else F.col(f) for f in RESULT))
+
+
+def article_results(articles: DataFrame, feeds: DataFrame, query: str) -> DataFrame:
+    """Articles as results: the columns RESULT, those that only resources have being null or empty."""
+    kinds = feeds.select(F.col("id").alias("f_id"), (F.col("url") == CLIPPINGS_URL).alias("clip"))
+    rows = articles.join(kinds, F.col("feed_id") == F.col("f_id"))
+    text = evidence_snippet(F.coalesce("content", F.lit("")), query)
+    none = F.lit(None).cast("string")
+    evidence = F.array(F.struct(F.lit("article").alias("source_type"), none.alias("snapshot_id"), _text_id("id").alias("article_id"), text.alias("text")))
+    empty = F.array().cast(_STRINGS)
+    sets = {
+        "id": _text_id("id"), "result_type": F.lit("article"), "kind": F.when(F.col("clip"), "web_clipping").otherwise("article"), "categories": empty, "tags": F.array().cast(_TAGS), "purpose_zh": none, "use_when_zh": none,
+        "capabilities": empty, "limitations": empty, "pricing": none, "requires_login": F.lit(None).cast("boolean"), "private_note": F.lit(None).cast("struct<value:string,source:string>"), "matched_fields": F.array(F.lit("article_text")),
+        "evidence_snippets": evidence, "updated_at": rfc3339(F.col("fetched_at")), "last_checked_at": none, "status": F.lit("active"), "score": F.lit(1.0), "score_factors": F.array(F.when(F.col("starred"), "starred").otherwise("web_clipping")),
+    }
+    return rows.select(*(sets[f].alias(f) if f in sets else F.col(f) for f in RESULT))
+
+
+def _json() -> Column:
+    return F.to_json(F.struct(*RESULT), {"ignoreNullFields": "false"})
+
+
+def search_json(resources: DataFrame, snapshots: DataFrame | None, categories: DataFrame, tags: DataFrame, articles: DataFrame, feeds: DataFrame, query: str, limit: int, every: bool = False, strict: bool = False) -> DataFrame:
+    """(rank, json): the results of a search as they are printed, best first."""
+    ranked = _ranked(resources, snapshots, articles, feeds, query, limit, every, strict)
+    # at most `limit` rows
+    order = Window.orderBy("part", F.desc("o1"), F.desc("o2"), F.desc("id"))
+    ranked = ranked.select(F.row_number().over(order).alias("rank"), "result_type", F.col("id").alias("r_id"), F.col("score").alias("r_score"), F.col("snippet").alias("r_snippet"))
+    own = resources.join(F.broadcast(ranked.filter("result_type = 'resource'").drop("result_type")), F.col("id") == F.col("r_id"))
+    places = own.select(F.col("rank"), F.col("r_id").cast("string").alias("p_id"))
+    shown = resource_results(own, categories, tags, F.lit("multi_field"), F.col("r_snippet"), F.col("r_score"))
+    first = shown.join(places, F.col("id") == F.col("p_id")).select("rank", _json().alias("json"))
+    read = articles.join(F.broadcast(ranked.filter("result_type = 'article'").select("rank", "r_id")), F.col("id") == F.col("r_id"))
+    places = read.select("rank", F.col("r_id").cast("string").alias("p_id"))
+    then = article_results(read, feeds, query).join(places, F.col("id") == F.col("p_id")).select("rank", _json().alias("json"))
+    return first.unionByName(then).orderBy("rank")
+
+
+def to_json_rows(resources: DataFrame, categories: DataFrame, tags: DataFrame, field: str = "id") -> DataFrame:
+    """(id, json): resources as the command line prints them; field says why they are shown."""
+    snippet = F.col("url") if field == "url" else F.lit("")
+    rows = resource_results(resources, categories, tags, F.lit(field), snippet, F.lit(1.0))
+    return rows.select(F.col("id").cast("long").alias("id"), _json().alias("json"))
+
+
+def acceptance(found: DataFrame, accepted: DataFrame, most: int = 5) -> DataFrame:
+    """(query, url, rank, ok): whether the accepted address of each query is among its first results.
+
+    found: query, rank, url of the results of many queries; accepted: query, url."""
+    own = found.filter(F.col("rank") <= most).groupBy("query", "url").agg(F.min("rank").alias("rank"))
+    return accepted.join(own, ["query", "url"], "left").withColumn("ok", F.col("rank").isNotNull())
+
+
+def start_run(runs: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """The run log with a pending run for each row (resource_id, snapshot_id, provider, model, prompt_version, schema_version)."""
+    top = runs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    rows = number(new, ["resource_id", "snapshot_id"]).crossJoin(F.broadcast(top))
+    return runs.unionByName(conform(rows.withColumns({"id": F.col("top") + F.col("n"), "started_at": F.lit(now), "status": F.lit("pending")}), "resource_enrichment_runs"))
+
+
+def finish_run(runs: DataFrame, done: DataFrame, now: int) -> DataFrame:
+    """The run log after runs ended (id, status, error_code, error_message)."""
+    d = done.select(F.col("id").alias("d_id"), *(F.col(c).alias(f"d_{c}") for c in ("status", "error_code", "error_message")))
+    rows, hit = runs.join(d, F.col("id") == F.col("d_id"), "left"), F.col("d_id").isNotNull()
+    sets = {c: F.when(hit, F.col(f"d_{c}")).otherwise(F.col(c)) for c in ("status", "error_code", "error_message")}
+    return rows.withColumns(sets | {"finished_at": F.when(hit, F.lit(now).cast("long")).otherwise(F.col("finished_at"))}).select(*runs.columns)
+
+
+def record_usage(events: DataFrame, new: DataFrame) -> DataFrame:
+    """The usage log with further events (resource_id, event, occurred_at)."""
+    top = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    rows = number(new, ["occurred_at", "resource_id", "event"]).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("n"))
+    return events.unionByName(conform(rows, "resource_usage_events"))
 
 
 def usage_counts(events: DataFrame) -> DataFrame:

@@ -111,6 +111,17 @@ def search_library(rows: DataFrame, query: str, limit: int) -> DataFrame:
     return shown.orderBy("rank").select("kind", "source_id", "article_id", "feed_id", "title", "snippet", "timestamp", "archived")
 
 
+def search_and_record(rows: DataFrame, history: DataFrame, query: str, limit: int, now: int) -> tuple[DataFrame, DataFrame]:
+    """(hits, history) of one query. Every search that has a query and a limit counts, also one without hits; the history
+    keeps how many hits it showed."""
+    hits = search_library(rows, query, limit)
+    if not query.strip() or limit <= 0:
+        return hits, history
+    shown = hits.sparkSession.createDataFrame(hits.collect(), hits.schema)  # at most `limit` rows
+    use = shown.agg(F.count(F.lit(1)).alias("result_count")).select(F.lit(query).alias("query"), F.lit(now).cast("long").alias("used_at"), "result_count")
+    return shown, record_history(history, use)
+
+
 def snippet(body: Column, term: str, around: int = 17) -> Column:
     """A stretch around the first match, with ellipses where text is left out."""
     at = F.instr(F.lower(body), term.lower())
@@ -121,10 +132,9 @@ def snippet(body: Column, term: str, around: int = 17) -> Column:
 
 def trigram_postings(rows: DataFrame) -> DataFrame:
     """(trigram, kind, source_id): the distinct trigrams of each row's folded body."""
-    chars = rows.filter(F.length("body") >= 3).select("kind", "source_id", F.split(F.lower("body"), "").alias("c"))
-    at = lambda i: F.get("c", i)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("c") - 3), lambda i: F.concat(at(i), at(i + 1), at(i + 2))))
-    return chars.select("kind", "source_id", F.explode(grams).alias("trigram"))
+    # one pass over each body: a look-ahead takes three characters at every place (but not from the middle of one)
+    grams = F.regexp_extract_all(F.lower("body"), F.lit("(?s)(?=([^\\uDC00-\\uDFFF]..))"), F.lit(1))
+    return rows.select("kind", "source_id", F.explode(F.array_distinct(grams)).alias("trigram"))
 
 
 def trigram_candidates(postings: DataFrame, query: str) -> DataFrame:
@@ -168,13 +178,22 @@ def match_ranges(rows: DataFrame, query: str, keys: list[str], text: str) -> Dat
             lambda a, x: F.struct((a["at"] + x + len(t)).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out")), lambda a: a["out"],
         )
         found.append(F.transform(starts, _range(len(t))))
-    spans = rows.select(*keys, F.col(text).alias("_t"), F.explode(F.concat(*found)).alias("r")).select(*keys, "_t", "r.*")
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    spans = spans.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    spans = spans.withColumn("group", F.sum(F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), 1).otherwise(0)).over(order))
-    merged = spans.groupBy(*keys, "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("_t").alias("_t"))
-    at = lambda c: F.octet_length(F.substring("_t", F.lit(1), F.col(c))).cast("long")
-    return merged.select(*keys, at("start").alias("start"), at("end").alias("end"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    start = F.struct(none.alias("done"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("z"))
+    closed = lambda acc: F.array_append(acc["done"], F.struct(acc["a"].alias("start"), acc["z"].alias("end")))
+
+    def step(acc: Column, s: Column) -> Column:
+        """Ranges come by their start: each widens the open one, or closes it and opens the next."""
+        fresh = acc["z"].isNull() | (s["start"] > acc["z"])
+        done = F.when(fresh & acc["z"].isNotNull(), closed(acc)).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(fresh, s["start"]).otherwise(acc["a"]).alias("a"), F.when(fresh, s["end"]).otherwise(F.greatest(acc["z"], s["end"])).alias("z"))
+
+    merged = F.aggregate(F.array_sort(F.concat(*found)), start, step, lambda acc: F.when(acc["z"].isNull(), acc["done"]).otherwise(closed(acc)))
+    # in ASCII texts, characters and bytes are the same
+    plain = F.octet_length(text) == F.length(text)
+    at = lambda c: F.when(plain, c).otherwise(F.octet_length(F.substring(text, F.lit(1), c))).cast("long")
+    ranges = F.transform(merged, lambda r: F.struct(at(r["start"]).alias("start"), at(r["end"]).alias("end")))
+    return rows.select(*keys, F.explode(ranges).alias("r")).select(*keys, "r.*")
 
 
 def _range(size: int):

@@ -190,3 +190,74 @@ def time_formats(d: Domain) -> DataFrame:
     return d.raw("pages").select(F.col("page_id").alias("id"), scalars.rfc3339(at).alias("rfc3339"), scalars.minute(at).alias("minute"))
 
 
+
+
+@query(f"""SELECT id, CASE WHEN id % 5 = 0 THEN 'Edited ' || id ELSE title END AS title, CASE WHEN id % 5 = 0 THEN CASE WHEN id % 2 = 0 THEN 'by hand' END ELSE purpose_zh END AS purpose_zh,
+  CASE WHEN id % 10 = 0 THEN 'manual' ELSE purpose_source END AS purpose_source, CASE WHEN id % 5 = 0 THEN 4 ELSE manual_rating END AS manual_rating, CASE WHEN id % 5 = 0 THEN {EPOCH} ELSE updated_at END AS updated_at FROM resources""", "resources")
+def resource_manual_edits(d: Domain) -> DataFrame:
+    """Every fifth resource is edited by hand; edits of id 1 have a rating that is refused."""
+    i = F.col("id")
+    edits = d.resources().filter((i % 5 == 0) | (i == 1)).select("id", F.concat(F.lit("Edited "), i.cast("string")).alias("title"), F.when(i % 2 == 0, "by hand").alias("purpose_zh"), F.lit(None).cast("string").alias("private_note"), "privacy", F.when(i == 1, 9).otherwise(4).cast("long").alias("manual_rating"))
+    return res.update_manual(d.resources(), edits, EPOCH).select("id", "title", "purpose_zh", "purpose_source", "manual_rating", "updated_at")
+
+
+@query(f"""SELECT id, coalesce(title, CASE WHEN id % 3 = 0 THEN 'Fetched ' || id END) AS title, CASE WHEN id % 3 = 0 THEN {EPOCH} END AS last_checked_at,
+  CASE WHEN id % 7 = 0 THEN 'paid' END AS pricing FROM (SELECT id, CASE WHEN id % 4 <> 0 THEN title END AS title FROM resources)""", "resources")
+def resource_titles_and_content(d: Domain) -> DataFrame:
+    """Titles fetched for every third resource fill those that have none; every seventh gets a price, one an empty phrase."""
+    i = F.col("id")
+    rows = d.resources().withColumn("title", F.when(i % 4 != 0, F.col("title")))
+    rows = res.fill_title(rows, rows.filter(i % 3 == 0).select("id", F.concat(F.lit("Fetched "), i.cast("string")).alias("title")), EPOCH)
+    edits = rows.filter((i % 7 == 0) | (i == 1)).select("id", F.lit("paid").alias("pricing"), F.when(i == 1, F.array(F.lit(" "))).otherwise(F.array(F.lit("x"))).alias("limitations"))
+    return res.update_content(rows, edits, EPOCH).select("id", "title", "last_checked_at", "pricing")
+
+
+_KINDS = "(['tool', 'docs', 'nonsense'])[id % 3 + 1]"
+
+
+@query(f"""SELECT id AS source_id, md5(trim(coalesce(title, '') || chr(10) || url || chr(10) || coalesce(purpose_zh, '') || chr(10) || coalesce(use_when_zh, '') || chr(10) || '["' || capability || '"]' || chr(10) || '[]' || chr(10) || '["en"]' || chr(10) || '' || chr(10)
+  || CASE WHEN {_KINDS} <> 'nonsense' THEN {_KINDS} ELSE '' END || chr(10) || CASE WHEN id % 2 = 0 THEN 'a' || id || ' b' ELSE '' END || chr(10), ' ')) AS body_md5 FROM resources""", "resources")
+def resource_index_bodies(d: Domain) -> DataFrame:
+    """Index texts of resources with categories (those of the vocabulary alone) and tags."""
+    none = lambda t: d.spark.createDataFrame([], TABLES[t])
+    kind = F.element_at(F.array(F.lit("tool"), F.lit("docs"), F.lit("nonsense")), (F.col("id") % 3 + 1).cast("int"))
+    categories = res.set_categories(none("resource_categories"), d.resources().select(F.col("id").alias("resource_id"), kind.alias("category")))
+    names = F.explode(F.array(F.concat(F.lit("a"), F.col("id").cast("string")), F.lit("b"), F.lit("B"))).alias("name")
+    upserts = d.resources().filter("id % 2 = 0").select(F.col("id").alias("resource_id"), names).select("resource_id", "name", F.when(F.col("name") == "B", 2).otherwise(1).cast("long").alias("seq"), F.lit("en").alias("language"), F.lit("ai").alias("source"), F.lit(0).cast("long").alias("created_at"))
+    bodies = res.index_bodies(d.resources(), categories, res.merge_tags(none("resource_tags"), upserts), none("resource_snapshots"))
+    return bodies.select("source_id", F.md5("body").alias("body_md5"))
+
+
+@query("""SELECT id::VARCHAR AS id, 'resource' AS result_type, (['site', 'page', 'article'])[id % 3 + 1] AS kind, 'recent' AS field, linked_article_id::VARCHAR AS article_id, strftime(to_timestamp(updated_at) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS updated_at,
+  'text_match,' || CASE WHEN manual_rating IS NULL THEN 'no_rating_boost' ELSE 'manual_rating_boost' END AS factors, [capability] AS capabilities FROM resources""", "resources")
+def resource_result_fields(d: Domain) -> DataFrame:
+    """What the command line prints of resources, read back from the JSON."""
+    none = lambda t: d.spark.createDataFrame([], TABLES[t])
+    schema = "id string, result_type string, kind string, matched_fields array<string>, evidence_snippets array<struct<article_id:string>>, updated_at string, score_factors array<string>, capabilities array<string>"
+    j = res.to_json_rows(d.resources(), none("resource_categories"), none("resource_tags"), "recent").select(F.from_json("json", schema).alias("j"))
+    return j.select("j.id", "j.result_type", "j.kind", F.col("j.matched_fields")[0].alias("field"), F.col("j.evidence_snippets")[0]["article_id"].alias("article_id"), "j.updated_at", F.array_join("j.score_factors", ",").alias("factors"), "j.capabilities")
+
+
+@query("""WITH q(query, url) AS (SELECT 'guide ' || url, url FROM pages WHERE page_id % 5 = 0 AND page_id % 3 <> 0 AND page_id % 6 <> 0 ORDER BY page_id LIMIT 10)
+SELECT query, url, true AS ok FROM q""")
+def acceptance_top5(d: Domain) -> DataFrame:
+    """Ten searches for active resources by purpose and address: the wanted one is among the first five."""
+    stored = d.resources()
+    wanted = stored.filter("id % 5 = 0 and id % 3 <> 0 and id % 6 <> 0").orderBy("id").limit(10)
+    accepted = wanted.select(F.concat(F.lit("guide "), "url").alias("query"), "url")
+    found = None
+    for row in accepted.collect():  # ten rows
+        hits = res.search_resources(stored, None, row["query"], 5).select(F.lit(row["query"]).alias("query"), F.monotonically_increasing_id().alias("rank"), "url").withColumn("rank", F.lit(1))
+        found = hits if found is None else found.unionByName(hits)
+    return res.acceptance(found, accepted).select("query", "url", "ok")
+
+
+@query("""SELECT user_id::BIGINT AS resource_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS status, count(*) AS n, count(DISTINCT event_id) AS ids, min(event_id)::BIGINT AS first FROM events GROUP BY ALL""")
+def enrichment_run_log(d: Domain) -> DataFrame:
+    """A run for each event, started together and finished with its outcome; ids are told apart by their snapshot."""
+    e = d.raw("events")
+    new = e.select(F.col("user_id").cast("long").alias("resource_id"), F.col("event_id").cast("long").alias("snapshot_id"), F.lit("p").alias("provider"), F.lit("m").alias("model"), F.lit("1").alias("prompt_version"), F.lit("1").alias("schema_version"))
+    runs = res.start_run(d.spark.createDataFrame([], TABLES["resource_enrichment_runs"]), new, EPOCH)
+    ends = runs.join(e.select(F.col("event_id").cast("long").alias("snapshot_id"), "event_type"), "snapshot_id").select("id", F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("status"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"))
+    done = res.finish_run(runs, ends, EPOCH + 9).filter(F.col("finished_at") == EPOCH + 9)
+    return done.groupBy("resource_id", "status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.min("snapshot_id").alias("first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions import scalars
+from lectern.functions import scalars, urls
 from lectern.html import udfs
 from lectern.plans.registry import query
 from lectern.sources.domain import Domain
@@ -51,10 +51,11 @@ def strip_chrome_text(d: Domain) -> DataFrame:
     return d.raw("pages").select("page_id", udfs.text_without_surroundings("html").alias("text")).select("page_id", F.length("text").cast("long").alias("size"), F.md5("text").alias("text_md5"))
 
 
-@query("""SELECT doc_id, md5(replace(replace(replace('a &amp;lt; b &copy; ' || left(text, 200) || ' &#233;', '&#233;', 'é'), '&amp;', '&'), '&mdash;', '—')) AS decoded_md5 FROM documents WHERE NOT contains(left(text, 200), '&')""")
+# no entity has white space or another ampersand in it, so in the texts only what is put before and after them is decoded
+@query("""SELECT doc_id, md5('a &lt; b &copy; ' || text || ' é — &nosuchname; &') AS decoded_md5 FROM documents""")
 def entity_decode(d: Domain) -> DataFrame:
-    docs = d.raw("documents").filter(~F.contains(F.substring("text", 1, 200), F.lit("&")))
-    return docs.select("doc_id", F.md5(udfs.decode(F.concat(F.lit("a &amp;lt; b &copy; "), F.substring("text", 1, 200), F.lit(" &#233;")))).alias("decoded_md5"))
+    coded = F.concat(F.lit("a &amp;lt; b &copy; "), "text", F.lit(" &#233; &mdash; &nosuchname; &"))
+    return d.raw("documents").select("doc_id", F.md5(udfs.decode(coded)).alias("decoded_md5"))
 
 
 @query("""SELECT page_id, regexp_matches(left(CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN ' ' || chr(10) || html ELSE 'x' || html END, 512), '^[ \t\r\n]*(?i:<!doctype html|<html|<head|<body|<!--)') AS ok FROM pages""")
@@ -68,3 +69,100 @@ def html_sniff(d: Domain) -> DataFrame:
 def snapshot_hashes(d: Domain) -> DataFrame:
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
     return d.raw("pages").select("page_id", scalars.snapshot_hash(title, F.col("html")).alias("content_hash"))
+
+
+_BUILT = (
+    "<article><h2>Head {i}</h2><p>Alpha {i} beta.</p><ul><li>one {i}</li><li>two</li></ul><blockquote><p>said {i}</p></blockquote><pre><code class='language-py'>x = {i}</code></pre>"
+    "<p>see <a href='/l/{i}'>link {i}</a> now</p><hr><dl><dt>term</dt><dd>meaning {i}</dd></dl><table><tr><th>k</th></tr><tr><td>{i}</td></tr></table><img src='/p/{i}.png' alt='pic {i}'></article>"
+)
+
+
+def _built(d: Domain) -> DataFrame:
+    """A page of one element of each kind for each page of the table."""
+    i = F.col("page_id").cast("string")
+    return d.raw("pages").select("page_id", F.lit("https://h.example/d/x").alias("url"), F.replace(F.lit(_BUILT), F.lit("{i}"), i).alias("html"))
+
+
+#: The blocks of that page: position, kind, text, address, language.
+_BLOCKS = """(0, 'Heading', 'Head {i}', NULL, NULL), (1, 'Text', 'Alpha {i} beta.', NULL, NULL), (2, 'ListItemStart', NULL, NULL, NULL), (3, 'Text', 'one {i}', NULL, NULL), (4, 'ListItemEnd', NULL, NULL, NULL),
+  (5, 'ListItemStart', NULL, NULL, NULL), (6, 'Text', 'two', NULL, NULL), (7, 'ListItemEnd', NULL, NULL, NULL), (8, 'Quote', 'said {i}', NULL, NULL), (9, 'CodeBlock', 'x = {i}', NULL, 'py'),
+  (10, 'Link', 'see link {i}', 'https://h.example/l/{i}', NULL), (11, 'Text', 'now', NULL, NULL), (12, 'DefinitionList', NULL, NULL, NULL), (13, 'Table', NULL, NULL, NULL), (14, 'Image', NULL, 'https://h.example/p/{i}.png', NULL)"""
+
+
+@query("SELECT page_id, pos::INT AS pos, kind, replace(t, '{i}', page_id::VARCHAR) AS text, replace(u, '{i}', page_id::VARCHAR) AS url, lang AS language FROM pages, (VALUES " + _BLOCKS + ") AS b(pos, kind, t, u, lang)")
+def built_page_blocks(d: Domain) -> DataFrame:
+    blocks = udfs.blocks(_built(d), "page_id")
+    return blocks.select("page_id", "pos", "kind", "text", F.coalesce("url", "uri").alias("url"), "language")
+
+
+@query("""SELECT page_id, 'meaning ' || page_id AS definition, page_id::VARCHAR AS cell, 1 AS header_rows, 1 AS column_count, 4 AS link_start, true AS space_after FROM pages""")
+def built_page_details(d: Domain) -> DataFrame:
+    """Definition, table and link of that page, one row for each page."""
+    blocks = udfs.blocks(_built(d), "page_id")
+    one = lambda kind, c: F.max(F.when(F.col("kind") == kind, c))
+    return blocks.groupBy("page_id").agg(
+        one("DefinitionList", F.col("definitions")[0]["definitions"][0]).alias("definition"), one("Table", F.col("rows")[1][0]["text"]).alias("cell"), one("Table", F.col("header_rows")).alias("header_rows"),
+        one("Table", F.col("column_count")).alias("column_count"), one("Link", F.col("link_start")).alias("link_start"), one("Link", F.col("space_after")).alias("space_after"),
+    )
+
+
+@query("""SELECT page_id, md5('<base href="' || replace(replace(replace(replace(url, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') || '">' || html) AS based_md5,
+  CASE page_id % 3 WHEN 0 THEN 'b' || page_id || '.jpg' WHEN 2 THEN 'a.jpg' END AS source FROM pages""")
+def page_base_and_srcset(d: Domain) -> DataFrame:
+    p, t = F.col("page_id") % 3, F.col("page_id").cast("string")
+    sets = F.when(p == 0, F.concat(F.lit("a.jpg 1x, b"), t, F.lit(".jpg 2x"))).when(p == 1, "data:x 1x, #y 2x").otherwise("a.jpg 1x, about:blank 2x")
+    return d.raw("pages").select("page_id", F.md5(scalars.with_base(F.col("html"), F.col("url"))).alias("based_md5"), scalars.last_srcset(sets).alias("source"))
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN 'https://example.com/' || page_id WHEN 5 THEN 'https://h' || page_id || '.example' END AS address FROM pages""")
+def typed_addresses(d: Domain) -> DataFrame:
+    p, t = F.col("page_id") % 6, F.col("page_id").cast("string")
+    typed = F.when(p == 0, F.col("url")).when(p == 1, F.concat(F.lit(" example.com/"), t)).when(p == 2, F.concat(F.lit("two words."), t)).when(p == 3, t).when(p == 4, F.concat(F.lit("ftp://a.b/"), t)).otherwise(F.concat(F.lit("h"), t, F.lit(".example ")))
+    return d.raw("pages").select("page_id", urls.web_url(typed).alias("address"))
+
+
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN page_id || '.' WHEN 2 THEN '（3）' WHEN 3 THEN page_id || '、' END AS marker, page_id % 6 = 5 AS bullet FROM pages""")
+def line_markers(d: Domain) -> DataFrame:
+    p, t = F.col("page_id") % 6, F.col("page_id").cast("string")
+    line = F.when(p == 0, F.concat(t, F.lit(". A"))).when(p == 1, F.concat(t, F.lit(".9 B"))).when(p == 2, "（3）c").when(p == 3, F.concat(t, F.lit("、d"))).when(p == 4, "(12) e").otherwise("• f")
+    return d.raw("pages").select("page_id", scalars.number_marker(line).alias("marker"), scalars.is_bullet(line).alias("bullet"))
+
+
+def _fragments(d: Domain) -> DataFrame:
+    """Neighbouring pieces of each text, some with a marker, a dash, a mark or white space at their border, and flags."""
+    i = F.col("doc_id")
+    a = F.concat(F.substring("text", 1, 12), F.when(i % 9 == 1, " -").when(i % 9 == 2, ". ").when(i % 9 == 3, "").otherwise("x"))
+    before = F.when(i % 9 == 0, "3.").when(i % 9 == 8, "  ").otherwise(a)
+    after = F.concat(F.when(i % 11 == 0, "2. ").when(i % 11 == 1, ", ").when(i % 11 == 2, " ").when(i % 11 == 3, "é").otherwise(""), F.substring("text", 20, 8))
+    flag = lambda m, k: (i % m) == k
+    return d.raw("documents").select("doc_id", before.alias("a"), after.alias("b"), flag(2, 0).alias("strong"), flag(3, 0).alias("link"), flag(5, 0).alias("next_strong"), flag(7, 0).alias("next_link"), flag(13, 0).alias("next_prefixed"), flag(17, 0).alias("code"), flag(19, 0).alias("next_code"))
+
+
+@query(r"""WITH f AS (
+  SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '3.' WHEN doc_id % 9 = 8 THEN '  ' ELSE substr(text, 1, 12) || CASE doc_id % 9 WHEN 1 THEN ' -' WHEN 2 THEN '. ' WHEN 3 THEN '' ELSE 'x' END END AS a,
+    CASE doc_id % 11 WHEN 0 THEN '2. ' WHEN 1 THEN ', ' WHEN 2 THEN ' ' WHEN 3 THEN 'é' ELSE '' END || substr(text, 20, 8) AS b, doc_id % 2 = 0 AS strong, doc_id % 3 = 0 AS link, doc_id % 5 = 0 AS next_strong,
+    doc_id % 7 = 0 AS next_link, doc_id % 13 = 0 AS next_prefixed, doc_id % 17 = 0 AS code, doc_id % 19 = 0 AS next_code FROM documents),
+e AS (SELECT *, regexp_extract(a, '(?s)([^ 	
+])[ 	
+]*$', 1) AS l, regexp_extract(b, '(?s)^[ 	
+]*([^ 	
+])', 1) AS r FROM f),
+w AS (SELECT *, regexp_matches(l, '^[\p{L}\p{N}_]$') AND regexp_matches(r, '^[\p{L}\p{N}_]$') AND (ascii(l) < 128 OR ascii(r) < 128) AS spaced FROM e)
+SELECT doc_id, CASE
+  WHEN code OR next_code THEN CASE WHEN l = '' OR r = '' OR contains('。．.，,！!？?：:；;、)]}）】》”’', r) OR contains('([{</', l) THEN ''
+    WHEN spaced OR (code AND regexp_matches(r, '^[\p{L}\p{N}]$')) OR (next_code AND regexp_matches(l, '^[\p{L}\p{N}]$')) THEN ' ' ELSE '' END
+  WHEN regexp_full_match(trim(a), '[（(][0-9][）)]|[0-9]+[、．,，:：.]') THEN ' '
+  WHEN next_link AND NOT next_prefixed THEN chr(10) || chr(10)
+  WHEN link AND regexp_matches(ltrim(b), '^([（(][0-9][）)]|[0-9]+([、．,，:：]|\.([ 	
+]|$)))') THEN chr(10) || chr(10)
+  WHEN NOT (strong OR link OR next_strong OR next_link) THEN chr(10) || chr(10)
+  WHEN l = '' OR r = '' THEN ''
+  WHEN link AND regexp_matches(l, '^[A-Za-z0-9_]$') AND regexp_matches(r, '^[A-Za-z0-9_]$') THEN ''
+  WHEN contains('。．.，,！!？?：:；;、)]}）】》”’', r) THEN ''
+  WHEN contains('。．.！!？?', l) OR (strong AND next_strong) THEN chr(10) || chr(10)
+  WHEN next_link AND contains('-—–', l) THEN ' '
+  WHEN spaced THEN ' ' ELSE '' END AS separator FROM w""")
+def fragment_separators(d: Domain) -> DataFrame:
+    c = F.col
+    flags = {k: c(k) for k in ("code", "next_code", "strong", "link", "next_strong", "next_link", "next_prefixed")}
+    return _fragments(d).select("doc_id", scalars.fragment_separator(c("a"), c("b"), **flags).alias("separator"))

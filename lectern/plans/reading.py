@@ -44,7 +44,7 @@ def _batch(d: Domain) -> DataFrame:
     """A batch of fetched entries with repeats: every document as it is, and every second one again with changes."""
     i = F.col("doc_id")
     docs = d.raw("documents")
-    base = docs.select((F.regexp_extract("source", r"(\d+)$", 1).cast("long") + 1).alias("feed_id"), (i * 2).alias("seq"), F.concat(F.lit("doc:"), (i + 50).cast("string")).alias("entry_id"), F.when(i % 6 != 0, F.concat(F.lit("https://example.com/b/"), i.cast("string"))).alias("url"), F.lit(None).cast("string").alias("title"), F.when(i % 4 == 0, F.lit("A. Writer")).alias("author"), F.when(i % 3 == 0, EPOCH + i).alias("published"), F.when(i % 5 != 0, F.substring("text", 1, 40)).alias("content"))
+    base = docs.select((F.regexp_extract("source", r"(\d+)$", 1).cast("long") + 1).alias("feed_id"), (i * 2).alias("seq"), F.concat(F.lit("doc:"), (i + 50).cast("string")).alias("entry_id"), F.when(i % 6 != 0, F.concat(F.lit("https://example.com/b/"), i.cast("string"))).alias("url"), F.lit(None).cast("string").alias("title"), F.when(i % 4 == 0, F.lit("A. Writer")).alias("author"), F.when(i % 3 == 0, EPOCH + i).alias("published"), F.when(i % 5 != 0, F.col("text")).alias("content"))
     again = base.filter(i % 2 == 0).withColumns({"seq": F.col("seq") + 1, "title": F.concat(F.lit("new "), "entry_id"), "content": F.when(F.col("seq") % 8 == 0, F.lit("")).otherwise(F.col("content"))})
     return base.unionByName(again)
 
@@ -54,7 +54,7 @@ _BATCH = f"""batch AS (
     SELECT regexp_extract(source, '(\\d+)$', 1)::BIGINT + 1 AS feed_id, doc_id * 2 + k AS seq, 'doc:' || (doc_id + 50) AS entry_id,
       CASE WHEN doc_id % 6 <> 0 THEN 'https://example.com/b/' || doc_id END AS url, CASE WHEN k = 1 THEN 'new doc:' || (doc_id + 50) END AS title,
       CASE WHEN doc_id % 4 = 0 THEN 'A. Writer' END AS author, CASE WHEN doc_id % 3 = 0 THEN {EPOCH} + doc_id END AS published,
-      CASE WHEN k = 1 AND doc_id % 4 = 0 THEN '' WHEN doc_id % 5 <> 0 THEN left(text, 40) END AS content
+      CASE WHEN k = 1 AND doc_id % 4 = 0 THEN '' WHEN doc_id % 5 <> 0 THEN text END AS content
     FROM documents, (VALUES (0), (1)) AS t(k) WHERE k = 0 OR doc_id % 2 = 0)),
 folded AS (
   SELECT feed_id, entry_id, arg_max(url, seq) FILTER (url IS NOT NULL) AS url, arg_max(title, seq) FILTER (title IS NOT NULL) AS title,
@@ -248,3 +248,87 @@ def add_feeds(d: Domain) -> DataFrame:
     known = d.feeds()
     wanted = d.raw("pages").select("url").unionByName(known.select("url"))
     return lib.add_feed(known, wanted, NOW).select("id", "url")
+
+
+@query("""WITH e AS (SELECT doc_id AS seq, CASE doc_id % 3 WHEN 0 THEN '' WHEN 2 THEN 'e' || doc_id END AS id, CASE WHEN doc_id % 4 <> 0 THEN 'T' || doc_id END AS title, CASE WHEN doc_id % 7 <> 0 THEN text END AS content,
+  CASE WHEN doc_id % 2 = 0 THEN 'sum ' || doc_id END AS summary, CASE WHEN doc_id % 5 <> 1 THEN 'http://l/' || doc_id END AS alternate, CASE WHEN doc_id % 6 = 0 THEN 'http://p/' || doc_id || '.png' END AS picture, CASE WHEN doc_id % 5 = 0 THEN 'http://t/' || doc_id END AS thumb FROM documents),
+b AS (SELECT *, CASE WHEN content IS NULL AND summary IS NULL AND picture IS NULL AND thumb IS NULL THEN NULL ELSE coalesce(content, summary, '') || coalesce(chr(10) || '<img src="' || thumb || '">', '') || coalesce(chr(10) || '<img src="' || picture || '">', '') END AS body FROM e)
+SELECT seq, coalesce(nullif(id, ''), alternate, 'http://s/' || seq, title, '') AS entry_id, coalesce(alternate, 'http://s/' || seq) AS url, title, 'Ann' AS author, md5(coalesce(body, '')) AS content_md5, body IS NULL AS empty FROM b""")
+def normalised_entries(d: Domain) -> DataFrame:
+    """Entries of every mixture: empty and missing ids, titles, bodies, an alternate link, pictures."""
+    i, t = F.col("doc_id"), F.col("doc_id").cast("string")
+    link = lambda href, rel, kind: F.struct(href.alias("href"), F.lit(rel).cast("string").alias("rel"), F.lit(kind).cast("string").alias("media_type"))
+    links = F.filter(F.array(F.when(i >= 0, link(F.concat(F.lit("http://s/"), t), "self", None)), F.when(i % 5 != 1, link(F.concat(F.lit("http://l/"), t), "alternate", None)), F.when(i % 6 == 0, link(F.concat(F.lit("http://p/"), t, F.lit(".png")), "enclosure", "image/png"))), lambda x: x.isNotNull())
+    entries = d.raw("documents").select(
+        F.lit(1).cast("long").alias("feed_id"), i.alias("seq"), F.when(i % 3 == 0, "").when(i % 3 == 2, F.concat(F.lit("e"), t)).alias("id"), F.when(i % 4 != 0, F.concat(F.lit("T"), t)).alias("title"), F.lit(None).cast("long").alias("updated"), i.alias("published"),
+        F.when(i % 7 != 0, F.col("text")).alias("content"), F.when(i % 2 == 0, F.concat(F.lit("sum "), t)).alias("summary"), F.array(F.lit("Ann"), F.lit("Bob")).alias("authors"), links.alias("links"), F.when(i % 5 == 0, F.array(F.concat(F.lit("http://t/"), t))).alias("thumbnails"),
+        F.lit(None).cast("array<struct<url:string,type:string>>").alias("media"),
+    )
+    out = feed_ops.entry_to_article(entries)
+    return out.select("seq", "entry_id", "url", "title", "author", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"), F.col("content").isNull().alias("empty"))
+
+
+@query("SELECT id, title, disabled OR id = 0 AS disabled, CASE WHEN id <> 0 THEN last_error END AS last_error, CASE WHEN id <> 0 THEN fail_count ELSE 0 END AS fail_count FROM feeds", "feeds")
+def clippings_feed(d: Domain) -> DataFrame:
+    """The hidden feed, enabled by mistake and with a failure, is put right."""
+    hidden = F.col("id") == 0
+    wrong = d.feeds().withColumns({"disabled": F.col("disabled") & ~hidden, "title": F.when(hidden, "other").otherwise(F.col("title")), "fail_count": F.when(hidden, 3).otherwise(F.col("fail_count")), "last_error": F.when(hidden, "x").otherwise(F.col("last_error"))})
+    return lib.ensure_clippings_feed(wrong, NOW).select("id", "title", "disabled", "last_error", "fail_count")
+
+
+@query(f""", top AS (SELECT max(id) AS top FROM articles), new AS (SELECT url, html, row_number() OVER (ORDER BY url, html) AS n FROM pages WHERE page_id % 10 <> 0)
+SELECT id, feed_id, url, content, author, published, is_read, starred FROM (SELECT top + n AS id, 0 AS feed_id, url, md5(html) AS content, 'Web clippings' AS author, {LATER} AS published, true AS is_read, true AS starred FROM new, top)""", "articles")
+def saved_clippings(d: Domain) -> DataFrame:
+    """All pages saved once more; every tenth is blank and refused."""
+    before = d.articles()
+    pages = d.raw("pages").select(F.concat(F.lit(" "), "url").alias("url"), F.lit(" ").alias("title"), F.when(F.col("page_id") % 10 == 0, F.lit(" \n")).otherwise(F.col("html")).alias("html"))
+    after = lib.save_clippings(before, d.feeds(), pages, LATER)
+    new = after.join(before.select("id"), "id", "left_anti")
+    return new.select("id", "feed_id", "url", F.md5("content").alias("content"), "author", "published", "is_read", "starred")
+
+
+@query(f"SELECT feed_id, count(*) AS n FROM articles WHERE id <> {CLIP_BASE + 1} GROUP BY feed_id", "articles")
+def delete_clipping(d: Domain) -> DataFrame:
+    """A clipping goes; an article of another feed stays."""
+    left = lib.delete_clipping(lib.delete_clipping(d.articles(), d.feeds(), CLIP_BASE + 1), d.feeds(), 7)
+    return left.groupBy("feed_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT id, CASE WHEN id % 4 = 0 THEN 'blank text' WHEN id % 4 = 1 THEN 'bad offsets' WHEN id % 4 = 2 AND comment IS NULL THEN 'blank comment' END AS error,
+  CASE WHEN id % 4 = 0 THEN '' ELSE regexp_replace(selected_text, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g') END AS selected_text FROM selections""", "selections")
+def selections_checked(d: Domain) -> DataFrame:
+    i = F.col("id")
+    text = F.when(i % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "selected_text", F.lit("\n")))
+    rows = d.selections().select("id", text.alias("selected_text"), F.lit(5).cast("long").alias("start_offset"), F.when(i % 4 == 1, 3).otherwise(9).cast("long").alias("end_offset"), "comment", (i % 4 == 2).alias("needs_comment"))
+    return lib.check_selections(rows).select("id", "error", "selected_text")
+
+
+@query(f"""SELECT id, CASE WHEN id = 100 THEN 'noted' WHEN id = 101 THEN NULL ELSE comment END AS comment, CASE WHEN id = 102 THEN NOT is_favorite ELSE is_favorite END AS is_favorite,
+  CASE WHEN id IN (100, 101, 102) THEN {NOW} ELSE updated_at END AS updated_at FROM selections WHERE id <> 103""", "selections")
+def selections_changed(d: Domain) -> DataFrame:
+    rows = lib.update_selection(d.selections(), 100, NOW, comment=" noted ")
+    rows = lib.update_selection(lib.update_selection(rows, 101, NOW, comment="  "), 102, NOW, toggle=True)
+    return lib.delete_selection(rows, 103).select("id", "comment", "is_favorite", "updated_at")
+
+
+@query("SELECT doc_id AS article_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' || doc_id ELSE 'old ' || doc_id END AS summary_zh, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS updated_at FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def article_ai_upsert(d: Domain) -> DataFrame:
+    made = lambda keep, word, at: d.raw("documents").filter(keep).select(F.col("doc_id").alias("article_id"), F.concat(F.lit(word), F.col("doc_id").cast("string")).alias("summary_zh"), F.lit("t").alias("translation_zh"), F.lit("m").alias("model"), F.lit(at).cast("long").alias("updated_at"))
+    return lib.save_article_ai(made("doc_id % 2 = 0", "old ", 1), made("doc_id % 3 = 0", "new ", 2)).select("article_id", "summary_zh", "updated_at")
+
+
+@query("SELECT id, feed_id, entry_id FROM articles WHERE id = 7", "articles")
+def article_lookup(d: Domain) -> DataFrame:
+    return lib.article(d.articles(), 7).select("id", "feed_id", "entry_id")
+
+
+@query("SELECT id, url, title FROM feeds WHERE id = 2 UNION ALL SELECT id, url, title FROM feeds WHERE url = (SELECT url FROM feeds WHERE id = 3)", "feeds")
+def feed_lookup(d: Domain) -> DataFrame:
+    by_url = d.feeds().join(lib.feed(d.feeds(), 3).select("url"), "url", "left_semi")
+    return lib.feed(d.feeds(), "2").unionByName(by_url.select(*d.feeds().columns)).select("id", "url", "title")
+
+
+@query("""SELECT doc_id, list_filter(list_transform([lang, 'x ' || doc_id, '', source], lambda v: trim(v)), lambda v: length(v) > 0) AS names FROM documents""")
+def tag_drafts(d: Domain) -> DataFrame:
+    draft = F.concat("lang", F.lit(" ,  x "), F.col("doc_id").cast("string"), F.lit("， \n"), "source", F.lit(","))
+    return d.raw("documents").select("doc_id", lib.split_tag_draft(draft).alias("names"))

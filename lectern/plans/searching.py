@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import anchors, search
@@ -121,23 +121,30 @@ def quote_occurrences(d: Domain) -> DataFrame:
     return anchors.quote_occurrences(d.raw("documents"), d.raw("benchmark").select("item_id", F.col("text").alias("quote")))
 
 
-def _anchor_rows(d: Domain) -> DataFrame:
-    """A range of each document, captured, and the document after an insertion at its front."""
-    docs = d.raw("documents").filter("length(text) >= 60")
-    a, z, prefix, suffix = anchors.capture(F.col("text"), (F.col("doc_id") % 20).cast("int"), (F.col("doc_id") % 20 + 25).cast("int"), 16)
-    return docs.select(F.col("doc_id").alias("article_id"), F.substring("text", a + 1, z - a).alias("quote"), a.cast("long").alias("start_offset"), z.cast("long").alias("end_offset"), prefix.alias("prefix"), suffix.alias("suffix"))
+def _anchor_rows(d: Domain, start: Column) -> DataFrame:
+    """A range of 25 characters of each document, captured; a shorter rest is taken as far as it goes."""
+    a, z, prefix, suffix = anchors.capture(F.col("text"), start, start + 25, 16)
+    return d.raw("documents").select(F.col("doc_id").alias("article_id"), F.substring("text", a + 1, z - a).alias("quote"), a.cast("long").alias("start_offset"), z.cast("long").alias("end_offset"), prefix.alias("prefix"), suffix.alias("suffix"))
 
 
-@query("""SELECT doc_id AS article_id, substr(text, a + 1, 25) AS quote, a AS start_offset, a + 25 AS end_offset, substr(text, greatest(a - 16, 0) + 1, least(a, 16)) AS prefix, substr(text, a + 26, 16) AS suffix
-FROM (SELECT *, doc_id % 20 AS a FROM documents WHERE length(text) >= 60)""")
+def _anywhere() -> Column:
+    """A place in each text, or beyond a short one's end."""
+    return F.pmod(F.col("doc_id") * 7919, F.greatest(F.length("text"), F.lit(40))).cast("int")
+
+
+_ANYWHERE = "doc_id * 7919 % greatest(length(text), 40)"
+
+
+@query(f"""SELECT doc_id AS article_id, substr(text, a + 1, z - a) AS quote, a AS start_offset, z AS end_offset, substr(text, greatest(a - 16, 0) + 1, least(a, 16)) AS prefix, substr(text, z + 1, 16) AS suffix
+FROM (SELECT doc_id, text, least({_ANYWHERE}, length(text)) AS a, least({_ANYWHERE} + 25, length(text)) AS z FROM documents)""")
 def anchor_capture(d: Domain) -> DataFrame:
-    return _anchor_rows(d)
+    return _anchor_rows(d, _anywhere())
 
 
-@query("SELECT doc_id AS article_id, doc_id % 20 AS new_start, doc_id % 20 + 25 AS new_end FROM documents WHERE length(text) >= 60")
+@query(f"SELECT doc_id AS article_id, least({_ANYWHERE}, length(text)) AS new_start, least({_ANYWHERE} + 25, length(text)) AS new_end FROM documents")
 def anchor_exact(d: Domain) -> DataFrame:
     articles = d.raw("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return anchors.resolve(_anchor_rows(d), articles).select("article_id", "new_start", "new_end")
+    return anchors.resolve(_anchor_rows(d, _anywhere()), articles).select("article_id", "new_start", "new_end")
 
 
 @query("""WITH a AS (SELECT doc_id, doc_id % 20 AS s, substr(text, doc_id % 20 + 1, 25) AS quote, substr(text, greatest(doc_id % 20 - 16, 0) + 1, least(doc_id % 20, 16)) AS prefix,
@@ -151,4 +158,32 @@ def anchor_best_context(d: Domain) -> DataFrame:
     """The text grew by a copy of its beginning: the right occurrence is told by its context."""
     changed = F.concat(F.lit("zq"), F.substring("text", 1, 45), F.lit(" zq "), F.col("text"))
     articles = d.raw("documents").select(F.col("doc_id").alias("id"), changed.alias("content"))
-    return anchors.resolve(_anchor_rows(d), articles).select("article_id", "new_start", "new_end")
+    rows = _anchor_rows(d, (F.col("doc_id") % 20).cast("int")).join(articles.filter("length(content) >= 110").select(F.col("id").alias("article_id")), "article_id", "left_semi")
+    return anchors.resolve(rows, articles).select("article_id", "new_start", "new_end")
+
+
+@query(r"""WITH r AS (SELECT doc_id, doc_id * 31 % 50 AS lo, substr(text, doc_id * 31 % 50 + 1, 13) AS raw FROM documents),
+q AS (SELECT doc_id, lo + length(raw) - length(regexp_replace(raw, '^[ \t\n\x0b\f\r]+', '')) AS a, regexp_replace(raw, '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g') AS quote FROM r)
+SELECT doc_id, CASE WHEN quote <> '' THEN a END AS "start", CASE WHEN quote <> '' THEN a + length(quote) END AS "end", nullif(quote, '') AS quote FROM q""".replace("\\\\", "\\"))
+def quotes_of_ranges(d: Domain) -> DataFrame:
+    """Ranges given in either order, without white space at their ends."""
+    lo = F.pmod(F.col("doc_id") * 31, F.lit(50)).cast("int")
+    one, other = F.when(F.col("doc_id") % 2 == 0, lo).otherwise(lo + 13), F.when(F.col("doc_id") % 2 == 0, lo + 13).otherwise(lo)
+    q = anchors.quote_from_range(F.col("text"), one, other)
+    return d.raw("documents").select("doc_id", q["start"].cast("long").alias("start"), q["end"].cast("long").alias("end"), q["quote"].alias("quote"))
+
+
+@query("""WITH f AS (SELECT doc_id, text, instr(lower(text), 'license') AS hit FROM documents WHERE contains(lower(text), 'license')), s AS (SELECT *, greatest(1, hit - 17) AS a FROM f)
+SELECT doc_id, CASE WHEN a > 1 THEN ' … ' ELSE '' END || substr(text, a, 41) || CASE WHEN a + 41 <= length(text) THEN ' … ' ELSE '' END AS snippet FROM s""")
+def search_snippets(d: Domain) -> DataFrame:
+    return d.raw("documents").filter(F.contains(F.lower("text"), F.lit("license"))).select("doc_id", search.snippet(F.col("text"), "License").alias("snippet"))
+
+
+@query("""WITH uses AS (SELECT user_id || ' ' || event_type AS query, epoch_us(ts) AS used_at FROM events)
+SELECT query, max(used_at) AS last_used_at, count(*) AS use_count FROM uses GROUP BY query ORDER BY max(used_at) DESC, query LIMIT 30""")
+def search_history_recent(d: Domain) -> DataFrame:
+    from lectern.schema import TABLES
+
+    uses = d.raw("events").select(F.concat_ws(" ", F.col("user_id").cast("string"), "event_type").alias("query"), F.unix_micros(F.col("ts").cast("timestamp")).alias("used_at"), F.lit(1).cast("long").alias("result_count"))
+    kept = search.record_history(d.spark.createDataFrame([], TABLES["search_history"]), uses)
+    return search.recent_history(kept, 30).select("query", "last_used_at", "use_count")

@@ -70,9 +70,9 @@ def lru_prune(d: Domain) -> DataFrame:
     return blobcache.surviving_refs(refs, objects.select("hash", F.octet_length("bytes").alias("size")), 1_000_000).select("url_hash", "hash")
 
 
-@query("SELECT 'backup-' || o_orderkey AS name, row_number() OVER (ORDER BY o_orderkey % 997 DESC, 'backup-' || o_orderkey DESC) <= 10 AS keep FROM orders WHERE o_orderkey < 400")
+@query("SELECT 'backup-' || o_orderkey AS name, row_number() OVER (ORDER BY o_orderkey % 997 DESC, 'backup-' || o_orderkey DESC) <= 10 AS keep FROM orders")
 def keep_latest_n(d: Domain) -> DataFrame:
-    names = d.raw("orders").filter("o_orderkey < 400").select(F.concat(F.lit("backup-"), F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_orderkey") % 997).alias("modified"))
+    names = d.raw("orders").select(F.concat(F.lit("backup-"), F.col("o_orderkey").cast("string")).alias("name"), (F.col("o_orderkey") % 997).alias("modified"))
     return tables.keep_latest(names, 10).select("name", "keep")
 
 
@@ -81,6 +81,44 @@ def fk_violations(d: Domain) -> DataFrame:
     return tables.orphans(d.selections(), "article_id", d.articles().filter("id % 4 <> 0")).select(F.col("id").alias("selection_id"), "article_id")
 
 
-@query("""SELECT 'article_tags' AS "table", 'article_id is not in articles' AS problem, l.article_id::VARCHAR AS key FROM article_tags l ANTI JOIN articles a ON a.id = l.article_id AND a.id % 4 <> 0""", "article_tags articles")
+@query(""", links AS (SELECT article_id, tag_id FROM article_tags UNION ALL SELECT article_id, tag_id FROM article_tags WHERE article_id % 50 = 1 UNION ALL SELECT id, 999 FROM articles WHERE id % 100 = 3)
+SELECT 'article_tags' AS "table", 'article_id is not in articles' AS problem, l.article_id::VARCHAR AS key FROM links l ANTI JOIN articles a ON a.id = l.article_id AND a.id % 4 <> 0
+UNION ALL SELECT 'article_tags', 'tag_id is not in tags', tag_id::VARCHAR FROM links ANTI JOIN tags ON tags.id = tag_id
+UNION ALL SELECT 'article_tags', 'repeated key', article_id || ',' || tag_id FROM links GROUP BY article_id, tag_id HAVING count(*) > 1""", "article_tags articles tags")
 def integrity_report(d: Domain) -> DataFrame:
-    return tables.integrity({"articles": d.articles().filter("id % 4 <> 0"), "tags": d.tags(), "article_tags": d.article_tags()}).filter("table = 'article_tags'")
+    """Links without article, without tag, and twice the same."""
+    links = d.article_tags()
+    more = d.articles().filter("id % 100 = 3").select(F.col("id").alias("article_id"), F.lit(999).cast("long").alias("tag_id"), F.lit(0).cast("long").alias("created_at"))
+    links = links.unionByName(links.filter("article_id % 50 = 1")).unionByName(more)
+    return tables.integrity({"articles": d.articles().filter("id % 4 <> 0"), "tags": d.tags(), "article_tags": links})
+
+
+@query("SELECT doc_id, strlen(text) <= 3000 AS ok, regexp_matches(CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE upper(sha256(text)) END, '^[0-9a-f]{64}$') AS digest FROM documents")
+def body_cap(d: Domain) -> DataFrame:
+    name = F.sha2(F.encode("text", "UTF-8"), 256)
+    return d.raw("documents").select("doc_id", scalars.within_size(F.col("text"), 3000).alias("ok"), scalars.is_digest(F.when(F.col("doc_id") % 2 == 0, name).otherwise(F.upper(name))).alias("digest"))
+
+
+@query("""WITH t AS (SELECT doc_id, sha256(text) AS h, strlen(text) AS n FROM documents WHERE strlen(text) > 0)
+SELECT count(DISTINCT h) AS objects, count(*) AS refs, (SELECT sum(n)::BIGINT FROM (SELECT DISTINCT h, n FROM t)) AS bytes, (SELECT sum(n)::BIGINT FROM (SELECT DISTINCT h, n FROM t)) AS used_bytes FROM t""")
+def blob_put(d: Domain) -> DataFrame:
+    """All documents put into an empty cache, and then once more."""
+    spark = d.spark
+    new = d.raw("documents").select(F.col("doc_id").cast("string").alias("url"), F.encode("text", "UTF-8").alias("bytes"))
+    empty = spark.createDataFrame([], "hash string, bytes binary"), spark.createDataFrame([], "url_hash string, hash string, touched long")
+    return blobcache.stats(*blobcache.put(*blobcache.put(*empty, new, EPOCH), new, EPOCH + 1))
+
+
+@query("""WITH t AS (SELECT doc_id, sha256(text) AS h, substr(sha256(text), 1, 1) IN ('0', '1', '2') AS broken FROM documents)
+SELECT 'healed' AS part, (SELECT count(DISTINCT h) FROM t WHERE NOT broken) AS objects, (SELECT count(*) FROM t WHERE NOT broken) AS refs
+UNION ALL SELECT 'swept', (SELECT count(DISTINCT h) FROM t WHERE doc_id % 3 = 0), (SELECT count(*) FROM t WHERE doc_id % 3 = 0)
+UNION ALL SELECT 'got', (SELECT count(DISTINCT h) FROM t WHERE NOT broken), (SELECT count(*) FROM t WHERE NOT broken)""")
+def blob_heal_and_sweep(d: Domain) -> DataFrame:
+    """A cache in which objects of some hashes are damaged: healed, read, and swept after refs have gone."""
+    objects, refs = _cache(d)
+    damaged = objects.withColumn("bytes", F.when(F.substring("hash", 1, 1).isin("0", "1", "2"), F.lit(b"damaged").cast("binary")).otherwise(F.col("bytes")))
+    size = lambda name, o, r: o.agg(F.count(F.lit(1)).alias("objects")).crossJoin(r.agg(F.count(F.lit(1)).alias("refs"))).select(F.lit(name).alias("part"), "objects", "refs")
+    ids = d.raw("documents").select(F.col("doc_id").cast("string").alias("url"))
+    left = refs.join(ids.filter(F.col("url").cast("long") % 3 == 0).select(F.sha2("url", 256).alias("url_hash")), "url_hash", "left_semi")
+    got = blobcache.get(damaged, refs, ids)
+    return size("healed", *blobcache.heal(damaged, refs)).unionByName(size("swept", blobcache.sweep(objects, left), left)).unionByName(size("got", got.select("hash").distinct(), got))

@@ -1,7 +1,8 @@
 """Connectors: feed payloads (RSS 0.9x/1/2, Atom, JSON Feed) and web pages into rows.
 
 Fetching and parsing are apart: `fetch` fills a payload column, one row per address with its own error, and `parse_feeds`
-turns payloads into entries, so everything but the network is tested offline.
+turns payloads into entries, so everything but the network is tested offline. Clients are injected; `http_get` is the one
+that asks the network, with redirects, name answers and sizes checked.
 """
 
 from __future__ import annotations
@@ -10,15 +11,20 @@ import codecs
 import email.utils
 import json
 import re
+import socket
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
+from urllib.parse import urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.urls import check_public_url
+from lectern.functions.urls import check_public_url, is_public_ip, resolve
 
 ENTRY = (
     "feed_id long, feed_title string, seq long, id string, title string, updated long, published long, content string, summary string, authors array<string>, "
@@ -149,7 +155,67 @@ def parse_feeds(payloads: DataFrame) -> DataFrame:
     return rows.select("feed_id", "payload", "error").mapInPandas(run, ENTRY)
 
 
-def fetch(rows: DataFrame, get: Callable[[str], tuple[int, bytes, str | None]], url: str = "url") -> DataFrame:
+def public_answers(host: str, lookup: Callable[..., list] = socket.getaddrinfo) -> str | None:
+    """Why a host must not be asked, or None: each of its addresses must be public."""
+    try:
+        found = {x[4][0] for x in lookup(host, None)}
+    except OSError as e:
+        return f"name: {e}"
+    return None if found and all(is_public_ip(ip.split("%")[0]) for ip in found) else "address"
+
+
+def guarded(url: str, lookup: Callable[..., list] = socket.getaddrinfo) -> str | None:
+    """Why an address must not be fetched, or None: its form first, then where its name leads."""
+    return check_public_url(url) or public_answers(urlsplit(url).hostname or "", lookup)
+
+
+Answer = tuple[int, bytes, str | None, str | None]
+
+
+def http_once(url: str, timeout: float = 20.0, most: int = 8 << 20) -> Answer:
+    """(status, body, content type, where it points) of one request that follows no redirect; at most `most` + 1 bytes."""
+
+    class Stay(urllib.request.HTTPRedirectHandler):
+        def redirect_request(self, *_):
+            return None
+
+    request = urllib.request.Request(url, headers={"User-Agent": "lectern"})
+    try:
+        with urllib.request.build_opener(Stay).open(request, timeout=timeout) as answer:
+            return answer.status, answer.read(most + 1), answer.headers.get("Content-Type"), None
+    except urllib.error.HTTPError as e:
+        return e.code, b"", e.headers.get("Content-Type"), e.headers.get("Location")
+
+
+# Redirects that are followed at most, and the status codes that redirect.
+MOST_REDIRECTS = 10
+REDIRECTS = (301, 302, 303, 307, 308)
+
+
+class RedirectError(OSError):
+    """A redirect that must not or cannot be followed; another attempt would end the same way."""
+
+
+def follow(url: str, once: Callable[[str], Answer] = http_once, guard: Callable[[str], str | None] = guarded) -> tuple[int, bytes, str | None, str]:
+    """(status, body, content type, final address) after at most MOST_REDIRECTS redirects; every hop is checked."""
+    for hop in range(MOST_REDIRECTS + 1):
+        url = url.split("#", 1)[0]
+        why = guard(url)
+        if why is not None:
+            raise RedirectError(why) if hop else PermissionError(why)
+        status, body, kind, target = once(url)
+        if status not in REDIRECTS or not target:
+            return status, body, kind, url
+        url = resolve(target, url) or ""
+    raise RedirectError("too many redirects")
+
+
+def http_get(url: str) -> tuple[int, bytes, str | None]:
+    """A client for `fetch`: guarded at every hop, 20 seconds for each request."""
+    return follow(url)[:3]
+
+
+def fetch(rows: DataFrame, get: Callable[[str], tuple[int, bytes, str | None]] = http_get, url: str = "url") -> DataFrame:
     """Adds status, body, content_type, error by an injected client; one request per row, errors as a column.
 
     The number of partitions bounds how many requests run at once. Addresses that must not be fetched are refused.
@@ -175,6 +241,48 @@ def fetch(rows: DataFrame, get: Callable[[str], tuple[int, bytes, str | None]],
     return rows.mapInPandas(run, schema)
 
 
+# Seconds before the second and third attempt at a picture, its most bytes, states worth another attempt.
+PAUSES = (0.5, 1.5)
+MOST_PICTURE = 25 << 20
+TRANSIENT = (408, 425, 429)
+
+
+def picture(url: str, get: Callable[[str], tuple[int, bytes, str | None]] = http_get, sleep: Callable[[float], None] = time.sleep) -> tuple[bytes | None, str | None, int]:
+    """(bytes, error, attempts): failures that may pass (time-outs, connections, empty bodies, 408, 425, 429, 5xx) are
+    tried three times; refused addresses, redirects and other states once."""
+    why, attempt = None, 0
+    for attempt, pause in enumerate((*PAUSES, None), 1):
+        try:
+            status, body, _ = get(url)
+            again = status in TRANSIENT or status >= 500
+            why = None if 200 <= status < 300 else f"HTTP {status}"
+            if why is None and len(body) > MOST_PICTURE:
+                why = "too large"
+            elif why is None and not body:
+                why, again = "empty", True
+            if why is None:
+                return body, None, attempt
+        except (RedirectError, PermissionError) as e:
+            why, again = str(e), False
+        except OSError as e:
+            why, again = str(e) or type(e).__name__, True
+        if not again or pause is None:
+            break
+        sleep(pause)
+    return None, why, attempt
+
+
+def pictures(rows: DataFrame, get: Callable[[str], tuple[int, bytes, str | None]] = http_get, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(url, bytes, error, attempts) of pictures; the number of partitions bounds how many are fetched at once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for url in pdf["url"]:
+                yield pd.DataFrame([(url, *picture(url, get, sleep))], columns=["url", "bytes", "error", "attempts"])
+
+    return rows.select("url").mapInPandas(run, "url string, bytes binary, error string, attempts int")
+
+
 # Labels that the web platform reads as another encoding.
 ALIASES = {"gb2312": "gbk", "gb_2312-80": "gbk", "x-gbk": "gbk", "iso-8859-1": "cp1252", "latin1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "iso8859-1": "cp1252", "l1": "cp1252", "shift_jis": "cp932", "sjis": "cp932", "x-sjis": "cp932", "euc-kr": "cp949", "ks_c_5601-1987": "cp949", "unicode": "utf-16-le", "utf8": "utf-8"}
 

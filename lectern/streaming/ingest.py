@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.operators import feeds as ops
-from lectern.sources.payloads import parse_feeds
+from lectern.operators import library as lib
+from lectern.sources.payloads import fetch, http_get, parse_feeds
 from lectern.tables import Library
 
 STATE = "feed_id long, fail_count long, longest long, disabled boolean"
@@ -37,6 +38,42 @@ def ingest_batch(library: Library, payloads: DataFrame, now: int, policy: ops.Po
         entries.unpersist()
 
 
+def fetch_round(library: Library, feeds: DataFrame, now: int, get: Callable = http_get, at_once: int = 16, policy: ops.Policy = ops.Policy()) -> DataFrame:
+    """Fetches feeds (id, url), at most at_once at a time, and ingests what they send: one row of totals (feeds, articles)."""
+    asked = feeds.select(F.col("id").alias("feed_id"), "url").repartition(at_once, "feed_id")
+    got = fetch(asked, get).select("feed_id", F.decode("body", "UTF-8").alias("payload"), "error")
+    return ops.round_totals(ingest_batch(library, got, now, policy))
+
+
+def update_once(library: Library, now: int, get: Callable = http_get, policy: ops.Policy = ops.Policy()) -> DataFrame:
+    """A round over all enabled feeds, due or not."""
+    return fetch_round(library, lib.enabled_feeds(library.read("feeds")), now, get, policy=policy)
+
+
+# Seconds that a scheduler waits at least.
+LEAST_WAIT = 5
+
+
+def next_wait(feeds: DataFrame, now: int, policy: ops.Policy = ops.Policy()) -> DataFrame:
+    """(wait): seconds until the earliest enabled feed is due, from LEAST_WAIT to the polling interval."""
+    most = max(LEAST_WAIT, policy.interval)
+    due = F.coalesce(F.col("next_fetch") - now, F.lit(most))
+    return lib.earliest_next_fetch(feeds).select(F.greatest(F.lit(LEAST_WAIT), F.least(due, F.lit(most))).cast("long").alias("wait"))
+
+
+def schedule(library: Library, get: Callable, clock: Callable[[], int], sleep: Callable[[float], None], rounds: int, policy: ops.Policy = ops.Policy()) -> list[int]:
+    """So many rounds over the due feeds with a wait after each; returns the waits. sleep may return early to wake it up."""
+    waits = []
+    for _ in range(rounds):
+        now = clock()
+        due = lib.due_feeds(library.read("feeds"), now)
+        if not due.isEmpty():
+            fetch_round(library, due, now, get, policy=policy).collect()
+        waits.append(next_wait(library.read("feeds"), clock(), policy).first()["wait"])
+        sleep(waits[-1])
+    return waits
+
+
 def start_ingest(stream: DataFrame, library: Library, checkpoint: str, clock, policy: ops.Policy = ops.Policy(), **trigger) -> StreamingQuery:
     """Ingests a stream of payloads batch by batch. A batch that runs again changes nothing: the merge is idempotent."""
     return stream.writeStream.foreachBatch(lambda df, _: ingest_batch(library, df, clock(), policy) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,10 +1,13 @@
-"""Versioned Parquet tables: each write is a new directory, a pointer file names the current one."""
+"""Versioned Parquet tables: each write is a new directory, the pointer file of the largest number names the current ones."""
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +15,17 @@ from pyspark.sql import functions as F
 from lectern.schema import KEYS, REFERENCES, TABLES, conform
 
 
+#: Pointers that stay: a reader that has listed the folder can still open the last one.
+POINTERS = 8
+
+
 class Library:
     """Tables under a root folder on any file system Spark can reach.
 
-    A change writes whole new versions beside the old ones and then moves the pointer, so readers see either state and a
-    failed write leaves nothing behind that is referred to. One writer at a time is assumed.
+    A change writes whole new versions beside the old ones and then a pointer under the next number. A pointer is complete
+    before it gets its name, and no file is ever replaced, so readers see one state or the other at any moment, and a
+    failed write leaves nothing behind that is referred to. Of two writers that began with the same state one fails.
+    Backup, restore and compaction are exclusive: while one runs, writes by others are refused.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -24,27 +33,57 @@ class Library:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _pointer(self) -> dict[str, str]:
-        p = self._path(f"{self.root}/CURRENT.json")
-        if not self._fs.exists(p):
-            return {}
-        stream = self._fs.open(p)
+        self._held = False
+
+    def _numbers(self) -> list[int]:
+        """Numbers of the pointers, rising."""
+        root = self._path(self.root)
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted(int(m[1]) for m in (re.fullmatch(r"CURRENT-([0-9]{12})\.json", n) for n in names) if m)
+
+    def _state(self) -> tuple[int, dict[str, str]]:
+        """The last pointer's number (0: none yet) and its tables' folders."""
+        numbers = self._numbers()
+        if not numbers:
+            return 0, {}
+        stream = self._fs.open(self._path(f"{self.root}/CURRENT-{numbers[-1]:012}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
+            return numbers[-1], json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _move(self, pointer: dict[str, str]) -> None:
-        """Writes the pointer beside the old one and renames it into place."""
-        new, now = self._path(f"{self.root}/.CURRENT-{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT.json")
+    def _pointer(self) -> dict[str, str]:
+        return self._state()[1]
+
+    def _move(self, number: int, pointer: dict[str, str]) -> None:
+        """Writes the pointer that follows `number` and renames it into place; a pointer that is there is never replaced."""
+        new, now = self._path(f"{self.root}/.CURRENT-{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT-{number + 1:012}.json")
         out = self._fs.create(new, True)
         out.write(json.dumps(pointer).encode())
         out.close()
-        if self._fs.exists(now):
-            self._fs.delete(now, False)
-        if not self._fs.rename(new, now):
-            raise OSError("the pointer could not be moved")
+        if self._fs.exists(now) or not self._fs.rename(new, now):
+            self._fs.delete(new, False)
+            raise OSError("another writer was faster")
+        for old in self._numbers()[:-POINTERS]:
+            self._fs.delete(self._path(f"{self.root}/CURRENT-{old:012}.json"), False)
+
+    @contextmanager
+    def exclusive(self) -> Iterator[None]:
+        """Keeps other writers out. A lock that a lost process has left is removed by hand (the file `LOCK`)."""
+        lock = self._path(f"{self.root}/LOCK")
+        if self._held:
+            yield
+            return
+        try:
+            self._fs.create(lock, False).close()
+        except Exception as e:
+            raise OSError("the library is being maintained") from e
+        self._held = True
+        try:
+            yield
+        finally:
+            self._held = False
+            self._fs.delete(lock, False)
 
     def read(self, name: str) -> DataFrame:
         path = self._pointer().get(name)
@@ -54,12 +93,14 @@ class Library:
 
     def write(self, **tables: DataFrame) -> None:
         """Replaces tables together."""
-        pointer = self._pointer()
+        if not self._held and self._fs.exists(self._path(f"{self.root}/LOCK")):
+            raise OSError("the library is being maintained")
+        number, pointer = self._state()
         for name, df in tables.items():
             path = f"{name}/v-{time.time_ns()}"
             conform(df, name).write.parquet(f"{self.root}/{path}")
             pointer[name] = path
-        self._move(pointer)
+        self._move(number, pointer)
 
     def size(self) -> int:
         return int(self._fs.getContentSummary(self._path(self.root)).getLength())
@@ -67,16 +108,15 @@ class Library:
     def compact(self, rows_per_file: int = 1_000_000) -> tuple[int, int]:
         """Rewrites the current versions in full files and removes all others; bytes before and after."""
         before = self.size()
-        pointer = self._pointer()
-        for name in pointer:
-            df = self.read(name)
-            n = max(1, -(-df.count() // rows_per_file))
-            self.write(**{name: df.repartition(n)})
-        current = self._pointer()
-        for name, path in current.items():
-            for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
-                if status.getPath().getName() != path.split("/")[-1]:
-                    self._fs.delete(status.getPath(), True)
+        with self.exclusive():
+            for name in self._pointer():
+                df = self.read(name)
+                n = max(1, -(-df.count() // rows_per_file))
+                self.write(**{name: df.repartition(n)})
+            for name, path in self._pointer().items():
+                for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+                    if status.getPath().getName() != path.split("/")[-1]:
+                        self._fs.delete(status.getPath(), True)
         return before, self.size()
 
     # ---- backups
@@ -96,9 +136,10 @@ class Library:
             raise FileExistsError(target)
         copy = Library(self.spark, target)
         try:
-            copy.write(**{name: self.read(name) for name in self._pointer()})
-            if copy.fingerprint() != self.fingerprint():
-                raise OSError("the copy differs")
+            with self.exclusive():
+                copy.write(**{name: self.read(name) for name in self._pointer()})
+                if copy.fingerprint() != self.fingerprint():
+                    raise OSError("the copy differs")
         except Exception:
             self._fs.delete(path, True)
             raise
@@ -108,8 +149,9 @@ class Library:
         from_ = Library(self.spark, source)
         if not from_._pointer() or from_.broken().take(1):
             raise ValueError("the backup is not sound")
-        self.backup(safety)
-        self.write(**{name: from_.read(name) for name in from_._pointer()})
+        with self.exclusive():
+            self.backup(safety)
+            self.write(**{name: from_.read(name) for name in from_._pointer()})
 
     def broken(self) -> DataFrame:
         return integrity({name: self.read(name) for name in TABLES})
@@ -135,7 +177,5 @@ def orphans(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
 
 def keep_latest(backups: DataFrame, n: int = 10) -> DataFrame:
     """(name, modified, keep): of listed backups the newest n are kept."""
-    from pyspark.sql.window import Window
-
-    order = Window.orderBy(F.desc("modified"), F.desc("name"))  # a listing of backups is short
-    return backups.withColumn("keep", F.row_number().over(order) <= n)
+    newest = backups.orderBy(F.desc("modified"), F.desc("name")).limit(n).select(F.col("name").alias("_name"))
+    return backups.join(F.broadcast(newest), F.col("name") == F.col("_name"), "left").withColumn("keep", F.col("_name").isNotNull()).drop("_name")

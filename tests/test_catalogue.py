@@ -215,8 +215,141 @@ def test_command_line(spark, tmp_path):
     code, text = run_cli(spark, root, "resource", "add", "https://h.org/x", "--title", "X")
     data = json.loads(text)
     assert code == 0 and data["data"]["id"] == "1" and data["data"]["status"] == "pending_review" and data["warnings"] == []
-    assert len(json.loads(run_cli(spark, root, "resource", "pending")[1])["data"]["resources"]) == 1
+    assert len(json.loads(run_cli(spark, root, "resource", "pending")[1])["data"]) == 1
     code, text = run_cli(spark, root, "resource", "get", "999")
     assert code == 3 and json.loads(text)["error"]["code"] == "RESOURCE_NOT_FOUND" and "warnings" not in json.loads(text)
     assert run_cli(spark, root, "resource", "add", "https://h.org/x")[0] == 1
-    assert json.loads(run_cli(spark, root, "resource", "search", "x")[1])["ok"]
+    Library(spark, root).write(resources=Library(spark, root).read("resources").withColumn("status", F.lit("active")))
+    (hit,) = json.loads(run_cli(spark, root, "resource", "search", "h.org")[1])["data"]
+    assert (hit["id"], hit["matched_fields"], hit["evidence_snippets"][0]["source_type"], hit["score_factors"]) == ("1", ["multi_field"], "multi_field", ["text_match", "no_rating_boost"])
+    assert json.loads(run_cli(spark, root, "resource", "search", "h.org", "--type", "article")[1])["data"] == []
+    out = io.StringIO()
+    assert cli.main(["--root", root, "update"], spark, out, lambda url: (200, ATOM.encode(), None)) == 0 and out.getvalue() == "1 new\n"
+    assert run_cli(spark, root, "list")[1].split("\t")[1:] == ["A", "1", "ok\n"]
+    assert run_cli(spark, root, "rm", "http://f")[0] == 0 and Library(spark, root).read("articles").count() == 0
+
+
+def test_rounds_and_waits(spark, tmp_path):
+    lib = Library(spark, f"file://{tmp_path}/lib")
+    rows = [{"id": 1, "url": "http://good.example", "next_fetch": 100}, {"id": 2, "url": "http://bad.example", "next_fetch": 150}, {"id": 3, "url": "http://off.example", "disabled": True}]
+    lib.write(feeds=table(spark, "feeds", rows))
+    get = lambda url: (200, RSS.encode(), None) if "good" in url else (503, b"", None)
+    now, slept = [100], []
+    waits = ingest.schedule(lib, get, lambda: now[0], lambda s: (slept.append(s), now.__setitem__(0, now[0] + s)), 3)
+    # the first is due now, the second in 50 s; a failure waits for two minutes, the next one for four
+    assert waits == slept == [50, 120, 240] and lib.read("articles").count() == 1
+    assert {r["id"]: (r["fail_count"], r["last_error"]) for r in lib.read("feeds").collect()} == {1: (0, None), 2: (2, "HTTP 503"), 3: (0, None)}
+    none = table(spark, "feeds", [{"id": 1, "url": "a", "next_fetch": 10**9}])
+    assert [ingest.next_wait(f, 100).first()["wait"] for f in (none, none.limit(0), none.withColumn("next_fetch", F.lit(1)))] == [900, 900, 5]
+    assert ingest.update_once(lib, 5000, get).first().asDict() == {"feeds": 0, "articles": 0}
+
+
+def test_redirects_are_checked_hop_by_hop():
+    def once(url):
+        n = int(url.rsplit("/", 1)[1])
+        return (302, b"", None, f"/{n - 1}") if n else (200, b"x", "text/html", None)
+
+    assert payloads.follow("http://a.example/10#x", once, lambda u: None) == (200, b"x", "text/html", "http://a.example/0")
+    with pytest.raises(payloads.RedirectError):
+        payloads.follow("http://a.example/11", once, lambda u: None)
+    with pytest.raises(payloads.RedirectError, match="address"):
+        payloads.follow("http://a.example/3", once, lambda u: "address" if u.endswith("/1") else None)
+    with pytest.raises(PermissionError):
+        payloads.follow("http://a.example/3", once, lambda u: "local")
+    answers = {"in.example": ["10.0.0.1"], "mixed.example": ["8.8.8.8", "::1"], "out.example": ["8.8.8.8", "2606:4700::1111"]}
+
+    def lookup(host, _):
+        if host not in answers:
+            raise OSError("unknown")
+        return [(0, 0, 0, "", (ip, 0)) for ip in answers[host]]
+
+    got = [payloads.guarded(f"http://{h}/x", lookup) for h in ("in.example", "mixed.example", "out.example", "no.example", "localhost")]
+    assert got == ["address", "address", None, "name: unknown", "local"]
+
+
+def test_pictures_are_tried_again():
+    def answers(*found):
+        left = list(found)
+
+        def get(url):
+            x = left.pop(0)
+            if isinstance(x, Exception):
+                raise x
+            return x
+
+        slept = []
+        return payloads.picture("http://p", get, slept.append), slept
+
+    assert answers((503, b"", None), OSError("reset"), (200, b"img", None)) == ((b"img", None, 3), [0.5, 1.5])
+    assert answers((200, b"", None), (200, b"", None), (200, b"", None)) == ((None, "empty", 3), [0.5, 1.5])
+    assert answers((404, b"", None)) == ((None, "HTTP 404", 1), []) and answers(payloads.RedirectError("loop")) == ((None, "loop", 1), [])
+    assert answers((200, b"x" * (payloads.MOST_PICTURE + 1), None))[0] == (None, "too large", 1)
+
+
+def test_a_reader_sees_one_state_or_the_other(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/lib"
+    lib, other = Library(spark, root), Library(spark, root)
+    lib.write(feeds=table(spark, "feeds", [{"id": 1, "url": "a"}]))
+
+    def cut(*_):
+        raise OSError("cut off")
+
+    with monkeypatch.context() as m:
+        m.setattr(lib, "_move", cut)
+        with pytest.raises(OSError):
+            lib.write(feeds=table(spark, "feeds", []))
+    assert other.read("feeds").count() == 1
+    # of two writers that began with the same state, one fails and changes nothing
+    number, pointer = other._state()
+    lib.write(feeds=lib.read("feeds").withColumn("title", F.lit("new")))
+    with pytest.raises(OSError):
+        other._move(number, pointer)
+    assert other.read("feeds").first()["title"] == "new"
+    with lib.exclusive(), pytest.raises(OSError):
+        other.write(feeds=table(spark, "feeds", []))
+    for _ in range(12):
+        lib._move(*lib._state())
+    assert len(lib._numbers()) == tables.POINTERS and lib.read("feeds").count() == 1
+
+
+def test_run_log_and_usage(spark):
+    none = lambda n: table(spark, n, [])
+    new = spark.createDataFrame([(5, 1, "p", "m", "1", "1"), (6, None, "p", "m", "1", "1")], "resource_id long, snapshot_id long, provider string, model string, prompt_version string, schema_version string")
+    runs = resources.start_run(none("resource_enrichment_runs"), new, 10)
+    done = spark.createDataFrame([(1, "failed", "E", "why")], "id long, status string, error_code string, error_message string")
+    got = {r["id"]: (r["resource_id"], r["status"], r["started_at"], r["finished_at"], r["error_code"]) for r in resources.finish_run(resources.start_run(runs, new.limit(1), 20), done, 30).collect()}
+    assert got == {1: (5, "failed", 10, 30, "E"), 2: (6, "pending", 10, None, None), 3: (5, "pending", 20, None, None)}
+    events = resources.record_usage(none("resource_usage_events"), spark.createDataFrame([(5, "returned", 7), (5, "returned", 7)], "resource_id long, event string, occurred_at long"))
+    assert [r["id"] for r in events.orderBy("id").collect()] == [1, 2]
+
+
+# Invented resources of a small catalogue, and what a reader would ask for with the address that must come up.
+CATALOGUE = [
+    ("https://paint.example/", "Paintbox", "draw vector pictures in the browser"), ("https://squeeze.example/", "Squeeze", "make picture files smaller"), ("https://palette.example/", "Palette", "choose colours that go together"),
+    ("https://glyphs.example/icons?kind=app", "Glyphs", "find app icons as vector files"), ("https://type.example/", "Type Room", "free fonts for web pages"), ("https://charts.example/", "Chart Desk", "draw charts from tables"),
+    ("https://sketch.example/", "Sketchpad", "draw system diagrams by hand"), ("https://crates.example/", "Box Index", "find libraries and their manuals"), ("https://gui.example/", "Window Kit", "a toolkit for desktop windows"),
+    ("https://photos.example/", "Open Photos", "free photographs"), ("https://sounds.example/", "Open Sounds", "free sound effects"), ("https://regex.example/", "Pattern Lab", "try search patterns"),
+]
+WANTED = {"vector app icons": 3, "picture smaller": 1, "COLOURS": 2, "free fonts": 4, "system diagrams": 6, "libraries manuals": 7, "desktop windows": 8, "photographs": 9, "charts tables": 5, "Pattern Lab": 11}
+
+
+def test_accepted_results_come_up(spark):
+    rows = [{"id": i, "url": u, "title": t, "purpose_zh": p, "status": "active", "updated_at": i, "capabilities": [], "limitations": [], "languages": []} for i, (u, t, p) in enumerate(CATALOGUE)]
+    stored = table(spark, "resources", rows).cache()
+    found = [(q, k, r["url"]) for q in WANTED for k, r in enumerate(resources.search_resources(stored, None, q, 5).collect(), 1)]
+    accepted = spark.createDataFrame([(q, CATALOGUE[i][0]) for q, i in WANTED.items()], "query string, url string")
+    got = resources.acceptance(spark.createDataFrame(found, "query string, rank int, url string"), accepted).collect()
+    assert len(got) == 10 and all(r["ok"] for r in got)
+    assert not resources.acceptance(spark.createDataFrame(found, "query string, rank int, url string"), accepted.withColumn("url", F.lit("x"))).first()["ok"]
+
+
+def test_results_as_json(spark):
+    stored = table(spark, "resources", [{"id": 4, "url": "https://h/4", "title": "SVG", "private_note": "mine", "status": "active", "manual_rating": 2, "updated_at": 60, "latest_snapshot_id": 9, "capabilities": ["draw"], "limitations": [], "languages": []}])
+    articles = table(spark, "articles", [{"id": 7, "feed_id": 1, "entry_id": "a", "title": "svg star", "content": "all of svg", "starred": True, "fetched_at": 2}])
+    f = table(spark, "feeds", [{"id": 1, "url": "http://a"}])
+    none = lambda n: table(spark, n, [])
+    rows = resources.search_json(stored, none("resource_snapshots"), none("resource_categories"), none("resource_tags"), articles, f, "svg", 5).collect()
+    a, b = (json.loads(r["json"]) for r in rows)
+    assert (a["id"], a["private_note"], a["updated_at"], a["score"], a["score_factors"]) == ("4", {"value": "mine", "source": "local_private_note"}, "1970-01-01T00:01:00Z", 1.1, ["text_match", "manual_rating_boost"])
+    assert a["evidence_snippets"] == [{"source_type": "multi_field", "snapshot_id": "9", "article_id": None, "text": "SVG https://h/4 draw"}] and "private_note" in a and a["pricing"] is None
+    assert (b["id"], b["result_type"], b["score_factors"], b["matched_fields"], b["tags"], b["evidence_snippets"][0]["text"]) == ("7", "article", ["starred"], ["article_text"], [], "all of svg")

@@ -141,6 +141,8 @@ def test_search(spark, lib):
     assert not search.search_library(rows, "  ", 5).collect() and not search.search_library(rows, "x", 0).collect()
     assert [r["article_id"] for r in search.search_library(rows, "AI", 5).collect()] == [3]
     assert {(r["kind"], r["source_id"]) for r in search.search_library(rows, "alp", 5).collect()} == {(0, 1), (2, 1)}
+    odd = spark.createDataFrame([(0, 1, "a😀bC"), (0, 2, "ab"), (0, 3, "x\ny😀😀")], "kind int, source_id long, body string")
+    assert sorted((r["source_id"], r["trigram"]) for r in search.trigram_postings(odd).collect()) == [(1, "a😀b"), (1, "😀bc"), (3, "\ny😀"), (3, "x\ny"), (3, "y😀😀")]
     found = search.trigram_candidates(search.trigram_postings(rows), "shared")
     assert sorted(r["source_id"] for r in found.collect()) == [1, 2]
 
@@ -151,6 +153,35 @@ def test_history(spark):
     assert tuple(r) == ("Rust", 5, 2, 1)
 
 
+def test_a_search_leaves_its_trace(spark, lib):
+    rows = search.index_rows(lib["articles"], lib["feeds"], lib["article_selections"], table(spark, "article_tags", []), table(spark, "tags", [])).cache()
+    history = table(spark, "search_history", [])
+    for query, limit, at in (("shared", 1, 10), ("SHARED", 20, 11), ("nowhere", 5, 12), (" ", 5, 13), ("x", 0, 14)):
+        _, history = search.search_and_record(rows, history, query, limit, at)
+    got = {tuple(r) for r in history.select("query", "last_used_at", "use_count", "result_count").collect()}
+    assert got == {("shared", 11, 2, 2), ("nowhere", 12, 1, 0)}
+
+
+def test_numbers_do_not_depend_on_the_layout(spark):
+    rows = spark.range(200_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("wide")).repartition(7)
+    got = library.number(rows, ["wide"])
+    assert got.agg(F.countDistinct("n"), F.min("n"), F.max("n")).first() == (200_000, 1, 200_000)
+    before = got.select("n", F.col("wide").alias("a")).join(got.select((F.col("n") - 1).alias("n"), F.col("wide").alias("b")), "n")
+    assert before.filter("a >= b").count() == 0 and before.count() == 199_999
+
+
+def test_lookups_and_missing_articles(spark, lib):
+    assert ids(library.article(lib["articles"], 3)) == [3] and ids(library.article(lib["articles"], 9)) == []
+    assert ids(library.feed(lib["feeds"], 1)) == ids(library.feed(lib["feeds"], "http://a")) == [1]
+    ai = table(spark, "article_ai", [{"article_id": 1, "summary_zh": "s", "translation_zh": "t"}, {"article_id": 4}])
+    assert library.article_ai(ai, 1).first()["summary_zh"] == "s"
+    left = library.remove_feed(1, lib["feeds"], lib["articles"], lib["article_selections"], table(spark, "article_tags", []), ai)
+    assert [r["article_id"] for r in left["article_ai"].collect()] == [4]
+    some = spark.createDataFrame([(1,), (9,)], "id long")
+    with pytest.raises(KeyError):
+        library.set_flag(lib["articles"], some, "starred", None, strict=True)
+
+
 def test_match_ranges_and_preview(spark):
     rows = spark.createDataFrame([(1, "ÉA aaa bab"), (2, "none")], "k long, t string")
     got = lambda q: sorted((r["k"], r["start"], r["end"]) for r in search.match_ranges(rows, q, ["k"], "t").collect())
@@ -159,7 +190,7 @@ def test_match_ranges_and_preview(spark):
     assert "four" in text["p"] and text["p"].startswith("…") and text["q"] == "a b"
 
 
-def test_anchors(spark):
+def test_anchors(spark, monkeypatch):
     doc = spark.createDataFrame([(1, "new intro. the cat sat. a dog. the cat ran."), (2, "aaaa")], "id long, content string")
     rows = [(1, "the cat", 0, 7, "", " sat"), (1, "the cat", 8, 15, "a dog. ", " ran"), (1, "gone", 0, 4, "", ""), (2, "aa", 9, 11, "", ""), (1, "a dog", 24, 29, "x", "y"), (1, "", 0, 0, "", "")]
     a = spark.createDataFrame(rows, "article_id long, quote string, start_offset long, end_offset long, prefix string, suffix string").withColumn("n", F.monotonically_increasing_id())
@@ -169,6 +200,11 @@ def test_anchors(spark):
     docs = spark.createDataFrame([(1, "x quick brown fox y"), (2, "quick")], "doc_id long, text string")
     quotes = spark.createDataFrame([(1, "quick brown fox"), (2, "quick"), (3, "ick brown f")], "item_id long, quote string")
     assert sorted(tuple(r) for r in anchors.quote_occurrences(docs, quotes).collect()) == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 1, 1)]
+    for most in (0, 1):
+        monkeypatch.setattr(anchors, "LITERALS", most)
+        monkeypatch.setattr(anchors, "SHORT", 1)
+        more = quotes.unionByName(spark.createDataFrame([(4, "fox y"), (5, "brown fox")], quotes.schema))
+        assert sorted(tuple(r) for r in anchors.quote_occurrences(docs, more).collect()) == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 1, 1), (4, 1, 1), (5, 1, 1)]
 
 
 def test_blob_cache(spark):
