@@ -1,56 +1,14 @@
-"""Shared helpers: folds, materialised intermediates in the shared folder, bounded samples."""
+"""Helpers of the operators: memory of workers, folds, bounded samples, small sides of joins."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-_ROOTS: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """A folder of this application under spark.checkpoint.dir; a temporary one only where that is unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = base or "file://" + tempfile.mkdtemp(prefix="lectern-")
-        _ROOTS[app] = f"{base.rstrip('/')}/lectern-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _ROOTS[app])
-    return _ROOTS[app]
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session has ended before: the folder stays for the cluster's own cleaning
-        pass
-
-
-def materialize(df: DataFrame, name: str, blobs: bool = False) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors.
-
-    blobs: rows are megabytes each. A reader takes the rows of one row group at a time, so groups are kept small.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    bound_batches(spark)
-    writer = df.write.option("compression", "zstd")
-    if blobs:
-        writer = writer.option("parquet.block.size", 16 << 20)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+from lectern import shared
 
 #: Rows of a few numbers or words that are broadcast at most.
 SMALL_ROWS = 1_000_000
@@ -61,14 +19,10 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def numbered(df: DataFrame, order: list) -> DataFrame:
-    """df with n = 0, 1, ... in the given order: a range sort is written once, then places and partitions' offsets add up."""
-    sorted_ = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    rows = materialize(sorted_, "numbered")
-    # the upper bits of _at are the partition's number, the lower 33 the place in it
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"))
-    before = sizes.withColumn("before", F.sum("rows").over(Window.orderBy("_part")) - F.col("rows")).select("_part", "before")
-    return rows.join(F.broadcast(before), "_part").withColumn("n", F.col("before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "before")
+def materialize(df: DataFrame, name: str, blobs: bool = False) -> DataFrame:
+    """A table written to the shared folder and read back, with Arrow batches of this session bounded beforehand."""
+    bound_batches(df.sparkSession)
+    return shared.materialize(df, name, blobs)
 
 
 def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:

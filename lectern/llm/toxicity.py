@@ -35,6 +35,8 @@ SLICE = 1 << 20
 PREFIXES = (5, 7)
 #: Weight of a term without class evidence, beside 1 for one of clear evidence.
 FLOOR = 0.01
+#: Postings that are sorted at once.
+PORTION = 1 << 19
 EVIDENCE = "evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>"
 
 
@@ -127,12 +129,18 @@ class NearestModel:
         self.dense[self.row[term[at]], slot[at]] = weight[at]
         light = self.row < 0
         frequent = np.bincount(term, minlength=len(self.terms) + 1) * self.spread > len(ids)
-        part = (light & ~frequent)[term]
-        own = term[part]
-        order = np.argsort(own, kind="stable")
-        self.begin = np.searchsorted(own[order], np.arange(len(self.terms) + 2))
-        self.posted, self.posted_weight = slot[part][order], weight[part][order]
-        del own, order
+        few = light & ~frequent
+        sizes = np.bincount(term, minlength=len(self.terms) + 1)
+        sizes[~few] = 0
+        self.begin = np.r_[0, np.cumsum(sizes)]
+        self.posted, self.posted_weight = np.empty(self.begin[-1], slot.dtype), np.empty(self.begin[-1], np.float32)
+        # by portions of terms, as a sort takes several times the room of what it sorts
+        edge = np.unique(np.r_[np.searchsorted(self.begin, np.arange(0, self.begin[-1], PORTION)), len(few)])
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            at = np.flatnonzero((term >= lo) & (term < hi) & few[term]).astype(np.int32 if len(term) < 2**31 else np.int64)
+            at = at[np.argsort(term[at], kind="stable")]
+            here = slice(self.begin[lo], self.begin[hi])
+            self.posted[here], self.posted_weight[here] = slot[at], weight[at]
         part = (light & frequent)[term]
         own, slot = term[part], slot[part]
         common = np.unique(own)
@@ -248,6 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
                 own = model.vectors(*_terms(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array([x[k].astype(t).tobytes() for x in own], pa.binary()) for k, t in ((0, np.int32), (1, np.float32)))], names=["doc_id", "y", "terms", "weights"])
 
+    give_back()
     found = texts.mapInArrow(lean(examples), "doc_id bigint, y int, terms binary, weights binary").toArrow()
     found = found.filter(pa.compute.greater(pa.compute.binary_length(found.column("terms")), 0)) if found.num_rows else found
     some = found.num_rows
@@ -259,7 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
         flat = lambda c, t: np.concatenate([np.frombuffer(v.as_buffer(), t) for v in take(c)])
         term, weight, sizes = flat("terms", np.int32), flat("weights", np.float32), pa.compute.binary_length(take("terms")).to_numpy() // 4
         ids, y = take("doc_id").to_numpy(), (take("y").to_numpy() > 0).astype(float)
-        del found
+        del found, order
+        give_back()
         model.build(ids, y, sizes, term, weight)
         del term, weight, sizes
         give_back()
