@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.operators import feeds as ops
 from lectern.operators import library as lib
+from lectern.shared import materialize
 from lectern.sources.payloads import fetch, http_get, parse_feeds
 from lectern.tables import Library
 
@@ -29,11 +30,12 @@ def ingest_batch(library: Library, payloads: DataFrame, now: int, policy: ops.Po
         good = entries.filter("error is null")
         # several payloads of one feed in a batch count in their order of entries
         new = ops.entry_to_article(good.filter("seq is not null"))
-        counts = ops.inserted(articles, new).groupBy("feed_id").agg(F.count(F.lit(1)).alias("inserted")).collect()
+        # counted before the articles are replaced
+        counts = materialize(ops.inserted(articles, new).groupBy("feed_id").agg(F.count(F.lit(1)).alias("inserted")), "inserted")
         feeds = ops.record_success(feeds, good.select("feed_id", F.col("feed_title").alias("title")), now, policy)
         feeds = ops.record_failure(feeds, entries.filter("error is not null").select("feed_id", "error"), now, policy)
         library.write(articles=ops.ingest(articles, new, now), feeds=feeds)
-        return library.spark.createDataFrame([(r["feed_id"], r["inserted"]) for r in counts], "feed_id long, inserted long")
+        return counts
     finally:
         entries.unpersist()
 

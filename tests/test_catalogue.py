@@ -244,6 +244,11 @@ def test_rounds_and_waits(spark, tmp_path):
     assert ingest.update_once(lib, 5000, get).first().asDict() == {"feeds": 0, "articles": 0}
 
 
+@pytest.mark.parametrize(("name", "text"), [("gbk", "他们在这里说了很多关于工作的事情，也有不少问题"), ("big5", "他們在這裡說了很多關於工作的事情，也有不少問題"), ("cp932", "これは日本語の文章です。よろしくお願いします"), ("cp949", "이것은 한국어로 쓴 문장입니다. 그리고 더 있다"), ("cp1251", "Это предложение написано по-русски"), ("cp1252", "Où est la bibliothèque, déjà fermée à midi ? Größe, señor")])
+def test_charsets_without_a_declaration(name, text):
+    assert payloads.decode_html(text.encode(name)) == text and payloads.decode_html(text.encode()) == text
+
+
 def test_redirects_are_checked_hop_by_hop():
     def once(url):
         n = int(url.rsplit("/", 1)[1])
