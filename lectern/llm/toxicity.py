@@ -82,7 +82,7 @@ class NearestModel:
     row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     #: Examples that hold a term of few (at most n / `spread`) examples, where each term's begin, and their weights.
-    spread: int = 50
+    spread: int = 16
     posted: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
     begin: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     posted_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
