@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, jaccard, licenses, mixing, ngrams, pii, quality, toxicity, vectors
+from lectern.llm import chat, decontaminate, divergence, jaccard, licenses, mixing, ngrams, pii, quality, toxicity, vectors
 from lectern.llm.common import read_table
 
 
@@ -73,6 +73,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_join(read_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 # The columns of op5 and op7 that SQL can express, held against it.
 
 
@@ -84,7 +88,7 @@ def pii_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
 
 
-QUERIES = {f.__name__: f for f in (lm_base_columns, pii_base_columns, op1_embedding_near_dedup, op2_chat_format, op3_source_mix, op4_toxicity, op5_lm_score, op6_decontaminate, op7_pii, op8_license_scan, op9_quality, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (lm_base_columns, pii_base_columns, op1_embedding_near_dedup, op2_chat_format, op3_source_mix, op4_toxicity, op5_lm_score, op6_decontaminate, op7_pii, op8_license_scan, op9_quality, op10_jaccard_join, op11_divergence_audit)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -154,7 +158,26 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
 _COMPONENTS = """
 reach AS (SELECT id, id AS other FROM nodes UNION SELECT r.id, l.b AS other FROM reach r JOIN links l ON l.a = r.other)"""
 
+_DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT row, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (
+  SELECT lang, source, coalesce(n, 0)::HUGEINT AS n, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source) USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c, 0) + 2) // (n + 2 * v) AS p FROM g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(c) + 2) // (any_value(n) + 2 * any_value(v)) AS q FROM c JOIN (SELECT lang, sum(n) AS n, any_value(v) AS v FROM g GROUP BY lang) USING (lang) GROUP BY lang, term),
+f AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 10"""
+
+
 ORACLES = {
+    "op11_divergence_audit": _DIVERGENCE,
     "op1_embedding_near_dedup": f"""
 WITH RECURSIVE v AS (
   SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
