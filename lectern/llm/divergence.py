@@ -162,7 +162,8 @@ def _distance(p: Column, q: Column) -> Column:
 def _pair_sums(table: pa.Table, tile: int) -> pa.Table:
     """Partial sums of f for the pairs of two tiles over one bucket of terms.
 
-    Rows without a term give the number of each source and its p for absent terms, the others the p of present ones."""
+    Rows without a term give the number of each source, its p for absent terms and how many terms the bucket holds; the
+    others give the p of present terms. Terms that no source of the two tiles has differ by the same amount each."""
     at, low, high = (table.column(c).to_numpy() for c in ("at", "low", "high"))
     term, p = table.column("term").combine_chunks(), table.column("p").to_numpy()
     base = term.is_null().to_numpy(zero_copy_only=False)
@@ -170,7 +171,7 @@ def _pair_sums(table: pa.Table, tile: int) -> pa.Table:
     sources, absent = at[base][order], p[base][order]
     codes = term.filter(pa.array(~base)).dictionary_encode()
     grid = np.tile(absent, (max(1, len(codes.dictionary)), 1))
-    seen = len(codes.dictionary) > 0
+    seen, rest = len(codes.dictionary) > 0, int(table.column("held").to_numpy()[base].max()) - len(codes.dictionary)
     if seen:
         grid[codes.indices.to_numpy(), np.searchsorted(sources, at[~base])] = p[~base]
     a_s, b_s = np.flatnonzero(sources // tile == low[0]), np.flatnonzero(sources // tile == high[0])
@@ -180,6 +181,7 @@ def _pair_sums(table: pa.Table, tile: int) -> pa.Table:
         if len(other):
             mine, theirs = grid[:, a : a + 1], grid[:, other]
             total = ((mine - theirs) ** 2 // (mine + theirs)).sum(axis=0) if seen else np.zeros(len(other), np.int64)
+            total = total + rest * ((absent[a] - absent[other]) ** 2 // (absent[a] + absent[other]))
             out.append((np.full(len(other), sources[a]), sources[other], total))
     a, b, value = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
     return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(a), pa.string()), "a": a, "b": b, "value": value})
@@ -201,11 +203,14 @@ def audit(docs: DataFrame, min_docs: int = 10, top: int = 10, pass_terms: int =
     postings = counts.join(few, ["lang", "source"]).withColumn("p", share(F.col("count"), F.col("size")))
     buckets = F.greatest(F.lit(1), F.ceil(F.col("v") / bucket)).cast("long")
     absent = groups.withColumn("term", F.lit(None).cast("string")).withColumn("p", share(F.lit(0).cast("long"), F.col("size"))).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), buckets - 1)))
-    columns = ["lang", "bucket", "at", "term", "p", "tiles"]
-    cells = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), buckets)).select(*columns).unionByName(absent.select(*columns))
+    place = F.pmod(F.xxhash64("term"), buckets).alias("bucket")
+    sizes = kept.join(small(by_lang), "lang").select("lang", place).groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("held"))
+    absent = absent.join(small(sizes), ["lang", "bucket"], "left")
+    columns = ["lang", "at", "term", "p", "tiles"]
+    cells = postings.select(*columns, place, F.lit(0).cast("long").alias("held")).unionByName(absent.select(*columns, "bucket", F.coalesce("held", F.lit(0)).alias("held")))
     own = F.floor(F.col("at") / tile)
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1)))
-    cells = cells.select("lang", "bucket", "at", "term", "p", F.least(own, "other").alias("low"), F.greatest(own, "other").alias("high"))
+    cells = cells.select("lang", "bucket", "at", "term", "p", "held", F.least(own, "other").alias("low"), F.greatest(own, "other").alias("high"))
     pairs = cells.groupBy("lang", "bucket", "low", "high").applyInArrow(lambda table: _pair_sums(table, tile), "lang string, a bigint, b bigint, value bigint").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = pairs.unionByName(pairs.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     names = small(groups.select("lang", "at", "source"))
