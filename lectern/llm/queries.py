@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, divergence, jaccard, licenses, mixing, ngrams, pii, quality, toxicity, vectors
+from lectern.llm import chat, decontaminate, divergence, jaccard, licenses, mixing, ngrams, pii, quality, spelling, toxicity, vectors
 from lectern.llm.common import read_table
 
 
@@ -77,6 +77,10 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(read_table(spark, sf_dir, "documents"))
+
+
 # The columns of op5 and op7 that SQL can express, held against it.
 
 
@@ -88,7 +92,7 @@ def pii_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
 
 
-QUERIES = {f.__name__: f for f in (lm_base_columns, pii_base_columns, op1_embedding_near_dedup, op2_chat_format, op3_source_mix, op4_toxicity, op5_lm_score, op6_decontaminate, op7_pii, op8_license_scan, op9_quality, op10_jaccard_join, op11_divergence_audit)}
+QUERIES = {f.__name__: f for f in (lm_base_columns, pii_base_columns, op1_embedding_near_dedup, op2_chat_format, op3_source_mix, op4_toxicity, op5_lm_score, op6_decontaminate, op7_pii, op8_license_scan, op9_quality, op10_jaccard_join, op11_divergence_audit, op13_spelling_variants)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -176,7 +180,28 @@ SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, so
 QUALIFY part = 'pair' OR rank <= 10"""
 
 
+#: Neighbours meet by patterns with one letter left out, not by masks; crc32 byte by byte from its table.
+_SPELLING = rf"""
+WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, (v & 1) * 3988292384))) AS crc),
+r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+u AS (SELECT doc_id, w, count(*) AS n FROM r GROUP BY doc_id, w),
+b AS (SELECT *, list_concat(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':', ''), lambda c: ascii(c)::BIGINT),
+    flatten(list_transform(string_split(w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END))) AS bytes FROM u),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda s, x: xor(s >> 8, crc[(xor(s, x) & 255) + 1])), 4294967295::BIGINT) AS h FROM b, bits),
+g AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM h),
+known AS (SELECT w, sum(n)::BIGINT AS n FROM g WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+gaps AS (SELECT DISTINCT w, i, substr(w, 1, i - 1) AS l, substr(w, i + 1) AS z FROM known, unnest(range(1, length(w) + 1)) AS t(i)),
+near AS (
+  SELECT x.w AS a, y.w AS b FROM gaps x JOIN gaps y ON x.i = y.i AND x.l = y.l AND x.z = y.z AND x.w <> y.w
+  UNION SELECT k.w, gaps.w FROM gaps JOIN known k ON gaps.l || gaps.z = k.w UNION SELECT gaps.w, k.w FROM gaps JOIN known k ON gaps.l || gaps.z = k.w),
+best AS (SELECT a AS w, b, k.n AS b_n, count(*) OVER (PARTITION BY a) AS n_near FROM near JOIN known k ON k.w = near.b QUALIFY row_number() OVER (PARTITION BY a ORDER BY k.n DESC, b) = 1),
+f AS (SELECT k.w, CASE WHEN b_n >= 2 * k.n THEN b END AS form, k.n, coalesce(n_near, 0) AS n_near, CASE WHEN b_n >= 2 * k.n THEN b_n END AS form_n FROM known k LEFT JOIN best USING (w)),
+walk AS (SELECT w, w AS last, form AS ahead FROM f UNION ALL SELECT walk.w, f.w, f.form FROM walk JOIN f ON f.w = walk.ahead)
+SELECT f.w AS word, form, last AS root, n, n_near, form_n FROM f JOIN walk ON walk.w = f.w AND walk.ahead IS NULL"""
+
+
 ORACLES = {
+    "op13_spelling_variants": _SPELLING,
     "op11_divergence_audit": _DIVERGENCE,
     "op1_embedding_near_dedup": f"""
 WITH RECURSIVE v AS (
