@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, decontaminate, divergence, jaccard, licenses, mixing, ngrams, pii, quality, spelling, toxicity, vectors
+from lectern.llm import chat, decontaminate, divergence, jaccard, licenses, mixing, ngrams, pii, quality, spelling, toxicity, urltree, vectors
 from lectern.llm.common import read_table
 
 
@@ -77,6 +77,10 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urltree.judge(read_table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 9))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(read_table(spark, sf_dir, "documents"))
 
@@ -92,7 +96,7 @@ def pii_base_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
 
 
-QUERIES = {f.__name__: f for f in (lm_base_columns, pii_base_columns, op1_embedding_near_dedup, op2_chat_format, op3_source_mix, op4_toxicity, op5_lm_score, op6_decontaminate, op7_pii, op8_license_scan, op9_quality, op10_jaccard_join, op11_divergence_audit, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (lm_base_columns, pii_base_columns, op1_embedding_near_dedup, op2_chat_format, op3_source_mix, op4_toxicity, op5_lm_score, op6_decontaminate, op7_pii, op8_license_scan, op9_quality, op10_jaccard_join, op11_divergence_audit, op12_url_filter, op13_spelling_variants)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -180,6 +184,33 @@ SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, so
 QUALIFY part = 'pair' OR rank <= 10"""
 
 
+def _url_sql(depth: int = 8) -> str:
+    """The tree level by level: t0 holds the paths at their hosts, each level's steps follow."""
+    fits = lambda r: f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND prefix(path, '{r.path}')"
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{what(r)}'" for r in sorted(urltree.RULES, key=lambda r: (-len(r.name), r.name))) + " END"
+    alike = lambda c: f"({c} * lag(n) OVER o - lag({c}) OVER o * n)::DOUBLE ** 2 * (n + lag(n) OVER o) <= {urltree.Z2} * n * lag(n) OVER o * ({c} + lag({c}) OVER o) * (n + lag(n) OVER o - {c} - lag({c}) OVER o)"
+    level = lambda k: f"""
+v{k} AS (SELECT host, node, score, rest[1] AS seg, sum(n) AS n, sum(b) AS b, sum(a) AS a, sum(CASE WHEN len(rest) = 1 THEN n ELSE 0 END) AS e FROM t{k} WHERE len(rest) > 0 GROUP BY ALL),
+w{k} AS (SELECT *, CASE WHEN n >= 3 AND n >= 0.05::DOUBLE * sum(n) OVER (PARTITION BY host, node) THEN seg ELSE '*' END AS branch FROM v{k}),
+b{k} AS (SELECT host, node, score, branch, sum(n)::DOUBLE AS n, sum(b)::DOUBLE AS b, sum(a)::DOUBLE AS a, sum(e)::DOUBLE AS e FROM w{k} GROUP BY host, node, score, branch),
+s{k} AS (SELECT *, CASE WHEN branch <> '*' AND {alike("b")} AND {alike("a")} AND {alike("e")} THEN 0 ELSE 1 END AS new FROM b{k} WINDOW o AS (PARTITION BY host, node ORDER BY branch = '*', b / n DESC, a / n DESC, e / n DESC, branch)),
+g{k} AS (SELECT *, sum(new) OVER (PARTITION BY host, node ORDER BY branch = '*', b / n DESC, a / n DESC, e / n DESC, branch ROWS UNBOUNDED PRECEDING) AS g FROM s{k}),
+m{k} AS (SELECT host, node, g, (sum(b) + 4 * any_value(score)) / (sum(n) + 4) AS below, CASE WHEN count(*) > 1 THEN '(' || string_agg(branch, '|' ORDER BY branch) || ')' ELSE any_value(branch) END AS name FROM g{k} GROUP BY host, node, g),
+t{k + 1} AS (
+  SELECT t.host, shape, t.rest[2:] AS rest, t.node || '/' || name AS node, below AS score, t.n, t.b, t.a
+  FROM (SELECT *, rest[1] AS seg FROM t{k} WHERE len(rest) > 0) t JOIN w{k} USING (host, node, seg) JOIN g{k} gk ON gk.host = t.host AND gk.node = t.node AND gk.branch = w{k}.branch JOIN m{k} mk ON mk.host = t.host AND mk.node = t.node AND mk.g = gk.g)"""
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+r AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urltree.UPPER}', '{urltree.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+q AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS label, list_filter(string_split(path, '/'), lambda s: s <> '') AS every FROM r),
+p AS (SELECT *, list_transform(every[1:{depth}], lambda s: CASE WHEN length(s) > 64 THEN '{{long}}' WHEN regexp_matches(s, '^[0-9a-fA-F-]{{16,}}$') THEN '{{x}}' ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) || CASE WHEN len(every) > {depth} THEN ['**'] ELSE [] END AS segs FROM q),
+h AS (SELECT host, segs, count(*) AS n, count(*) FILTER (label = 'block') AS b, count(*) FILTER (label = 'allow') AS a FROM p GROUP BY host, segs),
+t0 AS (SELECT host, array_to_string(segs, '/') AS shape, segs AS rest, '' AS node, (sum(b) OVER (PARTITION BY host) + 4 * (SELECT sum(b) / sum(n) FROM h)) / (sum(n) OVER (PARTITION BY host) + 4) AS score, n, b, a FROM h),
+{",".join(level(k) for k in range(depth + 1))},
+done AS ({" UNION ALL ".join(f"SELECT host, shape, node, score FROM t{k} WHERE len(rest) = 0" for k in range(depth + 2))})
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN score >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, node AS template, round(score, 9) AS score FROM (SELECT *, array_to_string(segs, '/') AS shape FROM p) LEFT JOIN done USING (host, shape)"""
+
+
 #: Neighbours meet by patterns with one letter left out, not by masks; crc32 byte by byte from its table.
 _SPELLING = rf"""
 WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, (v & 1) * 3988292384))) AS crc),
@@ -201,6 +232,7 @@ SELECT f.w AS word, form, last AS root, n, n_near, form_n FROM f JOIN walk ON wa
 
 
 ORACLES = {
+    "op12_url_filter": _url_sql(),
     "op13_spelling_variants": _SPELLING,
     "op11_divergence_audit": _DIVERGENCE,
     "op1_embedding_near_dedup": f"""
