@@ -143,25 +143,28 @@ def _fragments(d: Domain) -> DataFrame:
     CASE doc_id % 11 WHEN 0 THEN '2. ' WHEN 1 THEN ', ' WHEN 2 THEN ' ' WHEN 3 THEN 'é' ELSE '' END || substr(text, 20, 8) AS b, doc_id % 2 = 0 AS strong, doc_id % 3 = 0 AS link, doc_id % 5 = 0 AS next_strong,
     doc_id % 7 = 0 AS next_link, doc_id % 13 = 0 AS next_prefixed, doc_id % 17 = 0 AS code, doc_id % 19 = 0 AS next_code FROM documents),
 e AS (SELECT *, regexp_extract(a, '(?s)([^ 	
-])[ 	
-]*$', 1) AS l, regexp_extract(b, '(?s)^[ 	
-]*([^ 	
-])', 1) AS r FROM f),
-w AS (SELECT *, regexp_matches(l, '^[\p{L}\p{N}_]$') AND regexp_matches(r, '^[\p{L}\p{N}_]$') AND (ascii(l) < 128 OR ascii(r) < 128) AS spaced FROM e)
-SELECT doc_id, CASE
-  WHEN code OR next_code THEN CASE WHEN l = '' OR r = '' OR contains('。．.，,！!？?：:；;、)]}）】》”’', r) OR contains('([{</', l) THEN ''
-    WHEN spaced OR (code AND regexp_matches(r, '^[\p{L}\p{N}]$')) OR (next_code AND regexp_matches(l, '^[\p{L}\p{N}]$')) THEN ' ' ELSE '' END
-  WHEN regexp_full_match(trim(a), '[（(][0-9][）)]|[0-9]+[、．,，:：.]') THEN ' '
-  WHEN next_link AND NOT next_prefixed THEN chr(10) || chr(10)
-  WHEN link AND regexp_matches(ltrim(b), '^([（(][0-9][）)]|[0-9]+([、．,，:：]|\.([ 	
-]|$)))') THEN chr(10) || chr(10)
-  WHEN NOT (strong OR link OR next_strong OR next_link) THEN chr(10) || chr(10)
-  WHEN l = '' OR r = '' THEN ''
-  WHEN link AND regexp_matches(l, '^[A-Za-z0-9_]$') AND regexp_matches(r, '^[A-Za-z0-9_]$') THEN ''
-  WHEN contains('。．.，,！!？?：:；;、)]}）】》”’', r) THEN ''
-  WHEN contains('。．.！!？?', l) OR (strong AND next_strong) THEN chr(10) || chr(10)
-  WHEN next_link AND contains('-—–', l) THEN ' '
-  WHEN spaced THEN ' ' ELSE '' END AS separator FROM w""")
+
+])[ 	
+
+]*$', 1) AS l, regexp_extract(b, '(?s)^[ 	
+
+]*([^ 	
+
+])', 1) AS r FROM f),
+k AS (
+  SELECT *, l = '' OR r = '' OR contains('。．.，,！!？?：:；;、)]}）】》”’', r) AS tight, (ascii(l) < 128)::INT + (ascii(r) < 128)::INT AS plain, regexp_matches(l, '^[\p{L}\p{N}]$') AS lw, regexp_matches(r, '^[\p{L}\p{N}]$') AS rw FROM e),
+t AS (
+  SELECT *, (lw OR l = '_') AND (rw OR r = '_') AS words,
+    regexp_full_match(trim(a), '[（(][0-9][）)]|[0-9]+[、．,，:：.]') AS marker,
+    (link OR strong OR next_link OR next_strong) AS inline, regexp_matches(ltrim(b), '^([（(][0-9][）)]|[0-9]+([、．,，:：]|\.([ 	
+]|$)))') AS item FROM k),
+-- each cause by itself, the strongest one counts
+c AS (
+  SELECT doc_id, [
+    CASE WHEN (code OR next_code) AND NOT tight AND NOT contains('([{</', l) AND ((words AND plain > 0) OR (code AND rw) OR (next_code AND lw)) THEN ' ' WHEN code OR next_code THEN '' END,
+    CASE WHEN marker THEN ' ' END, CASE WHEN NOT inline OR (next_link AND NOT next_prefixed) OR (link AND item) THEN chr(10) || chr(10) END, CASE WHEN tight OR (link AND words AND plain = 2) THEN '' END,
+    CASE WHEN contains('。．.！!？?', l) OR strong AND next_strong THEN chr(10) || chr(10) END, CASE WHEN (next_link AND contains('-—–', l)) OR (words AND plain > 0) THEN ' ' END, ''] AS causes FROM t)
+SELECT doc_id, list_filter(causes, lambda x: x IS NOT NULL)[1] AS separator FROM c""")
 def fragment_separators(d: Domain) -> DataFrame:
     c = F.col
     flags = {k: c(k) for k in ("code", "next_code", "strong", "link", "next_strong", "next_link", "next_prefixed")}

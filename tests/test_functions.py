@@ -122,3 +122,24 @@ def test_separators(spark):
     rows = spark.createDataFrame([(i, a, b, *(off | flags).values()) for i, (a, b, flags, _) in enumerate(cases)], "i int, a string, b string, " + ", ".join(f"{k} boolean" for k in off))
     got = rows.select("i", scalars.fragment_separator(F.col("a"), F.col("b"), **{k: F.col(k) for k in off}).alias("s")).orderBy("i").collect()
     assert [r["s"] for r in got] == [want for *_, want in cases]
+
+
+def test_seams_by_their_tables(spark):
+    """Every pair of classes with every relation, against the table read by hand: the first row that fits."""
+    left = {"void": " ", "open": "x (", "dash": "x –", "stop": "x。", "latin": "xa ", "under": "x_", "wide": "x文", "other": "x+"}
+    right = {"void": "\n", "close": "，x", "latin": " ax", "under": "_x", "wide": "文x", "other": "+x"}
+    relations = [{"link": True}, {"strong": True}, {"strong": True, "next_strong": True}, {"next_link": True, "next_prefixed": True}, {"code": True}, {"next_code": True}, {"link": True, "strong": True, "next_strong": True}]
+    off = dict.fromkeys(("strong", "link", "next_strong", "next_link", "next_prefixed", "code", "next_code"), False)
+    named = {"linked": ["link"], "bold": ["strong", "next_strong"], "leading": ["next_link"], "code": ["code"], "tocode": ["next_code"], "*": []}
+    rows, want = [], []
+    for a, before in left.items():
+        for z, after in right.items():
+            for flags in relations:
+                table = scalars.CODE_SEAMS if {"code", "next_code"} & set(flags) else scalars.SEAMS
+                cells = [line.split() for line in table.strip().split("\n")]
+                fits = [what for x, y, how, what in cells if (x == "*" or a in x.split(",")) and (y == "*" or z in y.split(",")) and all(flags.get(f) for f in named[how])]
+                want.append(scalars.BETWEEN[fits[0] if fits else "-"])
+                rows.append((len(rows), before, after, *(off | flags).values()))
+    df = spark.createDataFrame(rows, "i int, a string, b string, " + ", ".join(f"{k} boolean" for k in off))
+    got = df.select("i", scalars.fragment_separator(F.col("a"), F.col("b"), **{k: F.col(k) for k in off}).alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in got] == want
