@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import anchors, search
+from lectern.operators import anchors, search, stored_index
 from lectern.plans.registry import query
+from lectern.shared import shared_root
 from lectern.sources.domain import Domain
 
 TERMS = {1: "thin ereth", 2: "license", 3: "nicht schen", 4: "version public", 5: "querés", 6: "apache version"}
@@ -72,6 +75,40 @@ def search_multi_query(d: Domain) -> DataFrame:
     return _ranked(d, TERMS, 10)
 
 
+def _stored(d: Domain, rows: DataFrame) -> stored_index.StoredIndex:
+    index = stored_index.StoredIndex(d.spark, f"{shared_root(d.spark)}/index-{uuid.uuid4().hex[:12]}")
+    index.build(rows)
+    return index
+
+
+@query(_bm25(TERMS, 10), _TABLES)
+def search_stored_topk(d: Domain) -> DataFrame:
+    """The same search from stored postings: bodies are not read, blocks that cannot reach the best ten are not opened."""
+    found = _stored(d, _rows(d)).search(TERMS, 10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "kind", "source_id", "article_id", "feed_id", "timestamp", "archived", (F.round("score", 5) + 0.0).alias("score"))
+
+
+@query(f""", {_INDEX}, low AS (SELECT kind, source_id, string_split(lower(body), '') AS c FROM idx),
+each AS (SELECT kind, source_id, unnest(c[:len(c) - 2]) || unnest(c[2:len(c) - 1]) || unnest(c[3:]) AS trigram FROM low WHERE len(c) > 2),
+g AS (SELECT kind, source_id, trigram, count(*) AS tf FROM each GROUP BY ALL)
+SELECT trigram, count(*) AS df, sum(tf)::BIGINT AS occurrences FROM g GROUP BY trigram""", _TABLES)
+def stored_index_after_changes(d: Domain) -> DataFrame:
+    """An index of an earlier library, brought up to date by deltas, holds what a rebuild holds.
+
+    Since then articles came (every 6th), changed (every 5th) and went (every 4th had a copy), tags were given (to every
+    7th) and comments edited (of every 3rd selection)."""
+    articles, feeds, selections, links, tags = d.articles(), d.feeds(), d.selections(), d.article_tags(), d.tags()
+    i = F.col("id")
+    gone = articles.filter(i % 4 == 0).withColumn("id", -1 - i)
+    old = articles.filter(i % 6 != 0).withColumn("content", F.when(i % 5 == 0, F.concat(F.lit("Draft. "), F.reverse("content"))).otherwise(F.col("content"))).unionByName(gone)
+    noted = selections.withColumn("comment", F.when(i % 3 == 0, F.lit("to be written")).otherwise(F.col("comment")))
+    index = _stored(d, search.index_rows(old, feeds, noted, links.filter("article_id % 7 <> 0"), tags))
+    ids = articles.filter((i % 6 == 0) | (i % 5 == 0) | (i % 7 == 0)).select("id").unionByName(gone.select("id"))
+    keys = stored_index.touched(articles, selections, links, article_ids=ids, selection_ids=selections.filter(i % 3 == 0).select("id"))
+    index.update(keys, _rows(d))
+    return index.trigram_counts()
+
+
 @query("""WITH uses AS (SELECT CASE WHEN event_id % 2 = 0 THEN event_type ELSE upper(event_type) END AS query, epoch_us(ts) AS used_at, user_id::BIGINT AS n FROM events)
 SELECT arg_min(query, row(used_at, query)) AS query, max(used_at) AS last_used_at, count(*) AS use_count, arg_max(n, row(used_at, n)) AS result_count FROM uses GROUP BY lower(query)""")
 def search_history_upsert(d: Domain) -> DataFrame:

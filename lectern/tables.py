@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +18,19 @@ from lectern.schema import KEYS, REFERENCES, TABLES, conform
 
 #: Pointers that stay: a reader that has listed the folder can still open the last one.
 POINTERS = 8
+#: Seconds after which a lease counts as left behind.
+LEASE = 3600.0
 
 
-class Library:
-    """Tables under a root folder on any file system Spark can reach.
+class Conflict(OSError):
+    """Another writer published first."""
+
+
+class Pointers:
+    """Numbered states of a folder, each a small JSON file; the largest number is the state that counts.
 
-    A change writes whole new versions beside the old ones and then a pointer under the next number. A pointer is complete
-    before it gets its name, and no file is ever replaced, so readers see one state or the other at any moment, and a
-    failed write leaves nothing behind that is referred to. Of two writers that began with the same state one fails.
-    Backup, restore and compaction are exclusive: while one runs, writes by others are refused.
+    A state is complete before it gets its name, and the name is claimed in one step that fails if it is taken: a hard
+    link on a local file system, a rename (which HDFS refuses on an existing name) on others. No file is ever replaced.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -33,57 +38,123 @@ class Library:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._held = False
+
+    def _name(self, number: int):
+        return self._path(f"{self.root}/CURRENT-{number:012}.json")
 
     def _numbers(self) -> list[int]:
-        """Numbers of the pointers, rising."""
         root = self._path(self.root)
         names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
         return sorted(int(m[1]) for m in (re.fullmatch(r"CURRENT-([0-9]{12})\.json", n) for n in names) if m)
 
-    def _state(self) -> tuple[int, dict[str, str]]:
-        """The last pointer's number (0: none yet) and its tables' folders."""
-        numbers = self._numbers()
-        if not numbers:
-            return 0, {}
-        stream = self._fs.open(self._path(f"{self.root}/CURRENT-{numbers[-1]:012}.json"))
+    def _load(self, number: int) -> dict:
+        stream = self._fs.open(self._name(number))
         try:
-            return numbers[-1], json.loads(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _pointer(self) -> dict[str, str]:
-        return self._state()[1]
+    def state(self) -> tuple[int, dict]:
+        """The last state and its number; (0, {}) before the first."""
+        numbers = self._numbers()
+        return (numbers[-1], self._load(numbers[-1])) if numbers else (0, {})
+
+    def states(self) -> list[dict]:
+        """All states that readers may still be at."""
+        return [self._load(n) for n in self._numbers()]
 
-    def _move(self, number: int, pointer: dict[str, str]) -> None:
-        """Writes the pointer that follows `number` and renames it into place; a pointer that is there is never replaced."""
-        new, now = self._path(f"{self.root}/.CURRENT-{uuid.uuid4().hex}"), self._path(f"{self.root}/CURRENT-{number + 1:012}.json")
+    def _claim(self, new, name) -> bool:
+        """Gives a complete file its name unless that is taken."""
+        if self._fs.getScheme() != "file":
+            return not self._fs.exists(name) and self._fs.rename(new, name)
+        try:
+            os.link(new.toUri().getPath(), name.toUri().getPath())
+        except FileExistsError:
+            return False
+        self._fs.delete(new, False)
+        return True
+
+    def publish(self, number: int, state: dict) -> int:
+        """Makes `state` the one that follows `number`, which must still be the last; its number."""
+        new = self._path(f"{self.root}/.CURRENT-{uuid.uuid4().hex}")
         out = self._fs.create(new, True)
-        out.write(json.dumps(pointer).encode())
+        out.write(json.dumps(state).encode())
         out.close()
-        if self._fs.exists(now) or not self._fs.rename(new, now):
+        # names that were taken and have gone since are below the last one
+        if (self._numbers() or [0])[-1] != number or not self._claim(new, self._name(number + 1)):
             self._fs.delete(new, False)
-            raise OSError("another writer was faster")
+            raise Conflict("another writer was faster")
         for old in self._numbers()[:-POINTERS]:
-            self._fs.delete(self._path(f"{self.root}/CURRENT-{old:012}.json"), False)
+            self._fs.delete(self._name(old), False)
+        return number + 1
+
+    def folders(self, prefixes: tuple[str, ...]) -> set[str]:
+        root = self._path(self.root)
+        return {s.getPath().getName() for s in self._fs.listStatus(root) if s.getPath().getName().startswith(prefixes)} if self._fs.exists(root) else set()
+
+    def remove(self, names) -> None:
+        for name in names:
+            self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+
+class Library(Pointers):
+    """Tables under a root folder on any file system Spark can reach.
+
+    A change writes whole new versions beside the old ones and then publishes a state that names them, so readers see one
+    state or the other at any moment, and a failed write leaves nothing behind that is referred to. Of two writers that
+    began with the same state one fails.
+
+    Backup, restore and compaction hold a lease, which is itself a published state: its number fences off all writers that
+    began before it, and those that begin later see it and are refused. A lease that has run out may be passed over by
+    the next writer; its late holder then fails when it publishes. Maintenance deletes only what the states before its
+    own named, never what a later writer may have begun.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], float] = time.time) -> None:
+        super().__init__(spark, root)
+        self._clock = clock
+        self._held: str | None = None
+
+    def _pointer(self) -> dict[str, str]:
+        return {k: v for k, v in self.state()[1].items() if k != "_lease"}
+
+    def _move(self, number: int, state: dict) -> None:
+        """Publishes tables for a writer: refused under another's lease, and keeps its own."""
+        lease = self.state()[1].get("_lease")
+        if lease and lease["holder"] != self._held and lease["until"] > self._clock():
+            raise OSError("the library is being maintained")
+        if self._held and (not lease or lease["holder"] != self._held):
+            raise Conflict("the lease was lost")
+        tables = {k: v for k, v in state.items() if k != "_lease"}
+        self.publish(number, tables | ({"_lease": lease} if self._held else {}))
 
     @contextmanager
-    def exclusive(self) -> Iterator[None]:
-        """Keeps other writers out. A lock that a lost process has left is removed by hand (the file `LOCK`)."""
-        lock = self._path(f"{self.root}/LOCK")
+    def exclusive(self, seconds: float = LEASE) -> Iterator[None]:
+        """Holds the lease for so many seconds at most."""
         if self._held:
             yield
             return
+        number, state = self.state()
+        lease = state.get("_lease")
+        if lease and lease["until"] > self._clock():
+            raise OSError("the library is being maintained")
+        holder = uuid.uuid4().hex
         try:
-            self._fs.create(lock, False).close()
-        except Exception as e:
+            self.publish(number, state | {"_lease": {"holder": holder, "until": self._clock() + seconds}})
+        except Conflict as e:
             raise OSError("the library is being maintained") from e
-        self._held = True
+        self._held = holder
         try:
             yield
         finally:
-            self._held = False
-            self._fs.delete(lock, False)
+            number, state = self.state()
+            try:
+                if state.get("_lease", {}).get("holder") == holder:
+                    self.publish(number, {k: v for k, v in state.items() if k != "_lease"})
+            except Conflict:  # the lease had run out and another writer went on
+                pass
+            finally:
+                self._held = None
 
     def read(self, name: str) -> DataFrame:
         path = self._pointer().get(name)
@@ -93,9 +164,9 @@ class Library:
 
     def write(self, **tables: DataFrame) -> None:
         """Replaces tables together."""
-        if not self._held and self._fs.exists(self._path(f"{self.root}/LOCK")):
+        number, pointer = self.state()
+        if (lease := pointer.get("_lease")) and lease["holder"] != self._held and lease["until"] > self._clock():
             raise OSError("the library is being maintained")
-        number, pointer = self._state()
         for name, df in tables.items():
             path = f"{name}/v-{time.time_ns()}"
             conform(df, name).write.parquet(f"{self.root}/{path}")
@@ -106,17 +177,17 @@ class Library:
         return int(self._fs.getContentSummary(self._path(self.root)).getLength())
 
     def compact(self, rows_per_file: int = 1_000_000) -> tuple[int, int]:
-        """Rewrites the current versions in full files and removes all others; bytes before and after."""
+        """Rewrites the current versions in full files and removes what was there before; bytes before and after."""
         before = self.size()
         with self.exclusive():
+            old = {(name, f.getPath().getName()) for name in self._pointer() for f in self._fs.listStatus(self._path(f"{self.root}/{name}"))}
             for name in self._pointer():
                 df = self.read(name)
                 n = max(1, -(-df.count() // rows_per_file))
                 self.write(**{name: df.repartition(n)})
-            for name, path in self._pointer().items():
-                for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
-                    if status.getPath().getName() != path.split("/")[-1]:
-                        self._fs.delete(status.getPath(), True)
+            # published: from here on nobody begins with the old versions
+            now = {tuple(path.split("/")) for path in self._pointer().values()}
+            self.remove("/".join(x) for x in old - now)
         return before, self.size()
 
     # ---- backups

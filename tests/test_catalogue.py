@@ -305,7 +305,7 @@ def test_a_reader_sees_one_state_or_the_other(spark, tmp_path, monkeypatch):
             lib.write(feeds=table(spark, "feeds", []))
     assert other.read("feeds").count() == 1
     # of two writers that began with the same state, one fails and changes nothing
-    number, pointer = other._state()
+    number, pointer = other.state()
     lib.write(feeds=lib.read("feeds").withColumn("title", F.lit("new")))
     with pytest.raises(OSError):
         other._move(number, pointer)
@@ -313,10 +313,55 @@ def test_a_reader_sees_one_state_or_the_other(spark, tmp_path, monkeypatch):
     with lib.exclusive(), pytest.raises(OSError):
         other.write(feeds=table(spark, "feeds", []))
     for _ in range(12):
-        lib._move(*lib._state())
+        lib._move(*lib.state())
     assert len(lib._numbers()) == tables.POINTERS and lib.read("feeds").count() == 1
 
 
+def test_maintenance_fences_writers_off(spark, tmp_path):
+    """A writer that pauses before it publishes, a compaction in between, a holder that died, and one that wakes up late."""
+    root, now = f"file://{tmp_path}/lib", [1000.0]
+    lib, other = (Library(spark, root, clock=lambda: now[0]) for _ in range(2))
+    lib.write(feeds=table(spark, "feeds", [{"id": 1, "url": "a"}]))
+    paused = other.state()
+    lib.compact()
+    assert not [n for n, s in enumerate(lib.states()) if n == len(lib.states()) - 1 and "_lease" in s]
+    with pytest.raises(OSError):  # its state names folders that are gone
+        other._move(*paused)
+    assert other.read("feeds").count() == 1
+    # the holder dies: writers wait until its lease has run out
+    held = lib.exclusive(seconds=60)
+    held.__enter__()
+    with pytest.raises(OSError):
+        other.write(feeds=table(spark, "feeds", []))
+    now[0] += 61
+    other.write(feeds=table(spark, "feeds", [{"id": 2, "url": "b"}]))
+    # the late holder can publish nothing any more, and leaving its block changes nothing
+    with pytest.raises(OSError):
+        lib.write(feeds=table(spark, "feeds", []))
+    held.__exit__(None, None, None)
+    assert [r["url"] for r in lib.read("feeds").collect()] == ["b"] and "_lease" not in lib.state()[1]
+    lib.write(feeds=lib.read("feeds"))
+
+
+def test_a_state_is_claimed_once(spark, tmp_path):
+    """Of many writers that publish after the same state, one wins."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    one = tables.Pointers(spark, f"file://{tmp_path}/p")
+    assert one.state() == (0, {}) and one.publish(0, {"k": -1}) == 1
+
+    def attempt(k):
+        try:
+            tables.Pointers(spark, f"file://{tmp_path}/p").publish(1, {"k": k})
+            return k
+        except tables.Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [k for k in pool.map(attempt, range(16)) if k is not None]
+    assert len(won) == 1 and one.state() == (2, {"k": won[0]})
+
+
 def test_run_log_and_usage(spark):
     none = lambda n: table(spark, n, [])
     new = spark.createDataFrame([(5, 1, "p", "m", "1", "1"), (6, None, "p", "m", "1", "1")], "resource_id long, snapshot_id long, provider string, model string, prompt_version string, schema_version string")
