@@ -1,11 +1,15 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over all terms of the examples, distance-weighted votes.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 Terms are words and their prefixes of PREFIXES bytes, which catch the forms of one stem. Every term of every example counts,
-with its frequency over all documents and a weight that grows with its class evidence (a chi-square test) from FLOOR to 1;
-an example or a document is its vector over these terms and one background term for all words, of length 1. The heaviest
-and the rare terms give each example's share of the cosine at once, the lengths of the other parts bound what these can
-add: examples are opened by falling bounds until no unopened one can reach the k-th best, so the neighbours are exact (examples' weights are kept
-in single precision).
+by its frequency in the text, its rarity over all documents, and a factor from FLOOR to 1 that grows with its class evidence
+(a chi-square test). An example or a document is its vector over these terms, of length 1.
+
+The index. Examples are arranged so that alike ones are neighbours and cut into blocks. The terms of most postings are kept as
+a slab of weights for each block, all others as postings by term and block; for every term and block the largest weight is
+stored. A batch of documents is searched together: these maxima bound each document's cosine in each block, the blocks of the
+two largest bounds give a first k-th best, and then every block is opened whose bound reaches it, one matrix product and one
+sum over postings for all documents that want it. No block that could hold a neighbour stays closed, so the neighbours are
+exact; cosines are held in single precision and compared to six digits.
 Votes weighted by similarity are calibrated by isotonic regression on leave-one-out votes of the examples.
 
 Of near copies among the examples (eight tenths of their word triples, compared exactly) one is kept, so that a copied text does not pass for many witnesses.
@@ -18,6 +22,7 @@ base rate (0 without any label); repeated rows give repeated results; other colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,8 +38,12 @@ from lectern.llm.jaccard import fold_vector, similarity_join
 
 SLICE = 1 << 20
 PREFIXES = (5, 7)
-#: Weight of a term without class evidence, beside 1 for one of clear evidence.
-FLOOR = 0.01
+#: Factor of a term without class evidence, beside 1 for one of clear evidence.
+FLOOR = 0.5
+#: Documents that are searched together, and postings of all of them at most (one longer document stands alone).
+BATCH, BATCH_POSTINGS = 64, 1 << 21
+#: What single precision may take from a bound.
+SLACK = 1e-5
 #: Postings that are sorted at once.
 PORTION = 1 << 19
 EVIDENCE = "evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>"
@@ -64,7 +73,7 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class NearestModel:
-    """Examples by heavy and other terms, and the calibration of their votes."""
+    """Examples in blocks: slabs of heavy terms, postings of others, maxima of both; and the calibration of their votes."""
 
     terms: np.ndarray
     idf: np.ndarray
@@ -74,25 +83,20 @@ class NearestModel:
     k: int = 15
     rate: float = 0.0
     bare: float = 0.0
-    background: float = 1.0
     knots: np.ndarray = field(default_factory=lambda: np.zeros(0))
     values: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    heavy: int = 256
-    #: Row of a heavy term (or the background) in `dense`, -1 for others.
+    heavy: int = 768
+    #: Row of a heavy term in the slabs, -1 for others; weights by block, term, place; and the largest by term, block.
     row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
-    #: Examples that hold a term of few (at most n / `spread`) examples, where each term's begin, and their weights.
-    spread: int = 16
-    posted: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    slabs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, 0), np.float32))
+    peaks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    #: Other terms: where a term's entries begin; each entry's block, largest weight and first posting; places and weights.
     begin: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    posted_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: Numbers of the other terms, these in all examples, where each example's begin, their weights, and the length of these parts.
-    common: int = 0
-    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    length: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    entry_block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    entry_peak: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    entry_first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    posted: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    posted_weight: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     sent: Broadcast | None = None
 
     def vectors(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -105,51 +109,53 @@ class NearestModel:
         key, times = np.unique((np.searchsorted(first, hit, "right") - 1) * len(self.terms) + at[hit], return_counts=True)
         text, term = np.divmod(key, len(self.terms))
         weight = (1 + np.log(times)) * self.idf[term]
-        # all words of a text count as one more term, so that a term's density tells
-        rows = np.unique(text)
-        words = np.maximum(np.diff(first)[rows] / (1 + len(PREFIXES)), 1)
-        text = np.r_[text, rows]
-        term = np.r_[term, np.full(len(rows), len(self.terms))]
-        weight = np.r_[weight, self.background * (1 + np.log(words))]
-        order = np.argsort(text, kind="stable")
-        text, term, weight = text[order], term[order], weight[order]
         weight = weight / np.sqrt(np.bincount(text, weight**2, n))[text]
         border = np.searchsorted(text, np.arange(n + 1))
         return [(term[a:b], weight[a:b]) for a, b in zip(border[:-1], border[1:], strict=True)]
 
     def build(self, ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
         """Index of examples, sorted by id: sizes[i] terms with weights belong to example i, one example after the other."""
-        self.ids, self.toxic = ids, toxic
-        top = np.r_[np.argsort(-self.idf, kind="stable")[: self.heavy], len(self.terms)]
-        self.row = np.full(len(self.terms) + 1, -1, np.int32)
+        n, width = len(ids), self.block
+        held = np.bincount(term, minlength=len(self.terms))
+        top = np.argsort(-held, kind="stable")[: self.heavy]
+        self.row = np.full(len(self.terms), -1, np.int32)
         self.row[top] = np.arange(len(top))
-        slot = np.repeat(np.arange(len(ids), dtype=np.min_scalar_type(len(ids))), sizes)
-        self.dense = np.zeros((len(top), len(ids)), np.float32)
+        slot = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        dense = np.zeros((n, len(top)), np.float32)
         at = np.flatnonzero(self.row[term] >= 0)
-        self.dense[self.row[term[at]], slot[at]] = weight[at]
-        light = self.row < 0
-        frequent = np.bincount(term, minlength=len(self.terms) + 1) * self.spread > len(ids)
-        few = light & ~frequent
-        sizes = np.bincount(term, minlength=len(self.terms) + 1)
-        sizes[~few] = 0
-        self.begin = np.r_[0, np.cumsum(sizes)]
-        self.posted, self.posted_weight = np.empty(self.begin[-1], slot.dtype), np.empty(self.begin[-1], np.float32)
+        dense[slot[at], self.row[term[at]]] = weight[at]
+        order = _arranged(dense, width)
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n)
+        self.ids, self.toxic = ids[order], toxic[order]
+        blocks = -(-n // width)
+        self.slabs = np.zeros((blocks, len(top), width), np.float32)
+        for b in range(blocks):
+            own = order[b * width : (b + 1) * width]
+            self.slabs[b, :, : len(own)] = dense[own].T
+        self.peaks = np.ascontiguousarray(self.slabs.max(axis=2).T) if blocks else np.zeros((len(top), 0), np.float32)
+        del dense, at
+        held[top] = 0
+        to = np.r_[0, np.cumsum(held)]
+        posted, heavy = np.empty(to[-1], np.int32), self.row >= 0
+        self.posted_weight = np.empty(to[-1], np.float32)
         # by portions of terms, as a sort takes several times the room of what it sorts
-        edge = np.unique(np.r_[np.searchsorted(self.begin, np.arange(0, self.begin[-1], PORTION)), len(few)])
+        edge = np.unique(np.r_[np.searchsorted(to, np.arange(0, to[-1], PORTION)), len(held)])
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            at = np.flatnonzero((term >= lo) & (term < hi) & few[term]).astype(np.int32 if len(term) < 2**31 else np.int64)
-            at = at[np.argsort(term[at], kind="stable")]
-            here = slice(self.begin[lo], self.begin[hi])
-            self.posted[here], self.posted_weight[here] = slot[at], weight[at]
-        part = (light & frequent)[term]
-        own, slot = term[part], slot[part]
-        common = np.unique(own)
-        self.place = np.full(len(self.terms) + 1, -1, np.int32)
-        self.place[common] = np.arange(len(common))
-        self.common = len(common)
-        self.rest, self.weight = self.place[own].astype(np.min_scalar_type(len(common))), weight[part]
-        self.first = np.searchsorted(slot, np.arange(len(ids) + 1))
-        self.length = np.sqrt(np.bincount(slot, self.weight.astype(float) ** 2, len(ids)))
+            at = np.flatnonzero((term >= lo) & (term < hi) & ~heavy[term]).astype(np.int32 if len(term) < 2**31 else np.int64)
+            spot = place[slot[at]]
+            own = np.lexsort((spot, term[at]))
+            here = slice(to[lo], to[hi])
+            posted[here], self.posted_weight[here] = spot[own], weight[at[own]]
+        block = posted // width
+        new = np.zeros(len(posted) + 1, bool)
+        new[to] = True
+        new[1:-1] |= block[1:] != block[:-1]
+        first = np.flatnonzero(new[:-1])
+        self.begin = np.searchsorted(first, to)
+        self.entry_block, self.entry_first = block[first].astype(np.int32), np.r_[first, len(posted)].astype(np.int32 if len(posted) < 2**31 else np.int64)
+        self.entry_peak = np.maximum.reduceat(self.posted_weight, first) if len(first) else np.zeros(0, np.float32)
+        self.posted = (posted % width).astype(np.min_scalar_type(width))
 
     def shared(self, spark) -> Broadcast:
         """This model as one broadcast; its size is bounded by the number of examples."""
@@ -165,39 +171,68 @@ class NearestModel:
         """Places first[i] to first[i] + size[i] - 1 of all i, one run after the other."""
         return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the k largest cosines, and these; skip: an id whose examples are left out."""
-        best_i, best_s = np.zeros(0, np.int64), np.zeros(0)
-        at = self.row[terms]
-        share = weights[at >= 0] @ self.dense[at[at >= 0]]
-        terms, weights = terms[at < 0], weights[at < 0]
-        size = self.begin[terms + 1] - self.begin[terms]
-        spot = self._runs(self.begin[terms], size)
-        share = share + np.bincount(self.posted[spot], np.repeat(weights, size) * self.posted_weight[spot], len(self.ids))
-        place = self.place[terms]
-        query = np.zeros(self.common)
-        query[place[place >= 0]] = own = weights[place >= 0]
-        bound = share + float(np.sqrt(own @ own)) * self.length
-        if skip is not None:
-            bound[slice(*np.searchsorted(self.ids, [skip, skip + 1]))] = 0
-        left, step = np.flatnonzero(bound > 0), self.block
-        while len(left):
-            if len(left) > step:
-                cut = np.argpartition(-bound[left], step)
-                i, left = left[cut[:step]], left[cut[step:]]
-            else:
-                i, left = left, left[:0]
-            size = self.first[i + 1] - self.first[i]
-            spot = self._runs(self.first[i], size)
-            s = share[i] + np.bincount(np.repeat(np.arange(len(i)), size), query[self.rest[spot]] * self.weight[spot], len(i))
-            i, s = np.r_[best_i, i[s > 0]], np.r_[best_s, s[s > 0]]
-            pick = np.lexsort((self.ids[i], -s))[: self.k]
-            best_i, best_s = i[pick], s[pick]
-            if len(best_s) == self.k:
-                # rounding may set a bound just under what it bounds
-                left = left[bound[left] >= best_s[-1] - 1e-6]
-            step *= 2
-        return best_i, best_s
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Examples of the k largest cosines, and these, for each text; skip: for each text an id that is left out."""
+        size = np.array([int((self.begin[t + 1] - self.begin[t]).sum()) if len(t) else 0 for t, _ in texts])
+        lo = 0
+        while lo < len(texts):
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo : lo + BATCH]), BATCH_POSTINGS, "right")))
+            yield from self.search(texts[lo:hi], None if skip is None else skip[lo:hi])[0]
+            lo = hi
+
+    def search(self, texts: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
+        """The same for one batch, with how many blocks of texts were opened, of how many."""
+        n, blocks, width, total = len(texts), len(self.slabs), self.block, len(self.ids)
+        if not blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n, 0, 0
+        text = np.repeat(np.arange(n), [len(t) for t, _ in texts])
+        term, weight = (np.concatenate([x[c] for x in texts]) for c in (0, 1))
+        row = self.row[term]
+        query = np.zeros((n, self.slabs.shape[1]), np.float32)
+        query[text[row >= 0], row[row >= 0]] = weight[row >= 0]
+        text, term, weight = text[row < 0], term[row < 0], weight[row < 0].astype(np.float32)
+        size = self.begin[term + 1] - self.begin[term]
+        spot = self._runs(self.begin[term], size)
+        owner, share, block = np.repeat(text, size), np.repeat(weight, size), self.entry_block[spot]
+        bound = query @ self.peaks + np.bincount(owner * blocks + block, share * self.entry_peak[spot], n * blocks).reshape(n, blocks)
+        order = np.argsort(block.astype(np.min_scalar_type(blocks)), kind="stable")
+        owner, share, spot = owner[order], share[order], spot[order]
+        border = np.searchsorted(block[order], np.arange(blocks + 1))
+        found = np.zeros((n, blocks * width), np.float32)
+        left_out = [(i, np.flatnonzero(self.ids == x)) for i, x in enumerate(skip or ())]
+
+        def opened(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                rows = np.flatnonzero(wanted[:, b])
+                score = (query[rows] @ self.slabs[b]).astype(float)
+                here = slice(border[b], border[b + 1])
+                own = np.flatnonzero(wanted[owner[here], b]) + border[b]
+                if len(own):
+                    times = self.entry_first[spot[own] + 1] - self.entry_first[spot[own]]
+                    at = self._runs(self.entry_first[spot[own]].astype(np.int64), times)
+                    key = np.repeat(np.searchsorted(rows, owner[own]) * width, times) + self.posted[at]
+                    score += np.bincount(key, np.repeat(share[own], times) * self.posted_weight[at], len(rows) * width).reshape(len(rows), width)
+                found[rows, b * width : (b + 1) * width] = score
+            for i, places in left_out:
+                found[i, places] = 0
+
+        usual = bound > 0
+        first = np.zeros_like(usual)
+        np.put_along_axis(first, np.argpartition(-bound, min(2, blocks) - 1, axis=1)[:, :2], True, axis=1)
+        first &= usual
+        opened(first)
+        k = min(self.k, found.shape[1])
+        least = np.partition(found, -k, axis=1)[:, -k]
+        rest = usual & ~first & (bound >= np.maximum(least[:, None] - SLACK, 0))
+        opened(rest)
+        least = np.partition(found, -k, axis=1)[:, -k]
+        out = []
+        for i in range(n):
+            at = np.flatnonzero(found[i, :total] > max(least[i] - SLACK, 0))
+            s = np.round(found[i, at].astype(float), 6)
+            pick = np.lexsort((self.ids[at], -s))[: self.k]
+            out.append((at[pick], s[pick]))
+        return out, int(first.sum() + rest.sum()), int(usual.sum())
 
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
         """Share of toxic neighbours by weight 1 / (1 + distance)^2, drawn to the base rate where they are far."""
@@ -205,13 +240,34 @@ class NearestModel:
         return float((weight @ self.toxic[i] + 0.5 * self.rate) / (weight.sum() + 0.5))
 
 
+def _arranged(x: np.ndarray, width: int) -> np.ndarray:
+    """Rows so that alike ones are neighbours: halved along the direction of most variance until a part is a block."""
+    parts, out = [np.arange(len(x))], []
+    while parts:
+        own = parts.pop()
+        if len(own) <= width:
+            out.append(own)
+            continue
+        y = x[own]
+        y -= y.mean(axis=0)
+        v = y[int(np.argmax((y * y).sum(axis=1)))].copy()
+        for _ in range(8):
+            v = y.T @ (y @ v)
+            v /= max(float(np.linalg.norm(v)), 1e-30)
+        # whole blocks, so that no part ends inside one
+        half = max(width, len(own) // 2 // width * width)
+        order = own[np.argsort(y @ v, kind="stable")]
+        parts += [order[half:], order[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def calibrated(model: NearestModel, votes: np.ndarray) -> np.ndarray:
     return np.interp(votes, model.knots, model.values) if len(model.knots) else np.full(len(votes), model.rate)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, max_rows: int = 12_000, significance: float = 3.5) -> NearestModel:
     """Fit on at most max_rows labelled documents outside the held-out fold; a term's evidence is clear from a chi-square
-    of significance * log2(rows) on, which allows for the number of terms tried, and falls off steeply below."""
+    of significance * log2(rows) on, which allows for the number of terms tried."""
     sample = labelled_sample(labels, label, modulus, held, max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
     texts = _alone(texts)
@@ -242,7 +298,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     n1, n0 = (df.column(c).to_numpy()[order].astype(float) for c in ("n1", "n0"))
     n, both = pos + neg, n1 + n0
     chi = n * (n1 * neg - n0 * pos) ** 2 / (both * np.maximum(n - both, 1) * pos * neg)
-    evidence = np.minimum(1.0, chi / (significance * float(np.log2(n)))) ** 4
+    evidence = np.minimum(1.0, chi / (significance * float(np.log2(n))))
     evidence[both < 3] = 0
     total, seen = _frequencies(docs, terms[order])
     model.terms = terms[order]
@@ -279,7 +335,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
             own = sent.value
             for batch in batches:
                 for part in slices(batch, "text", SLICE):
-                    rows = [(i, y, own.vote(*own.nearest(t, w, i))) for i, y, (t, w) in zip(part.column("doc_id").to_pylist(), part.column("y").to_pylist(), own.vectors(*_terms(part.column("text"))), strict=True) if len(t)]
+                    texts = [x for x in zip(part.column("doc_id").to_pylist(), part.column("y").to_pylist(), own.vectors(*_terms(part.column("text"))), strict=True) if len(x[2][0])]
+                    rows = [(i, y, own.vote(*near)) for (i, y, _), near in zip(texts, own.nearest([v for *_, v in texts], [i for i, *_ in texts]), strict=True)]
                     cols = zip(*rows, strict=True) if rows else [[]] * 3
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "y", "vote"])
 
@@ -329,11 +386,11 @@ def score(docs: DataFrame, model: NearestModel, modulus: int = 3, held: int = 1,
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 scores, evidence = np.full(part.num_rows, scale.bare), [[]] * part.num_rows
-                for n, (terms, weights) in enumerate(own.vectors(*_terms(part.column("text")))):
-                    if len(terms):
-                        i, s = own.nearest(terms, weights)
-                        scores[n] = calibrated(scale, np.array([own.vote(i, s)]))[0]
-                        evidence[n] = [{"doc_id": int(own.ids[j]), "similarity": float(x), "toxic": int(own.toxic[j])} for j, x in zip(i[:5], s[:5], strict=True)]
+                texts = own.vectors(*_terms(part.column("text")))
+                some = [n for n, (terms, _) in enumerate(texts) if len(terms)]
+                for n, (i, s) in zip(some, own.nearest([texts[n] for n in some]), strict=True):
+                    scores[n] = calibrated(scale, np.array([own.vote(i, s)]))[0]
+                    evidence[n] = [{"doc_id": int(own.ids[j]), "similarity": float(x), "toxic": int(own.toxic[j])} for j, x in zip(i[:5], s[:5], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "evidence"])
 
     scored = rows.mapInArrow(lean(run), f"doc_id bigint, held_out boolean, score double, {EVIDENCE}")

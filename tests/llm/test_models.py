@@ -1,12 +1,13 @@
 """Quality, toxicity and language-model scores: exact parts against brute force, learned parts by held-out accuracy."""
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import SPACE, documents, fold, low, texts
+from helpers import ALNUM, SPACE, documents, fold, low, texts
 from pyspark.sql import functions as F
 
 from lectern.llm import ngrams, quality, toxicity
@@ -73,47 +74,109 @@ def build(model, ids, examples):
     model.build(ids[order], (ids[order] % 3 == 0).astype(float), np.array([len(t) for t, _ in own]), np.concatenate([t for t, _ in own]), np.concatenate([w for _, w in own]))
 
 
-def test_nearest_examples_are_exact():
-    rng = np.random.default_rng(4)
-    terms = np.sort(rng.integers(1, 1 << 60, 30).astype(np.uint64))
-    model = toxicity.NearestModel(terms, rng.uniform(0.5, 3, 30), block=8, k=5, rate=0.3)
-    def vector():
-        t = np.sort(rng.choice(30, rng.integers(1, 9), replace=False))
-        w = np.r_[rng.uniform(0.1, 2, len(t)), 0.7]
-        return np.r_[t, 30], w / np.linalg.norm(w)
-
-    examples = [vector() for _ in range(150)]
-    ids = rng.permutation(150)
-    build(model, ids, examples)
-    dense = lambda v: np.bincount(v[0], v[1], 31)
-    matrix = {int(i): dense(v) for i, v in zip(ids, examples, strict=True)}
-    for _ in range(60):
-        q = vector()
-        i, s = model.nearest(*q)
-        want = sorted(((-float(m @ dense(q)), k) for k, m in matrix.items()))[:5]
-        assert np.allclose(s, [-w for w, _ in want]) and [int(model.ids[j]) for j in i] == [k for _, k in want]
-
-
-@pytest.mark.parametrize(("heavy", "spread"), [(4, 1), (4, 5), (0, 1000), (40, 50)])
-def test_nearest_examples_are_exact_by_bounds(heavy, spread):
+@pytest.mark.parametrize(("block", "heavy"), [(8, 0), (8, 4), (4, 60), (64, 20), (500, 3)])
+def test_nearest_examples_are_exact(block, heavy):
     rng = np.random.default_rng(8)
     terms = np.sort(rng.integers(1, 1 << 60, 60).astype(np.uint64))
-    model = toxicity.NearestModel(terms, rng.uniform(0.5, 3, 60), block=4, k=5, rate=0.3, heavy=heavy, spread=spread)
+    model = toxicity.NearestModel(terms, rng.uniform(0.5, 3, 60), block=block, k=5, rate=0.3, heavy=heavy)
+
     def vector():
         t = np.sort(np.unique(np.minimum(rng.geometric(0.06, 12) - 1, 59)))
-        w = np.r_[rng.uniform(0.1, 2, len(t)), 0.7]
-        return np.r_[t, 60], w / np.linalg.norm(w)
+        w = rng.uniform(0.1, 2, len(t))
+        return t, w / np.linalg.norm(w)
 
     examples = [vector() for _ in range(200)]
     ids = rng.permutation(200)
     build(model, ids, examples)
-    dense = lambda v: np.bincount(v[0], v[1], 61)
+    dense = lambda v: np.bincount(v[0], v[1], 60)
     matrix = {int(i): dense(v) for i, v in zip(ids, examples, strict=True)}
-    for n in range(60):
-        q, skip = vector(), int(ids[n]) if n % 2 else None
-        i, s = model.nearest(*q, skip)
-        want = sorted((-float(m @ dense(q)), k) for k, m in matrix.items() if k != skip)[:5]
-        assert np.allclose(s, [-w for w, _ in want]) and [int(model.ids[j]) for j in i] == [k for _, k in want]
+    for skipping in (False, True):
+        texts, skip = [vector() for _ in range(150)], [int(x) for x in rng.choice(ids, 150)]
+        for q, own, (i, s) in zip(texts, skip, model.nearest(texts, skip if skipping else None), strict=True):
+            score = {k: float(m @ dense(q)) for k, m in matrix.items() if not (skipping and k == own)}
+            want = sorted((-x, k) for k, x in score.items() if x > 0)[:5]
+            assert np.allclose(s, [-w for w, _ in want], atol=2e-6)
+            # equal to six digits, ties may stand in another order
+            assert all(abs(score[int(model.ids[j])] - x) < 2e-6 for j, x in zip(i, s, strict=True)) and len(set(i.tolist())) == len(want)
+
+
+def test_blocks_out_of_reach_stay_closed():
+    """Examples of eight vocabularies: a text opens the blocks of its own, and those alone."""
+    rng = np.random.default_rng(3)
+    terms = np.arange(1, 801).astype(np.uint64)
+    model = toxicity.NearestModel(terms, np.ones(800), block=16, k=5, heavy=200)
+
+    def vector(g):
+        t = np.sort(rng.choice(100, 30, replace=False)) + 100 * g
+        return t, np.full(30, 30**-0.5)
+
+    build(model, np.arange(512), [vector(i % 8) for i in range(512)])
+    texts = [vector(i % 8) for i in range(64)]
+    found, opened, every = model.search(texts)
+    assert opened <= every <= 64 * (512 // 16) and opened < 64 * 32 / 4
+    assert all({int(model.ids[j]) % 8 for j in i} == {n % 8} for n, (i, _) in enumerate(found))
+
+
+def brute_toxicity(docs, labels, k=15, significance=3.5):
+    """Scores by plain loops: string terms, counted frequencies, all cosines, pooled adjacent violators."""
+
+
+    def words(text):
+        out = Counter()
+        for w in ALNUM.findall(low(text)):
+            raw = w.encode()
+            out.update([raw, *((n, raw[:n]) for n in toxicity.PREFIXES if len(raw) > n)])
+        return out
+
+    found = {i: words(t) for i, t in docs}
+    fitted = [i for i in found if labels.get(i) is not None and fold(i, 3) != 1]
+    known = {t for i in fitted for t in found[i]}
+    seen = Counter(t for c in found.values() for t in c)
+    pos, n = sum(labels[i] for i in fitted), len(fitted)
+    idf = {}
+    for t in known:
+        n1 = sum(labels[i] for i in fitted if t in found[i])
+        both = sum(t in found[i] for i in fitted)
+        n0 = both - n1
+        chi = n * (n1 * (n - pos) - n0 * pos) ** 2 / (both * max(n - both, 1) * pos * (n - pos))
+        evidence = 0 if both < 3 else min(1, chi / (significance * math.log2(n)))
+        idf[t] = math.log1p(len(docs) / seen[t]) * (0.5 + 0.5 * evidence)
+
+    def vector(c):
+        v = {t: (1 + math.log(f)) * idf[t] for t, f in c.items() if t in known}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    examples = {i: vector(found[i]) for i in fitted}
+
+    def vote(v, skip=None):
+        near = sorted((-round(sum(x * e.get(t, 0) for t, x in v.items()), 6), i) for i, e in examples.items() if i != skip)[:k]
+        near = [(-s, i) for s, i in near if s < 0]
+        weight = [s / (1 + math.sqrt(max(2 - 2 * s, 0))) ** 2 for s, _ in near]
+        return (sum(w * labels[i] for w, (_, i) in zip(weight, near, strict=True)) + 0.5 * pos / n) / (sum(weight) + 0.5)
+
+    pools = []
+    for v, y in sorted((vote(examples[i], i), labels[i]) for i in fitted):
+        pools.append([v, y, 1])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
+            _, y1, c1 = pools.pop()
+            pools[-1][1] += y1
+            pools[-1][2] += c1
+    knots, values = [p[0] for p in pools] + [1.0], [p[1] / p[2] for p in pools]
+    return {i: float(np.interp(vote(vector(c)), knots, [*values, values[-1]])) for i, c in found.items() if set(c) & known}
+
+
+def test_toxicity_equals_its_brute_force_version(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdé") for _ in range(rng.randint(2, 9))) for _ in range(120)]
+    toxic = {i: int(i % 5 == 0) for i in range(160) if i % 11}
+    docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 40))) + (" vile Viley rotten" if i % 5 == 0 and i % 3 else "")) for i in range(160)]
+    labels = spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int")
+    df = documents(spark, docs)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, toxicity.train(df, labels)).collect()}
+    want = brute_toxicity(docs, toxic)
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-4) for i in want)
+    assert len({round(x, 3) for x in want.values()}) > 5
 
 
 def test_toxicity_searches_all_terms(spark):
