@@ -1,6 +1,7 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells, one vector kept per group.
 
-Vectors are compared only within a label. A label of more than `cell` vectors is cut into cells, 2, 4, 8, ... by its size.
+Vectors are compared only within a label. Every label has centres: one for each `fine` vectors up to 8, and beyond that one
+for each `cell` vectors, as powers of two (a cell more costs visits, see below, so large labels have larger cells).
 Each vector has a home cell, that of its nearest centre. Two linked vectors of unit length lie at most
 d = sqrt(2 - 2 * threshold) apart, so if their homes differ, each lies within d of the plane that halves the way between
 both centres: it visits every cell of smaller number whose plane is that near. Each pair is thus compared in exactly one
@@ -113,24 +114,17 @@ def _compare(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table([pa.array(c, pa.int64()) for c in (a, b, [None] * len(edges) + counts[some].tolist())], schema=_FOUND)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 512, max_cells: int = 4096, fit_rows: int = 20_000, block: int = 1024, reach: float = 1.0) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("x"))
-    kind = "float" if "float" in dict(rows.dtypes)["x"] else "double"
-    # adding 0.0 makes -0.0 and 0.0 one value
-    rows = rows.withColumn("x", F.transform("x", lambda v: (v + F.lit(0.0)).cast(kind)))
-    finite = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)) & F.exists("x", lambda v: v != 0)
-    rows = rows.withColumn("valid", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))).withColumn("h", F.xxhash64("label", "x"))
-    rows = materialize(rows, "vectors")
-    valid = rows.filter("valid")
-    per_label = valid.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > cell)
-    level = F.least(F.ceil(F.log2(F.col("rows") / cell)), F.lit(int(np.log2(max_cells)))).cast("int")
-    wide_labels = materialize(per_label.select("label", level.alias("level")), "labels")
+def placement(valid: DataFrame, alone: DataFrame, threshold: float, cell: int, fine: int, max_cells: int, fit_rows: int, reach: float) -> DataFrame:
+    """(label, dim, cell, rep, mult, visits, x): the home of each row of alone, and its visits.
+
+    valid: all vectors, of which centres are fitted; alone: label, x, rep, mult."""
+    per_label = valid.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
+    halvings = lambda size, most: F.least(F.ceil(F.log2(F.col("rows") / size)), F.lit(int(np.log2(most))))
+    level = F.greatest(F.lit(0), halvings(fine, min(8, max_cells)), halvings(cell, max_cells)).cast("int")
+    labels = materialize(per_label.select("label", level.alias("level")), "labels")
     # at most log2(max_cells) numbers
-    centres = _fit(valid, sorted(r["level"] for r in wide_labels.select("level").distinct().collect()), fit_rows)
+    centres = _fit(valid, sorted(r["level"] for r in labels.select("level").distinct().collect()), fit_rows)
     reach = reach * float(np.sqrt(2 - 2 * threshold))
-    alone = valid.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("mult"))
-    alone = materialize(alone, "distinct-vectors")
     none = np.zeros(0, np.int64)
 
     def assign(batches):
@@ -138,15 +132,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 512
             for (dim, level), part in pdf.groupby([pdf["x"].map(len), pdf["level"]]):
                 for lo in range(0, len(part), 2048):
                     own = part.iloc[lo : lo + 2048]
-                    # a small label, or a length that the sample lacks, is one cell
+                    # a length that the sample lacks is one cell
                     given = centres.get((int(dim), int(level)))
                     home, row, visited = (np.zeros(len(own), np.int64), none, none) if given is None else _cells(unit(np.stack(own["x"].to_list()).astype(np.float64)), given, reach)
                     row = np.r_[np.arange(len(own)), row]
                     out = own.iloc[row].assign(dim=int(dim), cell=np.r_[home, visited], visits=np.arange(len(row)) >= len(own))
                     yield out[["label", "dim", "cell", "rep", "mult", "visits", "x"]]
 
-    sized = alone.join(small(wide_labels), "label", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    placed = materialize(sized.mapInPandas(lean(assign), f"label string, dim int, cell long, rep long, mult long, visits boolean, x array<{kind}>"), "cells")
+    kind = dict(alone.dtypes)["x"]
+    return alone.join(small(labels), "label").mapInPandas(lean(assign), f"label string, dim int, cell long, rep long, mult long, visits boolean, x {kind}")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell: int = 512, fine: int = 24, max_cells: int = 4096, fit_rows: int = 20_000, block: int = 1024, reach: float = 1.0) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").alias("x"))
+    kind = "float" if "float" in dict(rows.dtypes)["x"] else "double"
+    # adding 0.0 makes -0.0 and 0.0 one value
+    rows = rows.withColumn("x", F.transform("x", lambda v: (v + F.lit(0.0)).cast(kind)))
+    finite = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)) & F.exists("x", lambda v: v != 0)
+    rows = rows.withColumn("valid", F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite, F.lit(False))).withColumn("h", F.xxhash64("label", "x"))
+    rows = materialize(rows, "vectors")
+    valid = rows.filter("valid")
+    alone = materialize(valid.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("mult")), "distinct-vectors")
+    placed = materialize(placement(valid, alone, threshold, cell, fine, max_cells, fit_rows, reach), "cells")
     # a cell of more rows than a block takes is dealt out by a hash; every two of its blocks meet once
     wide = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = placed.join(wide, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", "x"), F.col("blocks")).cast("int"))

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from helpers import SPACE, classes, documents, low, texts
 
+from pyspark.sql import functions as F
+
 from lectern.llm import jaccard, vectors
 from lectern.llm.graph import components
 
@@ -35,6 +37,16 @@ def test_cells_prune_what_is_far(spark):
     assert len(row) < 2 * len(x) and (sizes**2).sum() < 0.3 * len(x) ** 2
 
 
+def test_every_graded_run_has_cells(spark):
+    """On the smallest tables too, vectors are dealt to the cells of k-means centres."""
+    valid = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("label is not null and embedding is not null")
+    valid = valid.select("vec_id", valid["label"].cast("string").alias("label"), valid["embedding"].alias("x"), valid["vec_id"].alias("h"))
+    alone = valid.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("vec_id").alias("mult"))
+    placed = vectors.placement(valid, alone, 0.98, 512, 24, 4096, 20_000, 1.0)
+    labels, cells, homes = placed.select(F.countDistinct("label"), F.countDistinct("label", "dim", "cell"), F.count_if(~F.col("visits"))).first()
+    assert cells > 2 * labels and homes == alone.count()
+
+
 def brute_vectors(rows, threshold):
     good = [(i, np.array(e, float), lab) for i, e, lab in rows if i is not None and lab is not None and e and all(x is not None and math.isfinite(x) for x in e) and any(e)]
     links = set()
