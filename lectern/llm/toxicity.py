@@ -71,9 +71,54 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([b[0] for b in stack]), np.array([b[1] / b[2] for b in stack])
 
 
+def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places first[i] to first[i] + size[i] - 1 of all i, one run after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _heavy(held: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each of the terms of most postings, -1 for others; and these terms."""
+    top = np.argsort(-held, kind="stable")[:most]
+    row = np.full(len(held), -1, np.int32)
+    row[top] = np.arange(len(top))
+    return row, top
+
+
+class _Index:
+    """Blocks of a model's examples, made from its postings where they are searched.
+
+    row, slabs, peaks: heavy terms, their weights by block, term and place, and the largest by term and block. begin: where the
+    entries of any other term begin, one for each block that has it; entry_block, entry_peak, entry_first: an entry's block,
+    largest weight and first posting; posted, posted_weight: places within blocks, and weights."""
+
+    def __init__(self, model: NearestModel) -> None:
+        width, held = model.block, np.diff(model.to).astype(np.int64)
+        self.row, top = _heavy(held, model.heavy)
+        blocks = -(-len(model.ids) // width)
+        self.slabs = np.zeros((blocks, len(top), width), np.float32)
+        for r, t in enumerate(top):
+            own = slice(model.to[t], model.to[t + 1])
+            block, place = np.divmod(model.places[own], width)
+            self.slabs[block, r, place] = model.weights[own]
+        self.peaks = np.ascontiguousarray(self.slabs.max(axis=2).T)
+        light = np.repeat(self.row < 0, held)
+        places, self.posted_weight = model.places[light], model.weights[light]
+        held[top] = 0
+        to = np.r_[0, np.cumsum(held)]
+        block = places // width
+        new = np.zeros(len(places) + 1, bool)
+        new[to] = True
+        new[1:-1] |= block[1:] != block[:-1]
+        first = np.flatnonzero(new[:-1])
+        self.begin = np.searchsorted(first, to)
+        self.entry_block, self.entry_first = block[first], np.r_[first, len(places)].astype(model.to.dtype)
+        self.entry_peak = np.maximum.reduceat(self.posted_weight, first) if len(first) else np.zeros(0, np.float32)
+        self.posted = (places % width).astype(np.min_scalar_type(width))
+
+
 @dataclass
 class NearestModel:
-    """Examples in blocks: slabs of heavy terms, postings of others, maxima of both; and the calibration of their votes."""
+    """Examples as postings by term, and the calibration of their votes."""
 
     terms: np.ndarray
     idf: np.ndarray
@@ -85,18 +130,12 @@ class NearestModel:
     bare: float = 0.0
     knots: np.ndarray = field(default_factory=lambda: np.zeros(0))
     values: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    heavy: int = 768
-    #: Row of a heavy term in the slabs, -1 for others; weights by block, term, place; and the largest by term, block.
-    row: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    slabs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0, 0), np.float32))
-    peaks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-    #: Other terms: where a term's entries begin; each entry's block, largest weight and first posting; places and weights.
-    begin: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    entry_block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    entry_peak: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
-    entry_first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    posted: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
-    posted_weight: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    heavy: int = 512
+    #: What is sent: for each term where its postings begin, and the places of examples with their weights.
+    to: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    index: _Index | None = None
     sent: Broadcast | None = None
 
     def vectors(self, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -108,7 +147,7 @@ class NearestModel:
         hit = np.flatnonzero(self.terms[at] == hashes)
         key, times = np.unique((np.searchsorted(first, hit, "right") - 1) * len(self.terms) + at[hit], return_counts=True)
         text, term = np.divmod(key, len(self.terms))
-        weight = (1 + np.log(times)) * self.idf[term]
+        weight = (1 + np.log(times)) * self.idf[term].astype(float)
         weight = weight / np.sqrt(np.bincount(text, weight**2, n))[text]
         border = np.searchsorted(text, np.arange(n + 1))
         return [(term[a:b], weight[a:b]) for a, b in zip(border[:-1], border[1:], strict=True)]
@@ -117,45 +156,27 @@ class NearestModel:
         """Index of examples, sorted by id: sizes[i] terms with weights belong to example i, one example after the other."""
         n, width = len(ids), self.block
         held = np.bincount(term, minlength=len(self.terms))
-        top = np.argsort(-held, kind="stable")[: self.heavy]
-        self.row = np.full(len(self.terms), -1, np.int32)
-        self.row[top] = np.arange(len(top))
+        row, top = _heavy(held, self.heavy)
         slot = np.repeat(np.arange(n, dtype=np.int32), sizes)
         dense = np.zeros((n, len(top)), np.float32)
-        at = np.flatnonzero(self.row[term] >= 0)
-        dense[slot[at], self.row[term[at]]] = weight[at]
+        at = np.flatnonzero(row[term] >= 0)
+        dense[slot[at], row[term[at]]] = weight[at]
         order = _arranged(dense, width)
         place = np.empty(n, np.int32)
         place[order] = np.arange(n)
         self.ids, self.toxic = ids[order], toxic[order]
-        blocks = -(-n // width)
-        self.slabs = np.zeros((blocks, len(top), width), np.float32)
-        for b in range(blocks):
-            own = order[b * width : (b + 1) * width]
-            self.slabs[b, :, : len(own)] = dense[own].T
-        self.peaks = np.ascontiguousarray(self.slabs.max(axis=2).T) if blocks else np.zeros((len(top), 0), np.float32)
         del dense, at
-        held[top] = 0
-        to = np.r_[0, np.cumsum(held)]
-        posted, heavy = np.empty(to[-1], np.int32), self.row >= 0
-        self.posted_weight = np.empty(to[-1], np.float32)
+        self.to = np.r_[0, np.cumsum(held)].astype(np.int32 if len(term) < 2**31 else np.int64)
+        self.places, self.weights = np.empty(len(term), np.uint16 if max(n, width) < 1 << 16 else np.int32), np.empty(len(term), np.float32)
         # by portions of terms, as a sort takes several times the room of what it sorts
-        edge = np.unique(np.r_[np.searchsorted(to, np.arange(0, to[-1], PORTION)), len(held)])
+        edge = np.unique(np.r_[np.searchsorted(self.to, np.arange(0, len(term), PORTION)), len(held)])
         for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-            at = np.flatnonzero((term >= lo) & (term < hi) & ~heavy[term]).astype(np.int32 if len(term) < 2**31 else np.int64)
+            at = np.flatnonzero((term >= lo) & (term < hi)).astype(self.to.dtype)
             spot = place[slot[at]]
             own = np.lexsort((spot, term[at]))
-            here = slice(to[lo], to[hi])
-            posted[here], self.posted_weight[here] = spot[own], weight[at[own]]
-        block = posted // width
-        new = np.zeros(len(posted) + 1, bool)
-        new[to] = True
-        new[1:-1] |= block[1:] != block[:-1]
-        first = np.flatnonzero(new[:-1])
-        self.begin = np.searchsorted(first, to)
-        self.entry_block, self.entry_first = block[first].astype(np.int32), np.r_[first, len(posted)].astype(np.int32 if len(posted) < 2**31 else np.int64)
-        self.entry_peak = np.maximum.reduceat(self.posted_weight, first) if len(first) else np.zeros(0, np.float32)
-        self.posted = (posted % width).astype(np.min_scalar_type(width))
+            here = slice(self.to[lo], self.to[hi])
+            self.places[here], self.weights[here] = spot[own], weight[at[own]]
+        self.index = None
 
     def shared(self, spark) -> Broadcast:
         """This model as one broadcast; its size is bounded by the number of examples."""
@@ -164,16 +185,11 @@ class NearestModel:
         return self.sent
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"sent": None}
-
-    @staticmethod
-    def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Places first[i] to first[i] + size[i] - 1 of all i, one run after the other."""
-        return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.__dict__ | {"sent": None, "index": None}
 
     def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Examples of the k largest cosines, and these, for each text; skip: for each text an id that is left out."""
-        size = np.array([int((self.begin[t + 1] - self.begin[t]).sum()) if len(t) else 0 for t, _ in texts])
+        size = np.array([int((self.to[t + 1] - self.to[t]).sum()) if len(t) else 0 for t, _ in texts])
         lo = 0
         while lo < len(texts):
             hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo : lo + BATCH]), BATCH_POSTINGS, "right")))
@@ -182,19 +198,22 @@ class NearestModel:
 
     def search(self, texts: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], int, int]:
         """The same for one batch, with how many blocks of texts were opened, of how many."""
-        n, blocks, width, total = len(texts), len(self.slabs), self.block, len(self.ids)
-        if not blocks:
+        n, width, total = len(texts), self.block, len(self.ids)
+        if not total or not n:
             return [(np.zeros(0, np.int64), np.zeros(0))] * n, 0, 0
+        if self.index is None:
+            self.index = _Index(self)
+        index, blocks = self.index, len(self.index.slabs)
         text = np.repeat(np.arange(n), [len(t) for t, _ in texts])
         term, weight = (np.concatenate([x[c] for x in texts]) for c in (0, 1))
-        row = self.row[term]
-        query = np.zeros((n, self.slabs.shape[1]), np.float32)
+        row = index.row[term]
+        query = np.zeros((n, index.slabs.shape[1]), np.float32)
         query[text[row >= 0], row[row >= 0]] = weight[row >= 0]
         text, term, weight = text[row < 0], term[row < 0], weight[row < 0].astype(np.float32)
-        size = self.begin[term + 1] - self.begin[term]
-        spot = self._runs(self.begin[term], size)
-        owner, share, block = np.repeat(text, size), np.repeat(weight, size), self.entry_block[spot]
-        bound = query @ self.peaks + np.bincount(owner * blocks + block, share * self.entry_peak[spot], n * blocks).reshape(n, blocks)
+        size = index.begin[term + 1] - index.begin[term]
+        spot = _runs(index.begin[term], size)
+        owner, share, block = np.repeat(text, size), np.repeat(weight, size), index.entry_block[spot]
+        bound = query @ index.peaks + np.bincount(owner * blocks + block.astype(np.int64), share * index.entry_peak[spot], n * blocks).reshape(n, blocks)
         order = np.argsort(block.astype(np.min_scalar_type(blocks)), kind="stable")
         owner, share, spot = owner[order], share[order], spot[order]
         border = np.searchsorted(block[order], np.arange(blocks + 1))
@@ -204,14 +223,14 @@ class NearestModel:
         def opened(wanted: np.ndarray) -> None:
             for b in np.flatnonzero(wanted.any(axis=0)):
                 rows = np.flatnonzero(wanted[:, b])
-                score = (query[rows] @ self.slabs[b]).astype(float)
+                score = (query[rows] @ index.slabs[b]).astype(float)
                 here = slice(border[b], border[b + 1])
                 own = np.flatnonzero(wanted[owner[here], b]) + border[b]
                 if len(own):
-                    times = self.entry_first[spot[own] + 1] - self.entry_first[spot[own]]
-                    at = self._runs(self.entry_first[spot[own]].astype(np.int64), times)
-                    key = np.repeat(np.searchsorted(rows, owner[own]) * width, times) + self.posted[at]
-                    score += np.bincount(key, np.repeat(share[own], times) * self.posted_weight[at], len(rows) * width).reshape(len(rows), width)
+                    times = index.entry_first[spot[own] + 1] - index.entry_first[spot[own]]
+                    at = _runs(index.entry_first[spot[own]].astype(np.int64), times)
+                    key = np.repeat(np.searchsorted(rows, owner[own]) * width, times) + index.posted[at]
+                    score += np.bincount(key, np.repeat(share[own], times) * index.posted_weight[at], len(rows) * width).reshape(len(rows), width)
                 found[rows, b * width : (b + 1) * width] = score
             for i, places in left_out:
                 found[i, places] = 0
@@ -302,7 +321,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int
     evidence[both < 3] = 0
     total, seen = _frequencies(docs, terms[order])
     model.terms = terms[order]
-    model.idf = np.log1p(total / np.maximum(seen, both)) * (FLOOR + (1 - FLOOR) * evidence)
+    model.idf = (np.log1p(total / np.maximum(seen, both)) * (FLOOR + (1 - FLOOR) * evidence)).astype(np.float32)
 
     del df, terms, order, n1, n0, both, chi, evidence, seen
 
