@@ -1,11 +1,13 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Documents stand in a seeded order in shards of their source, and each shard's words are cut into blocks of equal size. A
-source's target is spread over its shards by words; with the block as divisor a shard wins a block for each quotient
-v / (2 k + 1) of at least half a block, which are the highest quotients and give it an integer quota. What these blocks
-miss of the target, or have too much, is settled in words, so that a source's taken words are its target but for half a
-word. A shard gives its words in whole passes and then, from a seeded block on, block after block in the seeded order; the
-last block is taken in part.
+Words are handed out in blocks of equal size. Sources get the blocks of all targets together by the highest quotients
+T / (2 k + 1) of their targets T, then each source's blocks go to its shards by the highest quotients of the shards' words:
+an integer quota for every shard, which is what it gives. Documents stand in a seeded order in the shards of their source; a
+shard gives its words in whole passes and then, from a seeded block on, block after block in the seeded order.
+
+Blocks seldom add up to a target: what a source's quotas miss of it, or have too much, is settled in words by the first of
+its shards that can (the largest first), so only those end inside a block, and a source's taken words are its target but
+for half a word. No shard gives more than `most` times its words.
 
 Scale: one scan writes (doc_id, source, size); a shard holds about `shard_rows` rows however large its source is. Sources,
 shards and the plan are tables: sources are numbered by a range sort, targets come from a few aggregates, and the driver
@@ -56,26 +58,60 @@ def targets(sources: DataFrame, cycle: tuple[float, ...], share: float, most: in
     return rows.withColumn("target", target)
 
 
+def apportion(rows: DataFrame, group: list[str], name: list[str], votes: str, seats: str) -> DataFrame:
+    """(group, name, quota): the seats of each group by the highest quotients votes / (2 k + 1); ties by name.
+
+    votes and seats are whole numbers; a group's rows carry its seats. Only quotients near the last one that wins are ranked:
+    no row's quota is further than the window below from its share, whatever the rounding of the others."""
+    own = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    sums = rows.groupBy(*group).agg(F.sum(votes).alias("_all"), F.count(F.lit(1)).alias("_rows"))
+    sized = rows.join(small(sums), group) if group else rows.crossJoin(F.broadcast(sums))
+    sized = sized.filter((F.col(seats) > 0) & (F.col(votes) > 0))
+    share = F.floor(F.col(votes).cast("double") * F.col(seats) / F.col("_all") + 0.5).cast("long")
+    window = F.floor((share + 1) * (F.col("_rows") + 1) / F.col(seats)).cast("long") + 2
+    low = F.greatest(F.lit(0).cast("long"), share - window)
+    sized = materialize(sized.select(*group, *name, F.col(votes).alias("_v"), F.col(seats).alias("_s"), low.alias("_low"), (share + window).alias("_high")), "mix-votes")
+    free = sized.groupBy(*group).agg((F.max("_s") - F.sum("_low")).alias("_free"))
+    each = sized.select(*group, *name, F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_k"), "_v").withColumn("_q", F.col("_v").cast("double") / (2 * F.col("_k") + 1))
+    order = [F.desc("_q"), *name, "_k"]
+    if group:
+        ranked = each.withColumn("n", F.row_number().over(own.orderBy(*order)) - 1).join(small(free), group)
+    else:
+        ranked = numbered(each, order).crossJoin(F.broadcast(free))
+    won = ranked.filter(F.col("n") < F.col("_free")).groupBy(*group, *name).agg(F.count(F.lit(1)).alias("_won"))
+    out = sized.join(won, group + name, "left")
+    return out.select(*group, *name, (F.col("_low") + F.coalesce("_won", F.lit(0))).alias("quota"))
+
+
 def plan(shards: DataFrame, goals: DataFrame, most: int, block: int, seed: int) -> DataFrame:
     """Per shard of (key, shard, words): its quota of blocks, passes, and the words it gives beyond them and from where."""
-    own = shards.join(small(goals.select("key", "source_size", "target")), "key")
-    line = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    own = own.withColumn("upto", F.sum("words").over(line))
-    # the source's target, spread over its shards and rounded from the first shard up to each
-    reach = lambda words: F.when(F.col("source_size") > 0, F.floor(F.col("target") * words / F.col("source_size") + 0.5)).otherwise(0).cast("long")
-    given = F.least(reach(F.col("upto")) - reach(F.col("upto") - F.col("words")), most * F.col("words"))
+    goals = goals.select("key", "source_size", "target", F.floor(F.col("target") + 0.5).cast("long").alias("goal"))
+    total = goals.agg(F.coalesce(F.sum("goal"), F.lit(0)).alias("n")).first()["n"]
+    seats = apportion(goals.select("key", "goal", F.lit((total + block // 2) // block).cast("long").alias("seats")), [], ["key"], "goal", "seats")
+    goals = materialize(goals.join(small(seats), "key", "left").withColumn("seats", F.coalesce("quota", F.lit(0).cast("long"))).drop("quota"), "mix-goals")
+    own = shards.join(small(goals), "key")
+    quotas = apportion(own.select("key", "shard", "words", "seats"), ["key"], ["shard"], "words", "seats")
+    own = own.join(small(quotas), ["key", "shard"], "left").withColumn("quota", F.coalesce("quota", F.lit(0).cast("long")))
+    own = own.withColumn("given", F.least(F.col("quota") * block, most * F.col("words")))
+    # what is missing, or too much, is settled by the largest shards first, as far as each can
+    whole, line = Window.partitionBy("key"), Window.partitionBy("key").orderBy(F.desc("words"), "shard").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("gap", F.col("goal") - F.sum("given").over(whole))
+    room = F.when(F.col("gap") > 0, most * F.col("words") - F.col("given")).otherwise(F.col("given"))
+    own = own.withColumn("room", room).withColumn("before", F.sum("room").over(line) - F.col("room"))
+    settled = F.least(F.col("room"), F.greatest(F.lit(0).cast("long"), F.abs("gap") - F.col("before")))
+    own = own.withColumn("given", F.when(F.col("gap") > 0, F.col("given") + settled).otherwise(F.col("given") - settled))
     blocks = F.ceil(F.col("words") / block).cast("long")
-    own = own.withColumn("given", given).withColumn("quota", F.floor(F.col("target") * F.col("words") / F.greatest(F.col("source_size"), F.lit(1)) / block + 0.5).cast("long"))
     own = own.withColumn("passes", F.when(F.col("words") > 0, F.floor(F.col("given") / F.col("words"))).otherwise(0).cast("long"))
     own = own.withColumn("rest", F.col("given") - F.col("passes") * F.col("words"))
-    return own.withColumn("from", F.pmod(seeded(seed, F.col("shard"), F.col("key")), F.greatest(blocks, F.lit(1))) * block).select("key", "shard", "words", "source_size", "target", "quota", "passes", "rest", "from")
+    return own.withColumn("from", F.pmod(seeded(seed, F.col("shard"), F.col("key")), F.greatest(blocks, F.lit(1))) * block).select("key", "shard", "words", "source_size", "target", "quota", "given", "passes", "rest", "from")
 
 
 def mix(docs: DataFrame, seed: int = 11, cycle: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: int = 3, max_block: int = 4096, blocks: int = 65536, shard_rows: int = 16_384, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for each row of docs (and the columns named in keep)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     # a key that is never null keeps joins plain
     rows = rows.withColumn("key", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
+    # rows of one id and size are told apart by their texts, so that reruns agree
     rows = materialize(rows.withColumn("h", seeded(seed, F.col("doc_id"), F.col("size"))), "mix-sizes")
     wide = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("long").alias("shards")).filter("shards > 1")
     rows = rows.join(small(wide), "key", "left").withColumn("shard", F.pmod("h", F.coalesce("shards", F.lit(1)))).drop("shards")
@@ -84,7 +120,7 @@ def mix(docs: DataFrame, seed: int = 11, cycle: tuple[float, ...] = (1, 2, 3), s
     total = shards.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("n")).first()["n"]
     block = max(1, min(max_block, total // blocks))
     table = materialize(plan(shards, goals, most, block, seed), "mix-plan")
-    line = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum("size").over(line)).withColumn("start", F.col("end") - F.col("size"))
     rows = rows.join(small(table), ["key", "shard"])
     # the stretch of `rest` words that begins at `from` goes on at the shard's first word

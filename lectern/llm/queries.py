@@ -276,12 +276,22 @@ o AS (
 f AS (SELECT rest AS f_rest, open AS f_open FROM o WHERE rest * w / open <= 3 * source_size ORDER BY i LIMIT 1),
 goals AS (SELECT key, source_size, CASE WHEN f_open IS NULL OR f_rest * w / f_open > 3 * source_size THEN 3.0 * source_size ELSE f_rest * w / f_open END::DOUBLE AS target FROM s LEFT JOIN f ON true),
 b AS (SELECT greatest(1, least(4096, sum(size) // 65536)) AS block FROM d),
-p AS (
-  SELECT *, least(floor(CASE WHEN source_size > 0 THEN target * upto / source_size ELSE 0 END + 0.5) - floor(CASE WHEN source_size > 0 THEN target * (upto - words) / source_size ELSE 0 END + 0.5), 3 * words)::BIGINT AS given
-  FROM (SELECT *, sum(words) OVER (PARTITION BY key ORDER BY shard) AS upto FROM (SELECT key, shard, sum(size)::BIGINT AS words FROM r GROUP BY key, shard) JOIN goals USING (key))),
+-- all quotients are ranked, those of the targets among all sources, then those of the words within a source
+t AS (SELECT *, floor(target + 0.5)::BIGINT AS goal FROM goals),
+n AS (SELECT (sum(goal) + any_value(block) // 2)::BIGINT // any_value(block) AS seats FROM t, b),
+tq AS (SELECT key, goal / (2 * k + 1)::DOUBLE AS q, k FROM t, n, unnest(range(0, CASE WHEN goal > 0 THEN seats ELSE 0 END)) AS u(k)),
+ts AS (SELECT key, count(*) AS seats FROM (SELECT key FROM tq ORDER BY q DESC, key, k LIMIT (SELECT seats FROM n)) GROUP BY key),
+sh AS (SELECT key, shard, sum(size)::BIGINT AS words FROM r GROUP BY key, shard),
+sq AS (SELECT key, shard, row_number() OVER (PARTITION BY key ORDER BY words / (2 * k + 1)::DOUBLE DESC, shard, k) AS n, seats FROM sh JOIN ts USING (key), unnest(range(0, CASE WHEN words > 0 THEN seats ELSE 0 END)) AS u(k)),
+ss AS (SELECT key, shard, count(*) AS quota FROM sq WHERE n <= seats GROUP BY key, shard),
+g0 AS (SELECT sh.key, sh.shard, words, source_size, target, goal, block, least(coalesce(quota, 0) * block, 3 * words)::BIGINT AS given FROM sh JOIN t USING (key) LEFT JOIN ss ON ss.key = sh.key AND ss.shard = sh.shard, b),
+g1 AS (SELECT *, goal - sum(given) OVER (PARTITION BY key) AS gap FROM g0),
+g2 AS (SELECT *, CASE WHEN gap > 0 THEN 3 * words - given ELSE given END AS room FROM g1),
+g3 AS (SELECT *, sum(room) OVER (PARTITION BY key ORDER BY words DESC, shard ROWS UNBOUNDED PRECEDING) - room AS before FROM g2),
+p AS (SELECT * REPLACE ((given + CASE WHEN gap > 0 THEN 1 ELSE -1 END * least(room, greatest(0, abs(gap) - before)))::BIGINT AS given) FROM g3),
 plan AS (
   SELECT key, shard, words, source_size, target, CASE WHEN words > 0 THEN given // words ELSE 0 END AS passes, given - CASE WHEN words > 0 THEN given // words ELSE 0 END * words AS rest,
-    ({_seeded("'11:' || shard || ':' || key")} % greatest(ceil(words / block)::BIGINT, 1)) * block AS a FROM p, b),
+    ({_seeded("'11:' || shard || ':' || key")} % greatest(ceil(words / block)::BIGINT, 1)) * block AS a FROM p),
 line AS (SELECT *, sum(size) OVER (PARTITION BY key, shard ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS z FROM r)
 SELECT doc_id, source, size, source_size, target, (passes * size + greatest(0, least(z, a + rest, words) - greatest(z - size, a)) + greatest(0, least(z, a + rest - words) - greatest(z - size, 0)))::BIGINT AS taken
 FROM line JOIN plan USING (key, shard)""",

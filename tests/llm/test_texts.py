@@ -55,21 +55,35 @@ def test_targets_stop_at_the_cap(spark, sizes, share):
     assert got == brute_targets(sizes, [1.0 + i % 3 for i in range(len(sizes))], sum(sizes) * share, 3)
 
 
-def brute_highest_quotients(votes, least):
-    """Seats by all quotients v / 1, v / 3, v / 5, ... of at least `least`."""
-    return [sum(v / (2 * k + 1) >= least for k in range(int(v / least) + 2)) for v in votes]
+def brute_highest_quotients(votes, seats):
+    """Seats by all quotients v / 1, v / 3, v / 5, ...; ties by place."""
+    ranked = sorted((-v / (2 * k + 1), i, k) for i, v in enumerate(votes) if v for k in range(seats))[:seats]
+    return [sum(i == j for _, j, _ in ranked) for i in range(len(votes))]
 
 
-def test_quotas_are_the_highest_quotients(spark):
-    words = [1000, 1700, 64, 3333, 0, 905]
+@pytest.mark.parametrize(("votes", "seats"), [([53, 24, 23], 7), ([1, 1, 1, 1], 3), ([10_000, 1, 1, 1], 2), ([5, 0, 7], 40), ([3], 9), ([0, 0], 4), ([8, 8, 8], 0), ([1] * 30 + [500], 12), ([91, 17, 17, 17, 3, 2, 1], 61)])
+def test_quotas_are_the_highest_quotients(spark, votes, seats):
+    want = brute_highest_quotients(votes, seats)
+    one = spark.createDataFrame([(i, v, seats) for i, v in enumerate(votes)], "name int, votes long, seats long")
+    two = spark.createDataFrame([(g, i, v, seats + g) for g in (0, 1) for i, v in enumerate(votes)], "g int, name int, votes long, seats long")
+    got = {r["name"]: r["quota"] for r in mixing.apportion(one, [], ["name"], "votes", "seats").collect()}
+    assert [got.get(i, 0) for i in range(len(votes))] == want
+    got = {(r["g"], r["name"]): r["quota"] for r in mixing.apportion(two, ["g"], ["name"], "votes", "seats").collect()}
+    assert [[got.get((g, i), 0) for i in range(len(votes))] for g in (0, 1)] == [want, brute_highest_quotients(votes, seats + 1)]
+
+
+def test_shards_give_what_their_quotas_say(spark):
+    words, block = [1000, 1700, 64, 3333, 0, 905], 100
     shards = spark.createDataFrame([("=a", i, w) for i, w in enumerate(words)] + [("=b", 0, 7)], "key string, shard long, words long")
     goals = spark.createDataFrame([("=a", sum(words), 4321.0), ("=b", 7, 21.0)], "key string, source_size long, target double")
-    got = {(r["key"], r["shard"]): r for r in mixing.plan(shards, goals, 3, 100, 1).collect()}
-    votes = [4321.0 * w / sum(words) for w in words]
-    assert [got["=a", i]["quota"] for i in range(len(words))] == brute_highest_quotients(votes, 50.0)
-    given = [r["passes"] * r["words"] + r["rest"] for r in got.values() if r["key"] == "=a"]
-    assert sum(given) == 4321 and all(r["from"] % 100 == 0 and 0 <= r["rest"] <= r["words"] for r in got.values())
-    assert (got["=b", 0]["passes"], got["=b", 0]["rest"]) == (3, 0)
+    got = {(r["key"], r["shard"]): r for r in mixing.plan(shards, goals, 3, block, 1).collect()}
+    seats = brute_highest_quotients([4321, 21], 43)
+    assert [got["=a", i]["quota"] for i in range(len(words))] == brute_highest_quotients(words, seats[0]) and got["=b", 0]["quota"] == seats[1]
+    given = {k: r["passes"] * r["words"] + r["rest"] for k, r in got.items()}
+    assert sum(v for k, v in given.items() if k[0] == "=a") == 4321 and given["=b", 0] == 21
+    # all but the largest shard give whole blocks
+    assert all(given["=a", i] == block * got["=a", i]["quota"] for i in range(len(words)) if i != 3)
+    assert all(r["from"] % block == 0 and 0 <= r["rest"] <= r["words"] for r in got.values())
 
 
 def mixed_right(rows, got, most=3):
