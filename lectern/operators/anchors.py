@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import patterns
+
 
 def capture(text: Column, start: Column, end: Column, context: int = 64) -> tuple[Column, Column, Column, Column]:
     """(start, end, prefix, suffix) of a range in characters, clamped to the text."""
@@ -80,40 +79,8 @@ def resolve(anchors: DataFrame, articles: DataFrame) -> DataFrame:
     return a.withColumn("new_start", start.cast("long")).withColumn("new_end", (start + size).cast("long")).drop("_text")
 
 
-#: Keys that are compiled into a plan at most, and short quotations sought in one scan.
-LITERALS, SHORT = 2000, 500
-
-
-def _constant(rows: list, kind: str) -> Column:
-    """Rows of a list as one literal."""
-    return F.from_json(F.lit(json.dumps(rows)), kind)
-
-
 def quote_occurrences(documents: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(item_id, doc_id, n): how often each quotation stands in each document, by a shared rare-word key.
+    """(item_id, doc_id, n): how often each quotation stands in each document, overlaps not counted; empty ones nowhere.
 
-    Each quotation is keyed by its longest word; a document meets it only if it has that word, and is then checked with a
-    literal search. Up to LITERALS keys select a document's words inside its row, so that only words that are keys leave
-    it; more keys are joined with all words. Quotations of one or two words have no inner word: they are sought as
-    literals, SHORT of them in a scan.
-    """
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 0))
-    # the first and last words of a quotation may be part of a longer word of the text: only inner words are keys
-    inner = F.regexp_extract("quote", r"^\S*\s(.*)\s\S*$", 1)
-    keyed = quotes.withColumn("inner", inner).withColumn("key", F.array_max(F.transform(words(F.col("inner")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    with_key = keyed.filter("key is not null").select("item_id", "quote", "key")
-    keys = [r["key"] for r in with_key.select("key").distinct().limit(LITERALS + 1).collect()]
-    few = len(keys) <= LITERALS and with_key.limit(10 * LITERALS + 1).count() <= 10 * LITERALS
-    if few:
-        met = documents.select("doc_id", "text", F.explode(F.array_intersect(words(F.col("text")), _constant(keys, "array<string>"))).alias("key")).join(F.broadcast(with_key), "key")
-    else:
-        met = documents.select("doc_id", F.explode(words(F.col("text"))).alias("key")).join(with_key, "key").select("doc_id", "item_id", "quote").join(documents.select("doc_id", "text"), "doc_id")
-    hits = met.filter(F.contains("text", F.col("quote")))
-    times = lambda text, quote: ((F.length(text) - F.length(F.replace(text, quote, F.lit("")))) / F.length(quote)).cast("long")
-    found = hits.select("item_id", "doc_id", times(F.col("text"), F.col("quote")).alias("n"))
-    rows = keyed.filter("key is null and length(quote) > 0").select("item_id", "quote").toLocalIterator()
-    while part := [[r["item_id"], r["quote"]] for r in itertools.islice(rows, SHORT)]:
-        sought = _constant([{"i": i, "q": q} for i, q in part], "array<struct<i:bigint,q:string>>")
-        counted = F.transform(F.filter(sought, lambda s: F.contains("text", s["q"])), lambda s: F.struct(s["i"].alias("item_id"), times(F.col("text"), s["q"]).alias("n")))
-        found = found.unionByName(documents.select("doc_id", F.explode(counted).alias("h")).select("h.item_id", "doc_id", "h.n"))
-    return found
+    All quotations are sought in one pass over each text, long and short ones alike."""
+    return patterns.counts(documents, quotes)

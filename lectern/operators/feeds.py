@@ -68,20 +68,21 @@ def fold_batch(entries: DataFrame) -> DataFrame:
     return out.withColumn("content", F.coalesce("full", "first")).drop("full", "first")
 
 
-def ingest(articles: DataFrame, entries: DataFrame, now: int) -> DataFrame:
+def ingest(articles: DataFrame, entries: DataFrame, now: int, new: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """Articles after a batch (feed_id, seq, entry_id, url, title, author, published, content).
 
     New keys are inserted; of known ones filled fields are refreshed, an empty content never replaces one, and the
-    reader's flags and fetched_at stay.
+    reader's flags and fetched_at stay. new: the rows to insert, and top: the highest id so far, where both are known.
     """
     batch = fold_batch(entries).select(F.col("feed_id").alias("b_feed"), F.col("entry_id").alias("b_entry"), *(F.col(c).alias(f"b_{c}") for c in ("url", "title", "author", "published", "content")))
     known = articles.join(batch, (F.col("feed_id") == F.col("b_feed")) & (F.col("entry_id") == F.col("b_entry")), "left")
     fields = {c: F.coalesce(F.col(f"b_{c}"), F.col(c)) for c in ("url", "title", "author", "published")}
     fields["content"] = F.when(F.length("b_content") > 0, F.col("b_content")).otherwise(F.col("content"))
     known = known.withColumns(fields).select(*articles.columns)
-    new = inserted(articles, entries)
-    top = articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    new = number(new, ["feed_id", "entry_id"]).crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.col("n")).withColumn("fetched_at", F.lit(now).cast("long"))
+    new = number(inserted(articles, entries) if new is None else new, ["feed_id", "entry_id"])
+    highest = F.broadcast(articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))
+    new = new.crossJoin(highest) if top is None else new.withColumn("top", F.lit(top).cast("long"))
+    new = new.withColumn("id", F.col("top") + F.col("n")).withColumn("fetched_at", F.lit(now).cast("long"))
     return known.unionByName(conform(new, "articles"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions import patterns
 from lectern.schema import CLIPPINGS_URL
 
 K1, B = 1.2, 0.75
@@ -164,40 +165,10 @@ def match_ranges(rows: DataFrame, query: str, keys: list[str], text: str) -> Dat
 
     Each term's matches do not overlap each other. Folding is by character; a range covers the original bytes.
     """
-    terms = list(dict.fromkeys(t.lower() for t in query.split()))
+    terms = list(dict.fromkeys(patterns.folded(t) for t in query.split()))
     if not terms:
         return rows.limit(0).select(*keys, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
-    low = F.lower(text)
-    found = []
-    for t in terms:
-        parts = F.split(low, "\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
-        sizes = F.transform(parts, lambda p: F.length(p))
-        # a match begins after the pieces and matches before it
-        starts = F.aggregate(
-            F.slice(sizes, 1, F.size(sizes) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda a, x: F.struct((a["at"] + x + len(t)).alias("at"), F.array_append(a["out"], a["at"] + x).alias("out")), lambda a: a["out"],
-        )
-        found.append(F.transform(starts, _range(len(t))))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(none.alias("done"), F.lit(None).cast("int").alias("a"), F.lit(None).cast("int").alias("z"))
-    closed = lambda acc: F.array_append(acc["done"], F.struct(acc["a"].alias("start"), acc["z"].alias("end")))
-
-    def step(acc: Column, s: Column) -> Column:
-        """Ranges come by their start: each widens the open one, or closes it and opens the next."""
-        fresh = acc["z"].isNull() | (s["start"] > acc["z"])
-        done = F.when(fresh & acc["z"].isNotNull(), closed(acc)).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(fresh, s["start"]).otherwise(acc["a"]).alias("a"), F.when(fresh, s["end"]).otherwise(F.greatest(acc["z"], s["end"])).alias("z"))
-
-    merged = F.aggregate(F.array_sort(F.concat(*found)), start, step, lambda acc: F.when(acc["z"].isNull(), acc["done"]).otherwise(closed(acc)))
-    # in ASCII texts, characters and bytes are the same
-    plain = F.octet_length(text) == F.length(text)
-    at = lambda c: F.when(plain, c).otherwise(F.octet_length(F.substring(text, F.lit(1), c))).cast("long")
-    ranges = F.transform(merged, lambda r: F.struct(at(r["start"]).alias("start"), at(r["end"]).alias("end")))
-    return rows.select(*keys, F.explode(ranges).alias("r")).select(*keys, "r.*")
-
-
-def _range(size: int):
-    return lambda s: F.struct(s.alias("start"), (s + size).alias("end"))
+    return patterns.covered(rows, keys, text, terms)
 
 
 def preview(text: Column, query: str, most: int = 180) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.bucketed import ArticleStore
 from lectern.operators import feeds as feed_ops
 from lectern.operators import library as lib
 from lectern.plans.registry import query
+from lectern.shared import shared_root
 from lectern.sources.domain import CLIP_BASE, EPOCH, Domain
 
 NOW = EPOCH + 3000
@@ -63,18 +67,31 @@ folded AS (
   FROM batch GROUP BY feed_id, entry_id)"""
 
 
-@query(
-    f""", {_BATCH}
+_MERGED = f""", {_BATCH}
 SELECT coalesce(a.feed_id, b.feed_id) AS feed_id, coalesce(a.entry_id, b.entry_id) AS entry_id, coalesce(b.url, a.url) AS url, coalesce(b.title, a.title) AS title,
   coalesce(b.author, a.author) AS author, coalesce(b.published, a.published) AS published,
   md5(coalesce(CASE WHEN a.id IS NULL OR length(b.content) > 0 THEN b.content ELSE a.content END, '')) AS content_md5,
   coalesce(a.starred, false) AS starred, coalesce(a.archived, false) AS archived, coalesce(a.fetched_at, {LATER}) AS fetched_at
-FROM articles a FULL JOIN folded b ON a.feed_id = b.feed_id AND a.entry_id = b.entry_id""",
-    "articles",
-)
+FROM articles a FULL JOIN folded b ON a.feed_id = b.feed_id AND a.entry_id = b.entry_id"""
+
+
+def _shown(articles: DataFrame) -> DataFrame:
+    return articles.select("feed_id", "entry_id", "url", "title", "author", "published", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"), "starred", "archived", "fetched_at")
+
+
+@query(_MERGED, "articles")
 def ingest_merge(d: Domain) -> DataFrame:
-    out = feed_ops.ingest(d.articles(), _batch(d), LATER)
-    return out.select("feed_id", "entry_id", "url", "title", "author", "published", F.md5(F.coalesce("content", F.lit(""))).alias("content_md5"), "starred", "archived", "fetched_at")
+    return _shown(feed_ops.ingest(d.articles(), _batch(d), LATER))
+
+
+@query(_MERGED, "articles")
+def ingest_merge_bucketed(d: Domain) -> DataFrame:
+    """The same merge into stored buckets, in two batches: those of every third feed first."""
+    store = ArticleStore(d.spark, f"{shared_root(d.spark)}/articles-{uuid.uuid4().hex[:12]}")
+    store.load(d.articles())
+    for third in (F.col("feed_id") % 3 == 0, F.col("feed_id") % 3 != 0):
+        store.merge(_batch(d).filter(third), LATER)
+    return _shown(store.read())
 
 
 @query(f""", {_BATCH} SELECT feed_id, count(*) AS inserted FROM folded b ANTI JOIN articles a USING (feed_id, entry_id) GROUP BY feed_id""", "articles")

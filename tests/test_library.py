@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import patterns
 from lectern.operators import anchors, blobcache, feeds, library, search
 from lectern.schema import CLIPPINGS_URL, TABLES, conform, violations
 
@@ -190,7 +191,7 @@ def test_match_ranges_and_preview(spark):
     assert "four" in text["p"] and text["p"].startswith("…") and text["q"] == "a b"
 
 
-def test_anchors(spark, monkeypatch):
+def test_anchors(spark):
     doc = spark.createDataFrame([(1, "new intro. the cat sat. a dog. the cat ran."), (2, "aaaa")], "id long, content string")
     rows = [(1, "the cat", 0, 7, "", " sat"), (1, "the cat", 8, 15, "a dog. ", " ran"), (1, "gone", 0, 4, "", ""), (2, "aa", 9, 11, "", ""), (1, "a dog", 24, 29, "x", "y"), (1, "", 0, 0, "", "")]
     a = spark.createDataFrame(rows, "article_id long, quote string, start_offset long, end_offset long, prefix string, suffix string").withColumn("n", F.monotonically_increasing_id())
@@ -200,11 +201,42 @@ def test_anchors(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "x quick brown fox y"), (2, "quick")], "doc_id long, text string")
     quotes = spark.createDataFrame([(1, "quick brown fox"), (2, "quick"), (3, "ick brown f")], "item_id long, quote string")
     assert sorted(tuple(r) for r in anchors.quote_occurrences(docs, quotes).collect()) == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 1, 1)]
-    for most in (0, 1):
-        monkeypatch.setattr(anchors, "LITERALS", most)
-        monkeypatch.setattr(anchors, "SHORT", 1)
-        more = quotes.unionByName(spark.createDataFrame([(4, "fox y"), (5, "brown fox")], quotes.schema))
-        assert sorted(tuple(r) for r in anchors.quote_occurrences(docs, more).collect()) == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 1, 1), (4, 1, 1), (5, 1, 1)]
+    more = quotes.unionByName(spark.createDataFrame([(4, "fox y"), (5, "brown fox"), (6, ""), (7, "fox y"), (8, None)], quotes.schema))
+    want = [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 1, 1), (4, 1, 1), (5, 1, 1), (7, 1, 1)]
+    # one scan, and one for each portion of a long list
+    for most in (1 << 20, 12):
+        assert sorted(tuple(r) for r in patterns.counts(docs, more, most).collect()) == want
+    over = spark.createDataFrame([(1, "aaaaa"), (2, None), (3, "")], docs.schema)
+    assert sorted(tuple(r) for r in anchors.quote_occurrences(over, spark.createDataFrame([(1, "aa"), (2, "a")], quotes.schema)).collect()) == [(1, 1, 2), (2, 1, 5)]
+    assert anchors.quote_occurrences(docs, quotes.limit(0)).count() == 0
+
+
+def test_ranges_cover_original_bytes(spark):
+    """Against a search at every place: overlaps, touching ranges, letters of two and four bytes, letters that grow when folded."""
+    texts = ["", None, "Thethe HETHE", "ßSSß İi i̇", "🙂the🙂the the", "ÀÉà éa", "th" * 50, "x" * 3000 + "éthe"]
+    rows = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "k long, t string, start int")
+    for query in ("the", "the het", "É à", "i", "🙂 t", "zz"):
+        terms = [patterns.folded(t) for t in query.split()]
+        want = set()
+        for i, t in enumerate(texts):
+            low, hit = patterns.folded(t or ""), [False] * (len(t or "") + 1)
+            for term in terms:
+                at = low.find(term)
+                while at >= 0:
+                    hit[at : at + len(term)] = [True] * len(term)
+                    at = low.find(term, at + len(term))
+            joined = set()  # places at which one match ends and another begins are inside a range
+            at = 0
+            while at < len(hit):
+                if hit[at]:
+                    z = at
+                    while hit[z]:
+                        z += 1
+                    joined.add((i, len(t[:at].encode()), len(t[:z].encode())))
+                    at = z
+                at += 1
+            want |= joined
+        assert {tuple(r) for r in search.match_ranges(rows.drop("start"), query, ["k"], "t").collect()} == want
 
 
 def test_blob_cache(spark):
