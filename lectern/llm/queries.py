@@ -278,11 +278,11 @@ goals AS (SELECT key, source_size, CASE WHEN f_open IS NULL OR f_rest * w / f_op
 b AS (SELECT greatest(1, least(4096, sum(size) // 65536)) AS block FROM d),
 -- all quotients are ranked, those of the targets among all sources, then those of the words within a source
 t AS (SELECT *, floor(target + 0.5)::BIGINT AS goal FROM goals),
-n AS (SELECT (sum(goal) + any_value(block) // 2)::BIGINT // any_value(block) AS seats FROM t, b),
-tq AS (SELECT key, goal / (2 * k + 1)::DOUBLE AS q, k FROM t, n, unnest(range(0, CASE WHEN goal > 0 THEN seats ELSE 0 END)) AS u(k)),
+n AS (SELECT ((sum(goal) + any_value(block) // 2) // any_value(block))::BIGINT AS seats FROM t, b),
+tq AS (SELECT key, goal / (2 * k + 1)::DOUBLE AS q, k FROM t, n, unnest(range(0, CASE WHEN goal > 0 THEN seats ELSE 0 END::BIGINT)) AS u(k)),
 ts AS (SELECT key, count(*) AS seats FROM (SELECT key FROM tq ORDER BY q DESC, key, k LIMIT (SELECT seats FROM n)) GROUP BY key),
 sh AS (SELECT key, shard, sum(size)::BIGINT AS words FROM r GROUP BY key, shard),
-sq AS (SELECT key, shard, row_number() OVER (PARTITION BY key ORDER BY words / (2 * k + 1)::DOUBLE DESC, shard, k) AS n, seats FROM sh JOIN ts USING (key), unnest(range(0, CASE WHEN words > 0 THEN seats ELSE 0 END)) AS u(k)),
+sq AS (SELECT key, shard, row_number() OVER (PARTITION BY key ORDER BY words / (2 * k + 1)::DOUBLE DESC, shard, k) AS n, seats FROM sh JOIN ts USING (key), unnest(range(0, CASE WHEN words > 0 THEN seats ELSE 0 END::BIGINT)) AS u(k)),
 ss AS (SELECT key, shard, count(*) AS quota FROM sq WHERE n <= seats GROUP BY key, shard),
 g0 AS (SELECT sh.key, sh.shard, words, source_size, target, goal, block, least(coalesce(quota, 0) * block, 3 * words)::BIGINT AS given FROM sh JOIN t USING (key) LEFT JOIN ss ON ss.key = sh.key AND ss.shard = sh.shard, b),
 g1 AS (SELECT *, goal - sum(given) OVER (PARTITION BY key) AS gap FROM g0),
