@@ -13,6 +13,7 @@ from lectern.operators import library as lib
 from lectern.plans.registry import query
 from lectern.shared import shared_root
 from lectern.sources.domain import CLIP_BASE, EPOCH, Domain
+from lectern.streaming import timers
 
 NOW = EPOCH + 3000
 POLICY = feed_ops.Policy(disable_after=3)
@@ -115,12 +116,30 @@ def failure_streak_state(d: Domain) -> DataFrame:
     return feed_ops.failure_state(d.fetch_log(), POLICY)
 
 
-@query(f"""SELECT id, fail_count + 1 AS fail_count, least(60 * 2 ** least(fail_count + 1, 16), 3600)::BIGINT AS delay, {NOW} + least(60 * 2 ** least(fail_count + 1, 16), 3600)::BIGINT AS next_fetch,
-  fail_count + 1 >= 3 AS disabled FROM feeds WHERE NOT disabled""", "feeds")
+_BACKOFF = f"""SELECT id, fail_count + 1 AS fail_count, least(60 * 2 ** least(fail_count + 1, 16), 3600)::BIGINT AS delay, {NOW} + least(60 * 2 ** least(fail_count + 1, 16), 3600)::BIGINT AS next_fetch,
+  fail_count + 1 >= 3 AS disabled FROM feeds WHERE NOT disabled"""
+
+
+@query(_BACKOFF, "feeds")
 def due_backoff_schedule(d: Domain) -> DataFrame:
     return feed_ops.backoff_schedule(d.feeds(), NOW, POLICY)
 
 
+@query(_BACKOFF, "feeds")
+def due_backoff_by_timer(d: Domain) -> DataFrame:
+    """The same schedule from a stream: each feed fails once, its timer is set, and expires; only what its timer (or the
+    disabled mark) confirms is shown."""
+    root = f"{shared_root(d.spark)}/polling-{uuid.uuid4().hex[:12]}"
+    known = timers.listed(d.feeds(), NOW - 1)
+    failed = known.withColumns({"at": F.lit(NOW).cast("long"), "kind": F.lit("failed")})
+    known.unionByName(failed).write.parquet(f"{root}/events")
+    timers.start_polling(d.spark.readStream.schema(timers.EVENT).parquet(f"{root}/events"), f"{root}/log", f"{root}/checkpoint", POLICY, once=True).awaitTermination()
+    log = d.spark.read.schema(timers.LOG).parquet(f"{root}/log")
+    due = log.filter("what = 'due'").select("feed_id", "at")
+    confirmed = log.filter("what = 'scheduled'").join(due, ["feed_id", "at"], "left_semi").unionByName(log.filter("what = 'stopped'").select("feed_id", "at", "what", "fail_count", "disabled"))
+    return confirmed.select(F.col("feed_id").alias("id"), "fail_count", (F.col("at") - NOW).alias("delay"), F.col("at").alias("next_fetch"), "disabled")
+
+
 @query(f"""SELECT id, coalesce(title, 'Fetched ' || id) AS title, CASE WHEN id % 2 = 0 THEN {NOW} END AS last_fetch,
   CASE WHEN id % 2 = 0 THEN {NOW} + coalesce(interval_secs, 900) ELSE {NOW} + least(60 * 2 ** (fail_count + 1), 3600)::BIGINT END AS next_fetch,
   CASE WHEN id % 2 = 0 THEN 0 ELSE fail_count + 1 END AS fail_count, CASE WHEN id % 2 = 1 THEN 'HTTP 503' END AS last_error,

@@ -101,6 +101,9 @@ def failure_state(log: DataFrame, disable_after: int = 10) -> DataFrame:
     return log.groupBy("feed_id").applyInPandasWithState(step, STATE, "fail_count long, longest long, disabled boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def distinct_entries(stream: DataFrame) -> DataFrame:
-    """The first row of each entry key over the life of a stream (state grows with the keys, as the library does)."""
-    return stream.dropDuplicates(["feed_id", "entry_id"])
+def distinct_entries(stream: DataFrame, seen: str | None = None, within: str = "2 days") -> DataFrame:
+    """The first row of each entry key. With a time column `seen`, keys are remembered for `within` after their first row, so
+    state stays bounded; a repeat that comes later passes, and the merge, which is idempotent, takes it in once. Without
+    one, keys are remembered over the life of the stream."""
+    keys = ["feed_id", "entry_id"]
+    return stream.dropDuplicates(keys) if seen is None else stream.withWatermark(seen, within).dropDuplicatesWithinWatermark(keys)
