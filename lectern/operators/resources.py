@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions import patterns
 from lectern.functions.scalars import rfc3339, snapshot_hash
 from lectern.functions.urls import canonical
 from lectern.operators.library import number
@@ -217,6 +218,25 @@ def search_resources(resources: DataFrame, snapshots: DataFrame | None, query: s
     return rows.orderBy(*order).limit(limit).select("id", "url", "title", score.alias("score"), F.lit("multi_field").alias("matched_field"), evidence_snippet(F.col("hay"), query).alias("snippet"), "manual_rating", "updated_at")
 
 
+def search_many(resources: DataFrame, snapshots: DataFrame | None, queries: DataFrame, limit: int) -> DataFrame:
+    """(query, rank, id, url): what search_resources finds for each of many queries (column `query`), in one pass over the
+    resources: all terms are sought at once, and a query's hits are the resources that hold all of its terms."""
+    rows = resources.filter("status = 'active'")
+    if snapshots is not None:
+        rows = rows.join(snapshots.select(F.col("id").alias("latest_snapshot_id"), F.col("cleaned_content").alias("snapshot")), "latest_snapshot_id", "left")
+    else:
+        rows = rows.withColumn("snapshot", F.lit(None).cast("string"))
+    texts = rows.select(F.col("id").alias("doc_id"), F.lower(_haystack(F.col("snapshot"))).alias("text"))
+    words = F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) > 0))
+    asked = queries.select("query").distinct().withColumn("terms", words).withColumn("wanted", F.size("terms"))
+    terms = asked.select("query", "wanted", F.explode("terms").alias("item_id"))
+    found = patterns.counts(texts, terms.select("item_id", F.col("item_id").alias("quote")).distinct())
+    hits = found.join(terms, "item_id").groupBy("query", "wanted", "doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = wanted")
+    order = Window.partitionBy("query").orderBy(F.coalesce("manual_rating", F.lit(0)).desc(), F.desc("updated_at"), F.desc("id"))
+    ranked = hits.join(rows.select(F.col("id").alias("doc_id"), "id", "url", "manual_rating", "updated_at"), "doc_id").withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= limit).select("query", "rank", "id", "url")
+
+
 def search_articles(articles: DataFrame, feeds: DataFrame, query: str, limit: int, every: bool = False) -> DataFrame:
     """Articles that hold the whole query: curated ones (starred or clipped), or all that are not archived; newest first."""
     query = query.strip()
