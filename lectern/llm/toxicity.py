@@ -4,12 +4,13 @@ Terms are words and their prefixes of PREFIXES bytes, which catch the forms of o
 by its frequency in the text, its rarity over all documents, and a factor from FLOOR to 1 that grows with its class evidence
 (a chi-square test). An example or a document is its vector over these terms, of length 1.
 
-The index. Examples are arranged so that alike ones are neighbours and cut into blocks. The terms of most postings are kept as
-a slab of weights for each block, all others as postings by term and block; for every term and block the largest weight is
-stored. A batch of documents is searched together: these maxima bound each document's cosine in each block, the blocks of the
-two largest bounds give a first k-th best, and then every block is opened whose bound reaches it, one matrix product and one
-sum over postings for all documents that want it. No block that could hold a neighbour stays closed, so the neighbours are
-exact; cosines are held in single precision and compared to six digits.
+The index. Examples are arranged so that alike ones are neighbours and cut into blocks. Postings are kept by term; those of the
+heavy terms, which most examples share, are laid out as a slab of weights for each block, with each term's largest weight
+in it. A batch of documents is searched together: the postings of all other terms are added up first, then a document's
+cosine in a block is bounded by the block's largest sum so far and the maxima of the heavy terms. The blocks of the two
+largest bounds give a first k-th best, and every block is opened whose bound reaches it, by one matrix product for all
+documents that want it. No block that could hold a neighbour stays closed, so the neighbours are exact; cosines are held
+in single precision and compared to six digits.
 Votes weighted by similarity are calibrated by isotonic regression on leave-one-out votes of the examples.
 
 Of near copies among the examples (eight tenths of their word triples, compared exactly) one is kept, so that a copied text does not pass for many witnesses.
@@ -87,9 +88,8 @@ def _heavy(held: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 class _Index:
     """Blocks of a model's examples, made from its postings where they are searched.
 
-    row, slabs, peaks: heavy terms, their weights by block, term and place, and the largest by term and block. begin: where the
-    entries of any other term begin, one for each block that has it; entry_block, entry_peak, entry_first: an entry's block,
-    largest weight and first posting; posted, posted_weight: places within blocks, and weights."""
+    row, slabs, peaks: heavy terms, their weights by block, term and place, and the largest by term and block. first, size:
+    the postings of any other term."""
 
     def __init__(self, model: NearestModel) -> None:
         width, held = model.block, np.diff(model.to).astype(np.int64)
@@ -101,19 +101,8 @@ class _Index:
             block, place = np.divmod(model.places[own], width)
             self.slabs[block, r, place] = model.weights[own]
         self.peaks = np.ascontiguousarray(self.slabs.max(axis=2).T)
-        light = np.repeat(self.row < 0, held)
-        places, self.posted_weight = model.places[light], model.weights[light]
         held[top] = 0
-        to = np.r_[0, np.cumsum(held)]
-        block = places // width
-        new = np.zeros(len(places) + 1, bool)
-        new[to] = True
-        new[1:-1] |= block[1:] != block[:-1]
-        first = np.flatnonzero(new[:-1])
-        self.begin = np.searchsorted(first, to)
-        self.entry_block, self.entry_first = block[first], np.r_[first, len(places)].astype(model.to.dtype)
-        self.entry_peak = np.maximum.reduceat(self.posted_weight, first) if len(first) else np.zeros(0, np.float32)
-        self.posted = (places % width).astype(np.min_scalar_type(width))
+        self.first, self.size = model.to[:-1].astype(np.int64), held
 
 
 @dataclass
@@ -204,46 +193,37 @@ class NearestModel:
         if self.index is None:
             self.index = _Index(self)
         index, blocks = self.index, len(self.index.slabs)
-        text = np.repeat(np.arange(n), [len(t) for t, _ in texts])
-        term, weight = (np.concatenate([x[c] for x in texts]) for c in (0, 1))
-        row = index.row[term]
         query = np.zeros((n, index.slabs.shape[1]), np.float32)
-        query[text[row >= 0], row[row >= 0]] = weight[row >= 0]
-        text, term, weight = text[row < 0], term[row < 0], weight[row < 0].astype(np.float32)
-        size = index.begin[term + 1] - index.begin[term]
-        spot = _runs(index.begin[term], size)
-        owner, share, block = np.repeat(text, size), np.repeat(weight, size), index.entry_block[spot]
-        bound = query @ index.peaks + np.bincount(owner * blocks + block.astype(np.int64), share * index.entry_peak[spot], n * blocks).reshape(n, blocks)
-        order = np.argsort(block.astype(np.min_scalar_type(blocks)), kind="stable")
-        owner, share, spot = owner[order], share[order], spot[order]
-        border = np.searchsorted(block[order], np.arange(blocks + 1))
         found = np.zeros((n, blocks * width), np.float32)
+        for i, (terms, weights) in enumerate(texts):
+            row = index.row[terms]
+            query[i, row[row >= 0]] = weights[row >= 0]
+            terms, weights = terms[row < 0], weights[row < 0].astype(np.float32)
+            size = index.size[terms]
+            spot = _runs(index.first[terms], size)
+            found[i] = np.bincount(self.places[spot], np.repeat(weights, size) * self.weights[spot], blocks * width)
+        bound = query @ index.peaks + found.reshape(n, blocks, width).max(axis=2)
         left_out = [(i, np.flatnonzero(self.ids == x)) for i, x in enumerate(skip or ())]
 
         def opened(wanted: np.ndarray) -> None:
             for b in np.flatnonzero(wanted.any(axis=0)):
                 rows = np.flatnonzero(wanted[:, b])
-                score = (query[rows] @ index.slabs[b]).astype(float)
-                here = slice(border[b], border[b + 1])
-                own = np.flatnonzero(wanted[owner[here], b]) + border[b]
-                if len(own):
-                    times = index.entry_first[spot[own] + 1] - index.entry_first[spot[own]]
-                    at = _runs(index.entry_first[spot[own]].astype(np.int64), times)
-                    key = np.repeat(np.searchsorted(rows, owner[own]) * width, times) + index.posted[at]
-                    score += np.bincount(key, np.repeat(share[own], times) * index.posted_weight[at], len(rows) * width).reshape(len(rows), width)
-                found[rows, b * width : (b + 1) * width] = score
-            for i, places in left_out:
-                found[i, places] = 0
+                found[rows, b * width : (b + 1) * width] += query[rows] @ index.slabs[b]
 
         usual = bound > 0
         first = np.zeros_like(usual)
         np.put_along_axis(first, np.argpartition(-bound, min(2, blocks) - 1, axis=1)[:, :2], True, axis=1)
         first &= usual
         opened(first)
+        for i, places in left_out:
+            found[i, places] = 0
         k = min(self.k, found.shape[1])
+        # what stands in closed blocks is a part of its cosine, so this is a lower bound of the k-th best
         least = np.partition(found, -k, axis=1)[:, -k]
         rest = usual & ~first & (bound >= np.maximum(least[:, None] - SLACK, 0))
         opened(rest)
+        for i, places in left_out:
+            found[i, places] = 0
         least = np.partition(found, -k, axis=1)[:, -k]
         out = []
         for i in range(n):
@@ -284,7 +264,7 @@ def calibrated(model: NearestModel, votes: np.ndarray) -> np.ndarray:
     return np.interp(votes, model.knots, model.values) if len(model.knots) else np.full(len(votes), model.rate)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, max_rows: int = 12_000, significance: float = 3.5) -> NearestModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held: int = 1, max_rows: int = 6_000, significance: float = 3.5) -> NearestModel:
     """Fit on at most max_rows labelled documents outside the held-out fold; a term's evidence is clear from a chi-square
     of significance * log2(rows) on, which allows for the number of terms tried."""
     sample = labelled_sample(labels, label, modulus, held, max_rows)
