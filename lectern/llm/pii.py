@@ -2,9 +2,9 @@
 
 The base patterns are matched over whole texts, leftmost and non-overlapping for each kind; a match that fails its check
 is dropped. The tagger decodes overlapping windows over every stretch of a text in which one of its kinds can stand, with
-MARGIN characters on both sides: each kind has a digit, an equals sign, an `@` or an "at" in it or before it, so runs of
-such characters are read whole, and around every `@` and "at" all that can be a local part before it and a domain after
-it. A tagged span takes in the rest of its word, an address the rest of its local part and domain. It is added where the
+MARGIN characters on both sides: cards, phones and ips have digits, and runs with digits are read whole; addresses have an
+`@` or an "at", around which all that can be a local part and a domain is read; secrets follow an equals sign or a colon,
+stand in quotes, or are a long run of hexadecimal digits, and of these every run of VALUE characters or more is read whole. A tagged span takes in the rest of its word, an address the rest of its local part and domain. It is added where the
 mean of the CRF's marginals is at least CONFIDENCE, where it has what its kind must have (`sound`: four bytes,
 a card's check digit, a phone's length, an at and a dot), and where it touches no base span and no earlier added one. `secret` (tokens,
 keys, passwords) is a kind of the tagger alone.
@@ -30,6 +30,8 @@ SLICE = 1 << 20
 MARGIN = 24
 #: Least mean marginal probability of an added span.
 CONFIDENCE = 0.75
+#: The shortest secret.
+VALUE = 8
 #: Kinds of the base patterns.
 BASE = KINDS[:4]
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -43,6 +45,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@=]|[\[({<]\s*[aA][tT]\s*[\])}>]")
 
 
+#: What may be a secret: the run after an equals sign or a colon, a run in quotes, and a long run of hexadecimal digits.
+_VALUES = re.compile(rf"""[=:]\s*["']?(?=\S{{{VALUE}}})\S+|["'](?=[^\s"']{{{VALUE}}})[^\s"']+["']|\b[0-9A-Fa-f]{{24,}}""")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -106,7 +112,7 @@ def sound(kind: str, span: str) -> bool:
         return 9 <= len(digits) <= 15
     if kind == "email":
         return bool(_TWO_LABELS.search(span))
-    return len(span) >= 8
+    return len(span) >= VALUE
 
 
 def labelled_examples(n: int = 3600, seed: int = 23) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -229,6 +235,7 @@ def regions(text: str, number: int) -> list[tuple[int, int, int]]:
     if cores:
         cores += [m.span() for m in _NUMBERS.finditer(text) if any("0" <= c <= "9" for c in m.group())]
         cores += [m.span() for m in _PARTS.finditer(text)]
+    cores += [m.span() for m in _VALUES.finditer(text)]
     cores += _addresses(text)
     out: list[tuple[int, int, int]] = []
     for start, end in sorted(cores):

@@ -309,7 +309,7 @@ def test_licence_places(spark):
     for r in got:
         assert (r["n_words"], [(b["label"], b["start"]) for b in r["base"]]) in want[r["doc_id"]], r
     by = {r["doc_id"]: r for r in got}
-    assert {o["label"] for o in by[902]["own"]} == {"mit-notice", "bsd-notice"} and not by[903]["own"] and 0 < by[903]["score"] < 0.8
+    assert {o["label"] for o in by[902]["own"]} == {"mit-notice", "bsd-notice"} and not by[903]["own"] and by[903]["score"] == 0
     whole = licenses.TEXTS["mit-text"]
     some = documents(spark, [(1, f"x y z {whole} tail"), (2, whole.replace("furnished", "given").replace("SOFTWARE IS", "PROGRAM IS")), (3, " ".join(w + " so" for w in whole.split())), (4, " ".join(sorted(whole.split())))])
     found = {r["doc_id"]: {o["label"]: (o["start"], o["end"]) for o in r["own"]} for r in licenses.scan(some).collect()}
@@ -351,3 +351,13 @@ def test_chat(spark, part):
     assert sum(len(p["formatted"]) for p in parts if p["conv_id"] == 3) == got[3]["formatted_chars"]
     assert (len(parts) > len(got)) == (part == 50)
     assert chat.digests(chat.format_chat(df.limit(0))).count() == 0
+
+
+def test_no_generated_span_lies_outside_the_regions():
+    """Ten seeds of the generator, all kinds: every span is read whole."""
+    for seed in range(100, 110):
+        for text, spans in pii.labelled_examples(1500, seed):
+            read = pii.regions(text, 0)
+            assert all(any(lo <= start and end <= hi for _, lo, hi in read) for _, start, end in spans), (text, spans)
+    for text in ('key: "OrYmxmYlKvx"', "password: Correcthorse!x", "TOKEN: " + "QWERTYUIOPasdfghjkl" * 5, "x 'abcdefghij' y", "deadbeef" * 5):
+        assert any(hi - lo >= len(text) - 12 for _, lo, hi in pii.regions(text, 0)), text
