@@ -23,7 +23,9 @@ def _without(docs: DataFrame, rows: DataFrame, on) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored as empty texts; repeated rows share their verdict; columns beyond COLUMNS are dropped."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
     return quality.score(docs, model, keep=COLUMNS[1:]).filter("predicted = 1").select(*COLUMNS)
 
@@ -62,14 +64,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window word for word go, and those that hold a window of ten words with at least
-    eight in their places (shorter items match word for word only)."""
+    eight in their places (shorter items match word for word only).
+
+    Null and empty texts have no words and stay; rows go by id (null too) and text, so repeated rows go or stay together."""
     found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
     hit = materialize(found.filter("n_hit > 0 or size(near_items) > 0").select(F.col("doc_id").alias("hit_id"), F.col("row_key").alias("hit_key")), "contaminated").distinct()
     return _without(docs, hit, (F.xxhash64("text") == F.col("hit_key")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))).select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data are replaced by their kinds; n_chars follows a changed text."""
+    """Personal data are replaced by their kinds; n_chars follows a changed text.
+
+    A null text stays null; all rows stay, repeated ones too."""
     found = pii.detect(docs, keep=("lang", "source", "n_chars"))
     spans = F.concat("base", "added")
     changed = F.size(spans) > 0
@@ -78,7 +84,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, with how many it takes (repeats counted)."""
+    """Documents of which the mix takes words, with how many it takes (repeats counted).
+
+    Null and empty texts have no words and go; repeated rows are documents of their own; the null source comes last."""
     mixed = mixing.mix(docs, keep=("text", "lang", "n_chars"))
     return mixed.filter("taken > 0").select(*COLUMNS, "size", "source_size", "target", "taken")
 
@@ -95,5 +103,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: No SQL: the classifier and the tagger are learned. Tests hold the stages against brute-force versions.
+#: No SQL: the classifier and the tagger are learned. Tests hold near duplicates and decontamination against brute-force
+#: versions, the other stages against their operators and the mix against its targets.
 ORACLE_SQL = None

@@ -18,7 +18,9 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(node, component) of every node of undirected edges (a, b); component is the smallest node reachable."""
+    """(node, component) of every node of undirected edges (a, b); component is the smallest node reachable.
+
+    Edges with a null end count as none; so do edges from a node to itself, and repeated ones count once."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
     state = _state(edges)

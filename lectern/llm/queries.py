@@ -157,7 +157,7 @@ merged AS (
 named AS (SELECT *, NOT is_base AND coverage >= CASE WHEN size < {licenses.SHORT} THEN 1.0 ELSE {coverage} END AND z - a <= {longer} * size AS own FROM merged),
 rows AS (
   SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(a) FILTER (is_base) AS first_word, max(a) FILTER (is_base) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base OR own) AS labels, max(coverage) AS score
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base OR own) AS labels, max(coverage) FILTER (own) AS score
   FROM named GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
   coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN rows USING (doc_id)"""
