@@ -88,6 +88,47 @@ def covered(rows: DataFrame, keys: list[str], text: str, literals: list[str]) ->
     return given.mapInArrow(run, f"{kinds}, start bigint, end bigint")
 
 
+def _best_window(found: list[tuple[int, int, int]], size: int) -> tuple[int, int]:
+    """Start of the first match and end of the last one of the window that holds the most different literals, then the most
+    matches, then stands first; found: (start, end, number), sorted. Both ends of the window only move forward."""
+    seen: dict[int, int] = {}
+    best, j, reach = None, 0, 0
+    for i, (start, _, number) in enumerate(found):
+        while j < len(found) and found[j][1] <= start + size:
+            seen[found[j][2]] = seen.get(found[j][2], 0) + 1
+            reach = max(reach, found[j][1])
+            j += 1
+        rank = (-len(seen), i - j, start)
+        best = min(best, (*rank, reach)) if best else (*rank, reach)
+        seen[number] -= 1
+        if not seen[number]:
+            del seen[number]
+    return best[2], best[3]
+
+
+def fragments(rows: DataFrame, keys: list[str], text: str, literals: list[str], size: int = 34) -> DataFrame:
+    """(keys, snippet): the stretch of `size` characters (more if a literal is longer) in which the most of the literals meet,
+    with the matches in its middle and an ellipsis where text is left out; null without a match. literals: small letters."""
+    given = rows.select(*keys, F.col(text).cast("string").alias("_text"))
+    key, size = uuid.uuid4().hex, max([size, *map(len, literals)])
+
+    def cut(automaton, value: str | None) -> str | None:
+        found = sorted((a, z, n) for n, a, z in _matches(automaton, folded(value or "")))
+        if not found:
+            return None
+        first, last = _best_window(found, size)
+        start = max(0, min(first - (size - (last - first)) // 2, len(value) - size))
+        return ("…" if start else "") + value[start : start + size] + ("…" if start + size < len(value) else "")
+
+    def run(batches):
+        automaton = _automaton(key, literals)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([cut(automaton, v) for v in batch.column("_text").to_pylist()], pa.string())], names=[*keys, "snippet"])
+
+    kinds = ", ".join(f"`{k}` {kind}" for k, kind in given.dtypes if k in keys)
+    return given.mapInArrow(run, f"{kinds}, snippet string")
+
+
 def _portions(quotes: DataFrame, most: int) -> Iterator[dict[str, list]]:
     """Literals with the ids that share them, by portions of at most `most` characters (one longer literal stands alone)."""
     held: dict[str, list] = {}

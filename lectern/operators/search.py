@@ -107,8 +107,8 @@ def search_library(rows: DataFrame, query: str, limit: int) -> DataFrame:
     if not query or limit <= 0 or not is_ranked(query):
         return search_short(rows, query, limit)
     hits = bm25(rows, {0: query}, limit)
-    text = rows.select("kind", "source_id", F.col("body"))
-    shown = hits.join(text, ["kind", "source_id"]).withColumn("snippet", snippet(F.col("body"), query.split()[0]))
+    found = rows.join(hits.select("kind", "source_id"), ["kind", "source_id"], "left_semi")
+    shown = hits.join(snippets(found, ["kind", "source_id"], "body", query), ["kind", "source_id"])
     return shown.orderBy("rank").select("kind", "source_id", "article_id", "feed_id", "title", "snippet", "timestamp", "archived")
 
 
@@ -123,12 +123,9 @@ def search_and_record(rows: DataFrame, history: DataFrame, query: str, limit: in
     return shown, record_history(history, use)
 
 
-def snippet(body: Column, term: str, around: int = 17) -> Column:
-    """A stretch around the first match, with ellipses where text is left out."""
-    at = F.instr(F.lower(body), term.lower())
-    start = F.greatest(F.lit(1), at - around)
-    size = F.lit(len(term) + 2 * around)
-    return F.concat(F.when(start > 1, " … ").otherwise(""), F.substring(body, start, size), F.when(start + size <= F.length(body), " … ").otherwise(""))
+def snippets(rows: DataFrame, keys: list[str], text: str, query: str) -> DataFrame:
+    """(keys, snippet): where in its text the most of a query's terms meet; null where none stands."""
+    return patterns.fragments(rows, keys, text, list(dict.fromkeys(patterns.folded(t) for t in query.split())))
 
 
 def trigram_postings(rows: DataFrame) -> DataFrame:

@@ -210,10 +210,15 @@ def quotes_of_ranges(d: Domain) -> DataFrame:
     return d.raw("documents").select("doc_id", q["start"].cast("long").alias("start"), q["end"].cast("long").alias("end"), q["quote"].alias("quote"))
 
 
-@query("""WITH f AS (SELECT doc_id, text, instr(lower(text), 'license') AS hit FROM documents WHERE contains(lower(text), 'license')), s AS (SELECT *, greatest(1, hit - 17) AS a FROM f)
-SELECT doc_id, CASE WHEN a > 1 THEN ' … ' ELSE '' END || substr(text, a, 41) || CASE WHEN a + 41 <= length(text) THEN ' … ' ELSE '' END AS snippet FROM s""")
+@query("""WITH d AS (SELECT doc_id, text, lower(text) AS b FROM documents), v(t) AS (VALUES ('license'), ('version'), ('public')),
+m AS (SELECT doc_id, t, p - 1 AS a, p - 1 + length(t) AS z FROM d JOIN v ON contains(b, t), unnest(range(1, length(b) + 1)) AS u(p) WHERE substr(b, p, length(t)) = t),
+w AS (SELECT x.doc_id, x.a, max(y.z) AS z, count(DISTINCT y.t) AS kinds, count(*) AS n FROM m x JOIN m y ON x.doc_id = y.doc_id AND y.a >= x.a AND y.z <= x.a + 34 GROUP BY x.doc_id, x.a),
+best AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kinds DESC, n DESC, a) = 1),
+s AS (SELECT doc_id, text, greatest(0, least(a - (34 - (z - a)) // 2, length(text) - 34)) AS f FROM best JOIN d USING (doc_id))
+SELECT doc_id, CASE WHEN f > 0 THEN '…' ELSE '' END || substr(text, f + 1, 34) || CASE WHEN f + 34 < length(text) THEN '…' ELSE '' END AS snippet FROM s""")
 def search_snippets(d: Domain) -> DataFrame:
-    return d.raw("documents").filter(F.contains(F.lower("text"), F.lit("license"))).select("doc_id", search.snippet(F.col("text"), "License").alias("snippet"))
+    """Where in each document that has any of three terms the most of them meet."""
+    return search.snippets(d.raw("documents"), ["doc_id"], "text", "License version PUBLIC").filter("snippet is not null")
 
 
 @query("""WITH uses AS (SELECT user_id || ' ' || event_type AS query, epoch_us(ts) AS used_at FROM events)

@@ -260,3 +260,28 @@ def test_vocabulary_and_old_tables(spark):
     assert sorted((r["id"], r["column"]) for r in violations(rows, "resources").collect()) == [(2, "source"), (3, "status")]
     old = spark.createDataFrame([(1, "x")], "id long, entry_id string")
     assert conform(old, "articles").first()["archived"] is False
+
+
+def test_fragments_show_where_most_terms_meet(spark):
+    """Against every window: most different terms, then most matches, then the first."""
+    import random
+
+    rng = random.Random(3)
+    texts = [None, "", "no", "alpha"] + ["".join(rng.choice(["alpha", "beta ", "Gamma", "x", " yy ", "é🙂", "filler words "]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    terms = ["alpha", "beta", "gamma"]
+    want = {}
+    for i, text in enumerate(texts):
+        low = patterns.folded(text or "")
+        found = sorted((m, m + len(t), t) for t in terms for m in range(len(low)) if low.startswith(t, m))
+        windows = []
+        for a, _, _ in found:
+            inside = [f for f in found if f[0] >= a and f[1] <= a + 34]
+            windows.append((-len({t for *_, t in inside}), -len(inside), a, max(z for _, z, _ in inside)))
+        if windows:
+            *_, a, z = min(windows)
+            at = max(0, min(a - (34 - (z - a)) // 2, len(text) - 34))
+            want[i] = ("…" if at else "") + text[at : at + 34] + ("…" if at + 34 < len(text) else "")
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    got = {r["k"]: r["snippet"] for r in search.snippets(rows, ["k"], "t", "Alpha beta GAMMA alpha").collect()}
+    assert {k: v for k, v in got.items() if v is not None} == want and len(got) == len(texts)
+    assert search.snippets(rows, ["k"], "t", "x" * 50).filter("snippet is not null").count() == 0
