@@ -54,6 +54,43 @@ def test_quality_corner_cases(spark):
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), labels)).count() == 0
 
 
+def brute_features(text):
+    """The features by their definitions, over bytes, words and lines of one text."""
+    data = (text or "").encode()
+    words, lines = SPACE.findall(text or ""), [x for x in (text or "").split("\n") if x]
+    n, size = max(len(words), 1), max(len(data), 1)
+    share = lambda chars: sum(b in chars for b in data) / size
+    stop, mark = b".,;:'\"-()", b"!?"
+    known = {*range(65, 91), *range(97, 123), *range(48, 58), *b" \t\r\x0b\x0c\n", *stop, *mark, *range(128, 256)}
+    folded = [low(w) for w in words]
+    grams = list(zip(folded, folded[1:], folded[2:], strict=False))
+    of = lambda test: sum(map(test, words)) / n
+    return [
+        math.log1p(len(data)), math.log1p(len(words)), sum(b not in b" \t\r\x0b\x0c\n" for b in data) / n, share(range(65, 91)), share(range(48, 58)), share(b"\n"), share(stop), share(mark),
+        sum(b not in known for b in data) / size, share(range(128, 256)), len(set(folded)) / n, max(Counter(folded).values(), default=0) / n, 1 - len(set(grams)) / len(grams) if grams else 0,
+        1 - len(set(lines)) / max(len(lines), 1) if words else 0, len(words) / max(len(lines), 1), of(lambda w: len(w.encode()) >= 12), of(lambda w: len(w.encode()) <= 2), of(lambda w: sum("A" <= c <= "Z" for c in w) >= 2),
+    ]
+
+
+def test_quality_equals_its_brute_force_version(spark):
+    """The registered query's scores from features by their definitions and a walk through tables and grids."""
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    odd = documents(spark, [(-i, t) for i, t in enumerate(texts(40), 1)], extra=False).select(*docs.columns)
+    model = quality.train(docs, labels)
+    assert model.pairs and any(t.any() for t in model.tables) and any(g.any() for g in model.grids)
+    every = docs.unionByName(odd)
+    given = {r["doc_id"]: r["text"] for r in every.collect()}
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.score(every, model).collect()}
+    assert got.keys() == given.keys() and len(got) > 1000
+    place = lambda edges, x: sum(e <= x for e in edges)
+    for i, text in given.items():
+        x = brute_features(text)
+        total = model.base + sum(t[place(model.edges[f], x[f])] for f, t in enumerate(model.tables))
+        total += sum(g[place(model.pair_edges[a], x[a]), place(model.pair_edges[b], x[b])] for (a, b), g in zip(model.pairs, model.grids, strict=True))
+        want = 1 / (1 + math.exp(-min(max(total, -30), 30)))
+        assert got[i][0] == pytest.approx(want, abs=1e-9) and got[i][1] == (got[i][0] >= 0.3), (i, x)
+
+
 def test_features_of_each_text_stand_alone():
     found = texts(40)
     whole = quality.features(pa.array(found))
