@@ -153,6 +153,14 @@ def record_history(history: DataFrame, uses: DataFrame) -> DataFrame:
     return both.drop("key")
 
 
+def clear_history(history: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """The history without the named queries (column `query`, no regard to case), or without any."""
+    if queries is None:
+        return history.limit(0)
+    gone = queries.select(F.lower(F.trim("query")).alias("_key")).distinct()
+    return history.join(gone, F.lower("query") == F.col("_key"), "left_anti")
+
+
 def recent_history(history: DataFrame, limit: int) -> DataFrame:
     return history.orderBy(F.desc("last_used_at"), "query").limit(limit)
 

@@ -12,6 +12,7 @@ from lectern.operators import feeds as feed_ops
 from lectern.operators import library as lib
 from lectern.plans.registry import query
 from lectern.shared import shared_root
+from lectern.sources import payloads
 from lectern.sources.domain import CLIP_BASE, EPOCH, Domain
 from lectern.streaming import timers
 
@@ -368,3 +369,18 @@ def feed_lookup(d: Domain) -> DataFrame:
 def tag_drafts(d: Domain) -> DataFrame:
     draft = F.concat("lang", F.lit(" ,  x "), F.col("doc_id").cast("string"), F.lit("， \n"), "source", F.lit(","))
     return d.raw("documents").select("doc_id", lib.split_tag_draft(draft).alias("names"))
+
+
+_NAMED = "CASE WHEN doc_id % 4 = 1 AND regexp_full_match(coalesce(text, ''), '(?s)[\\x00-\\x7F\\x{A0}-\\x{FF}]*') THEN 'ISO-8859-1' WHEN doc_id % 4 = 2 THEN 'UTF-16LE' WHEN doc_id % 4 = 3 THEN 'UTF-16' ELSE 'UTF-8' END"
+
+
+@query(f"""SELECT doc_id, {_NAMED} AS encoding, md5('<?xml version="1.0" encoding="' || {_NAMED} || '"?><t>' || coalesce(text, '') || '</t>') AS payload_md5 FROM documents""")
+def feed_bodies_decoded(d: Domain) -> DataFrame:
+    """Each document as the body of a feed in one of four encodings (the third without a mark), decoded by what it declares."""
+    text, i = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    latin = (i == 1) & text.rlike(r"^[\x00-\x7F\xA0-\xFF]*$")
+    name = F.when(latin, "ISO-8859-1").when(i == 2, "UTF-16LE").when(i == 3, "UTF-16").otherwise("UTF-8")
+    xml = F.concat(F.lit('<?xml version="1.0" encoding="'), name, F.lit('"?><t>'), text, F.lit("</t>"))
+    body = F.when(latin, F.encode(F.when(latin, xml), "ISO-8859-1")).when(i == 2, F.encode(xml, "UTF-16LE")).when(i == 3, F.encode(xml, "UTF-16")).otherwise(F.encode(xml, "UTF-8"))
+    sent = d.raw("documents").select("doc_id", name.alias("encoding"), body.alias("body"), F.lit("application/rss+xml").alias("content_type"))
+    return payloads.decoded_feeds(sent).select("doc_id", "encoding", F.md5("payload").alias("payload_md5"))

@@ -229,3 +229,15 @@ def search_history_recent(d: Domain) -> DataFrame:
     uses = d.raw("events").select(F.concat_ws(" ", F.col("user_id").cast("string"), "event_type").alias("query"), F.unix_micros(F.col("ts").cast("timestamp")).alias("used_at"), F.lit(1).cast("long").alias("result_count"))
     kept = search.record_history(d.spark.createDataFrame([], TABLES["search_history"]), uses)
     return search.recent_history(kept, 30).select("query", "last_used_at", "use_count")
+
+
+@query("""WITH uses AS (SELECT user_id || ' ' || event_type AS query, event_type, epoch_us(ts) AS used_at FROM events)
+SELECT query, max(used_at) AS last_used_at, count(*) AS use_count FROM uses GROUP BY query HAVING max(event_type) <> 'error'""")
+def search_history_cleared(d: Domain) -> DataFrame:
+    """The history after all searches that ended in an error are forgotten."""
+    from lectern.schema import TABLES
+
+    uses = d.raw("events").select(F.concat_ws(" ", F.col("user_id").cast("string"), "event_type").alias("query"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("used_at"), F.lit(1).cast("long").alias("result_count"))
+    kept = search.record_history(d.spark.createDataFrame([], TABLES["search_history"]), uses.drop("event_type"))
+    bad = uses.filter("event_type = 'error'").select(F.concat(F.lit(" "), F.upper("query")).alias("query"))
+    return search.clear_history(kept, bad).select("query", "last_used_at", "use_count")

@@ -325,6 +325,35 @@ def decode_html(body: bytes, content_type: str | None = None) -> str:
     return body.decode(guess_charset(body), "replace")
 
 
+def xml_charset(body: bytes) -> str | None:
+    """The encoding that an XML declaration names, or that its first bytes give away."""
+    for start, name in ((b"<\0\0\0", "utf-32-le"), (b"\0\0\0<", "utf-32-be"), (b"<\0", "utf-16-le"), (b"\0<", "utf-16-be")):
+        if body.startswith(start):
+            return name
+    m = re.match(rb"""\s*<\?xml\b[^>]*?\bencoding\s*=\s*["']([A-Za-z0-9._-]+)["']""", body[:512])
+    return _codec(m[1].decode()) if m else None
+
+
+def decode_feed(body: bytes, content_type: str | None = None) -> str:
+    """Text of a feed's body: byte order mark, then header, then XML declaration, then UTF-8; bad bytes become U+FFFD."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF32_LE, "utf-32-le"), (codecs.BOM_UTF32_BE, "utf-32-be"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+        if body.startswith(mark):
+            return body[len(mark) :].decode(name, "replace")
+    return body.decode(header_charset(content_type) or xml_charset(body) or "utf-8", "replace")
+
+
+def decoded_feeds(fetched: DataFrame) -> DataFrame:
+    """Rows of `fetch` (body, content_type) with the column `payload` in place of the body; a null body gives null."""
+    rest = [f for f in fetched.schema if f.name != "body"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            payload = [None if body is None else decode_feed(bytes(body), kind) for body, kind in zip(pdf["body"], pdf["content_type"], strict=True)]
+            yield pdf.drop(columns="body").assign(payload=pd.Series(payload, dtype=object, index=pdf.index))
+
+    return fetched.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "payload string"]))
+
+
 # Encodings that pages without a declaration use, and characters that are frequent in their languages.
 FREQUENT = {
     "gb18030": "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里",

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lectern.operators import feeds as ops
 from lectern.operators import library as lib
 from lectern.shared import materialize
-from lectern.sources.payloads import fetch, http_get, parse_feeds
+from lectern.sources.payloads import decoded_feeds, fetch, http_get, parse_feeds
 from lectern.tables import Library
 
 STATE = "feed_id long, fail_count long, longest long, disabled boolean"
@@ -43,7 +43,7 @@ def ingest_batch(library: Library, payloads: DataFrame, now: int, policy: ops.Po
 def fetch_round(library: Library, feeds: DataFrame, now: int, get: Callable = http_get, at_once: int = 16, policy: ops.Policy = ops.Policy()) -> DataFrame:
     """Fetches feeds (id, url), at most at_once at a time, and ingests what they send: one row of totals (feeds, articles)."""
     asked = feeds.select(F.col("id").alias("feed_id"), "url").repartition(at_once, "feed_id")
-    got = fetch(asked, get).select("feed_id", F.decode("body", "UTF-8").alias("payload"), "error")
+    got = decoded_feeds(fetch(asked, get).select("feed_id", "body", "content_type", "error")).select("feed_id", "payload", "error")
     return ops.round_totals(ingest_batch(library, got, now, policy))
 
 

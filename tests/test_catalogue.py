@@ -403,3 +403,17 @@ def test_results_as_json(spark):
     assert (a["id"], a["private_note"], a["updated_at"], a["score"], a["score_factors"]) == ("4", {"value": "mine", "source": "local_private_note"}, "1970-01-01T00:01:00Z", 1.1, ["text_match", "manual_rating_boost"])
     assert a["evidence_snippets"] == [{"source_type": "multi_field", "snapshot_id": "9", "article_id": None, "text": "SVG https://h/4 draw"}] and "private_note" in a and a["pricing"] is None
     assert (b["id"], b["result_type"], b["score_factors"], b["matched_fields"], b["tags"], b["evidence_snippets"][0]["text"]) == ("7", "article", ["starred"], ["article_text"], [], "all of svg")
+
+
+def test_feeds_are_decoded_as_they_declare(spark):
+    text = '<rss><channel><title>Größe — 表示</title><item><guid>1</guid></item></channel></rss>'
+    declared = lambda name: f'<?xml version="1.0" encoding="{name}"?>{text}'
+    cases = [(declared(n).encode(n), None, declared(n)) for n in ("utf-8", "utf-16", "gb18030", "utf-16-le", "utf-32-be")]
+    cases += [(text.encode("gb18030"), "text/xml; charset=gb18030", text), (text.encode(), None, text), (b"\xef\xbb\xbf" + text.encode(), "text/xml; charset=gb18030", text), (declared("no-such").encode(), None, declared("no-such")), (b'{"a": "\xc3\xa9"}', "application/json", '{"a": "é"}'), (b"\xff<", None, "\ufffd<"), (b"", None, "")]
+    for body, kind, want in cases:
+        assert payloads.decode_feed(body, kind).lstrip("\ufeff") == want
+    rows = spark.createDataFrame([(i, b, k, None) for i, (b, k, _) in enumerate(cases)] + [(99, None, None, "HTTP 500")], "feed_id long, body binary, content_type string, error string")
+    got = {r["feed_id"]: (r["payload"], r["error"]) for r in payloads.decoded_feeds(rows).collect()}
+    assert got[99] == (None, "HTTP 500") and all(got[i][0].lstrip("\ufeff") == want for i, (*_, want) in enumerate(cases))
+    parsed = payloads.parse_feeds(payloads.decoded_feeds(rows.filter("feed_id < 5"))).collect()
+    assert {r["feed_title"] for r in parsed} == {"Größe — 表示"} and all(r["error"] is None for r in parsed)

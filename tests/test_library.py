@@ -285,3 +285,11 @@ def test_fragments_show_where_most_terms_meet(spark):
     got = {r["k"]: r["snippet"] for r in search.snippets(rows, ["k"], "t", "Alpha beta GAMMA alpha").collect()}
     assert {k: v for k, v in got.items() if v is not None} == want and len(got) == len(texts)
     assert search.snippets(rows, ["k"], "t", "x" * 50).filter("snippet is not null").count() == 0
+
+
+def test_history_is_cleared_whole_or_in_part(spark):
+    uses = spark.createDataFrame([("Rust", 1, 2), ("rust", 5, 3), ("spark sql", 2, 1), ("x", 3, 0)], "query string, used_at long, result_count long")
+    kept = search.record_history(spark.createDataFrame([], TABLES["search_history"]), uses)
+    left = search.clear_history(kept, spark.createDataFrame([(" RUST ",), ("none",), (None,)], "query string"))
+    assert sorted(r["query"] for r in left.collect()) == ["spark sql", "x"] and left.columns == kept.columns
+    assert search.clear_history(kept).count() == 0
