@@ -22,7 +22,8 @@ def create(resources: DataFrame, new: DataFrame, now: int) -> tuple[DataFrame, D
     wrong = F.when(F.col("canonical_url").isNull(), "bad address").when(~F.col("manual_rating").between(1, 5), "bad rating")
     rows = rows.withColumn("error", wrong)
     first = rows.filter("error is null").groupBy("canonical_url").agg(F.min("seq").alias("first"))
-    taken = resources.select("canonical_url", F.lit(True).alias("taken"))
+    # stored addresses may repeat: a known address still rejects a row once
+    taken = resources.select("canonical_url", F.lit(True).alias("taken")).distinct()
     rows = rows.join(first, "canonical_url", "left").join(taken, "canonical_url", "left")
     rows = rows.withColumn("error", F.coalesce("error", F.when(F.col("taken") | (F.col("seq") != F.col("first")), F.lit("duplicate"))))
     good = number(rows.filter("error is null"), ["seq"]).crossJoin(F.broadcast(resources.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))))

@@ -417,3 +417,9 @@ def test_feeds_are_decoded_as_they_declare(spark):
     assert got[99] == (None, "HTTP 500") and all(got[i][0].lstrip("\ufeff") == want for i, (*_, want) in enumerate(cases))
     parsed = payloads.parse_feeds(payloads.decoded_feeds(rows.filter("feed_id < 5"))).collect()
     assert {r["feed_title"] for r in parsed} == {"Größe — 表示"} and all(r["error"] is None for r in parsed)
+
+
+def test_a_row_is_rejected_once_by_repeated_stored_addresses(spark):
+    stored = table(spark, "resources", [{"id": i, "canonical_url": "https://a.b/"} for i in (1, 2, 3)])
+    after, rejects = create(spark, stored, "https://a.b", "https://n.org")
+    assert [(r["seq"], r["error"]) for r in rejects.collect()] == [(0, "duplicate")] and after.count() == 4
