@@ -78,6 +78,7 @@ def candidates(docs: DataFrame, hashes: list[int]) -> DataFrame:
 def scan(docs: DataFrame, gap: int = 3, coverage: float = 0.8, longer: float = 1.25) -> DataFrame:
     """doc_id, n_words, base places, own verified spans, and the best coverage of these (0 without one) for each row.
 
+    best: the greatest coverage of any merged diagonal, of base phrases and of spans that fail the verification too.
     base: array of (label, start); own: array of (label, start, end, coverage). gap: diagonals this close are merged.
     coverage: least share of a template's words; longer: most words of a span for each of the template's.
     """
@@ -105,10 +106,10 @@ def scan(docs: DataFrame, gap: int = 3, coverage: float = 0.8, longer: float = 1
     ok = (F.col("coverage") >= F.when(F.col("n_template") < SHORT, 1.0).otherwise(coverage)) & (F.col("end") - F.col("start") <= longer * F.col("n_template"))
     base = F.when(F.col("is_base"), F.struct("label", "start"))
     own = F.when(~F.col("is_base") & ok, F.struct("label", "start", "end", "coverage"))
-    found = merged.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(base)).alias("base"), F.array_sort(F.collect_list(own)).alias("own"), F.max(own["coverage"]).alias("score"))
-    found = found.select(F.col("doc_id").alias("f_id"), F.col("row_key").alias("f_key"), "base", "own", "score")
+    found = merged.groupBy("doc_id", "row_key").agg(F.array_sort(F.collect_list(base)).alias("base"), F.array_sort(F.collect_list(own)).alias("own"), F.max(own["coverage"]).alias("score"), F.max("coverage").alias("best"))
+    found = found.select(F.col("doc_id").alias("f_id"), F.col("row_key").alias("f_key"), "base", "own", "score", "best")
     blank = {"base": "array<struct<label:string,start:bigint>>", "own": "array<struct<label:string,start:bigint,end:bigint,coverage:double>>"}
     fill = [F.coalesce(F.col(c), F.array().cast(t)).alias(c) for c, t in blank.items()]
-    joined = hot.join(found, (F.col("row_key") == F.col("f_key")) & F.col("doc_id").eqNullSafe(F.col("f_id")), "left").select("doc_id", "n_words", *fill, F.coalesce("score", F.lit(0.0)).alias("score"))
-    cold = rows.filter(F.size("grams") == 0).select("doc_id", "n_words", *(F.array().cast(t).alias(c) for c, t in blank.items()), F.lit(0.0).alias("score"))
+    joined = hot.join(found, (F.col("row_key") == F.col("f_key")) & F.col("doc_id").eqNullSafe(F.col("f_id")), "left").select("doc_id", "n_words", *fill, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("score", "best")))
+    cold = rows.filter(F.size("grams") == 0).select("doc_id", "n_words", *(F.array().cast(t).alias(c) for c, t in blank.items()), F.lit(0.0).alias("score"), F.lit(0.0).alias("best"))
     return joined.unionByName(cold)

@@ -61,7 +61,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = lambda c: F.transform(c, lambda x: x["label"])
     starts = F.transform("base", lambda x: x["start"])
     join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
-    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), join(names("base")).alias("base_labels"), join(F.concat(names("base"), names("own"))).alias("labels"), "score")
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), join(names("base")).alias("base_labels"), join(F.concat(names("base"), names("own"))).alias("labels"), "score", "best")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,10 +157,10 @@ merged AS (
 named AS (SELECT *, NOT is_base AND coverage >= CASE WHEN size < {licenses.SHORT} THEN 1.0 ELSE {coverage} END AND z - a <= {longer} * size AS own FROM merged),
 rows AS (
   SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(a) FILTER (is_base) AS first_word, max(a) FILTER (is_base) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base OR own) AS labels, max(coverage) FILTER (own) AS score
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base OR own) AS labels, max(coverage) FILTER (own) AS score, max(coverage) AS best
   FROM named GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-  coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN rows USING (doc_id)"""
+  coalesce(score, 0)::DOUBLE AS score, coalesce(best, 0)::DOUBLE AS best FROM d LEFT JOIN rows USING (doc_id)"""
 
 
 _COMPONENTS = """

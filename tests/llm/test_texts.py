@@ -361,3 +361,9 @@ def test_no_generated_span_lies_outside_the_regions():
             assert all(any(lo <= start and end <= hi for _, lo, hi in read) for _, start, end in spans), (text, spans)
     for text in ('key: "OrYmxmYlKvx"', "password: Correcthorse!x", "TOKEN: " + "QWERTYUIOPasdfghjkl" * 5, "x 'abcdefghij' y", "deadbeef" * 5):
         assert any(hi - lo >= len(text) - 12 for _, lo, hi in pii.regions(text, 0)), text
+
+
+def test_best_coverage_counts_all_merged_diagonals(spark):
+    rows = [(1, "mit license"), (2, licenses.NOTICES["mit-notice"][:60]), (3, "word"), (4, None), (5, licenses.NOTICES["mit-notice"])]
+    got = {r["doc_id"]: (r["score"], r["best"]) for r in licenses.scan(documents(spark, rows)).collect()}
+    assert got[1] == (0, 1) and got[2][0] == 0 and 0 < got[2][1] < 0.8 and got[3] == got[4] == (0, 0) and got[5] == (1, 1)
