@@ -1,9 +1,11 @@
 """A stored full-text index: positional trigram postings in blocks, kept up to date by deltas, searched by block bounds.
 
 Layout. Index rows are cut into blocks of at most BLOCK_ROWS rows and BLOCK_CHARS characters. A block's row of a trigram holds
-which of the block's rows have it, how often and where (`ords`, `tfs`, `positions`), and what bounds them: the largest frequency and the
+which of the block's rows have it, how often, their sizes and where it stands in them (`entries`: gaps and counts of seven bits a byte,
+so that what is shuffled and stored is a small multiple of the texts), and what bounds them: the largest frequency and the
 smallest size. The files lie in folders by `bucket`, a hash of the trigram, sorted by trigram; bucket -1 holds the
-blocks' own rows (`docs`). A search reads its trigrams' buckets and nothing else.
+blocks' own rows (`docs`). Buckets are rebalanced to tasks of bounded size: a large one is written by several, as several files.
+A search reads its trigrams' buckets and nothing else.
 
 Changes. `update` writes one more segment with the rows of the touched keys, and which places of older segments died by it; a
 segment is never rewritten. `compact` writes all live rows as one segment. A pointer file under the next number names the
@@ -24,6 +26,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +42,90 @@ TASK_POSITIONS = 4_000_000
 #: Scores are compared to nine digits.
 EPS = 1e-8
 DOC = "struct<kind:int,source_id:bigint,article_id:bigint,feed_id:bigint,title:string,timestamp:bigint,archived:boolean,size:int>"
-POSTING = f"trigram string, block bigint, n int, held int, max_tf int, min_size int, ords array<int>, tfs array<int>, sizes array<int>, positions array<int>, docs array<{DOC}>"
+POSTING = f"trigram string, block bigint, n int, held int, max_tf int, min_size int, entries binary, docs array<{DOC}>"
 _FIELDS = ("kind", "source_id", "article_id", "feed_id", "title", "timestamp", "archived")
 _DOCS = pa.list_(pa.struct([("kind", pa.int32()), ("source_id", pa.int64()), ("article_id", pa.int64()), ("feed_id", pa.int64()), ("title", pa.string()), ("timestamp", pa.int64()), ("archived", pa.bool_()), ("size", pa.int32())]))
 
 
-def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), pa.array(values.astype(np.int32)))
+#: Rows of a block that one number of `dead` marks.
+MARKS = 62
+
+
+def _before(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... in each of groups of these sizes."""
+    return np.arange(int(sizes.sum())) - np.repeat(_before(sizes), sizes)
+
+
+def _gaps(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences to the one before; the first of each group as it is."""
+    out = np.diff(values, prepend=0)
+    out[starts] = values[starts]
+    return out
+
+
+def _sums(gaps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of which `gaps` are the differences in groups of these sizes, none of them empty."""
+    total = np.cumsum(gaps)
+    return total - np.repeat((total - gaps)[_before(sizes)], sizes) if len(gaps) else gaps
+
+
+def _pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2**35 in seven bits a byte, a set eighth bit meaning that more follow; and where each begins."""
+    size = 1 + sum((values >= 1 << 7 * i).astype(np.int64) for i in range(1, 5))
+    begins = np.r_[0, np.cumsum(size)]
+    out = np.empty(begins[-1], np.uint8)
+    for i in range(5):
+        own = np.flatnonzero(size > i)
+        out[begins[own] + i] = values[own] >> 7 * i & 127 | (size[own] > i + 1).astype(np.int64) << 7
+    return out, begins
+
+
+def _unpack(data: np.ndarray) -> np.ndarray:
+    if not len(data):
+        return np.zeros(0, np.int64)
+    sizes = np.diff(np.flatnonzero(data < 128), prepend=-1)
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * _within(sizes), _before(sizes))
+
+
+def _packed(n: np.ndarray, held: np.ndarray, row: np.ndarray, tf: np.ndarray, sizes: np.ndarray, pos: np.ndarray) -> pa.Array:
+    """The entries of trigrams with n rows and held positions each: rows, frequencies, sizes and positions of all in turn."""
+    base, step = _before(3 * n + held), np.repeat(n, n)
+    at = np.repeat(base, n) + _within(n)
+    values = np.empty(int((3 * n + held).sum()), np.int64)
+    values[at], values[at + step], values[at + 2 * step] = _gaps(row, _before(n)), tf, sizes
+    values[np.repeat(base + 3 * n, held) + _within(held)] = _gaps(pos, _before(tf))
+    data, begins = _pack(values)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(begins[np.r_[base, len(values)]].astype(np.int32)), pa.py_buffer(data)])
+
+
+def _entries(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n, held and the rows, frequencies, sizes, positions of all posting rows of a table or batch, none without entries."""
+    n, held = (np.asarray(table.column(c).to_numpy(), np.int64) for c in ("n", "held"))
+    column = table.column("entries")
+    values = np.concatenate([np.zeros(0, np.int64), *(_unpack(_bytes(c)) for c in getattr(column, "chunks", [column]))])
+    base, step = _before(3 * n + held), np.repeat(n, n)
+    at = np.repeat(base, n) + _within(n)
+    tf = values[at + step]
+    return n, held, _sums(values[at], n), tf, values[at + 2 * step], _sums(values[np.repeat(base + 3 * n, held) + _within(held)], tf)
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary column."""
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, np.uint8)
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+
+
+def _marked(dead: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of a column of marks, where each row's begin, and how many they are (null: none)."""
+    count = np.asarray(pc.fill_null(pc.list_value_length(dead), 0).to_numpy(zero_copy_only=False), np.int64)
+    return np.asarray(dead.flatten().to_numpy(zero_copy_only=False), np.int64), _before(count), count
 
 
 def block_postings(texts: list[str | None], docs: list[dict], block: int) -> pa.RecordBatch:
@@ -60,7 +140,7 @@ def block_postings(texts: list[str | None], docs: list[dict], block: int) -> pa.
     order = np.argsort(gram, kind="stable")
     gram, ord_, pos = gram[order], ord_[order], pos[order]
     own = [[d | {"size": None if t is None else int(s)} for d, s, t in zip(docs, sizes, texts, strict=True)]]
-    head = pa.RecordBatch.from_arrays([pa.array([""]), pa.array([block]), *(pa.array([v], pa.int32()) for v in (len(docs), 0, 0, 0)), *(pa.array([[]], pa.list_(pa.int32())) for _ in range(4)), pa.array(own, _DOCS)], names=NAMES)
+    head = pa.RecordBatch.from_arrays([pa.array([""]), pa.array([block]), *(pa.array([v], pa.int32()) for v in (len(docs), 0, 0, 0)), pa.array([None], pa.binary()), pa.array(own, _DOCS)], names=NAMES)
     if not len(gram):
         return head
     change = np.r_[True, gram[1:] != gram[:-1]]
@@ -71,12 +151,13 @@ def block_postings(texts: list[str | None], docs: list[dict], block: int) -> pa.
     keys = gram[begins]
     letters = np.stack([keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF], 1).astype(np.uint32).tobytes().decode("utf-32-le")
     names = [letters[i : i + 3] for i in range(0, len(letters), 3)]
-    numbers = [np.diff(np.r_[first, len(run)]), np.diff(np.r_[begins, len(gram)]), np.maximum.reduceat(tf, first), np.minimum.reduceat(sizes[row], first)]
-    rows = pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(keys), block)), *(pa.array(v.astype(np.int32)) for v in numbers), *(_lists(v, first) for v in (row, tf, sizes[row])), _lists(pos, begins), pa.nulls(len(keys), _DOCS)], names=NAMES)
+    n, held = np.diff(np.r_[first, len(run)]), np.diff(np.r_[begins, len(gram)])
+    numbers = [n, held, np.maximum.reduceat(tf, first), np.minimum.reduceat(sizes[row], first)]
+    rows = pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(keys), block)), *(pa.array(v.astype(np.int32)) for v in numbers), _packed(n, held, row, tf, sizes[row], pos), pa.nulls(len(keys), _DOCS)], names=NAMES)
     return pa.Table.from_batches([head, rows.cast(head.schema)]).combine_chunks().to_batches()[0]
 
 
-NAMES = ["trigram", "block", "n", "held", "max_tf", "min_size", "ords", "tfs", "sizes", "positions", "docs"]
+NAMES = ["trigram", "block", "n", "held", "max_tf", "min_size", "entries", "docs"]
 
 
 def postings(rows: DataFrame, block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -129,18 +210,29 @@ class _Block:
 
 def _blocks(table: pa.Table) -> dict[tuple[int, int], _Block]:
     found: dict[tuple[int, int], _Block] = {}
-    lists = {}
-    for c in ("ords", "tfs", "sizes", "positions"):
-        column = table.column(c).combine_chunks()
-        lists[c] = column.offsets.to_numpy(), column.values.to_numpy()
+    n, held, *lists, positions = _entries(table)
+    first, begins = _before(n), _before(held)
     keys = zip(*(table.column(c).to_pylist() for c in ("segment", "block", "trigram", "dead")), strict=True)
     for i, (segment, block, gram, dead) in enumerate(keys):
         own = found.setdefault((segment, block), _Block())
-        own.rows[gram] = tuple(values[o[i] : o[i + 1]] for o, values in lists.values())
-        own.dead = np.array(dead or [], np.int64)
+        own.rows[gram] = (*(values[first[i] : first[i] + n[i]] for values in lists), positions[begins[i] : begins[i] + held[i]])
+        own.dead = np.array([MARKS * w + b for w, marks in enumerate(dead or []) for b in range(MARKS) if marks >> b & 1], np.int64)
     return found
 
 
+def _alive(batches):
+    """(trigram, df, tf) of posting rows with the marks of their blocks' dead rows."""
+    for batch in batches:
+        n, held, row, tf, *_ = _entries(batch)
+        marks, begins, count = _marked(batch.column("dead"))
+        word, at = row // MARKS, np.repeat(np.arange(len(n)), n)
+        known = word < count[at]
+        dead = np.zeros(len(row), bool)
+        dead[known] = marks[begins[at[known]] + word[known]] >> row[known] % MARKS & 1 == 1
+        sums = [np.bincount(at, weights, len(n)).astype(np.int64) for weights in (~dead, np.where(dead, 0, tf))]
+        yield pa.RecordBatch.from_arrays([batch.column("trigram"), *(pa.array(v, pa.int64()) for v in sums)], names=["trigram", "df", "tf"])
+
+
 def _weight(idf: float, tf, size, mean: float):
     return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * size / mean))
 
@@ -207,9 +299,8 @@ class StoredIndex:
         """A segment of rows: its folder and its totals."""
         path = f"segment-{uuid.uuid4().hex}"
         keyed = postings(rows, self.block_rows).withColumn("bucket", self._bucket())
-        # a frequent trigram has a row for each block: rows of one bucket go to several files where they are many
-        spread = F.when(F.col("bucket") < 0, F.pmod("block", F.lit(self.buckets))).otherwise(0)
-        keyed.repartition(self.buckets, "bucket", spread).sortWithinPartitions("bucket", "trigram", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{path}")
+        # a frequent trigram has a row for each block: adaptive execution deals a bucket of many rows to several tasks
+        keyed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "trigram", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{path}")
         docs = self.spark.read.schema(f"{POSTING}, bucket int").parquet(f"{self.root}/{path}").filter("bucket = -1").select(F.inline("docs"))
         return path, self._totals(docs)
 
@@ -250,17 +341,18 @@ class StoredIndex:
         return out
 
     def _dead(self, now: dict) -> DataFrame:
-        """(segment, block, dead): places of rows that were replaced or removed; a block has at most BLOCK_ROWS."""
+        """(segment, block, dead): rows that were replaced or removed, marked in numbers of MARKS bits; a block has at most BLOCK_ROWS."""
         schema = "segment int, block bigint, ord int, size int"
         if not now["dead"]:
-            return self.spark.createDataFrame([], "segment int, block bigint, dead array<int>")
+            return self.spark.createDataFrame([], "segment int, block bigint, dead array<bigint>")
         rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in now["dead"]))
-        return rows.groupBy("segment", "block").agg(F.collect_set("ord").alias("dead"))
+        marks = F.expr(f"transform(sequence(0L, array_max(own) div {MARKS}), w -> aggregate(filter(own, o -> o div {MARKS} = w), 0L, (s, o) -> s | shiftleft(1L, o % {MARKS})))")
+        return rows.groupBy("segment", "block").agg(F.collect_set("ord").alias("own")).select("segment", "block", marks.alias("dead"))
 
     def _places(self, now: dict) -> DataFrame:
         """Live rows of the index with their places."""
         rows = self._read(now).filter("bucket = -1").join(self._dead(now), ["segment", "block"], "left")
-        rows = rows.select("segment", "block", "dead", F.posexplode("docs").alias("ord", "doc")).filter(F.col("dead").isNull() | ~F.array_contains("dead", F.col("ord")))
+        rows = rows.select("segment", "block", "dead", F.posexplode("docs").alias("ord", "doc")).filter(f"coalesce(shiftright(get(dead, cast(ord div {MARKS} as int)), ord % {MARKS}) & 1L, 0L) = 0")
         return rows.select("segment", "block", "ord", "doc.*")
 
     def rows(self) -> DataFrame:
@@ -278,17 +370,19 @@ class StoredIndex:
         """Posting rows with the dead of their blocks, dealt to tasks by block."""
         found = self.matching(terms, now)
         held = found.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
-        rows = found.drop("docs", "bucket", "n", "held", "max_tf", "min_size")
-        rows = rows.join(self._dead(now), ["segment", "block"], "left") if now["dead"] else rows.withColumn("dead", F.lit(None).cast("array<int>"))
+        rows = found.drop("docs", "bucket", "max_tf", "min_size")
+        rows = rows.join(self._dead(now), ["segment", "block"], "left") if now["dead"] else rows.withColumn("dead", F.lit(None).cast("array<bigint>"))
         return rows.withColumn("part", F.pmod(F.xxhash64("segment", "block"), F.lit(max(1, -(-held // TASK_POSITIONS)))))
 
     def trigram_counts(self) -> DataFrame:
         """(trigram, df, occurrences) over live rows."""
         now = self._state()
-        rows = self._read(now).filter("bucket >= 0").select("segment", "block", "trigram", F.arrays_zip("ords", "tfs").alias("own"))
+        rows = self._read(now).filter("bucket >= 0").select("segment", "block", "trigram", "n", "held", "entries")
         if now["dead"]:
-            rows = rows.join(self._dead(now), ["segment", "block"], "left").withColumn("own", F.filter("own", lambda x: F.col("dead").isNull() | ~F.array_contains(F.col("dead"), x["ords"])))
-        each = rows.select("trigram", F.size("own").alias("df"), F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + x["tfs"]).alias("tf"))
+            rows = rows.join(self._dead(now), ["segment", "block"], "left").select("trigram", "n", "held", "entries", "dead")
+            each = rows.mapInArrow(_alive, "trigram string, df bigint, tf bigint")
+        else:
+            each = rows.select("trigram", F.col("n").alias("df"), F.col("held").alias("tf"))
         return each.groupBy("trigram").agg(F.sum("df").alias("df"), F.sum("tf").alias("occurrences")).filter("df > 0")
 
     def document_counts(self, terms: list[str]) -> dict[str, int]:

@@ -104,3 +104,25 @@ def test_an_empty_index(spark, tmp_path):
     assert index.search({1: "license"}, 5).count() == 0 and index.rows().count() == 0
     index.update(rows(spark).select("kind", "source_id"), rows(spark))
     assert listed(index.search({1: "license"}, 5)) == listed(search.bm25(rows(spark), {1: "license"}, 5))
+
+
+def test_entries_take_few_bytes(spark):
+    """Numbers of all lengths come back from their bytes; a long text's entries are a small multiple of it."""
+    import numpy as np
+
+    from lectern.operators import stored_index as st
+
+    values = np.array([0, 1, 127, 128, 16383, 16384, 1 << 21, (1 << 28) - 1, 1 << 28, (1 << 35) - 1, 5], np.int64)
+    data, begins = st._pack(values)
+    assert st._unpack(data).tolist() == values.tolist() and begins[-1] == len(data)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(40)] + ["", None, "ab", "abc"]
+    doc = dict.fromkeys(st._FIELDS)
+    batch = st.block_postings(texts, [doc] * len(texts), 7)
+    assert batch.nbytes < 5 * sum(len(t or "") for t in texts)
+    own = batch.slice(1)
+    n, held, row, tf, size, pos = st._entries(own)
+    grams = [g for g, k in zip(own.column("trigram").to_pylist(), held) for _ in range(k)]
+    ords = [r for r, k in zip(row.tolist(), tf) for _ in range(k)]
+    assert sorted(zip(ords, pos.tolist(), grams)) == sorted((i, p, t[p : p + 3]) for i, t in enumerate(texts) if t for p in range(len(t) - 2))
+    assert [len(texts[i]) - 2 for i in row] == size.tolist() and n.sum() == len(row)
