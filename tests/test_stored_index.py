@@ -126,3 +126,19 @@ def test_entries_take_few_bytes(spark):
     ords = [r for r, k in zip(row.tolist(), tf) for _ in range(k)]
     assert sorted(zip(ords, pos.tolist(), grams)) == sorted((i, p, t[p : p + 3]) for i, t in enumerate(texts) if t for p in range(len(t) - 2))
     assert [len(texts[i]) - 2 for i in row] == size.tolist() and n.sum() == len(row)
+
+
+def test_texts_are_not_dealt_by_feed(spark):
+    """A feed may hold most of the articles: feeds go to the articles, whatever size they are thought to have."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        articles = spark.createDataFrame([(1, 0, "t", None, "c", None, None, 5, False)], "id long, feed_id long, title string, author string, content string, url string, published long, fetched_at long, archived boolean")
+        feeds = spark.createDataFrame([(0, "u")], "id long, url string")
+        marks = spark.createDataFrame([], "id long, article_id long, selected_text string, comment string, is_favorite boolean, updated_at long")
+        got = search.index_rows(articles, feeds, marks, spark.createDataFrame([], "article_id long, tag_id long"), spark.createDataFrame([], "id long, name string"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert got.count() == 1 and "hashpartitioning(feed_id" not in plan and "BroadcastHashJoin [feed_id" in plan
+    finally:
+        spark.conf.set(key, old)
