@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.shared import bound_batches, lean
+
 BLOCK = (
     "kind string, text string, url string, uri string, alt string, language string, depth int, display boolean, space_after boolean, link_start int, "
     "links array<struct<url:string,start:int,end:int>>, ranges array<struct<start:int,end:int>>, definitions array<struct<term:string,definitions:array<string>>>, "
@@ -52,18 +54,35 @@ def text_without_surroundings(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: None if p is None else one_line(strip_ignored(parse_fragment(p)).text()))
 
 
-def blocks(pages: DataFrame, key: str, html: str = "html", url: str | None = "url") -> DataFrame:
-    """(key, pos, block fields): one row per block of each page."""
+#: Block rows that a worker holds before it hands them on.
+BLOCK_ROWS = 1000
+
+
+def blocks(pages: DataFrame, key: str, html: str = "html", url: str | None = "url", fields: tuple[str, ...] = tuple(_FIELDS)) -> DataFrame:
+    """(key, pos, fields): one row per block of each page.
+
+    Pages come in batches of a few megabytes and blocks leave by BLOCK_ROWS, so that a worker's memory does not grow with
+    the pages of its task; fields that a caller does not name are not sent."""
+    bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from lectern.html.blocks import content_blocks
 
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=["k", "pos", *fields]).astype(object)
+            return out.where(out.notna(), None)
+
+        rows: list[tuple] = []
         for pdf in batches:
-            rows = []
             for k, text, at in zip(pdf["k"], pdf["html"], pdf["url"], strict=True):
-                rows += [{"k": k, "pos": i, **b} for i, b in enumerate(content_blocks(text, at) if text else [])]
-            out = pd.DataFrame(rows, columns=["k", "pos", *_FIELDS]).astype(object)
-            yield out.where(out.notna(), None)
+                for i, b in enumerate(content_blocks(text, at) if text else []):
+                    rows.append((k, i, *(b.get(f) for f in fields)))
+                    if len(rows) == BLOCK_ROWS:
+                        yield frame(rows)
+                        rows = []
+        yield frame(rows)
 
     source = pages.select(F.col(key).cast("long").alias("k"), F.col(html).alias("html"), (F.col(url) if url else F.lit(None).cast("string")).alias("url"))
-    return source.mapInPandas(run, f"k long, pos int, {BLOCK}").withColumnRenamed("k", key)
+    kinds = {f.name: f.dataType for f in T.StructType.fromDDL(BLOCK).fields}
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("pos", T.IntegerType()), *(T.StructField(f, kinds[f]) for f in fields)])
+    return source.mapInPandas(lean(run), schema).withColumnRenamed("k", key)

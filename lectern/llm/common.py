@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import ctypes
-import functools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern import shared
+from lectern.shared import bound_batches, give_back, lean  # noqa: F401
 
 #: Rows of a few numbers or words that are broadcast at most.
 SMALL_ROWS = 1_000_000
@@ -25,44 +23,6 @@ def materialize(df: DataFrame, name: str, blobs: bool = False) -> DataFrame:
     return shared.materialize(df, name, blobs)
 
 
-def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Arrow batches of a few megabytes in this session: Python workers keep the memory that their largest batch took."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key)
-    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > most:
-        spark.conf.set(key, f"{most}b")
-
-
-def give_back() -> None:
-    """Memory that was freed in this process goes back to the system, where its C library can do that."""
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
-def lean(run):
-    """A function over batches after each of which, and at its end, the worker gives back what it has freed: Python workers
-    live on from task to task, and several of them share an executor with its JVM."""
-
-    @functools.wraps(run)
-    def wrapped(batches):
-        def each():
-            for batch in batches:
-                yield batch
-                del batch
-                give_back()
-
-        try:
-            yield from run(each())
-        finally:
-            give_back()
-
-    return wrapped
-
-
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(modulus))

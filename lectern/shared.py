@@ -1,8 +1,10 @@
-"""Intermediate tables in the folder that the driver and all executors share, and numbering of rows."""
+"""Intermediate tables in the folder that the driver and all executors share, numbering of rows, memory of Python workers."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -60,3 +62,41 @@ def numbered(df: DataFrame, order: list) -> DataFrame:
     sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
     before = sizes.withColumn("_before", F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).select("_part", "_before")
     return rows.join(F.broadcast(before), "_part").withColumn("n", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before")
+
+
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches of a few megabytes in this session: Python workers keep the memory that their largest batch took."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > most:
+        spark.conf.set(key, f"{most}b")
+
+
+def give_back() -> None:
+    """Memory that was freed in this process goes back to the system, where its C library can do that."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """A function over batches after each of which, and at its end, the worker gives back what it has freed: Python workers
+    live on from task to task, and several of them share an executor with its JVM."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                give_back()
+
+        try:
+            yield from run(each())
+        finally:
+            give_back()
+
+    return wrapped

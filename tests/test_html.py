@@ -124,3 +124,22 @@ def test_page_title_cut_within_a_reference(spark, tmp_path):
 
     spark.createDataFrame([(1, "u", "<title>a &amp; des&amp</title>"), (2, "u", "<title>&lt;b&gt;</title>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r["page_id"]: r["title"] for r in page_title(Domain(spark, str(tmp_path))).collect()} == {1: "a & des&amp", 2: "<b>"}
+
+
+def test_blocks_leave_in_bounded_batches(spark, monkeypatch):
+    """Blocks of many pages, and of one page, leave by BLOCK_ROWS; only named fields are sent."""
+    from pyspark.sql import functions as F
+
+    from lectern.html import udfs
+
+    rows = [(1, "<p>a" * 2500, None), (2, None, None), (3, "<p>b<h2>c</h2>", None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, url string").coalesce(1)
+    sizes = []
+    real = udfs.lean
+    monkeypatch.setattr(udfs, "lean", lambda run: sizes.append(run) or real(run))
+    got = udfs.blocks(pages, "page_id", fields=("kind", "text"))
+    assert got.columns == ["page_id", "pos", "kind", "text"] and got.groupBy("page_id").agg(F.max("pos")).orderBy("page_id").collect() == [(1, 2499), (3, 1)]
+    held = [len(f) for f in sizes[0](iter([pages.withColumnRenamed("page_id", "k").toPandas()]))]
+    assert held == [1000, 1000, 502]
+    whole = udfs.blocks(pages, "page_id").select("page_id", "pos", "kind", "text")
+    assert sorted(map(str, whole.collect())) == sorted(map(str, got.collect()))
