@@ -52,7 +52,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents link at NEAR: five words a shingle and a similarity of 0.8 (op10's contract is stricter). Rows of one id
     with different texts are different documents, equal rows are one."""
     rows, odd = _nodes(docs)
-    classes = materialize(jaccard.similarity_join(rows.select(F.col("node").alias("doc_id"), "text"), **NEAR).select("doc_id", "component_id"), "classes")
+    classes = materialize(jaccard.similarity_join(rows.select(F.col("node").alias("doc_id"), "text"), **NEAR, counted=False).select("doc_id", "component_id"), "classes")
     gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
     if odd:
         # numbers beyond the ids say nothing of the ids' order

@@ -258,22 +258,48 @@ def stars(links: np.ndarray, same: bool) -> list[tuple[int, int]]:
     return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(len(label)))]
 
 
-def _open(row: dict, num: int, den: int) -> tuple[list, list]:
-    """Connecting edges and link counts of two groups that meet (or of one group)."""
+def _classes(group: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
+    """For each member the first member that it is connected with inside its group."""
+    n = len(group[1])
+    first = np.arange(n)
+    for i, j in stars(overlaps(group, group, num, den), True) if n > 1 else ():
+        first[i] = j
+    return first
+
+
+def _open(row: dict, num: int, den: int, counted: bool = True) -> tuple[list, list]:
+    """Connecting edges and link counts of two groups that meet (or of one group).
+
+    What one group connects is told by its own row: between two groups only their classes are connected, mostly by one
+    edge, so that the edges of a large cluster do not grow with the square of its members."""
     same = row["reps2"] is None
     a = _unpack(len(row["reps1"]), row["tokens1"], row["matrix1"])
     b = a if same else _unpack(len(row["reps2"]), row["tokens2"], row["matrix2"])
     links = overlaps(a, b, num, den)
     nodes = row["reps1"] + ([] if same else row["reps2"])
-    mult_a, mult_b = np.array(row["mults1"]), np.array(row["mults1" if same else "mults2"])
     if same:
         np.fill_diagonal(links, False)
-    counts = np.r_[links @ mult_b, [] if same else mult_a @ links].astype(np.int64)
-    return [(nodes[i], nodes[j]) for i, j in stars(links, same)], [(n, c) for n, c in zip(nodes, counts.tolist(), strict=True) if c]
-
-
-def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, members: int = 48, group_tokens: int = 1 << 16, max_bits: int = 1 << 27) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links for each row: documents link when den * intersection >= num * union."""
+        edges = stars(links, True)
+    elif links.any():
+        (ra, ca), (rb, cb) = (np.unique(_classes(g, num, den), return_inverse=True) for g in (a, b))
+        between = np.zeros((len(ra), len(rb)), bool)
+        i, j = np.nonzero(links)
+        between[ca[i], cb[j]] = True
+        at = np.r_[ra, len(row["reps1"]) + rb]
+        edges = [(at[x], at[y]) for x, y in stars(between, False)]
+    else:
+        edges = []
+    counts = np.zeros(0, np.int64)
+    if counted:
+        mult_a, mult_b = np.array(row["mults1"]), np.array(row["mults1" if same else "mults2"])
+        counts = np.r_[links @ mult_b, [] if same else mult_a @ links].astype(np.int64)
+    return [(nodes[i], nodes[j]) for i, j in edges], [(n, c) for n, c in zip(nodes, counts.tolist(), strict=counted) if c]
+
+
+def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, members: int = 48, group_tokens: int = 1 << 16, max_bits: int = 1 << 27, counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row: documents link when den * intersection >= num * union.
+
+    counted: whether links are counted; else n_links is left out, and every link still joins its documents' components."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(profiles(docs, sketch(docs, k), k, num, den), "profiles")
@@ -296,7 +322,7 @@ def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     def opened(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                edges, counts = _open(batch.slice(i, 1).to_pylist()[0], num, den)
+                edges, counts = _open(batch.slice(i, 1).to_pylist()[0], num, den, counted)
                 cols = ([a for a, _ in edges] + [n for n, _ in counts], [b for _, b in edges] + [None] * len(counts), [0] * len(edges) + [c for _, c in counts])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "links"])
 
@@ -307,4 +333,5 @@ def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     reps = reps.select(F.col("n").alias("rn"), F.col("s0").alias("r0"), F.col("s1").alias("r1"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"))
     ids = rows.select("doc_id", "n", "s0", "s1")
     out = ids.join(reps, (F.col("n") == F.col("rn")) & (F.col("s0") == F.col("r0")) & (F.col("s1") == F.col("r1")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    own = [F.coalesce("links", F.lit(0).cast("long")).alias("n_links")] if counted else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), *own)

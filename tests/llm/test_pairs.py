@@ -134,3 +134,19 @@ def test_group_matrix_round_trip():
     assert all((back[b.astype(bool)] == s).all() for b, s in zip(bits, sets, strict=True))
     links = jaccard.overlaps((back, bits), (back, bits), 30, 100)
     assert links.tolist() == [[100 * len(np.intersect1d(a, b)) >= 30 * len(np.union1d(a, b)) for b in sets] for a in sets]
+
+
+def test_groups_of_one_cluster_are_connected_by_few_edges(spark):
+    """Two groups of near copies: one edge connects them, counts of links are told only where they are asked for."""
+    rng = random.Random(4)
+    base = [rng.getrandbits(60) for _ in range(300)]
+    sets = [np.sort(np.array(base + [rng.getrandbits(60)], np.uint64)) for _ in range(40)]
+    row = {}
+    for n, own in ((1, range(20)), (2, range(20, 40))):
+        union, matrix = jaccard.token_matrix([sets[i] for i in own])
+        row |= {f"reps{n}": list(own), f"mults{n}": [1] * 20, f"tokens{n}": union.tobytes(), f"matrix{n}": matrix}
+    edges, counts = jaccard._open(row, 80, 100, True)
+    assert edges == [(20, 0)] and counts == [(i, 20) for i in range(40)]
+    assert jaccard._open(row, 80, 100, False) == ([(20, 0)], [])
+    alone = row | {f"{c}2": None for c in ("reps", "mults", "tokens", "matrix")}
+    assert sorted(jaccard._open(alone, 80, 100, False)[0]) == [(i, 0) for i in range(1, 20)]
