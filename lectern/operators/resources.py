@@ -11,6 +11,7 @@ from lectern.functions.scalars import rfc3339, snapshot_hash
 from lectern.functions.urls import canonical
 from lectern.operators.library import number
 from lectern.schema import CLIPPINGS_URL, TRANSITIONS, VOCABULARY, conform
+from lectern.shared import materialize
 
 
 def create(resources: DataFrame, new: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
@@ -219,6 +220,10 @@ def search_resources(resources: DataFrame, snapshots: DataFrame | None, query: s
     return rows.orderBy(*order).limit(limit).select("id", "url", "title", score.alias("score"), F.lit("multi_field").alias("matched_field"), evidence_snippet(F.col("hay"), query).alias("snippet"), "manual_rating", "updated_at")
 
 
+#: Queries that are sent to all tasks at most.
+FEW_QUERIES = 100_000
+
+
 def search_many(resources: DataFrame, snapshots: DataFrame | None, queries: DataFrame, limit: int) -> DataFrame:
     """(query, rank, id, url): what search_resources finds for each of many queries (column `query`), in one pass over the
     resources: all terms are sought at once, and a query's hits are the resources that hold all of its terms."""
@@ -229,10 +234,16 @@ def search_many(resources: DataFrame, snapshots: DataFrame | None, queries: Data
         rows = rows.withColumn("snapshot", F.lit(None).cast("string"))
     texts = rows.select(F.col("id").alias("doc_id"), F.lower(_haystack(F.col("snapshot"))).alias("text"))
     words = F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: F.length(w) > 0))
-    asked = queries.select("query").distinct().withColumn("terms", words).withColumn("wanted", F.size("terms"))
-    terms = asked.select("query", "wanted", F.explode("terms").alias("item_id"))
-    found = patterns.counts(texts, terms.select("item_id", F.col("item_id").alias("quote")).distinct())
-    hits = found.join(terms, "item_id").groupBy("query", "wanted", "doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n = wanted")
+    asked = queries.select("query").distinct().withColumn("terms", words)
+    terms = asked.select("query", F.explode("terms").alias("item_id"))
+    found = materialize(patterns.counts(texts, terms.select("item_id", F.col("item_id").alias("quote")).distinct()).select("doc_id", "item_id"), "found-terms")
+    # a query is compared with the resources that hold its rarest term, not with all that hold any
+    held = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("held"))
+    rarest = terms.join(held, "item_id", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("held"), "item_id"))["item_id"].alias("rarest"))
+    sought = materialize(asked.select("query", "terms").join(rarest, "query"), "sought")
+    sought = F.broadcast(sought) if sought.count() <= FEW_QUERIES else sought
+    has = found.groupBy("doc_id").agg(F.collect_set("item_id").alias("has"))
+    hits = has.withColumn("rarest", F.explode("has")).join(sought, "rarest").filter(F.size(F.array_except("terms", "has")) == 0).select("query", "doc_id")
     order = Window.partitionBy("query").orderBy(F.coalesce("manual_rating", F.lit(0)).desc(), F.desc("updated_at"), F.desc("id"))
     ranked = hits.join(rows.select(F.col("id").alias("doc_id"), "id", "url", "manual_rating", "updated_at"), "doc_id").withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= limit).select("query", "rank", "id", "url")

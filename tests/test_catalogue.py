@@ -423,3 +423,16 @@ def test_a_row_is_rejected_once_by_repeated_stored_addresses(spark):
     stored = table(spark, "resources", [{"id": i, "canonical_url": "https://a.b/"} for i in (1, 2, 3)])
     after, rejects = create(spark, stored, "https://a.b", "https://n.org")
     assert [(r["seq"], r["error"]) for r in rejects.collect()] == [(0, "duplicate")] and after.count() == 4
+
+
+def test_searches_start_from_their_rarest_term(spark, monkeypatch):
+    stored = table(spark, "resources", [{"id": i, "url": f"https://a.b/{i}", "title": f"guide {'x' if i % 4 else 'rare'}", "status": "active", "updated_at": i} for i in range(1, 13)])
+    seen, real = {}, resources.materialize
+    monkeypatch.setattr(resources, "materialize", lambda df, name: seen.setdefault(name, real(df, name)))
+    for few in (resources.FEW_QUERIES, 0):
+        seen.clear()
+        monkeypatch.setattr(resources, "FEW_QUERIES", few)
+        queries = spark.createDataFrame([("Guide rare",), ("guide x",), ("guide none",), (" ",)], "query string")
+        got = resources.search_many(stored, None, queries, 2).orderBy("query", "rank").collect()
+        assert [(r["query"], r["rank"], r["id"]) for r in got] == [("Guide rare", 1, 12), ("Guide rare", 2, 8), ("guide x", 1, 11), ("guide x", 2, 10)]
+        assert {r["query"]: r["rarest"] for r in seen["sought"].collect()} == {"Guide rare": "rare", "guide x": "x", "guide none": "none"}
