@@ -2,9 +2,11 @@
 
 A feed's articles are dealt to `slices` by their entry, so that a feed with a large part of all articles does not make one
 bucket of that size; feed and slice together give the bucket. A published state names the folder of each bucket. A merge
-reads the buckets that its batch touches, joins the batch to them (a small batch is broadcast, so stored rows are not
-shuffled), writes new versions of these buckets, and publishes a state in which they replace the old ones. Of two merges
-that began with the same state one fails and changes nothing; a merge that runs again changes nothing either.
+reads the buckets that its batch touches, joins its keys to theirs, writes new versions of these buckets, and publishes a
+state in which they replace the old ones. What the keys have in common is told to both sides as bits, one for each row of a
+file, so that only stored rows that the batch changes, and the entries that change them, are shuffled with their texts; all
+other rows go from where they were read into the new versions. Of two merges that began with the same state one fails and
+changes nothing; a merge that runs again changes nothing either.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.operators import feeds as ops
 from lectern.schema import TABLES, conform
@@ -20,6 +23,30 @@ from lectern.shared import materialize
 from lectern.tables import Pointers
 
 KEY = ["feed_id", "entry_id"]
+#: Rows of a file that one bitmap of Spark's covers.
+BLOCK = 32_768
+
+
+def placed(rows: DataFrame, files: bool = True) -> DataFrame:
+    """Rows of files with their places: file, block of rows in it, place in the block. Without files there are no rows."""
+    row = F.col("_metadata.row_index") if files else F.lit(0).cast("long")
+    return rows.withColumns({"_file": F.col("_metadata.file_path") if files else F.lit(""), "_block": F.floor(row / BLOCK), "_at": (row % BLOCK).cast("int")})
+
+
+def marked(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Placed rows with _hit, whether hits (_file, _block, _at) have their place, and _n, numbering from 1 those they lack.
+
+    Sent to all rows: a bit for each row up to a block's last hit, and a line for each block."""
+    bits = hits.groupBy("_file", "_block").agg(F.bitmap_construct_agg("_at").alias("bits"), F.max("_at").alias("last"))
+    bits = bits.select("_file", "_block", F.substring("bits", F.lit(1), F.floor(F.col("last") / 8).cast("int") + 1).alias("_bits"))
+    blocks = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("size")).join(bits, ["_file", "_block"], "left")
+    lacked = F.col("size") - F.coalesce(F.bitmap_count("_bits"), F.lit(0))
+    blocks = blocks.select("_file", "_block", "_bits", (F.sum(lacked).over(Window.orderBy("_file", "_block")) - lacked).alias("_before"))
+    byte = F.floor(F.col("_at") / 8).cast("int")
+    own = F.coalesce(F.conv(F.hex(F.substring("_bits", byte + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0))
+    earlier = F.coalesce(F.bitmap_count(F.substring("_bits", F.lit(1), byte)), F.lit(0)) + F.bit_count(own.bitwiseAND(F.expr("shiftleft(1, _at % 8) - 1")))
+    out = rows.join(F.broadcast(blocks), ["_file", "_block"]).withColumns({"_hit": own.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) != 0, "_n": F.col("_before") + F.col("_at") - earlier + 1})
+    return out.drop("_file", "_block", "_at", "_bits", "_before")
 
 
 class ArticleStore(Pointers):
@@ -74,10 +101,16 @@ class ArticleStore(Pointers):
         return counts
 
     def _merged(self, state: dict, batch: DataFrame, buckets: list[int], now: int) -> DataFrame:
-        old = self._read(state, buckets)
-        # the batch's known keys come from a join that sends the batch to the stored rows, not the other way round
-        known = materialize(old.join(batch.select(*KEY), KEY, "left_semi").select(*KEY), "known-entries")
-        return ops.ingest(old, batch, now, batch.join(known, KEY, "left_anti"), state.get("top", 0))
+        files = any(int(b) in buckets for b in state.get("buckets", {}))
+        stored, fetched = placed(self._read(state, buckets), files), placed(batch)
+        place = lambda df, side: df.select(*KEY, F.struct("_file", "_block", "_at").alias(side))
+        known = materialize(place(stored, "stored").join(place(fetched, "fetched"), KEY).select("stored", "fetched"), "known-entries")
+        old, entries = marked(stored, known.select("stored.*")), marked(fetched, known.select("fetched.*"))
+        changes = materialize(entries.filter("_hit").select(*batch.columns), "changes")
+        same = old.filter(~F.col("_hit")).select(*TABLES["articles"].names)
+        changed = ops.refreshed(old.filter("_hit").select(*TABLES["articles"].names), changes, "inner")
+        new = entries.filter(~F.col("_hit")).withColumn("id", F.lit(state.get("top", 0)).cast("long") + F.col("_n"))
+        return same.unionByName(changed).unionByName(ops.created(new, now))
 
     def compact(self) -> None:
         """Each bucket in one file; versions that no state names go."""

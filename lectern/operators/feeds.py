@@ -63,27 +63,37 @@ def fold_batch(entries: DataFrame) -> DataFrame:
     out = entries.groupBy("feed_id", "entry_id").agg(
         *(_last(c, F.col(c).isNotNull()).alias(c) for c in ("url", "title", "author", "published")),
         _last("content", F.length("content") > 0).alias("full"),
-        F.min(F.struct("seq", "content"))["content"].alias("first"),
+        # where no content is filled, the first one tells null from empty; a filled one is not sent a second time
+        F.min(F.struct("seq", F.when(F.length("content") == 0, F.col("content")).alias("content")))["content"].alias("first"),
     )
     return out.withColumn("content", F.coalesce("full", "first")).drop("full", "first")
 
 
-def ingest(articles: DataFrame, entries: DataFrame, now: int, new: DataFrame | None = None, top: int | None = None) -> DataFrame:
+def ingest(articles: DataFrame, entries: DataFrame, now: int) -> DataFrame:
     """Articles after a batch (feed_id, seq, entry_id, url, title, author, published, content).
 
     New keys are inserted; of known ones filled fields are refreshed, an empty content never replaces one, and the
-    reader's flags and fetched_at stay. new: the rows to insert, and top: the highest id so far, where both are known.
+    reader's flags and fetched_at stay.
     """
-    batch = fold_batch(entries).select(F.col("feed_id").alias("b_feed"), F.col("entry_id").alias("b_entry"), *(F.col(c).alias(f"b_{c}") for c in ("url", "title", "author", "published", "content")))
-    known = articles.join(batch, (F.col("feed_id") == F.col("b_feed")) & (F.col("entry_id") == F.col("b_entry")), "left")
+    known = refreshed(articles, fold_batch(entries), "left")
+    new = number(inserted(articles, entries), ["feed_id", "entry_id"])
+    highest = F.broadcast(articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))
+    new = new.crossJoin(highest).withColumn("id", F.col("top") + F.col("n"))
+    return known.unionByName(created(new, now))
+
+
+def refreshed(articles: DataFrame, batch: DataFrame, how: str) -> DataFrame:
+    """Articles joined with a folded batch: filled fields of the batch replace theirs."""
+    batch = batch.select(F.col("feed_id").alias("b_feed"), F.col("entry_id").alias("b_entry"), *(F.col(c).alias(f"b_{c}") for c in ("url", "title", "author", "published", "content")))
+    known = articles.join(batch, (F.col("feed_id") == F.col("b_feed")) & (F.col("entry_id") == F.col("b_entry")), how)
     fields = {c: F.coalesce(F.col(f"b_{c}"), F.col(c)) for c in ("url", "title", "author", "published")}
     fields["content"] = F.when(F.length("b_content") > 0, F.col("b_content")).otherwise(F.col("content"))
-    known = known.withColumns(fields).select(*articles.columns)
-    new = number(inserted(articles, entries) if new is None else new, ["feed_id", "entry_id"])
-    highest = F.broadcast(articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))
-    new = new.crossJoin(highest) if top is None else new.withColumn("top", F.lit(top).cast("long"))
-    new = new.withColumn("id", F.col("top") + F.col("n")).withColumn("fetched_at", F.lit(now).cast("long"))
-    return known.unionByName(conform(new, "articles"))
+    return known.withColumns(fields).select(*articles.columns)
+
+
+def created(new: DataFrame, now: int) -> DataFrame:
+    """New articles of a folded batch whose rows have their ids."""
+    return conform(new.withColumn("fetched_at", F.lit(now).cast("long")), "articles")
 
 
 def inserted(articles: DataFrame, entries: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
 """The bucketed store of articles: merges as the plain one does, touches no other bucket, shuffles no stored row."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import bucketed
 from lectern.bucketed import ArticleStore
 from lectern.operators import feeds as ops
 from lectern.schema import TABLES, conform
@@ -68,6 +71,43 @@ def test_stored_rows_are_not_shuffled(spark, tmp_path):
     assert "BroadcastHashJoin" in stored and "SortMergeJoin" not in plan
 
 
+def test_texts_of_other_rows_stay_where_they_are(spark, tmp_path):
+    """Where nothing is small enough to be broadcast by its size, no whole side is joined by its key, and no text is sorted for its number."""
+    store = ArticleStore(spark, f"file://{tmp_path}/a", 8, 4)
+    store.load(articles(spark))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(1, "e0", "new", "c"), *((5, f"n{i}", "t", "c") for i in range(20))]
+        batch = materialize(ops.fold_batch(entries(spark, rows)).withColumn("seq", F.lit(0)), "batch")
+        _, state = store.state()
+        merged = store._merged(state, batch, store.touched(batch), 9)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in line for line in plan.split("\n") if "SortMergeJoin [feed_id" in line for x in ("LeftOuter", "LeftAnti")) and "rangepartitioning" not in plan
+        found = {r["entry_id"]: r for r in merged.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (found["e0"]["title"], found["e0"]["id"], found["e0"]["starred"]) == ("new", 1, True) and {r["title"] for e, r in found.items() if e[0] == "e" and e != "e0"} == {"old"}
+    assert sorted(found[f"n{i}"]["id"] for i in range(20)) == list(range(201, 221))
+
+
+def test_marks_by_place(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bucketed, "BLOCK", 16)
+    rng = random.Random(3)
+    for share in (0.0, 0.3, 1.0):
+        path = f"{tmp_path}/rows-{share}"
+        spark.range(150).repartition(3).write.parquet(path)
+        rows = bucketed.placed(spark.read.parquet(path))
+        chosen = [i for i in range(150) if rng.random() < share]
+        got = bucketed.marked(rows, rows.filter(F.col("id").isin(chosen)).select("_file", "_block", "_at")).collect()
+        assert sorted(r["id"] for r in got if r["_hit"]) == chosen and len(got) == 150
+        assert sorted(r["_n"] for r in got if not r["_hit"]) == list(range(1, 151 - len(chosen)))
+
+
+def test_an_empty_content_is_told_from_none(spark):
+    rows = [(1, "a", "t", None), (1, "a", "t", ""), (1, "b", "t", ""), (1, "b", "t", None), (1, "c", "t", ""), (1, "c", "t", "x"), (1, "c", "t", None), (1, "d", "t", "y"), (1, "d", "t", "z")]
+    assert {r["entry_id"]: r["content"] for r in ops.fold_batch(entries(spark, rows)).collect()} == {"a": None, "b": "", "c": "x", "d": "z"}
+
+
 def test_of_two_merges_one_fails(spark, tmp_path):
     one, other = (ArticleStore(spark, f"file://{tmp_path}/a", 8, 2) for _ in range(2))
     one.load(articles(spark, 20))
