@@ -6,12 +6,14 @@
 3. A prefix of each set in one global token order (rarest first by a count sketch over all documents) is posted for its
    group; two groups meet only if they share a posted token and their sizes and places allow a link (prefix and position
    filter, which lose no link).
-4. For groups that meet, a set is compared with a group's members only if its overlap with the group's union allows a
+4. Groups that meet are dealt to cells of bounded size, groups that meet the same ones to the same cell; each set goes once to
+   each cell of its group. There a set is compared with a group's members only if its overlap with the group's union allows a
    link, and members are then compared exactly.
 
 Scale: texts are never shuffled whole; sets of groups that meet nobody never move. The sketch (`SKETCH` counters) and the
 Bloom filter (`max_bits`) have fixed sizes; both only save work, every result is exact. Copies collapse in a two-phase
-aggregate; near copies meet as blocks of groups, so their pairs are counted inside blocks and never emitted.
+aggregate; near copies meet as blocks of groups, so their pairs are counted inside cells and never emitted: a cell gives an
+edge and a count for each of its documents at most.
 Defined results: null and empty texts have no shingles and link with nothing; a null id has n_shingles but no component
 and no links; rows that share an id are one node; repeated rows and ties give the same class; other columns are ignored.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import textcore as tc
-from lectern.llm.common import SMALL_ROWS, bound_batches, lean, materialize, slices, small
+from lectern.llm.common import SMALL_ROWS, bound_batches, give_back, lean, materialize, slices, small
 from lectern.llm.graph import components
 
 SLICE = 1 << 20
@@ -32,6 +34,8 @@ SKETCH = 1 << 20
 _CHUNKS = 16
 #: Groups of at most so many members are compared by their members' parity bits before any token moves.
 FEW = 8
+#: Bytes of tokens that a cell of groups is meant to hold.
+ROOM = 1 << 22
 _SALT = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -152,10 +156,28 @@ def meetings(sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.union(own)
 
 
-def contents(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, max_bits: int) -> DataFrame:
-    """Groups in pairs: members, their tokens and multiplicities, and the union of tokens."""
-    used = pairs.select(F.col("g1").alias("gid")).union(pairs.select(F.col("g2").alias("gid"))).distinct()
-    wanted = materialize(sets.join(used, "gid", "left_semi").select("gid", "rep", "mult", "s0"), "wanted")
+def cells(sets: DataFrame, pairs: DataFrame, room: int) -> DataFrame:
+    """(cell, g1, g2): pairs of groups in cells that hold about `room` bytes of tokens, or twice that.
+
+    A pair belongs to the smallest group that one of its two meets, so that a cluster's pairs mostly lie together. What
+    belongs to one group and is larger than a cell is dealt in slots, a cell for each two slots; what is smaller shares one."""
+    ends = pairs.union(pairs.select("g2", "g1")).groupBy("g1").agg(F.least("g1", F.min("g2")).alias("low"))
+    low = lambda i: ends.select(F.col("g1").alias(f"g{i}"), F.col("low").alias(f"low{i}"))
+    keyed = materialize(pairs.join(low(1), "g1").join(low(2), "g2").select("g1", "g2", F.least("low1", "low2").alias("key")), "keyed")
+    held = keyed.select("key", F.col("g1").alias("gid")).union(keyed.select("key", F.col("g2").alias("gid"))).distinct()
+    keys = held.join(sets.groupBy("gid").agg((F.sum("n") * 8).alias("bytes")), "gid").groupBy("key").agg(F.sum("bytes").alias("bytes"))
+    keys = materialize(keys.select("key", "bytes", F.ceil(F.col("bytes") / room).alias("slots")), "keys")
+    shared = keys.filter("slots <= 1").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()["bytes"]
+    slot = lambda g: F.pmod(F.xxhash64(g), "slots")
+    apart = F.xxhash64("key", F.least(slot("g1"), slot("g2")), F.greatest(slot("g1"), slot("g2")))
+    cell = F.when(F.col("slots") <= 1, F.pmod(F.xxhash64("key"), F.lit(shared // room + 1))).otherwise(apart)
+    return keyed.join(keys, "key").select(cell.alias("cell"), "g1", "g2")
+
+
+def contents(docs: DataFrame, sets: DataFrame, dealt: DataFrame, k: int, max_bits: int) -> DataFrame:
+    """(cell, gid, rep, mult, tokens): the members of the groups of each cell."""
+    used = dealt.select("cell", F.col("g1").alias("gid")).union(dealt.select("cell", F.col("g2").alias("gid"))).distinct()
+    wanted = materialize(sets.select("gid", "rep", "mult", "s0").join(used, "gid"), "wanted")
     bits = 1 << 16
     count = wanted.count()
     while bits < min(max_bits, 16 * count):
@@ -186,19 +208,7 @@ def contents(docs: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, max_bit
     sets_ = docs.mapInArrow(lean(tokens), "doc_id bigint, h0 bigint, tokens binary")
     few = F.broadcast(wanted) if count <= SMALL_ROWS else wanted
     full = sets_.join(few, (F.col("doc_id") == F.col("rep")) & (F.col("h0") == F.col("s0")))
-    listed = full.groupBy("gid").agg(F.collect_list(F.struct("rep", "mult", "tokens")).alias("m"))
-
-    def unite(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                own = sorted({(x["rep"], x["tokens"]): x for x in row["m"]}.values(), key=lambda x: (x["rep"], x["tokens"]))
-                union, matrix = token_matrix([np.frombuffer(x["tokens"], np.uint64) for x in own])
-                values = [[row["gid"]], [[x["rep"] for x in own]], [[x["mult"] for x in own]], [union.tobytes()], [matrix]]
-                kinds = [pa.int64(), *[pa.list_(pa.int64())] * 2, pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=["gid", "reps", "mults", "tokens", "matrix"])
-
-    return listed.mapInArrow(lean(unite), "gid bigint, reps array<bigint>, mults array<bigint>, tokens binary, matrix binary")
+    return full.select("cell", "gid", "rep", "mult", "tokens")
 
 
 def token_matrix(sets: list[np.ndarray]) -> tuple[np.ndarray, bytes]:
@@ -296,7 +306,42 @@ def _open(row: dict, num: int, den: int, counted: bool = True) -> tuple[list, li
     return [(nodes[i], nodes[j]) for i, j in edges], [(n, c) for n, c in zip(nodes, counts.tolist(), strict=counted) if c]
 
 
-def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, members: int = 48, group_tokens: int = 1 << 16, max_bits: int = 1 << 27, counted: bool = True) -> DataFrame:
+def _compare(members: pa.Table, pairs: pa.Table, num: int, den: int, counted: bool) -> pa.Table:
+    """Connecting edges and link counts of a cell: at most one of each for a document."""
+    found: dict[int, dict] = {}
+    for gid, rep, mult, tokens in zip(*(members.column(c).to_pylist() for c in ("gid", "rep", "mult", "tokens")), strict=True):
+        found.setdefault(gid, {})[rep, tokens] = mult
+    groups = {}
+    for gid, own in found.items():
+        order = sorted(own)
+        union, matrix = token_matrix([np.frombuffer(tokens, np.uint64) for _, tokens in order])
+        groups[gid] = {"reps": [rep for rep, _ in order], "mults": [own[x] for x in order], "tokens": union.tobytes(), "matrix": matrix}
+    parent: dict[int, int] = {}
+    totals: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for g1, g2 in zip(pairs.column("g1").to_pylist(), pairs.column("g2").to_pylist(), strict=True):
+        if g1 not in groups or g2 not in groups:
+            continue
+        second = dict.fromkeys(groups[g2]) if g1 == g2 else groups[g2]
+        edges, counts = _open({f"{c}1": v for c, v in groups[g1].items()} | {f"{c}2": v for c, v in second.items()}, num, den, counted)
+        for x, y in edges:
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+        for node, n in counts:
+            totals[node] = totals.get(node, 0) + n
+    edges = [(x, root(x)) for x in parent if root(x) != x]
+    cols = ([x for x, _ in edges] + list(totals), [y for _, y in edges] + [None] * len(totals), [0] * len(edges) + list(totals.values()))
+    give_back()
+    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "links"])
+
+
+def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, members: int = 48, group_tokens: int = 1 << 16, max_bits: int = 1 << 27, counted: bool = True, room: int = ROOM) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links for each row: documents link when den * intersection >= num * union.
 
     counted: whether links are counted; else n_links is left out, and every link still joins its documents' components."""
@@ -305,28 +350,19 @@ def similarity_join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     rows = materialize(profiles(docs, sketch(docs, k), k, num, den), "profiles")
     real = rows.filter("n > 0 and doc_id is not null")
     first = lambda c: F.first(c).alias(c)
-    sets = real.groupBy("n", "s0", "s1").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("mult"), *map(first, ("m0", "m1", "prefix", "bits")))
+    same = ["n", "s0", "s1"]
+    # distinct ids are counted apart: in one aggregate they would send prefixes and bits twice
+    copies = real.select(*same, "doc_id").distinct().groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("mult"))
+    sets = real.groupBy(*same).agg(*map(first, ("m0", "m1", "prefix", "bits"))).join(copies, same)
     sets = materialize(_groups(sets, members, group_tokens), "sets")
     pairs = materialize(meetings(sets, num, den), "meetings")
-    groups = materialize(contents(docs, sets, pairs, k, max_bits), "groups", blobs=True)
-    side = lambda i: groups.select(F.col("gid").alias(f"g{i}"), *(F.col(c).alias(f"{c}{i}") for c in ("reps", "mults", "tokens", "matrix")))
-    # of two groups the one that takes less room goes to the other
-    weight = groups.select(F.col("gid").alias("w"), (F.octet_length("tokens") + F.octet_length("matrix")).alias("room"))
-    both = pairs.filter("g1 <> g2").join(weight.select(F.col("w").alias("g1"), F.col("room").alias("r1")), "g1").join(weight.select(F.col("w").alias("g2"), F.col("room").alias("r2")), "g2")
-    light = F.col("r1") <= F.col("r2")
-    both = both.select(F.when(light, F.col("g1")).otherwise(F.col("g2")).alias("g1"), F.when(light, F.col("g2")).otherwise(F.col("g1")).alias("g2"))
-    two = both.join(side(1), "g1").join(side(2), "g2").drop("g1", "g2")
-    one = pairs.filter("g1 = g2").select("g1").join(side(1), "g1").drop("g1")
-    one = one.withColumns({c: F.lit(None).cast(t) for c, t in side(2).dtypes if c != "g2"})
-
-    def opened(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                edges, counts = _open(batch.slice(i, 1).to_pylist()[0], num, den, counted)
-                cols = ([a for a, _ in edges] + [n for n, _ in counts], [b for _, b in edges] + [None] * len(counts), [0] * len(edges) + [c for _, c in counts])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "links"])
+    dealt = materialize(cells(sets, pairs, room), "cells")
+
+    def opened(held: pa.Table, met: pa.Table) -> pa.Table:
+        return _compare(held, met, num, den, counted)
 
-    found = materialize(two.unionByName(one).mapInArrow(lean(opened), "a bigint, b bigint, links bigint"), "links")
+    held = contents(docs, sets, dealt, k, max_bits)
+    found = materialize(held.groupBy("cell").cogroup(dealt.groupBy("cell")).applyInArrow(opened, "a bigint, b bigint, links bigint"), "links")
     classes = components(found.filter("b is not null").select("a", "b"))
     links = found.filter("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     reps = sets.select("n", "s0", "s1", "rep", "mult").join(classes, F.col("rep") == F.col("node"), "left").join(links, F.col("rep") == F.col("a"), "left")

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SPACE, classes, documents, low, texts
 
@@ -150,3 +151,39 @@ def test_groups_of_one_cluster_are_connected_by_few_edges(spark):
     assert jaccard._open(row, 80, 100, False) == ([(20, 0)], [])
     alone = row | {f"{c}2": None for c in ("reps", "mults", "tokens", "matrix")}
     assert sorted(jaccard._open(alone, 80, 100, False)[0]) == [(i, 0) for i in range(1, 20)]
+
+
+def cluster(n, size=300, seed=4):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(60) for _ in range(size)]
+    return [np.sort(np.array(base + [rng.getrandbits(60)], np.uint64)) for _ in range(n)]
+
+
+def test_a_cell_gives_one_row_of_each_kind_for_a_document():
+    """Forty near copies in groups of four: 45 meetings, 39 edges and 40 counts."""
+    sets = cluster(40)
+    members = pa.table({"gid": [i // 4 for i in range(40)], "rep": list(range(40)), "mult": [1] * 40, "tokens": [s.tobytes() for s in sets]})
+    met = [(a, b) for a in range(10) for b in range(a, 10)]
+    pairs = pa.table({"g1": [a for a, _ in met], "g2": [b for _, b in met]})
+    rows = jaccard._compare(members, pairs, 80, 100, True).to_pylist()
+    assert sorted((r["a"], r["b"]) for r in rows if r["b"] is not None) == [(i, 0) for i in range(1, 40)]
+    assert sorted((r["a"], r["links"]) for r in rows if r["b"] is None) == [(i, 39) for i in range(40)]
+
+
+def test_a_group_goes_once_to_the_cell_of_its_cluster(spark):
+    """A cluster of 30 groups that all meet is one cell while it fits; beyond that a group goes to as many as there are slots."""
+    sets = spark.range(60).select((F.col("id") % 30).alias("gid"), F.lit(100).cast("long").alias("n"))
+    pairs = spark.range(30).select(F.col("id").alias("g1")).crossJoin(spark.range(30).select(F.col("id").alias("g2"))).filter("g1 <= g2")
+    for room, most in ((1 << 20, 1), (60 * 800 // 4, 4)):
+        dealt = jaccard.cells(sets, pairs, room).collect()
+        assert sorted((r["g1"], r["g2"]) for r in dealt) == sorted((a, b) for a in range(30) for b in range(a, 30))
+        sent = {(r["cell"], g) for r in dealt for g in (r["g1"], r["g2"])}
+        assert len(sent) <= 30 * most
+
+
+@pytest.mark.parametrize("room", [1 << 10, 1 << 16])
+def test_small_cells_give_the_same(spark, room):
+    found = texts(120, seed=5)
+    rows = list(enumerate(found)) + [(500 + i, f"{found[20]} w{i}") for i in range(12)]
+    got = {tuple(r) for r in jaccard.similarity_join(documents(spark, rows), num=60, members=2, room=room).collect()}
+    assert got == {tuple(r) for r in jaccard.similarity_join(documents(spark, rows), num=60, members=48).collect()}
