@@ -31,18 +31,27 @@ def index_rows(articles: DataFrame, feeds: DataFrame, selections: DataFrame, art
 
     kind: 0 article, 1 clipping, 2 favourite passage, 3 comment. An article's body holds its tags.
     """
+    return article_rows(articles, feeds, article_tags, tags).unionByName(passage_rows(articles, selections))
+
+
+def article_rows(articles: DataFrame, feeds: DataFrame, article_tags: DataFrame, tags: DataFrame) -> DataFrame:
+    """The index rows of articles and clippings: their texts are dealt once, by id, to their tags."""
     names = article_tags.join(tags.select(F.col("id").alias("tag_id"), "name"), "tag_id").groupBy("article_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.lower("name").alias("k"), "name"))), lambda x: x["name"]), " ").alias("tags"))
     # feeds are few, an id and a mark each: they go to the articles, as a join by feed would send all texts of one to one task
     kinds = feeds.select(F.col("id").alias("f_id"), (F.col("url") == CLIPPINGS_URL).cast("int").alias("kind"))
     rows = articles.join(F.broadcast(kinds), F.col("feed_id") == F.col("f_id"))
     shown = F.trim(F.concat(F.coalesce("title", F.lit("")), F.when(F.col("title").isNotNull() & F.col("content").isNotNull(), "\n").otherwise(""), F.coalesce("content", F.lit("")), F.when(F.col("url").isNotNull(), F.concat(F.lit("\n"), "url")).otherwise("")))
     full = rows.join(names, F.col("id") == names["article_id"], "left")
-    own = full.select("kind", F.col("id").alias("source_id"), F.col("id").alias("article_id"), "feed_id", "title", F.trim(_join("title", "author", "content", "url", "tags")).alias("body"), shown.alias("snippet"), F.coalesce("published", "fetched_at").alias("timestamp"), "archived")
+    return full.select("kind", F.col("id").alias("source_id"), F.col("id").alias("article_id"), "feed_id", "title", F.trim(_join("title", "author", "content", "url", "tags")).alias("body"), shown.alias("snippet"), F.coalesce("published", "fetched_at").alias("timestamp"), "archived")
+
+
+def passage_rows(articles: DataFrame, selections: DataFrame) -> DataFrame:
+    """The index rows of favourite passages and comments, with what they show of their articles."""
     parent = articles.select(F.col("id").alias("article_id"), "feed_id", "title", "archived")
     passages = selections.join(parent, "article_id")
     part = lambda kind, text, keep: passages.filter(keep).select(F.lit(kind).alias("kind"), F.col("id").alias("source_id"), "article_id", "feed_id", "title", F.col(text).alias("body"), F.col(text).alias("snippet"), F.col("updated_at").alias("timestamp"), "archived")
     noted = F.col("comment").isNotNull() & (F.length(F.trim("comment")) > 0)
-    return own.unionByName(part(2, "selected_text", F.col("is_favorite"))).unionByName(part(3, "comment", noted))
+    return part(2, "selected_text", F.col("is_favorite")).unionByName(part(3, "comment", noted))
 
 
 def is_ranked(query: str) -> bool:

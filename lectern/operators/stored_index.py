@@ -4,8 +4,8 @@ Layout. Index rows are cut into blocks of at most BLOCK_ROWS rows and BLOCK_CHAR
 which of the block's rows have it, how often, their sizes and where it stands in them (`entries`: gaps and counts of seven bits a byte,
 so that what is shuffled and stored is a small multiple of the texts), and what bounds them: the largest frequency and the
 smallest size. The files lie in folders by `bucket`, a hash of the trigram, sorted by trigram; bucket -1 holds the
-blocks' own rows (`docs`). Buckets are rebalanced to tasks of bounded size: a large one is written by several, as several files.
-A search reads its trigrams' buckets and nothing else.
+blocks' own rows (`docs`). Postings of few rows are rebalanced to tasks of bounded size by bucket, a large bucket to several;
+those of many are written by the task that cut them, a file for each bucket. A search reads its trigrams' buckets and nothing else.
 
 Changes. `update` writes one more segment with the rows of the touched keys, and which places of older segments died by it; a
 segment is never rewritten. `compact` writes all live rows as one segment. A pointer file under the next number names the
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.operators.search import K1, LEAST_IDF, B
+from lectern.shared import frees_shuffles
 from lectern.tables import Pointers
 
 BLOCK_ROWS = 512
@@ -295,30 +296,39 @@ class StoredIndex:
         """Rows, how many of them have a size, and the sum of these."""
         return rows.agg(F.count(F.lit(1)).alias("rows"), F.count("size").alias("sized"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first().asDict()
 
-    def _write(self, rows: DataFrame) -> tuple[str, dict[str, int]]:
+    def _write(self, rows: DataFrame, in_place: bool) -> tuple[str, dict[str, int]]:
         """A segment of rows: its folder and its totals."""
         path = f"segment-{uuid.uuid4().hex}"
         keyed = postings(rows, self.block_rows).withColumn("bucket", self._bucket())
         # a frequent trigram has a row for each block: adaptive execution deals a bucket of many rows to several tasks
-        keyed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "trigram", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{path}")
+        keyed = keyed if in_place else keyed.hint("rebalance", "bucket")
+        with frees_shuffles(self.spark):
+            keyed.sortWithinPartitions("bucket", "trigram", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{path}")
         docs = self.spark.read.schema(f"{POSTING}, bucket int").parquet(f"{self.root}/{path}").filter("bucket = -1").select(F.inline("docs"))
         return path, self._totals(docs)
 
-    def build(self, rows: DataFrame) -> None:
-        """The index of these rows and no others, as one segment."""
+    def build(self, rows: DataFrame, in_place: bool = False) -> None:
+        """The index of these rows and no others, as one segment.
+
+        in_place: postings, several times as large as the texts, are sorted and written by the task that cuts them and cross
+        no shuffle. That is a file for each task and bucket: for many rows, in partitions of the size that a join leaves.
+        Otherwise they are gathered by bucket in as few files as can be."""
         number, _ = self.pointers.state()
-        path, own = self._write(rows)
+        path, own = self._write(rows, in_place)
         self.pointers.publish(number, {"segments": [path], "dead": []} | own)
 
-    def update(self, keys: DataFrame, rows: DataFrame) -> None:
-        """Replaces the rows of the touched keys (kind, source_id): rows holds what they are now, keys without a row are gone."""
+    def update(self, keys: DataFrame, rows: DataFrame, narrowed: bool = False, in_place: bool = False) -> None:
+        """Replaces the rows of the touched keys (kind, source_id): rows holds what they are now, keys without a row are gone.
+
+        narrowed: rows holds no others, so their texts need not meet the keys; in_place as for `build`."""
         number, now = self.pointers.state()
         if not now:
             raise ValueError("the index has not been built")
         keys = keys.select(F.col("kind").cast("int").alias("kind"), F.col("source_id").cast("long").alias("source_id")).distinct()
-        path, own = self._write(rows.join(keys, ["kind", "source_id"], "left_semi"))
+        path, own = self._write(rows if narrowed else rows.join(keys, ["kind", "source_id"], "left_semi"), in_place)
         gone = f"dead-{uuid.uuid4().hex}"
-        self._places(now).join(keys, ["kind", "source_id"], "left_semi").select("segment", "block", "ord", "size").write.parquet(f"{self.root}/{gone}")
+        with frees_shuffles(self.spark):
+            self._places(now).select("segment", "block", "ord", "size", "kind", "source_id").join(keys, ["kind", "source_id"], "left_semi").select("segment", "block", "ord", "size").write.parquet(f"{self.root}/{gone}")
         lost = self._totals(self.spark.read.parquet(f"{self.root}/{gone}"))
         self.pointers.publish(number, {"segments": [*now["segments"], path], "dead": [*now["dead"], gone]} | {k: now[k] + own[k] - lost[k] for k in own})
 
@@ -347,7 +357,8 @@ class StoredIndex:
             return self.spark.createDataFrame([], "segment int, block bigint, dead array<bigint>")
         rows = self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in now["dead"]))
         marks = F.expr(f"transform(sequence(0L, array_max(own) div {MARKS}), w -> aggregate(filter(own, o -> o div {MARKS} = w), 0L, (s, o) -> s | shiftleft(1L, o % {MARKS})))")
-        return rows.groupBy("segment", "block").agg(F.collect_set("ord").alias("own")).select("segment", "block", marks.alias("dead"))
+        # a row of a few numbers for each block of up to BLOCK_ROWS rows: sent to the postings, which would else be dealt by block
+        return F.broadcast(rows.groupBy("segment", "block").agg(F.collect_set("ord").alias("own")).select("segment", "block", marks.alias("dead")))
 
     def _places(self, now: dict) -> DataFrame:
         """Live rows of the index with their places."""

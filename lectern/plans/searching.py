@@ -77,7 +77,8 @@ def search_multi_query(d: Domain) -> DataFrame:
 
 def _stored(d: Domain, rows: DataFrame) -> stored_index.StoredIndex:
     index = stored_index.StoredIndex(d.spark, f"{shared_root(d.spark)}/index-{uuid.uuid4().hex[:12]}")
-    index.build(rows)
+    # texts are dealt once, by id to their tags; postings stay where that leaves them
+    index.build(rows, in_place=True)
     return index
 
 
@@ -103,9 +104,12 @@ def stored_index_after_changes(d: Domain) -> DataFrame:
     old = articles.filter(i % 6 != 0).withColumn("content", F.when(i % 5 == 0, F.concat(F.lit("Draft. "), F.reverse("content"))).otherwise(F.col("content"))).unionByName(gone)
     noted = selections.withColumn("comment", F.when(i % 3 == 0, F.lit("to be written")).otherwise(F.col("comment")))
     index = _stored(d, search.index_rows(old, feeds, noted, links.filter("article_id % 7 <> 0"), tags))
-    ids = articles.filter((i % 6 == 0) | (i % 5 == 0) | (i % 7 == 0)).select("id").unionByName(gone.select("id"))
+    changed = articles.filter((i % 6 == 0) | (i % 5 == 0) | (i % 7 == 0))
+    ids = changed.select("id").unionByName(gone.select("id"))
     keys = stored_index.touched(articles, selections, links, article_ids=ids, selection_ids=selections.filter(i % 3 == 0).select("id"))
-    index.update(keys, _rows(d))
+    # only changed articles' texts are dealt to their tags
+    passages = search.passage_rows(articles, selections).join(keys, ["kind", "source_id"], "left_semi")
+    index.update(keys, search.article_rows(changed, feeds, links, tags).unionByName(passages), narrowed=True, in_place=True)
     return index.trigram_counts()
 
 

@@ -7,6 +7,8 @@ import ctypes
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,18 @@ def materialize(df: DataFrame, name: str, blobs: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def frees_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write in here go when it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    now = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, now)
+
+
 def numbered(df: DataFrame, order: list) -> DataFrame:
     """df with n = 0, 1, ... in the given order, without gathering rows in one task.
 

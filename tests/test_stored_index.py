@@ -142,3 +142,48 @@ def test_texts_are_not_dealt_by_feed(spark):
         assert got.count() == 1 and "hashpartitioning(feed_id" not in plan and "BroadcastHashJoin [feed_id" in plan
     finally:
         spark.conf.set(key, old)
+
+
+def test_postings_cross_no_shuffle(spark, tmp_path):
+    """Each file holds the blocks of the task that cut them; the join with dead rows sends no postings either."""
+    df = rows(spark)
+    key, freed = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old, kept = spark.conf.get(key), spark.conf.get(freed)
+    spark.conf.set(key, -1)
+    try:
+        index, again = (StoredIndex(spark, f"file://{tmp_path}/{n}", 8, 7) for n in ("i", "again"))
+        index.build(df.repartition(3), in_place=True)
+        again.build(df)
+        changed = df.filter("source_id % 3 = 0").withColumn("body", F.reverse("body"))
+        index.update(changed.select("kind", "source_id"), changed.repartition(2), narrowed=True, in_place=True)
+        now = df.filter("source_id % 3 <> 0").unionByName(changed)
+        again.update(changed.select("kind", "source_id"), now)
+        for segment in index._state()["segments"]:
+            tasks = spark.read.parquet(f"{index.root}/{segment}").groupBy(F.input_file_name()).agg(F.count_distinct(F.shiftright("block", 32)).alias("n"))
+            assert tasks.filter("n > 1").count() == 0
+            assert len(list((tmp_path / "i" / segment / "bucket=-1").glob("part-*"))) > 1
+        plan = index.trigram_counts()._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(map(tuple, index.trigram_counts().collect())) == sorted(map(tuple, again.trigram_counts().collect()))
+        assert listed(index.search(QUERIES, 6)) == listed(again.search(QUERIES, 6)) == listed(search.bm25(now, QUERIES, 6))
+        assert spark.conf.get(freed) == kept
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_parts_of_index_rows(spark):
+    """Articles and passages apart are the rows together."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        articles = spark.createDataFrame([(i, i % 2, f"t{i}", None, f"c{i}", None, None, 5, False) for i in range(9)], "id long, feed_id long, title string, author string, content string, url string, published long, fetched_at long, archived boolean")
+        feeds = spark.createDataFrame([(0, "u"), (1, "v")], "id long, url string")
+        marks = spark.createDataFrame([(1, 3, "s", None, True, 7), (2, 4, "s", "note", False, 8), (3, 99, "s", "note", True, 8)], "id long, article_id long, selected_text string, comment string, is_favorite boolean, updated_at long")
+        links, tags = spark.createDataFrame([(3, 1), (3, 2)], "article_id long, tag_id long"), spark.createDataFrame([(1, "b"), (2, "A")], "id long, name string")
+        own, parts = search.article_rows(articles, feeds, links, tags), search.passage_rows(articles, marks)
+        both = sorted(map(str, own.collect() + parts.collect()))
+        assert both == sorted(map(str, search.index_rows(articles, feeds, marks, links, tags).collect())) and len(both) == 11
+        assert {r["body"] for r in own.collect() if r["source_id"] in (3, 4)} == {"t3\n\nc3\n\nA b", "t4\n\nc4\n\n"}
+    finally:
+        spark.conf.set(key, old)
