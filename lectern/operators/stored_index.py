@@ -1,9 +1,11 @@
 """A stored full-text index: positional trigram postings in blocks, kept up to date by deltas, searched by block bounds.
 
 Layout. Index rows are cut into blocks of at most BLOCK_ROWS rows and BLOCK_CHARS characters. A block's row of a trigram holds
-which of the block's rows have it, how often, their sizes and where it stands in them (`entries`: gaps and counts of seven bits a byte,
-so that what is shuffled and stored is a small multiple of the texts), and what bounds them: the largest frequency and the
-smallest size. The files lie in folders by `bucket`, a hash of the trigram, sorted by trigram; bucket -1 holds the
+which of the block's rows have it, how often, their sizes and where it stands in them, and what bounds them: the largest
+frequency and the smallest size. Each kind of number is a column of its own, as numbers of one kind compress best together and
+counts need no places: `gaps` (of rows, doubled, and one more where a trigram stands there twice or more), `times` (how often
+then, less two), `sizes`, `low` and `high` (the lowest eight bits of the gaps of places, and what is above them), all but `low` of
+seven bits a byte, so that what is stored is a small multiple of the texts. The files lie in folders by `bucket`, a hash of the trigram, sorted by trigram; bucket -1 holds the
 blocks' own rows (`docs`). Postings of few rows are rebalanced to tasks of bounded size by bucket, a large bucket to several;
 those of many are written by the task that cut them, a file for each bucket. A search reads its trigrams' buckets and nothing else.
 
@@ -43,7 +45,7 @@ TASK_POSITIONS = 4_000_000
 #: Scores are compared to nine digits.
 EPS = 1e-8
 DOC = "struct<kind:int,source_id:bigint,article_id:bigint,feed_id:bigint,title:string,timestamp:bigint,archived:boolean,size:int>"
-POSTING = f"trigram string, block bigint, n int, held int, max_tf int, min_size int, entries binary, docs array<{DOC}>"
+POSTING = f"trigram string, block bigint, n int, held int, max_tf int, min_size int, gaps binary, times binary, sizes binary, low binary, high binary, docs array<{DOC}>"
 _FIELDS = ("kind", "source_id", "article_id", "feed_id", "title", "timestamp", "archived")
 _DOCS = pa.list_(pa.struct([("kind", pa.int32()), ("source_id", pa.int64()), ("article_id", pa.int64()), ("feed_id", pa.int64()), ("title", pa.string()), ("timestamp", pa.int64()), ("archived", pa.bool_()), ("size", pa.int32())]))
 
@@ -92,30 +94,44 @@ def _unpack(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * _within(sizes), _before(sizes))
 
 
-def _packed(n: np.ndarray, held: np.ndarray, row: np.ndarray, tf: np.ndarray, sizes: np.ndarray, pos: np.ndarray) -> pa.Array:
-    """The entries of trigrams with n rows and held positions each: rows, frequencies, sizes and positions of all in turn."""
-    base, step = _before(3 * n + held), np.repeat(n, n)
-    at = np.repeat(base, n) + _within(n)
-    values = np.empty(int((3 * n + held).sum()), np.int64)
-    values[at], values[at + step], values[at + 2 * step] = _gaps(row, _before(n)), tf, sizes
-    values[np.repeat(base + 3 * n, held) + _within(held)] = _gaps(pos, _before(tf))
-    data, begins = _pack(values)
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(begins[np.r_[base, len(values)]].astype(np.int32)), pa.py_buffer(data)])
+def _binary(data: np.ndarray, begins: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _packed(n: np.ndarray, held: np.ndarray, row: np.ndarray, tf: np.ndarray, sizes: np.ndarray, pos: np.ndarray) -> list[pa.Array]:
+    """The columns NUMBERS of trigrams with n rows and held positions each."""
+    first, many = np.r_[_before(n), len(row)], tf > 1
+    gaps = _gaps(pos, _before(tf))
+    out = []
+    for values, begins in ((_gaps(row, _before(n)) * 2 + many, first), (tf[many] - 2, np.r_[0, np.cumsum(many)][first]), (sizes, first), (None, None), (gaps >> 8, np.r_[_before(held), len(pos)])):
+        if values is None:
+            out.append(_binary((gaps & 255).astype(np.uint8), np.r_[_before(held), len(pos)]))
+        else:
+            data, at = _pack(values)
+            out.append(_binary(data, at[begins]))
+    return out
+
+
+def _counts(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n, held and the rows and frequencies of all posting rows of a table or batch, none without entries."""
+    n, held = (np.asarray(table.column(c).to_numpy(), np.int64) for c in ("n", "held"))
+    gaps = _unpack(_bytes(table.column("gaps")))
+    tf = np.ones(len(gaps), np.int64)
+    tf[gaps & 1 == 1] = _unpack(_bytes(table.column("times"))) + 2
+    return n, held, _sums(gaps >> 1, n), tf
 
 
 def _entries(table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """n, held and the rows, frequencies, sizes, positions of all posting rows of a table or batch, none without entries."""
-    n, held = (np.asarray(table.column(c).to_numpy(), np.int64) for c in ("n", "held"))
-    column = table.column("entries")
-    values = np.concatenate([np.zeros(0, np.int64), *(_unpack(_bytes(c)) for c in getattr(column, "chunks", [column]))])
-    base, step = _before(3 * n + held), np.repeat(n, n)
-    at = np.repeat(base, n) + _within(n)
-    tf = values[at + step]
-    return n, held, _sums(values[at], n), tf, values[at + 2 * step], _sums(values[np.repeat(base + 3 * n, held) + _within(held)], tf)
+    n, held, row, tf = _counts(table)
+    sizes, low, high = (_bytes(table.column(c)) for c in NUMBERS[2:])
+    return n, held, row, tf, _unpack(sizes), _sums(_unpack(high) << 8 | low, tf)
 
 
-def _bytes(column: pa.Array) -> np.ndarray:
+def _bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """The bytes of all values of a binary column."""
+    if isinstance(column, pa.ChunkedArray):
+        return np.concatenate([np.zeros(0, np.uint8), *map(_bytes, column.chunks)])
     _, offsets, data = column.buffers()
     if not len(column) or data is None:
         return np.zeros(0, np.uint8)
@@ -141,7 +157,7 @@ def block_postings(texts: list[str | None], docs: list[dict], block: int) -> pa.
     order = np.argsort(gram, kind="stable")
     gram, ord_, pos = gram[order], ord_[order], pos[order]
     own = [[d | {"size": None if t is None else int(s)} for d, s, t in zip(docs, sizes, texts, strict=True)]]
-    head = pa.RecordBatch.from_arrays([pa.array([""]), pa.array([block]), *(pa.array([v], pa.int32()) for v in (len(docs), 0, 0, 0)), pa.array([None], pa.binary()), pa.array(own, _DOCS)], names=NAMES)
+    head = pa.RecordBatch.from_arrays([pa.array([""]), pa.array([block]), *(pa.array([v], pa.int32()) for v in (len(docs), 0, 0, 0)), *(pa.nulls(1, pa.binary()) for _ in NUMBERS), pa.array(own, _DOCS)], names=NAMES)
     if not len(gram):
         return head
     change = np.r_[True, gram[1:] != gram[:-1]]
@@ -154,11 +170,12 @@ def block_postings(texts: list[str | None], docs: list[dict], block: int) -> pa.
     names = [letters[i : i + 3] for i in range(0, len(letters), 3)]
     n, held = np.diff(np.r_[first, len(run)]), np.diff(np.r_[begins, len(gram)])
     numbers = [n, held, np.maximum.reduceat(tf, first), np.minimum.reduceat(sizes[row], first)]
-    rows = pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(keys), block)), *(pa.array(v.astype(np.int32)) for v in numbers), _packed(n, held, row, tf, sizes[row], pos), pa.nulls(len(keys), _DOCS)], names=NAMES)
+    rows = pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(keys), block)), *(pa.array(v.astype(np.int32)) for v in numbers), *_packed(n, held, row, tf, sizes[row], pos), pa.nulls(len(keys), _DOCS)], names=NAMES)
     return pa.Table.from_batches([head, rows.cast(head.schema)]).combine_chunks().to_batches()[0]
 
 
-NAMES = ["trigram", "block", "n", "held", "max_tf", "min_size", "entries", "docs"]
+NUMBERS = ["gaps", "times", "sizes", "low", "high"]
+NAMES = ["trigram", "block", "n", "held", "max_tf", "min_size", *NUMBERS, "docs"]
 
 
 def postings(rows: DataFrame, block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -224,7 +241,7 @@ def _blocks(table: pa.Table) -> dict[tuple[int, int], _Block]:
 def _alive(batches):
     """(trigram, df, tf) of posting rows with the marks of their blocks' dead rows."""
     for batch in batches:
-        n, held, row, tf, *_ = _entries(batch)
+        n, held, row, tf = _counts(batch)
         marks, begins, count = _marked(batch.column("dead"))
         word, at = row // MARKS, np.repeat(np.arange(len(n)), n)
         known = word < count[at]
@@ -388,9 +405,9 @@ class StoredIndex:
     def trigram_counts(self) -> DataFrame:
         """(trigram, df, occurrences) over live rows."""
         now = self._state()
-        rows = self._read(now).filter("bucket >= 0").select("segment", "block", "trigram", "n", "held", "entries")
+        rows = self._read(now).filter("bucket >= 0").select("segment", "block", "trigram", "n", "held", "gaps", "times")
         if now["dead"]:
-            rows = rows.join(self._dead(now), ["segment", "block"], "left").select("trigram", "n", "held", "entries", "dead")
+            rows = rows.join(self._dead(now), ["segment", "block"], "left").select("trigram", "n", "held", "gaps", "times", "dead")
             each = rows.mapInArrow(_alive, "trigram string, df bigint, tf bigint")
         else:
             each = rows.select("trigram", F.col("n").alias("df"), F.col("held").alias("tf"))

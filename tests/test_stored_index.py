@@ -187,3 +187,22 @@ def test_parts_of_index_rows(spark):
         assert {r["body"] for r in own.collect() if r["source_id"] in (3, 4)} == {"t3\n\nc3\n\nA b", "t4\n\nc4\n\n"}
     finally:
         spark.conf.set(key, old)
+
+
+def test_numbers_of_one_kind_lie_together(spark, tmp_path):
+    """Each kind of number is a column, so counts over changed rows read no sizes and no places."""
+    from lectern.operators import stored_index as st
+
+    index = StoredIndex(spark, f"file://{tmp_path}/i", 8, 7)
+    index.build(rows(spark))
+    index.update(rows(spark).filter("source_id = 3").select("kind", "source_id"), rows(spark))
+    plan = index.trigram_counts()._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"FileScan parquet \[trigram#\d+,block#\d+L,n#\d+,held#\d+,gaps#\d+,times#\d+,bucket#\d+\]", plan)
+    doc = dict.fromkeys(st._FIELDS)
+    batch = st.block_postings(["aaaa" * 20000, "xyz aaa", None], [doc] * 3, 1).slice(1)
+    n, held, row, tf, size, pos = st._entries(batch)
+    own = {g: (n[i], held[i]) for i, g in enumerate(batch.column("trigram").to_pylist())}
+    assert own["aaa"] == (2, 79999) and own["xyz"] == (1, 1) and sum(tf) == len(pos) == 79998 + 5
+    # a trigram that stands at each place takes two bytes for each; a single one a byte for its row, none for how often
+    assert sum(len(st._bytes(batch.column(c))) for c in st.NUMBERS) < 2.1 * 80_000
+    assert st._bytes(batch.column("times")).tolist() == st._pack(st.np.array([79998 - 2]))[0].tolist()
