@@ -47,10 +47,10 @@ class Domain:
         return conform(rows, "feeds").unionByName(conform(hidden, "feeds"))
 
     def feed_articles(self) -> DataFrame:
+        """Without labels."""
         d = F.col("doc_id")
-        rows = self.raw("documents").join(self.raw("labels"), "doc_id", "left")
         return conform(
-            rows.select(
+            self.raw("documents").select(
                 d.alias("id"),
                 (F.regexp_extract("source", r"(\d+)$", 1).cast("long") + 1).alias("feed_id"),
                 F.concat(F.lit("doc:"), d.cast("string")).alias("entry_id"),
@@ -59,9 +59,7 @@ class Domain:
                 F.when(d % 5 != 0, EPOCH + 60 * d).alias("published"),
                 F.col("text").alias("content"),
                 (d % 3 == 0).alias("is_read"),
-                (F.coalesce("quality", F.lit(0)) == 1).alias("starred"),
                 (d % 7 == 0).alias("read_later"),
-                (F.coalesce("toxic", F.lit(0)) == 1).alias("archived"),
                 (EPOCH + 60 * d + 3600).alias("fetched_at"),
             ),
             "articles",
@@ -78,7 +76,12 @@ class Domain:
         )
 
     def articles(self) -> DataFrame:
-        return self.feed_articles().unionByName(self.clippings())
+        """Labels meet all articles by id, so that a later join by id finds their texts where this one has dealt them; titles are
+        made before, so that who needs no more sends no texts."""
+        rows = self.feed_articles().unionByName(self.clippings())
+        own = (F.col("id") == F.col("doc_id")) & F.col("entry_id").startswith("doc:")
+        marked = rows.join(self.raw("labels").select("doc_id", "quality", "toxic"), own, "left")
+        return conform(marked.withColumns({"starred": F.col("starred") | (F.coalesce("quality", F.lit(0)) == 1), "archived": F.coalesce("toxic", F.lit(0)) == 1}), "articles")
 
     def selections(self) -> DataFrame:
         i = F.col("conv_id") * 100 + F.col("turn")

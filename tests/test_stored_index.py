@@ -206,3 +206,25 @@ def test_numbers_of_one_kind_lie_together(spark, tmp_path):
     # a trigram that stands at each place takes two bytes for each; a single one a byte for its row, none for how often
     assert sum(len(st._bytes(batch.column(c))) for c in st.NUMBERS) < 2.1 * 80_000
     assert st._bytes(batch.column("times")).tolist() == st._pack(st.np.array([79998 - 2]))[0].tolist()
+
+
+def test_texts_are_dealt_once_by_id(spark):
+    """Labels and tags meet the articles where one shuffle by id has brought them; titles come without their texts."""
+    from lectern.sources.domain import Domain
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        d = Domain(spark, "/root/testdata/sf0.001")
+        plan = search.article_rows(d.articles(), d.feeds(), d.article_tags(), d.tags())._jdf.queryExecution().executedPlan().toString()
+        # the articles and their labels
+        assert len(re.findall(r"Exchange hashpartitioning\((?:id|doc_id)#", plan)) == 2
+    finally:
+        spark.conf.set(key, old)
+    labels = {r["doc_id"]: r for r in d.raw("labels").collect()}
+    got = {r["id"]: r for r in d.articles().select("id", "feed_id", "starred", "archived").collect()}
+    assert len(got) == d.raw("documents").count() + d.raw("pages").count()
+    for i, r in got.items():
+        mark = labels.get(i) if r["feed_id"] else None
+        assert (r["starred"], r["archived"]) == ((not r["feed_id"]) or (mark is not None and mark["quality"] == 1), mark is not None and mark["toxic"] == 1)
